@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -18,7 +19,7 @@ from .common import fold, fresh, materialize
 TRAIN_ROWS = 20_000
 #: Most terms of a lexicon.
 MAX_TERMS = 5_000
-STEM_LENGTHS = (4, 5)
+STEM_LENGTHS = (3, 4, 5, 6, 7, 8)
 WINDOW = 5
 #: Known words of a worker; the memory is emptied when it has grown to this.
 MEMORY_WORDS = 500_000
@@ -163,18 +164,44 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows
     return docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(known), "i").select("y", "t")
 
 
+def _signatures(text: str | None) -> tuple[int, int]:
+    """Two min-hashes of the text's four-word shingles; near copies nearly always share one."""
+    words = words_of(text)
+    parts = [" ".join(words[i : i + 4]).encode() for i in range(max(1, len(words) - 3))]
+    return min(map(zlib.crc32, parts)), min(zlib.crc32(p, 1) for p in parts)
+
+
+def _choose(candidates: list, most: int = MAX_TERMS) -> dict[tuple[str, str], object]:
+    """The terms with the strongest evidence that don't cover each other: a stem stands for all words that begin with it."""
+    chosen: dict[tuple[str, str], object] = {}
+    stems: set[str] = set()
+    begins: set[str] = set()
+    for r in sorted(candidates, key=lambda r: (-r.evidence, r.kind != "word", -len(r.term), r.term)):
+        covered = any(r.term[:n] in stems for n in STEM_LENGTHS if n <= len(r.term))
+        if covered or r.kind == "stem" and r.term in begins or len(chosen) == most:
+            continue
+        chosen[r.term, r.kind] = r
+        begins.update(r.term[:n] for n in STEM_LENGTHS if n <= len(r.term))
+        if r.kind == "stem":
+            stems.add(r.term)
+    return chosen
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Model:
     """Learn terms, weights and the worth of contexts from labelled rows outside the held-out fold.
 
-    Terms and their weights come from document counts by label: the log odds of a term, from
-    three toxic documents and a weight of 3 up. Labels that are neither 0 nor 1 are left out; of
-    contrary labels 1 counts. Without labelled rows the model has no terms and all scores are low.
+    Terms and weights come from document counts by label, near copies counted once. A term is
+    taken if its likelihood ratio against the share of toxic rows is beyond what the best of all
+    terms would show by chance; its weight is its log odds. Labels that are neither 0 nor 1 are left
+    out; of contrary labels 1 counts. Without labelled rows there are no terms and all scores are low.
     """
-    train = materialize(_sample(docs, labels, id_col, text_col, rows), "train")
+    signed = F.pandas_udf(lambda texts: pd.DataFrame([_signatures(t) for t in texts], columns=["a", "b"]), "a long, b long")
+    train = materialize(_sample(docs, labels, id_col, text_col, rows).withColumn("s", signed("t")), "train")
+    train = materialize(train.dropDuplicates(["s"]).select("y", "t", F.col("s.a").alias("a"), F.col("s.b").alias("b")).dropDuplicates(["a"]).dropDuplicates(["b"]).select("y", "t"), "distinct")
     size = {r.y: r.n for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
     model = Model(prior=min(-1.0, math.log((toxic + 1) / (clean + 1))))
-    if not toxic:
+    if not toxic or not clean:
         return model
 
     def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,17 +214,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     count.update((s, "stem", y) for s in {w[:n] for w in words if len(w) > n})
             yield pd.DataFrame([(*k, n) for k, n in count.items()], columns=["term", "kind", "y", "n"])
 
+    share = toxic / (toxic + clean)
+    counts = train.select("y", "t").mapInPandas(terms, "term string, kind string, y int, n long").groupBy("term", "kind").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("good"))
+    counts = materialize(counts, "terms")
+    beyond_chance = math.log(counts.count() + 1) + 2
+    of_all = F.col("bad") / (F.col("bad") + F.col("good"))
+    evidence = F.col("bad") * F.log(of_all / share) + F.when(F.col("good") > 0, F.col("good") * F.log((1 - of_all) / (1 - share))).otherwise(0.0)
     odds = F.log((F.col("bad") + 0.5) / (toxic + 1)) - F.log((F.col("good") + 0.5) / (clean + 1))
-    counts = train.mapInPandas(terms, "term string, kind string, y int, n long").groupBy("term", "kind").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("good"))
-    chosen = counts.filter("bad >= 3").withColumn("w", odds).filter("w >= 3 and bad > 4 * good").orderBy(F.desc("bad"), F.desc("w"), "term", "kind").limit(MAX_TERMS).collect()
-    stems = {r.term: r for r in chosen if r.kind == "stem"}
-    words = {r.term: r for r in chosen if r.kind == "word"}
-    # A stem stands only where several words share it; a word under a stem adds nothing.
-    whole = {w for w in words if any(w[:n] in stems and words[w].bad >= 0.8 * stems[w[:n]].bad for n in STEM_LENGTHS)}
-    stems = {s: r for s, r in stems.items() if not any(w.startswith(s) for w in whole)}
-    stems = {s: r for s, r in stems.items() if not any(s[:n] in stems for n in STEM_LENGTHS if n < len(s))}
-    words = {w: r for w, r in words.items() if not any(w[:n] in stems for n in STEM_LENGTHS)}
-    model.weights = {(t, "word"): r.w for t, r in words.items()} | {(t, "stem"): r.w for t, r in stems.items()}
+    strong = counts.filter("bad >= 3").withColumns({"evidence": evidence, "w": odds}).filter((F.col("w") >= 3) & (F.col("evidence") > beyond_chance))
+    chosen = _choose(strong.orderBy(F.desc("evidence"), "term", "kind").limit(4 * MAX_TERMS).collect())
+    words = {t: r for (t, kind), r in chosen.items() if kind == "word"}
+    model.weights = {k: r.w for k, r in chosen.items()}
 
     sent = train.sparkSession.sparkContext.broadcast(model)
 
@@ -209,13 +236,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 count.update((t, k, c, y) for t, k, c in set(matcher.occurrences(text)))
             yield pd.DataFrame([(*k, n) for k, n in count.items()], columns=["term", "kind", "context", "y", "n"])
 
-    seen = train.mapInPandas(uses, "term string, kind string, context string, y int, n long").groupBy("term", "kind", "context", "y").agg(F.sum("n").alias("n")).collect()
+    seen = train.select("y", "t").mapInPandas(uses, "term string, kind string, context string, y int, n long").groupBy("term", "kind", "context", "y").agg(F.sum("n").alias("n")).collect()
     for term, _ in [k for k in model.weights if k[1] == "word"]:
         of = lambda y, term=term: sum(r.n for r in seen if (r.term, r.kind, r.y) == (term, "near", y))
         exact = model.weights[term, "word"]
         # Prior evidence: misspellings as rare as one in fifty toxic uses of the term, and no clean one.
         near = math.log((of(1) + 0.02 * words[term].bad + 0.05) / (toxic + 1)) - math.log((of(0) + 0.05) / (clean + 1))
-        model.weights[term, "near"] = min(exact, near)
+        if near >= 1:
+            model.weights[term, "near"] = min(exact, near)
     for where in ("quoted", "addressed"):
         of = lambda y, where=where: sum(r.n for r in seen if (r.context, r.y) == (where, y) and r.kind != "near")
         if of(0) + of(1) >= 20:  # enough uses to learn what the context is worth
