@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import fresh, materialize, ship
 
 WINDOW = 10
 #: An automaton takes about this many bytes of windows; more items are dealt over several automata.
@@ -83,6 +83,7 @@ def scan(text: str | None, automaton) -> tuple[int, int, list[str], list[tuple[i
 
 def _pass(docs: DataFrame, items: list[tuple[str, str]], text_col: str, to: str, width: int) -> DataFrame:
     """docs with the struct column ``to`` that one automaton finds."""
+    ship(docs.sparkSession)
     sent, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     @F.pandas_udf("n_words long, n_hit long, items array<string>, spans array<struct<begin:long,end:long>>")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import fresh, materialize, ship
 
 SHINGLE, RADIUS = 3, 2
 
@@ -45,6 +45,8 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, text_col: str = "text", to: str = "fp", width: int = SHINGLE) -> DataFrame:
     """docs with the fingerprint of text_col in the new column ``to``."""
 
+    ship(docs.sparkSession)
+
     @F.pandas_udf("long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:

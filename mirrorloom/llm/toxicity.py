@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, fresh, materialize
+from .common import fold, fresh, materialize, ship
 
 #: Labelled rows that the lexicon is learned from, drawn by hash; the only sample here.
 TRAIN_ROWS = 20_000
@@ -195,7 +195,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     terms would show by chance; its weight is its log odds. Labels that are neither 0 nor 1 are left
     out; of contrary labels 1 counts. Without labelled rows there are no terms and all scores are low.
     """
-    signed = F.pandas_udf(lambda texts: pd.DataFrame([_signatures(t) for t in texts], columns=["a", "b"]), "a long, b long")
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("a long, b long")
+    def signed(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_signatures(t) for t in texts], columns=["a", "b"])
+
     train = materialize(_sample(docs, labels, id_col, text_col, rows).withColumn("s", signed("t")), "train")
     train = materialize(train.dropDuplicates(["s"]).select("y", "t", F.col("s.a").alias("a"), F.col("s.b").alias("b")).dropDuplicates(["a"]).dropDuplicates(["b"]).select("y", "t"), "distinct")
     size = {r.y: r.n for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -255,6 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", to: str = "toxicity") -> DataFrame:
     """docs with the chance of label 1 in ``to``; null and empty texts get that of a text without hits."""
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
