@@ -24,9 +24,12 @@ from .common import fold, materialize, ship
 
 TOP, CLASSES, DIM = 79, 48, 24
 OUTCOMES = 1 + TOP + CLASSES
-#: The words that each Python worker knows by itself; the counts of all others are joined.
-FREQUENT = 200_000
+#: Words of at least this share of the training tokens (so a million at most) are known to each Python worker; the
+#: counts of all others are joined.
+FREQUENT = 1e-6
 FLUSH = 400_000
+#: Documents of one step of scoring.
+SLICE = 400
 SHARDS, ROUNDS, STEPS, BATCH, NOISE = 4, 2, 500, 4096, 64
 END = b""
 
@@ -59,8 +62,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
             return out
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(tokens_of(text))
+            for text in batch.column(0):
+                seen.update(tokens_of(text.as_py()))
                 seen[END] += 1
                 if len(seen) > FLUSH:
                     yield flush()
@@ -101,14 +104,13 @@ def outcome_counts(texts: DataFrame, top: list[bytes]) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, total = Ids(top), np.zeros(OUTCOMES**3, np.int64)
-        for batch in batches:
-            parts = [ids.of([*tokens_of(text), END]) for text in batch.column(0).to_pylist()]
-            if not parts:
-                continue
-            flat = np.concatenate(parts)
-            one, two = _contexts(flat, np.cumsum([0, *map(len, parts[:-1])]))
-            code, n = np.unique((two * OUTCOMES + one) * OUTCOMES + flat, return_counts=True)
-            total[code] += n
+        for whole in batches:
+            for first in range(0, whole.num_rows, SLICE):
+                parts = [ids.of([*tokens_of(text.as_py()), END]) for text in whole.column(0).slice(first, SLICE)]
+                flat = np.concatenate(parts)
+                one, two = _contexts(flat, np.cumsum([0, *map(len, parts[:-1])]))
+                code, n = np.unique((two * OUTCOMES + one) * OUTCOMES + flat, return_counts=True)
+                total[code] += n
         code = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(total[code], pa.int64())], ["code", "n"])
 
@@ -220,14 +222,14 @@ def train(counts: DataFrame, unigram: np.ndarray, shards: int = SHARDS, rounds:
 _SCORED = "rid long, doc_id {id}, held_out boolean, n_tokens long, known long, log_counts double, score double, rest array<struct<w:binary,n:long>>"
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, steps: int = STEPS) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: float = FREQUENT, steps: int = STEPS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the documents outside the held-out fold; scores all. Tokens are the words
     and one end. Null and empty texts are an end alone. base_score: smoothed unigram; score: the
     model's log10 probability. Repeated rows each give a row; null identifiers are in the fold of the empty
-    text. Without training documents all words are unknown. Words beyond the ``frequent`` ones
-    meet their counts in a join, so no worker holds the vocabulary.
+    text. Without training documents all words are unknown. Words below the share ``frequent``
+    of the training tokens meet their counts in a join, so no worker holds the vocabulary.
     """
     ship(docs.sparkSession)
     held = fold(F.col(id_col)) == 1
@@ -235,7 +237,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
     training = base.filter(~F.col("held_out"))
     counts = materialize(word_counts(training), "counts")
     n_train, v_train = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    best = [(bytes(r.word), r.c) for r in counts.orderBy(F.desc("c"), "word").limit(frequent).collect()]
+    best = sorted(((bytes(r.word), r.c) for r in counts.filter(F.col("c") >= frequent * n_train).collect()), key=lambda x: (-x[1], x[0]))
     top = [w for w, _ in best if w != END][:TOP]
     fixed = {END: 0} | {w: k for k, w in enumerate(top, 1)}
     # The training tokens of each outcome, and the distinct words of each class.
@@ -265,36 +267,38 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
         outcome = np.array([fixed.get(w, -1) if w in fixed else class_of(w) for w, _ in best] + [0, -1])
         end, rest_of = number.get(END, len(best)), len(best) + 1
         known = np.array([1] * len(best) + [0, 0])
-        for batch in batches:
-            flat: list[int] = []
-            starts, rests, late = [], [], []
-            for text in batch.column("t").to_pylist():
-                starts.append(len(flat))
-                words = tokens_of(text)
-                own = [number.get(w, rest_of) for w in words]
-                rest: Counter = Counter()
-                if rest_of in own:
-                    for i, k in enumerate(own):
-                        if k == rest_of:
-                            rest[words[i]] += 1
-                            late.append((len(flat) + i, class_of(words[i])))
-                rests.append([{"w": w, "n": n} for w, n in rest.items()])
-                flat += own
-                flat.append(end)
-            if not starts:
-                continue
-            num, at = np.array(flat), np.array(starts)
-            ids = outcome[num]
-            if late:
-                where, which = map(np.array, zip(*late))
-                ids[where] = which
-            one, two = _contexts(ids, at)
-            # The end of a text has its own outcome even if no training text was seen.
-            rare = ids > TOP
-            log_p = table[two, one, ids].astype(np.float64) + np.where(rare, log_c[num] - log_rare[ids], 0.0)
-            total = lambda x, at=at: np.add.reduceat(x, at)
-            arrays = [batch.column("rid"), batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff([*starts, len(flat)]), pa.int64()), pa.array(total(known[num]), pa.int64()), pa.array(total(log_c[num])), pa.array(total(log_p)), pa.array(rests, pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())])))]
-            yield pa.RecordBatch.from_arrays(arrays, ["rid", "doc_id", "held_out", "n_tokens", "known", "log_counts", "score", "rest"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, SLICE):  # bounds the memory, as each token is a Python object here
+                batch = whole.slice(first, SLICE)
+                flat: list[int] = []
+                starts, late, rest_ends = [], [], [0]
+                rest_words: list[bytes] = []
+                rest_counts: list[int] = []
+                for text in batch.column("t"):
+                    starts.append(len(flat))
+                    words = tokens_of(text.as_py())
+                    own = [number.get(w, rest_of) for w in words]
+                    rest = Counter(w for w, k in zip(words, own) if k == rest_of)
+                    if rest:
+                        classes = {w: class_of(w) for w in rest}
+                        late += [(len(flat) + i, classes[words[i]]) for i, k in enumerate(own) if k == rest_of]
+                        rest_words += rest.keys()
+                        rest_counts += rest.values()
+                    rest_ends.append(len(rest_words))
+                    flat += own
+                    flat.append(end)
+                num, at = np.array(flat), np.array(starts)
+                ids = outcome[num]
+                if late:
+                    where, which = map(np.array, zip(*late))
+                    ids[where] = which
+                one, two = _contexts(ids, at)
+                # The end of a text has its own outcome even if no training text was seen.
+                log_p = table[two, one, ids].astype(np.float64) + np.where(ids > TOP, log_c[num] - log_rare[ids], 0.0)
+                pairs = pa.StructArray.from_arrays([pa.array(rest_words, pa.binary()), pa.array(rest_counts, pa.int64())], ["w", "n"])
+                sums = [pa.array(np.add.reduceat(x, at)) for x in (known[num], log_c[num], log_p)]
+                arrays = [batch.column("rid"), batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff([*starts, len(flat)]), pa.int64()), *sums, pa.ListArray.from_arrays(pa.array(rest_ends, pa.int32()), pairs)]
+                yield pa.RecordBatch.from_arrays(arrays, ["rid", "doc_id", "held_out", "n_tokens", "known", "log_counts", "score", "rest"])
 
     numbered = base.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "t")
     scored = materialize(numbered.mapInArrow(run, schema), "scored")  # written, so that rid stays the same
