@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, ship
@@ -141,23 +141,27 @@ def common_lines(a: list[int], b: list[int]) -> list[bool]:
     return shared
 
 
-def parse_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """rid, page_id, url, host, path, lines, states and hashes of the lines; written, so that rid stays the same."""
-    ship(pages.sparkSession)
+def page_key(id_col: str, url_col: str, html_col: str) -> Column:
+    """A hash of a page's identifier, URL and text: rows that repeat a page share it, and it is the same in every pass."""
+    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in (id_col, url_col, html_col)])
+
+
+def line_hashes(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """rid, host, path and the hashes of the page's lines, one row for each distinct page."""
+
+    @F.pandas_udf("array<long>")
+    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import xxhash
 
-    @F.pandas_udf("lines array<string>, states array<int>")
-    def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            found = [lines_of(t) for t in texts]
-            yield pd.DataFrame({"lines": [[x for x, _ in f] for f in found], "states": [[s for _, s in f] for f in found]})
+            yield pd.Series([[xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x, _ in lines_of(t)] for t in texts])
 
     url = F.col(url_col).cast("string")
-    base = pages.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("page_id"), url.alias("url"), url_host(url).alias("host"), url_path(url).alias("path"), parse(F.col(html_col).cast("string")).alias("p"))
-    parsed = base.select("rid", "page_id", "url", "host", "path", "p.lines", "p.states")
-    return materialize(parsed.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x))), "parsed")
+    slim = pages.select(page_key(id_col, url_col, html_col).alias("rid"), url_host(url).alias("host"), url_path(url).alias("path"), hashes(F.col(html_col).cast("string")).alias("hashes"))
+    return materialize(slim.dropDuplicates(["rid"]), "hashes")
 
 
-def nearest(parsed: DataFrame) -> DataFrame:
+def nearest(hashes: DataFrame) -> DataFrame:
     """(rid, other): the neighbour of each page in the order of host and path, the one that shares the longer start of the path.
 
     The slim rows are sorted over ranges, so a host of any size is spread; a few rows,
@@ -180,7 +184,7 @@ def nearest(parsed: DataFrame) -> DataFrame:
         if before:
             yield pd.DataFrame([("last", number, *before, None, None)], columns=names).astype({"other": "Int64", "shared": "Int64"})
 
-    slim = parsed.select("rid", "host", "path").repartitionByRange("host", "path", "rid").sortWithinPartitions("host", "path", "rid")
+    slim = hashes.select("rid", "host", "path").repartitionByRange("host", "path", "rid").sortWithinPartitions("host", "path", "rid")
     rows = materialize(slim.mapInPandas(pair, "kind string, part int, rid long, host string, path string, other long, shared long"), "pairs")
     ends = rows.filter("kind <> 'pair'").select("kind", "part", "rid", "host", "path")
     order = Window.orderBy("part", F.expr("kind = 'last'"))  # two rows a range at most
@@ -210,21 +214,29 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     markup is then checked: a line inside the article stays even where the neighbour has it too, as
     pages may share a passage; a line in a menu, header, footer, form, advert or comment goes even
     where it differs. Blocks are joined by two line ends. A null or empty page gives the empty text; a null URL
-    has an empty host like other URLs without one. Repeated pages are neighbours of each other.
+    has an empty host like other URLs without one. Rows that repeat a page each give a row and are one page to their neighbours.
     """
-    parsed = parse_pages(pages, id_col, url_col, html_col)
-    pairs = nearest(parsed)
+    ship(pages.sparkSession)
+    hashes = line_hashes(pages, id_col, url_col, html_col)
+    own, others = hashes.select("rid", "hashes"), hashes.select(F.col("rid").alias("other"), F.col("hashes").alias("other_hashes"))
 
     @F.pandas_udf("array<boolean>")
     def differ(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([common_lines(list(x), list(y)) for x, y in zip(a, b)])
 
-    hashes = parsed.select("rid", "hashes")
-    others = hashes.select(F.col("rid").alias("other"), F.col("hashes").alias("other_hashes"))
-    masks = pairs.join(others, "other").join(hashes, "rid").select("rid", differ("hashes", "other_hashes").alias("shared"))
-    joined = parsed.drop("hashes").join(masks, "rid", "left")
-    is_shared = lambda i: F.coalesce(F.get("shared", i), F.lit(False))
-    stays = F.filter("lines", lambda line, i: (F.get("states", i) == KEEP) | ((F.get("states", i) == OPEN) & ~is_shared(i)))
-    n_shared = F.coalesce(F.size(F.filter("shared", lambda s: s)), F.lit(0)).cast("long")
-    out = joined.select("page_id", "url", F.array_join(stays, "\n\n").alias("text"), F.size("lines").cast("long").alias("n_lines"), n_shared.alias("n_shared"))
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", F.greatest("n_shared", F.lit(0)).alias("n_shared"))
+    masks = nearest(hashes).join(others, "other").join(own, "rid")
+    masks = materialize(masks.select("rid", differ("hashes", "other_hashes").alias("shared")), "masks")
+
+    @F.pandas_udf("lines array<string>, places array<int>, kept array<boolean>, n_lines long")
+    def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            found = [[(i, line, state) for i, (line, state) in enumerate(lines_of(t))] for t in texts]
+            some = [[x for x in f if x[2] != DROP] for f in found]  # what the markup drops goes no further
+            yield pd.DataFrame({"lines": [[x[1] for x in f] for f in some], "places": [[x[0] for x in f] for f in some], "kept": [[x[2] == KEEP for x in f] for f in some], "n_lines": [len(f) for f in found]})
+
+    parsed = pages.select(page_key(id_col, url_col, html_col).alias("rid"), F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), parse(F.col(html_col).cast("string")).alias("p"))
+    joined = parsed.join(masks, "rid", "left").select("page_id", "url", "p.*", "shared")
+    stays = F.filter("lines", lambda line, i: F.get("kept", i) | ~F.coalesce(F.get("shared", F.get("places", i)), F.lit(False)))
+    n_shared = F.when(F.col("shared").isNull(), 0).otherwise(F.size(F.filter("shared", lambda s: s))).cast("long")
+    out = joined.select("page_id", "url", F.array_join(stays, "\n\n").alias("text"), "n_lines", n_shared.alias("n_shared"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_shared")
