@@ -190,8 +190,8 @@ def nearest(hashes: DataFrame) -> DataFrame:
     order = Window.orderBy("part", F.expr("kind = 'last'"))  # two rows a range at most
     joined = ends.select("kind", "rid", "host", "path", *[F.lead(c).over(order).alias(f"next_{c}") for c in ("kind", "rid", "host", "path")])
     meet = joined.filter("kind = 'last' and next_kind = 'first' and host = next_host")
-    shared = F.udf(_shared, "long")
-    pairs = rows.filter("kind = 'pair'").select("rid", "other", "shared").unionByName(meet.select("rid", F.col("next_rid").alias("other"), shared("path", "next_path").alias("shared")))
+    shared = F.expr("aggregate(sequence(1, greatest(1, least(length(path), length(next_path)))), 0L, (n, i) -> if(n = i - 1 and substr(path, i, 1) = substr(next_path, i, 1) and i <= least(length(path), length(next_path)), i, n))")
+    pairs = rows.filter("kind = 'pair'").select("rid", "other", "shared").unionByName(meet.select("rid", F.col("next_rid").alias("other"), shared.alias("shared")))
     both = pairs.unionByName(pairs.select(F.col("other").alias("rid"), F.col("rid").alias("other"), "shared"))
     return both.groupBy("rid").agg(F.max_by("other", F.struct("shared", "other")).alias("other"))
 
