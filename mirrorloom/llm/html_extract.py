@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -168,24 +169,26 @@ def nearest(hashes: DataFrame) -> DataFrame:
     the ends of the ranges, are joined up afterwards. Pages alone on their host have no row.
     """
 
-    def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, before, first = TaskContext.get().partitionId(), None, True
-        names = ["kind", "part", "rid", "host", "path", "other", "shared"]
+    kinds = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("rid", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("other", pa.int64()), ("shared", pa.int64())])
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, before = TaskContext.get().partitionId(), None
+        table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], schema=kinds)
         for batch in batches:
             rows = []
-            for rid, host, path in zip(batch["rid"], batch["host"], batch["path"]):
-                if first:
+            for rid, host, path in zip(*(batch.column(c).to_pylist() for c in ("rid", "host", "path"))):
+                if before is None:
                     rows.append(("first", number, rid, host, path, None, None))
-                    first = False
                 elif before[1] == host:
                     rows.append(("pair", number, before[0], None, None, rid, _shared(before[2], path)))
                 before = (rid, host, path)
-            yield pd.DataFrame(rows, columns=names).astype({"other": "Int64", "shared": "Int64"})
+            if rows:
+                yield table(rows)
         if before:
-            yield pd.DataFrame([("last", number, *before, None, None)], columns=names).astype({"other": "Int64", "shared": "Int64"})
+            yield table([("last", number, *before, None, None)])
 
     slim = hashes.select("rid", "host", "path").repartitionByRange("host", "path", "rid").sortWithinPartitions("host", "path", "rid")
-    rows = materialize(slim.mapInPandas(pair, "kind string, part int, rid long, host string, path string, other long, shared long"), "pairs")
+    rows = materialize(slim.mapInArrow(pair, "kind string, part int, rid long, host string, path string, other long, shared long"), "pairs")
     ends = rows.filter("kind <> 'pair'").select("kind", "part", "rid", "host", "path")
     order = Window.orderBy("part", F.expr("kind = 'last'"))  # two rows a range at most
     joined = ends.select("kind", "rid", "host", "path", *[F.lead(c).over(order).alias(f"next_{c}") for c in ("kind", "rid", "host", "path")])

@@ -66,7 +66,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], listed: DataFram
     new = ("host", "path", "rule", "verdict", "listed")
     base = pages.select(*[F.col(f"`{c}`").alias(f"source_{c}" if c.lower() in new else c) for c in pages.columns])
     url = F.col(f"`{f'source_{url_col}' if url_col.lower() in new else url_col}`").cast("string")
-    key, block, hit = fresh(base, "canonical_url", "bloom_block", "may_be_listed")
+    key, block, hit, exact_key, *word = fresh(base, "canonical_url", "bloom_block", "may_be_listed", "listed_url", *[f"w{i}" for i in range(8)])
     rule = F.lit(None).cast("string")
     verdict = F.lit(None).cast("string")
     for what, name in sorted(rules, key=lambda r: (len(r[1]), r[1])):  # the last that fits is the longest
@@ -80,18 +80,18 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], listed: DataFram
 
     keys = materialize(listed.select(F.col("key").cast("string")).dropna().distinct(), "listed")
     n_blocks = max(1, -(-keys.count() * BITS_PER_KEY // BLOCK_BITS))
-    blocks = materialize(bloom_blocks(keys, n_blocks).withColumnRenamed("block", block), "blocks")
+    blocks = materialize(bloom_blocks(keys, n_blocks).toDF(block, *word), "blocks")
     if n_blocks * BLOCK_BITS // 4 <= max_broadcast:  # eight longs and the number of the block in memory
         blocks = F.broadcast(blocks)
     h = F.xxhash64(key)
     probed = judged.withColumn(block, F.when(F.col(key).isNotNull(), _block(h, n_blocks))).join(blocks, block, "left")
     maybe = F.lit(True)
     for i in range(8):
-        maybe = maybe & (F.col(f"w{i}").bitwiseAND(_bit(h, i)) != 0)
-    probed = probed.withColumn(hit, F.coalesce(maybe, F.lit(False))).drop(block, *[f"w{i}" for i in range(8)])
+        maybe = maybe & (F.col(word[i]).bitwiseAND(_bit(h, i)) != 0)
+    probed = probed.withColumn(hit, F.coalesce(maybe, F.lit(False))).drop(block, *word)
     probed = materialize(probed, "probed")
     missed = probed.filter(~F.col(hit)).withColumn("listed", F.lit(False))
-    exact = keys.select("key", F.lit(True).alias("listed"))
-    hits = probed.filter(F.col(hit)).join(exact, F.col(key) == F.col("key"), "left").drop("key").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    exact = keys.select(F.col("key").alias(exact_key), F.lit(True).alias("listed"))
+    hits = probed.filter(F.col(hit)).join(exact, F.col(key) == F.col(exact_key), "left").drop(exact_key).withColumn("listed", F.coalesce("listed", F.lit(False)))
     out = missed.unionByName(hits)
     return out.withColumn("verdict", F.coalesce("verdict", F.when(F.col("listed"), "block").otherwise("allow"))).drop(key, hit)
