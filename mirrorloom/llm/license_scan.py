@@ -17,7 +17,7 @@ TEMPLATES = [
     ("apache-2.0", "licensed under the apache license version 2 0", ["apache license version 2"]),
     ("gpl-3.0", "licensed under the gnu general public license version 3", ["general public license version 3"]),
     ("gpl-2.0", "under the terms of the gnu general public license version 2", ["general public license version 2"]),
-    ("mit-notice", "released under the mit license", ["mit license"]),
+    ("mit-notice", "released under the mit license", ["released under the mit license"]),
     ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted", "obtaining a copy of this software"]),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["copy modify and or distribute this software"]),

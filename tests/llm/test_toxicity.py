@@ -2,7 +2,7 @@
 
 import itertools
 
-from cases import docs, none
+from cases import docs, none, texts
 from pyspark.sql import functions as F
 
 from mirrorloom.llm import queries, toxicity
@@ -54,8 +54,9 @@ def test_held_out_accuracy(spark):
 
 
 def test_odd_tables(spark):
-    df = docs(spark, [(i, f"plain text number {i}") for i in range(5000, 5060)] + [(i, f"you idiot number {i} stupid") for i in range(6000, 6060)])
-    labels = spark.createDataFrame([(i, 0) for i in range(5000, 5060)] + [(i, 1) for i in range(6000, 6060)] + [(None, 1), (5000, None), (6000, 7), (6001, 0)], "doc_id long, toxic int")
+    prose = texts(220, seed=9)
+    df = docs(spark, [(5000 + i, t) for i, t in enumerate(prose[:160])] + [(6000 + i, f"you idiot {t} stupid") for i, t in enumerate(prose[160:])])
+    labels = spark.createDataFrame([(i, 0) for i in range(5000, 5160)] + [(i, 1) for i in range(6000, 6060)] + [(None, 1), (5000, None), (6000, 7), (6001, 0)], "doc_id long, toxic int")
     model = toxicity.fit(df, labels)
     out = toxicity.score(df, model, to="s")
     assert out.columns == df.columns + ["s"] and out.count() == df.count()
