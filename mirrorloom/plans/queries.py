@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, numeric, strings
-from ..operators import clean, compare, generate, privacy, profile, relate, schema, validate
+from ..operators import clean, compare, generate, learn, privacy, profile, relate, schema, validate
 from ..rng import laplace, normal, uniform
 from ..session import table
 from ..sources import readers
@@ -736,6 +736,39 @@ def privacy_audit(spark, d):
     return compare.audit(compare.exact_overlap(*_sides(spark, d), _REC), compare.rare_combinations(a, b, "p_brand", "p_size"), compare.linkage(a, b, ["p_brand", "p_size"]))
 
 
+# -- models: no SQL; tests/test_operators.py checks their properties ---------------------------
+
+
+@query()
+def membership_disclosure(spark, d):
+    return learn.membership_disclosure(*_sides(spark, d), ["l_quantity", "l_extendedprice"], ["l_returnflag"])
+
+
+@query()
+def attribute_disclosure(spark, d):
+    return learn.attribute_disclosure(*_sides(spark, d), "l_returnflag", ["l_quantity", "l_discount"], [], trees=20)
+
+
+@query()
+def ml_utility(spark, d):
+    return learn.utility(*_sides(spark, d), "l_extendedprice", ["l_quantity", "l_discount"], ["l_returnflag"], False, trees=20)
+
+
+@query()
+def pca_similarity(spark, d):
+    return learn.pca_similarity(*_sides(spark, d), NUM)
+
+
+@query()
+def latent_sampler(spark, d):
+    return learn.latent_sample(table(spark, d, "lineitem"), NUM, 1000, 42)
+
+
+@query()
+def generator_selection(spark, d):
+    return learn.select_generator(table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment"), ["c_custkey"], ["c_acctbal", "c_nationkey"], ["c_mktsegment"], ("marginals", "bootstrap", "perturb"))
+
+
 # -- set operations ---------------------------------------------------------------------------
 
 

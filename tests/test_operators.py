@@ -258,3 +258,19 @@ def test_pandas_cut_agrees_with_bands(spark):
     got = [r[0] for r in df.select(numeric.life_stage(F.col("a"))).collect()]
     want = pd.cut(ages, [0, 13, 18, 25, 65, 120], right=False, labels=["Child", "Teen", "Young Adult", "Adult", "Senior"]).astype(str).tolist()
     assert got == want
+
+
+def test_models(spark):
+    from mirrorloom.operators import learn
+
+    df = people(spark)
+    other = df.withColumn("income", F.col("income") + 500)
+    assert learn.membership_disclosure(df, df, ["income"], ["result"]).first().risk < 0.3
+    assert learn.membership_disclosure(df, other, ["income"], ["result"]).first().risk > 0.9
+    linked = df.withColumn("twin", F.col("result"))
+    assert learn.attribute_disclosure(linked, linked, "result", ["income"], ["twin"], trees=5).first().risk > 0.8
+    assert learn.utility(df, df, "result", ["income", "age"], [], True, trees=5).first().utility <= 1
+    assert learn.pca_similarity(df, df, ["income", "age"]).first().similarity == 1.0
+    assert learn.latent_sample(df, ["income", "age"], 100, 1).count() == 100
+    r = learn.select_generator(df.select("id", "age", "income", "result"), ["id"], ["age", "income"], ["result"], ("marginals", "perturb"))
+    assert r.filter("best").count() == 1
