@@ -102,3 +102,15 @@ def sanitized_filename(c: Column) -> Column:
 def decimal_places(c: Column) -> Column:
     """Digits after the point of a number written as text."""
     return F.length(F.regexp_extract(c.cast("string"), r"\.(\d+)$", 1))
+
+
+def without_sql_marks(c: Column) -> Column:
+    """Quotes, semicolons and comment marks of SQL removed."""
+    return F.regexp_replace(F.regexp_replace(c, r"--|/\*|\*/", ""), "['\";\\\\\\\\]", "")
+
+
+def html_escaped(c: Column) -> Column:
+    """The characters that HTML reads as references, the ampersand first."""
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        c = F.replace(c, F.lit(mark), F.lit(name))
+    return c

@@ -89,3 +89,15 @@ def preprocess(df: DataFrame, null_share: float = 0.5) -> DataFrame:
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     df = winsorize(df, floats) if floats else df
     return df.withColumns({c: F.trim(F.col(f"`{c}`")) for c in texts}) if texts else df
+
+
+def coerce_categories(df: DataFrame, col: str, known: list[str]) -> DataFrame:
+    """Values outside the known ones become the first of them; nulls stay."""
+    return df.withColumn(col, F.when(F.col(col).isNull() | F.col(col).isin(known), F.col(col)).otherwise(F.lit(known[0])))
+
+
+def decode_one_hot(df: DataFrame, col: str, values: list[str]) -> DataFrame:
+    """The inverse of one_hot: the value with the greatest of its columns, null where all are zero."""
+    best = F.array_max(F.array(*[F.struct(F.col(f"{col}_{v}").alias("x"), F.lit(-i).alias("i")) for i, v in enumerate(values)]))
+    label = F.get(F.array(*[F.lit(v) for v in values]), -best["i"])
+    return df.withColumn(col, F.when(best["x"] > 0, label)).drop(*[f"{col}_{v}" for v in values])

@@ -184,3 +184,19 @@ def audit(*risks: DataFrame) -> DataFrame:
         stacked = own if stacked is None else stacked.unionByName(own)
     worst = F.max("o")
     return stacked.agg(F.when(worst == 2, "high").when(worst == 1, "medium").otherwise("low").alias("risk"))
+
+
+def date_similarity(original: DataFrame, synthetic: DataFrame, col: str) -> DataFrame:
+    """One row: range of days on both sides, score = 1 - their difference over the original's, at least 0."""
+    span = lambda df, to: df.agg(F.datediff(F.max(col), F.min(col)).cast("double").alias(to))
+    one = span(original, "original_days").crossJoin(F.broadcast(span(synthetic, "synthetic_days")))
+    gap = F.abs(F.col("original_days") - F.col("synthetic_days")) / F.greatest(F.col("original_days"), F.lit(1.0))
+    return one.withColumn("score", F.greatest(F.lit(0.0), 1 - gap))
+
+
+def statistical_similarity(original: DataFrame, synthetic: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
+    """One row: mean column score, correlation similarity, and their mean."""
+    scores = numeric_similarity(original, synthetic, numeric).select("score").unionByName(categorical_similarity(original, synthetic, categorical).select("score"))
+    one = scores.agg(F.avg("score").alias("columns"))
+    joined = one.crossJoin(F.broadcast(correlation_similarity(original, synthetic, numeric).select(F.col("similarity").alias("correlation"))))
+    return joined.withColumn("similarity", (F.col("columns") + F.col("correlation")) / 2)

@@ -235,3 +235,14 @@ def age_groups(df: DataFrame, col: str, method: str = "equal_width", **options)
     """col as bands: equal_width or life_stages."""
     band = {"equal_width": numeric.age_band, "life_stages": numeric.life_stage}[method]
     return df.withColumn(col, band(number(col), **options))
+
+
+def conditional_sample(df: DataFrame, equal: dict[str, str], near: dict[str, float], n: int, *key: str) -> DataFrame:
+    """The n rows that have the categories and lie nearest to the numbers, in standard deviations."""
+    for c, v in equal.items():
+        df = df.filter(F.col(c) == v)
+    if not near:
+        return df.orderBy(*key).limit(n)
+    stats = df.agg(*[F.stddev_pop(number(c)).alias(f"{c}:s") for c in near])
+    far = sum((F.abs(number(c) - v) / F.when(F.col(f"`{c}:s`") > 0, F.col(f"`{c}:s`")).otherwise(1.0) for c, v in near.items()), F.lit(0.0))
+    return df.crossJoin(F.broadcast(stats)).withColumn("far_", far).orderBy("far_", *key).limit(n).select(*df.columns)

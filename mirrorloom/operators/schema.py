@@ -88,3 +88,34 @@ SENSITIVE = "name email phone address ssn birth age gender income salary credit
 
 def sensitive_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if any(k in c.lower() for k in SENSITIVE)]
+
+
+def column_constraints(df: DataFrame, cols: list[str], most: int = 20) -> DataFrame:
+    """column, low, high, allowed (the most frequent texts, joined by |), nullable: what a look-alike must keep to."""
+    from .profile import _wide, top_values
+
+    numbers = [c for c in cols if c in numeric_columns(df)]
+    texts = [c for c in cols if c not in numbers]
+    out = _wide(df, cols, lambda c: {"low": F.min(number(c)) if c in numbers else F.lit(None).cast("double"), "high": F.max(number(c)) if c in numbers else F.lit(None).cast("double"), "nullable": F.count_if(F.col(f"`{c}`").isNull()) > 0})
+    if not texts:
+        return out.withColumn("allowed", F.lit(None).cast("string"))
+    allowed = top_values(df, texts, most).groupBy("column").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]), "|").alias("allowed"))
+    return out.join(F.broadcast(allowed), "column", "left")
+
+
+def repair(df: DataFrame, expected: TableSchema, share: float = 0.8) -> TableSchema:
+    """The schema brought to the data: new columns added; columns of which under ``share`` parse as their kind become text."""
+    from dataclasses import replace
+
+    own = infer(df)
+    out = {}
+    for c, info in own.columns.items():
+        old = expected.columns.get(c)
+        if old is None or old.kind == info.kind:
+            out[c] = old or info
+            continue
+        x = F.col(f"`{c}`").cast("string")
+        parses = {"numeric": x.try_cast("double"), "datetime": F.try_to_timestamp(x)}.get(old.kind)
+        ratio = df.filter(x.isNotNull()).agg(F.avg(parses.isNotNull().cast("double"))).first()[0] if parses is not None else 1.0
+        out[c] = old if (ratio or 0.0) >= share else replace(old, kind=info.kind)
+    return TableSchema(own.rows, out)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, numeric, strings
-from ..operators import clean, compare, generate, learn, privacy, profile, relate, schema, validate
+from ..operators import clean, compare, distributions, generate, learn, privacy, profile, relate, schema, validate
 from ..rng import laplace, normal, uniform
 from ..session import table
 from ..sources import readers
@@ -736,6 +736,70 @@ def privacy_audit(spark, d):
     return compare.audit(compare.exact_overlap(*_sides(spark, d), _REC), compare.rare_combinations(a, b, "p_brand", "p_size"), compare.linkage(a, b, ["p_brand", "p_size"]))
 
 
+# -- further functions ------------------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders, (SELECT stddev_pop(o_totalprice) AS s FROM orders WHERE o_orderstatus = 'F') WHERE o_orderstatus = 'F' ORDER BY abs(o_totalprice - 200000) / s, o_orderkey LIMIT 25""")
+def conditional_sample(spark, d):
+    return generate.conditional_sample(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), {"o_orderstatus": "F"}, {"o_totalprice": 200000.0}, 25, "o_orderkey")
+
+
+@query("SELECT p_partkey, CASE WHEN p_type IN ('PROMO', 'STANDARD') THEN p_type ELSE 'PROMO' END AS p_type FROM part")
+def coerce_categories(spark, d):
+    return clean.coerce_categories(table(spark, d, "part").select("p_partkey", "p_type"), "p_type", ["PROMO", "STANDARD"])
+
+
+@query("SELECT p_partkey, CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN p_type END AS p_type FROM part")
+def one_hot_inverse(spark, d):
+    p = table(spark, d, "part").select("p_partkey", *[(F.col("p_type") == v).cast("int").alias(f"p_type_{v}") for v in ("ECONOMY", "PROMO")])
+    return clean.decode_one_hot(p, "p_type", ["ECONOMY", "PROMO"])
+
+
+@query("SELECT max(length(regexp_extract(p_retailprice::DECIMAL(18, 2)::VARCHAR, '\\.(\\d+)$', 1)))::INT AS places FROM part")
+def decimal_places(spark, d):
+    return table(spark, d, "part").agg(F.max(strings.decimal_places(F.col("p_retailprice").cast("decimal(18,2)"))).alias("places"))
+
+
+@query("""SELECT page_id, regexp_replace(url, '[<>:"/\\\\|?*]', '_', 'g') AS file, replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS escaped FROM pages""")
+def sanitize(spark, d):
+    return table(spark, d, "pages").select("page_id", strings.sanitized_filename(F.col("url")).alias("file"), strings.html_escaped(F.col("url")).alias("escaped"))
+
+
+@query("""SELECT 'p_size' AS "column", min(p_size)::DOUBLE AS low, max(p_size)::DOUBLE AS high, count(p_size) < count(*) AS nullable, NULL::VARCHAR AS allowed FROM part UNION ALL
+SELECT 'p_type', NULL, NULL, (SELECT count(p_type) < count(*) FROM part), (SELECT string_agg(p_type, '|' ORDER BY n DESC, p_type) FROM (SELECT p_type, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_type LIMIT 20))""")
+def column_constraints(spark, d):
+    return schema.column_constraints(table(spark, d, "part"), ["p_size", "p_type"])
+
+
+@query("""WITH s AS (SELECT date_diff('day', min(o_orderdate) FILTER (o_orderstatus = 'F'), max(o_orderdate) FILTER (o_orderstatus = 'F'))::DOUBLE AS a, date_diff('day', min(o_orderdate) FILTER (o_orderstatus = 'O'), max(o_orderdate) FILTER (o_orderstatus = 'O'))::DOUBLE AS b FROM orders)
+SELECT a AS original_days, b AS synthetic_days, round(greatest(0, 1 - abs(a - b) / greatest(a, 1)), 6) AS score FROM s""")
+def date_similarity(spark, d):
+    o = table(spark, d, "orders")
+    return rounded(compare.date_similarity(o.filter("o_orderstatus = 'F'"), o.filter("o_orderstatus = 'O'"), "o_orderdate"))
+
+
+@query(f"""WITH a AS ({SQL["numeric_similarity"]}), b AS ({SQL["js_tv_chi2"]}), c AS ({" UNION ALL ".join(f"SELECT corr({x}, {y}) FILTER (l_linestatus = 'F') - corr({x}, {y}) FILTER (l_linestatus = 'O') AS g FROM lineitem" for x, y in _PAIRS[:1])}),
+m AS (SELECT avg(score) AS s FROM (SELECT score FROM a UNION ALL SELECT score FROM b)), r AS (SELECT 1 - least(1, sqrt(2 * sum(g * g)) / 2) AS r FROM c)
+SELECT round(s, 4) AS "columns", round(r, 4) AS correlation, round((s + r) / 2, 4) AS similarity FROM m, r""")
+def statistical_similarity(spark, d):
+    return rounded(compare.statistical_similarity(*_sides(spark, d), NUM[:2], ["l_returnflag"]), 4)
+
+
+@query()
+def distribution_fit(spark, d):
+    return distributions.fit(table(spark, d, "orders"), "o_totalprice").drop("parameters")
+
+
+@query()
+def distribution_sampler(spark, d):
+    return distributions.sample(spark, distributions.fit(table(spark, d, "orders"), "o_totalprice"), 1000, 42)
+
+
+@query()
+def normal_scores(spark, d):
+    return distributions.normal_scores(table(spark, d, "supplier").select("s_suppkey", "s_acctbal"), "s_acctbal", "score")
+
+
 # -- models: no SQL; tests/test_operators.py checks their properties ---------------------------
 
 

@@ -274,3 +274,32 @@ def test_models(spark):
     assert learn.latent_sample(df, ["income", "age"], 100, 1).count() == 100
     r = learn.select_generator(df.select("id", "age", "income", "result"), ["id"], ["age", "income"], ["result"], ("marginals", "perturb"))
     assert r.filter("best").count() == 1
+
+
+def test_distributions(spark):
+    from statistics import NormalDist
+
+    from mirrorloom.operators import distributions
+    from mirrorloom.rng import uniform
+
+    base = spark.range(4000)
+    bell = base.select((50 + 9 * normal(1, "x", F.col("id"))).alias("v"))
+    flat = base.select(uniform(2, "x", F.col("id")).alias("v"))
+    decay = base.select((-F.log(1 - uniform(3, "x", F.col("id")))).alias("v"))
+    best = lambda df: distributions.fit(df, "v").filter("best").first().family
+    assert best(bell) in ("normal", "beta", "weibull") and best(flat) in ("uniform", "beta") and best(decay) in ("exponential", "gamma", "weibull", "beta")
+    out = distributions.sample(spark, distributions.fit(bell, "v"), 3000, 5)
+    assert out.count() == 3000 and abs(out.agg(F.avg("value")).first()[0] - 50) < 1.5
+    assert distributions.fit(bell.limit(3), "v").count() == 0
+    ps = [0.0005, 0.02, 0.3, 0.5, 0.77, 0.999]
+    got = [r[0] for r in spark.createDataFrame([(p,) for p in ps], "p double").select(distributions.normal_quantile(F.col("p"))).collect()]
+    assert all(abs(g - NormalDist().inv_cdf(p)) < 1e-3 for g, p in zip(got, ps))
+    z = distributions.normal_scores(people(spark), "income", "z").agg(F.avg("z"), F.stddev("z")).first()
+    assert abs(z[0]) < 0.01 and abs(z[1] - 1) < 0.05
+
+
+def test_schema_repair(spark):
+    old = schema.infer(people(spark))
+    changed = people(spark).withColumn("age", F.lit("old")).withColumn("zip", F.lit("x"))
+    new = schema.repair(changed, old)
+    assert new.columns["age"].kind == "categorical" and "zip" in new.columns and new.columns["income"] == old.columns["income"]
