@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -23,7 +24,9 @@ def ship(spark: SparkSession) -> None:
         return
     _SHIPPED.add(context.applicationId)
     root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="mirrorloom-")) / f"{root.name}.zip"
+    folder = tempfile.mkdtemp(prefix="mirrorloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / f"{root.name}.zip"
     with zipfile.ZipFile(target, "w") as archive:
         for path in sorted(root.rglob("*.py")):
             archive.write(path, path.relative_to(root.parent))
@@ -44,6 +47,7 @@ def work_folder(spark: SparkSession) -> str:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = tempfile.mkdtemp(prefix="mirrorloom-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
         _ROOTS[app] = f"{base.rstrip('/')}/mirrorloom-{app}"
         atexit.register(_clear, spark, _ROOTS[app])
     return _ROOTS[app]

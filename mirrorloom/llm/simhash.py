@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
-    parts = [b" ".join(words)] if len(words) <= width else map(b" ".join, zip(*(words[i:] for i in range(width))))
+    parts = [b" ".join(words)] if len(words) <= width else map(b" ".join, zip(*(islice(words, i, None) for i in range(width))))
     digest = xxhash.xxh64_intdigest
     total, over = 0, np.zeros(64, np.int64)
     block: list[int] = []

@@ -114,7 +114,7 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, text_col: str = "text", t
 
             def flush() -> None:
                 for (i, _), e in zip(held, tokenizer.encode_batch_fast([t for _, t in held], add_special_tokens=False)):
-                    counts[i] = len(e.ids)
+                    counts[i] = len(e)
                 held.clear()
 
             for i, t in enumerate(texts):

@@ -55,6 +55,7 @@ class Lexicon:
         # One edit leaves the first two or the last two letters as they are; a swap of the middle ones too.
         self.heads, self.tails = {w[:2] for w in fuzzy}, {w[-2:] for w in fuzzy}
         self.lengths = sorted({len(s) for s in stems})
+        self.longest = max((len(w) for w in fuzzy), default=0)
 
     def near(self, word: str) -> list[str]:
         """Terms at one edit exactly. A state of the automaton is a row of edit distances, one for each trie node."""
@@ -85,7 +86,7 @@ class Lexicon:
         for n in self.lengths:
             if len(word) > n and word[:n] in self.stems:
                 return word[:n], "stem"
-        if len(word) >= 5 and (word[:2] in self.heads or word[-2:] in self.tails) and (near := self.near(word)):
+        if 5 <= len(word) <= self.longest + 1 and (word[:2] in self.heads or word[-2:] in self.tails) and (near := self.near(word)):
             return near[0], "near"
         return None
 
