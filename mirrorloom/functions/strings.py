@@ -66,6 +66,7 @@ def random_address(seed: int, *key: Column) -> Column:
     return F.concat(number, F.lit(" "), choice(STREETS, seed, "street", *key), F.lit(" St, "), choice(CITIES, seed, "city", *key), F.lit(", "), choice(STATES, seed, "state", *key), F.lit(" "), integer(10000, 99999, seed, "zip", *key).cast("string"))
 
 
+# The patterns of the parts of an address.
 HOUSE, ZIP, STATE = r"^(\d+)", r"\b(\d{5})(?:-\d{4})?\b", r"\b([A-Z]{2})\b"
 STREET = r"^\d*\s*([A-Za-z][A-Za-z ]*?(?:Street|St|Avenue|Ave|Road|Rd|Drive|Dr|Lane|Ln|Boulevard|Blvd))\b"
 

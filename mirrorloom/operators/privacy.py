@@ -11,6 +11,7 @@ from ..functions.numeric import generalize
 from ..rng import laplace
 from .profile import column_basics, histogram, number, numeric_columns
 
+# The levels of anonymisation.
 PRESETS = {"minimal": {"k": 3, "epsilon": 2.0}, "balanced": {"k": 5, "l": 2, "epsilon": 1.0}, "high": {"k": 10, "l": 3, "epsilon": 0.5}}
 
 

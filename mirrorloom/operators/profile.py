@@ -130,6 +130,7 @@ def datetime_profile(df: DataFrame, cols: list[str]) -> DataFrame:
     return out.join(F.broadcast(mode("y")), "column", "left").join(F.broadcast(mode("m")), "column", "left")
 
 
+# The patterns of contacts, dates and numbers.
 EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
 PHONE = r"^[\d\-\(\)\+\s]{10,}"
 URL = r"^https?://"
@@ -158,6 +159,7 @@ def shapes(df: DataFrame, cols: list[str], n: int = 5) -> DataFrame:
     return top_values(df.select(*[shape(F.col(f"`{c}`").cast("string")).alias(c) for c in cols]), cols, n)
 
 
+# The patterns of text columns.
 TAGS = {
     "numeric_string": r"^\d+$",
     "code_pattern": r"^[A-Z]{2,}\d+$",

@@ -83,6 +83,7 @@ def schema_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column string, kind string, subtype string, nullable boolean, unique boolean, distinct long")
 
 
+# Parts of names that mark personal data.
 SENSITIVE = "name email phone address ssn birth age gender income salary credit password account".split()
 
 
