@@ -15,6 +15,7 @@ from ..operators import clean, compare, distributions, generate, learn, privacy,
 from ..rng import laplace, normal, uniform
 from ..session import table
 from ..sources import readers
+from ..streaming import profile_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -217,6 +218,19 @@ def schema_inference(spark, d):
     return schema.schema_table(table(spark, d, "supplier")).drop("distinct")
 
 
+@query("""SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2""")
+def windowed_usage(spark, d):
+    w = profile_stream.windowed_usage(table(spark, d, "events"))  # the same plan on a stream
+    return rounded(w.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")))
+
+
+@query("""WITH w AS (SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') - to_hours(k) AS window_start FROM events, unnest(range(24)) r(k))
+SELECT window_start, user_id, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(*) > 5""")
+def rate_limit(spark, d):
+    w = profile_stream.over_limit(table(spark, d, "events"), "user_id", 5, "24 hours", "1 hour")
+    return w.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 # -- relationships ----------------------------------------------------------------------------
 
 _PAIRS = [(a, b) for i, a in enumerate(NUM) for b in NUM[i + 1 :]]
