@@ -82,18 +82,18 @@ def categorical_similarity(original: DataFrame, synthetic: DataFrame, cols: list
     return j.groupBy("column").agg(js.alias("js"), (0.5 * F.sum(F.abs(F.col("p") - F.col("q")))).alias("tv"), chi2.alias("chi2"), (1 - js).alias("score"))
 
 
-def ks_wasserstein(original: DataFrame, synthetic: DataFrame, col: str) -> DataFrame:
-    """column, ks (greatest distance of the distribution functions), wasserstein. Only distinct values are sorted, by ranges."""
+def ks_wasserstein(original: DataFrame, synthetic: DataFrame, col: str, ranges: int = 64) -> DataFrame:
+    """column, ks (greatest distance of the distribution functions), wasserstein. Only distinct values are sorted, in so many ranges."""
     x = number(col)
     side = lambda df, a, b: df.select(x.alias("x")).dropna().groupBy("x").agg(F.count("*").alias("n")).select("x", (F.col("n") * a).alias("na"), (F.col("n") * b).alias("nb"))
     counts = side(original, 1, 0).unionByName(side(synthetic, 0, 1)).groupBy("x").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
     total = counts.agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
-    both = _running(counts, "x", "na").withColumnRenamed("before_", "ba")
-    both = _running(both, "x", "nb").withColumnRenamed("before_", "bb").crossJoin(F.broadcast(total))
+    both = _running(counts, "x", "na", ranges).withColumnRenamed("before_", "ba")
+    both = _running(both, "x", "nb", ranges).withColumnRenamed("before_", "bb").crossJoin(F.broadcast(total))
     gap = both.select("x", F.abs((F.col("ba") + F.col("na")) / F.col("ta") - (F.col("bb") + F.col("nb")) / F.col("tb")).alias("g"))
     # The next value: sorted over ranges, and the first value of the next range for the last of each.
     step = F.lead("x").over(Window.partitionBy("range_").orderBy("x"))
-    edges = gap.agg(F.percentile_approx("x", [i / 64 for i in range(1, 64)], 10_000).alias("e"))
+    edges = gap.agg(F.percentile_approx("x", [i / ranges for i in range(1, ranges)], 10_000).alias("e"))
     ranged = gap.crossJoin(F.broadcast(edges)).withColumn("range_", F.size(F.filter("e", lambda e: e < F.col("x")))).drop("e")
     firsts = ranged.groupBy("range_").agg(F.min("x").alias("first_"))
     after = firsts.select("range_", F.lead("first_").over(Window.orderBy("range_")).alias("after_"))  # one row a range

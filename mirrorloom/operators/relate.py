@@ -30,11 +30,11 @@ def correlation_report(df: DataFrame, cols: list[str], least: float = 0.7) -> Da
         F.max(r).alias("max_abs"), F.avg(r).alias("mean_abs"))
 
 
-def average_ranks(df: DataFrame, col: str, to: str) -> DataFrame:
-    """df with the average rank of col's values. Ranks come from the counts of distinct values, so only those are sorted."""
+def average_ranks(df: DataFrame, col: str, to: str, ranges: int = 64) -> DataFrame:
+    """df with the average rank of col's values. Ranks come from the counts of distinct values, so only those are sorted, in so many ranges."""
     x = number(col)
     counts = df.filter(x.isNotNull()).groupBy(x.alias("v_")).agg(F.count("*").alias("n_"))
-    ranked = _running(counts, "v_", "n_").select("v_", (F.col("before_") + (F.col("n_") + 1) / 2).alias(to))
+    ranked = _running(counts, "v_", "n_", ranges).select("v_", (F.col("before_") + (F.col("n_") + 1) / 2).alias(to))
     return df.join(ranked, x == F.col("v_"), "left").drop("v_")
 
 
@@ -48,10 +48,10 @@ def _running(counts: DataFrame, value: str, n: str, ranges: int = 64) -> DataFra
     return bucketed.withColumn("inside_", inside).join(F.broadcast(starts), "range_").withColumn("before_", F.col("start_") + F.col("inside_")).drop("range_", "start_", "inside_")
 
 
-def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """a, b, rho: Pearson's correlation of average ranks, over rows that have both values."""
+def spearman(df: DataFrame, a: str, b: str, ranges: int = 64) -> DataFrame:
+    """a, b, r: Pearson's correlation of average ranks, over rows that have both values."""
     both = df.select(number(a).alias("x_"), number(b).alias("y_")).dropna()
-    ranked = average_ranks(average_ranks(both, "x_", "rx_"), "y_", "ry_")
+    ranked = average_ranks(average_ranks(both, "x_", "rx_", ranges), "y_", "ry_", ranges)
     return ranked.agg(F.corr("rx_", "ry_").alias("r")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "r")
 
 
