@@ -238,7 +238,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pd.DataFrame({"lines": [[x[1] for x in f] for f in some], "places": [[x[0] for x in f] for f in some], "kept": [[x[2] == KEEP for x in f] for f in some], "n_lines": [len(f) for f in found]})
 
     parsed = pages.select(page_key(id_col, url_col, html_col).alias("rid"), F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), parse(F.col(html_col).cast("string")).alias("p"))
-    joined = parsed.join(masks, "rid", "left").select("page_id", "url", "p.*", "shared")
+    # The masks have a row for each page, so they are never broadcast, at any size.
+    joined = parsed.join(masks.hint("merge"), "rid", "left").select("page_id", "url", "p.*", "shared")
     stays = F.filter("lines", lambda line, i: F.get("kept", i) | ~F.coalesce(F.get("shared", F.get("places", i)), F.lit(False)))
     n_shared = F.when(F.col("shared").isNull(), 0).otherwise(F.size(F.filter("shared", lambda s: s))).cast("long")
     out = joined.select("page_id", "url", F.array_join(stays, "\n\n").alias("text"), "n_lines", n_shared.alias("n_shared"))
