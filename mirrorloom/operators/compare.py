@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .profile import number, unpivot
-from .relate import _running, pearson
+from .relate import pearson, running
 
 
 def _text(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -88,18 +88,10 @@ def ks_wasserstein(original: DataFrame, synthetic: DataFrame, col: str, ranges:
     side = lambda df, a, b: df.select(x.alias("x")).dropna().groupBy("x").agg(F.count("*").alias("n")).select("x", (F.col("n") * a).alias("na"), (F.col("n") * b).alias("nb"))
     counts = side(original, 1, 0).unionByName(side(synthetic, 0, 1)).groupBy("x").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
     total = counts.agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
-    both = _running(counts, "x", "na", ranges).withColumnRenamed("before_", "ba")
-    both = _running(both, "x", "nb", ranges).withColumnRenamed("before_", "bb").crossJoin(F.broadcast(total))
-    gap = both.select("x", F.abs((F.col("ba") + F.col("na")) / F.col("ta") - (F.col("bb") + F.col("nb")) / F.col("tb")).alias("g"))
-    # The next value: sorted over ranges, and the first value of the next range for the last of each.
-    step = F.lead("x").over(Window.partitionBy("range_").orderBy("x"))
-    edges = gap.agg(F.percentile_approx("x", [i / ranges for i in range(1, ranges)], 10_000).alias("e"))
-    ranged = gap.crossJoin(F.broadcast(edges)).withColumn("range_", F.size(F.filter("e", lambda e: e < F.col("x")))).drop("e")
-    firsts = ranged.groupBy("range_").agg(F.min("x").alias("first_"))
-    after = firsts.select("range_", F.lead("first_").over(Window.orderBy("range_")).alias("after_"))  # one row a range
-    whole = ranged.withColumn("next_", step).join(F.broadcast(after), "range_")
-    width = F.coalesce("next_", "after_") - F.col("x")
-    return whole.agg(F.max("g").alias("ks"), F.sum(F.col("g") * F.coalesce(width, F.lit(0.0))).alias("wasserstein")).select(F.lit(col).alias("column"), "ks", "wasserstein")
+    both = running(counts, "x", ["na", "nb"], ranges).crossJoin(F.broadcast(total))
+    gap = F.abs((F.col("before_na") + F.col("na")) / F.col("ta") - (F.col("before_nb") + F.col("nb")) / F.col("tb"))
+    width = F.coalesce(F.col("next_") - F.col("x"), F.lit(0.0))
+    return both.agg(F.max(gap).alias("ks"), F.sum(gap * width).alias("wasserstein")).select(F.lit(col).alias("column"), "ks", "wasserstein")
 
 
 def numeric_similarity(original: DataFrame, synthetic: DataFrame, cols: list[str]) -> DataFrame:

@@ -42,11 +42,11 @@ def marginals(df: DataFrame, n: int, seed: int, numeric_cols: list[str], categor
 
 def _draw_by_position(out: DataFrame, counts: DataFrame, c: str, seed: int) -> DataFrame:
     """A category by the position of a uniform number among all rows: positions are dealt to buckets that both sides join on."""
-    from .relate import _running
+    from .relate import running
 
     total = counts.agg(F.max("total")).first()[0]
     width = max(1, total // 1_000_000)
-    spans = _running(counts.withColumn("h_", F.xxhash64("value")), "h_", "n").select("value", "before_", (F.col("before_") + F.col("n")).alias("end_"))
+    spans = running(counts.withColumn("h_", F.xxhash64("value")), "h_", ["n"]).select("value", F.col("before_n").alias("before_"), (F.col("before_n") + F.col("n")).alias("end_"))
     spans = spans.withColumn("bucket_", F.explode(F.sequence(F.floor(F.col("before_") / width), F.floor((F.col("end_") - 1) / width))))
     at = F.floor(uniform(seed, f"marginal-{c}", F.col("row_id")) * total)
     drawn = out.withColumn("at_", at).withColumn("bucket_", F.floor(F.col("at_") / width))

@@ -34,18 +34,25 @@ def average_ranks(df: DataFrame, col: str, to: str, ranges: int = 64) -> DataFra
     """df with the average rank of col's values. Ranks come from the counts of distinct values, so only those are sorted, in so many ranges."""
     x = number(col)
     counts = df.filter(x.isNotNull()).groupBy(x.alias("v_")).agg(F.count("*").alias("n_"))
-    ranked = _running(counts, "v_", "n_", ranges).select("v_", (F.col("before_") + (F.col("n_") + 1) / 2).alias(to))
+    ranked = running(counts, "v_", ["n_"], ranges).select("v_", (F.col("before_n_") + (F.col("n_") + 1) / 2).alias(to))
     return df.join(ranked, x == F.col("v_"), "left").drop("v_")
 
 
-def _running(counts: DataFrame, value: str, n: str, ranges: int = 64) -> DataFrame:
-    """counts with before_: the sum of n over smaller values. Sums of ranges first, so no task sees all values."""
-    edges = counts.select(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10_000).alias("e"))
-    bucketed = counts.crossJoin(F.broadcast(edges)).withColumn("range_", F.size(F.filter("e", lambda e: e < F.col(value)))).drop("e")
-    sums = bucketed.groupBy("range_").agg(F.sum(n).alias("s_"))
-    starts = sums.select("range_", F.coalesce(F.sum("s_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start_"))  # one row a range
-    inside = F.coalesce(F.sum(n).over(Window.partitionBy("range_").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return bucketed.withColumn("inside_", inside).join(F.broadcast(starts), "range_").withColumn("before_", F.col("start_") + F.col("inside_")).drop("range_", "start_", "inside_")
+def running(counts: DataFrame, value: str, sums: list[str], ranges: int = 64) -> DataFrame:
+    """counts (a row for each value) with before_<c>, the sum of each column c over smaller values, and next_, the next value.
+
+    Sums of ranges come first, so no task sees all values: one pass inside the ranges, and a table of one row a range.
+    """
+    edges = counts.select(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10_000).alias("e_"))
+    bucketed = counts.crossJoin(F.broadcast(edges)).withColumn("range_", F.size(F.filter("e_", lambda e: e < F.col(value)))).drop("e_")
+    of_range = bucketed.groupBy("range_").agg(F.min(value).alias("first_"), *[F.sum(c).alias(f"sum_{c}") for c in sums])
+    by_range = Window.orderBy("range_")  # one row a range
+    before = by_range.rowsBetween(Window.unboundedPreceding, -1)
+    starts = of_range.select("range_", F.lead("first_").over(by_range).alias("after_"), *[F.coalesce(F.sum(f"sum_{c}").over(before), F.lit(0)).alias(f"start_{c}") for c in sums])
+    inside = Window.partitionBy("range_").orderBy(value)
+    own = bucketed.withColumns({f"inside_{c}": F.coalesce(F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for c in sums} | {"lead_": F.lead(value).over(inside)})
+    joined = own.join(F.broadcast(starts), "range_")
+    return joined.select(*counts.columns, *[(F.col(f"start_{c}") + F.col(f"inside_{c}")).alias(f"before_{c}") for c in sums], F.coalesce("lead_", "after_").alias("next_"))
 
 
 def spearman(df: DataFrame, a: str, b: str, ranges: int = 64) -> DataFrame:
