@@ -9,6 +9,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +20,12 @@ from .common import fold, fresh, materialize, ship
 TRAIN_ROWS = 20_000
 #: Most terms of a lexicon.
 MAX_TERMS = 5_000
+#: Min-hashes of a training text.
+SIGNATURES = 8
 STEM_LENGTHS = (3, 4, 5, 6, 7, 8)
 WINDOW = 5
+#: Words of a stem are dense where two different ones at least occur, and one in so many words of the text.
+DENSE = 200
 #: Known words of a worker; the memory is emptied when it has grown to this.
 MEMORY_WORDS = 500_000
 
@@ -35,16 +40,25 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def dense_stems(uses: Counter, total: int) -> set[str]:
+    """The stems of which different words cluster in a text of ``total`` words; uses: how often each (stem, word) occurs."""
+    different, n = Counter(stem for stem, _ in uses), Counter()
+    for (stem, _), k in uses.items():
+        if different[stem] > 1:
+            n[stem] += k
+    return {stem for stem, k in n.items() if k * DENSE >= total}
+
+
 class Lexicon:
     """Terms in a trie. ``find`` intersects it with the automaton of all words one edit from a word.
 
     A term is a whole word or a stem (the beginning of words). Words of five letters or more
     match terms of five or more at one insertion, deletion, substitution or swap of neighbours;
-    shorter words and stems match as they are.
+    shorter words and stems match as they are. A dense stem counts where its words cluster only.
     """
 
-    def __init__(self, words: list[str], stems: list[str]):
-        self.words, self.stems = set(words), set(stems)
+    def __init__(self, words: list[str], stems: list[str], dense: list[str] = ()):
+        self.words, self.stems = set(words), dict.fromkeys(stems, "stem") | dict.fromkeys(dense, "dense")
         self.root: dict = {}
         for w in words:
             node = self.root
@@ -54,7 +68,7 @@ class Lexicon:
         fuzzy = [w for w in words if len(w) >= 5]
         # One edit leaves the first two or the last two letters as they are; a swap of the middle ones too.
         self.heads, self.tails = {w[:2] for w in fuzzy}, {w[-2:] for w in fuzzy}
-        self.lengths = sorted({len(s) for s in stems})
+        self.lengths = sorted({len(s) for s in self.stems})
         self.longest = max((len(w) for w in fuzzy), default=0)
 
     def near(self, word: str) -> list[str]:
@@ -80,12 +94,12 @@ class Lexicon:
         return sorted(found)
 
     def find(self, word: str) -> tuple[str, str] | None:
-        """(term, kind) of a word: kind is word, stem or near; of several near terms the first counts."""
+        """(term, kind) of a word: kind is word, stem, dense or near; of several near terms the first counts."""
         if word in self.words:
             return word, "word"
         for n in self.lengths:
             if len(word) > n and word[:n] in self.stems:
-                return word[:n], "stem"
+                return word[:n], self.stems[word[:n]]
         if 5 <= len(word) <= self.longest + 1 and (word[:2] in self.heads or word[-2:] in self.tails) and (near := self.near(word)):
             return near[0], "near"
         return None
@@ -100,7 +114,7 @@ class Model:
     context: dict[str, float] = field(default_factory=lambda: {"quoted": 0.2, "plain": 1.0, "addressed": 1.2})
 
     def lexicon(self) -> Lexicon:
-        return Lexicon(sorted({t for t, k in self.weights if k == "word"}), sorted({t for t, k in self.weights if k == "stem"}))
+        return Lexicon(*(sorted({t for t, k in self.weights if k == kind}) for kind in ("word", "stem", "dense")))
 
 
 class Matcher:
@@ -128,9 +142,10 @@ class Matcher:
             return []
         spans = [m.span() for m in _WORD.finditer(text)]
         words = [text[a:b] for a, b in spans]
+        dense = dense_stems(Counter((self.hits[w][0], w) for w in words if w in bad and self.hits[w][1] == "dense"), len(words))
         out = []
         for i, w in enumerate(words):
-            if w not in bad:
+            if w not in bad or self.hits[w][1] == "dense" and self.hits[w][0] not in dense:
                 continue
             lo, hi = max(0, i - WINDOW), min(len(words), i + WINDOW + 1)
             around = set(words[lo:i] + words[i + 1 : hi])
@@ -156,20 +171,33 @@ def score_hits(hits: list[tuple[str, str, str]], model: Model) -> float:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int) -> DataFrame:
-    """label and text of the training rows: labelled, outside the held-out fold, ``rows`` by hash."""
+    """identifier, label and text of the training rows: labelled, outside the held-out fold, ``rows`` by hash."""
     known = labels.select(F.col("doc_id").alias("i"), F.col("toxic").cast("int").alias("y")).filter("i is not null and y in (0, 1)").filter(fold(F.col("i")) != 0)
     known = known.groupBy("i").agg(F.max("y").alias("y"))
     n = known.count()
     if n > rows:  # the share, not the number, is fixed: the bound holds up to the spread of the hash
         known = known.filter(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < int(1_000_000 * rows / n))
-    return docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(known), "i").select("y", "t")
+    return docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(known), "i").select("i", "y", "t")
 
 
-def _signatures(text: str | None) -> tuple[int, int]:
-    """Two min-hashes of the text's four-word shingles; near copies nearly always share one."""
+def _signatures(text: str | None) -> list[int]:
+    """Min-hashes of the text's four-word shingles; copies that share half of their shingles nearly always agree in two of them."""
     words = words_of(text)
-    parts = [" ".join(words[i : i + 4]).encode() for i in range(max(1, len(words) - 3))]
-    return min(map(zlib.crc32, parts)), min(zlib.crc32(p, 1) for p in parts)
+    parts = [" ".join(words[i : i + 4]).encode("utf-8", "surrogatepass") for i in range(max(1, len(words) - 3))]
+    hashes = np.fromiter(map(zlib.crc32, parts), np.uint32, len(parts))
+    return [int((hashes * np.uint32(0x9E3779B1 + 2 * k) + np.uint32(k) ^ hashes >> 15).min()) for k in range(SIGNATURES)]
+
+
+def _distinct(train: DataFrame) -> DataFrame:
+    """y and t of the training rows, near copies counted once: the row with the smallest identifier stays.
+
+    A row goes if it agrees with one smaller row in two signatures at least. Each signature only meets
+    the smallest identifier that has it, so a group of copies of any size makes no pairs.
+    """
+    signs = train.select("i", F.posexplode("s").alias("k", "s"))
+    least = signs.groupBy("k", "s").agg(F.min("i").alias("least"))
+    gone = signs.join(least, ["k", "s"]).filter("least < i").groupBy("i", "least").count().filter("count >= 2").select("i").distinct()
+    return train.join(gone, "i", "left_anti").dropDuplicates(["i", "t"]).select("y", "t")
 
 
 def _choose(candidates: list, most: int = MAX_TERMS) -> dict[tuple[str, str], object]:
@@ -179,11 +207,11 @@ def _choose(candidates: list, most: int = MAX_TERMS) -> dict[tuple[str, str], ob
     begins: set[str] = set()
     for r in sorted(candidates, key=lambda r: (-r.evidence, r.kind != "word", -len(r.term), r.term)):
         covered = any(r.term[:n] in stems for n in STEM_LENGTHS if n <= len(r.term))
-        if covered or r.kind == "stem" and r.term in begins or len(chosen) == most:
+        if covered or r.kind != "word" and r.term in begins or len(chosen) == most:
             continue
         chosen[r.term, r.kind] = r
         begins.update(r.term[:n] for n in STEM_LENGTHS if n <= len(r.term))
-        if r.kind == "stem":
+        if r.kind != "word":
             stems.add(r.term)
     return chosen
 
@@ -191,19 +219,20 @@ def _choose(candidates: list, most: int = MAX_TERMS) -> dict[tuple[str, str], ob
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Model:
     """Learn terms, weights and the worth of contexts from labelled rows outside the held-out fold.
 
-    Terms and weights come from document counts by label, near copies counted once. A term is
+    Terms and weights come from document counts by label, near copies counted once. A term is a word, a
+    stem, or a stem of which several words cluster (a lone one may begin alike by chance). It is
     taken if its likelihood ratio against the share of toxic rows is beyond what the best of all
     terms would show by chance; its weight is its log odds. Labels that are neither 0 nor 1 are left
     out; of contrary labels 1 counts. Without labelled rows there are no terms and all scores are low.
     """
     ship(docs.sparkSession)
 
-    @F.pandas_udf("a long, b long")
-    def signed(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_signatures(t) for t in texts], columns=["a", "b"])
+    @F.pandas_udf("array<long>")
+    def signed(texts: pd.Series) -> pd.Series:
+        return pd.Series([_signatures(t) for t in texts])
 
     train = materialize(_sample(docs, labels, id_col, text_col, rows).withColumn("s", signed("t")), "train")
-    train = materialize(train.dropDuplicates(["s"]).select("y", "t", F.col("s.a").alias("a"), F.col("s.b").alias("b")).dropDuplicates(["a"]).dropDuplicates(["b"]).select("y", "t"), "distinct")
+    train = materialize(_distinct(train), "distinct")
     size = {r.y: r.n for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
     model = Model(prior=min(-1.0, math.log((toxic + 1) / (clean + 1))))
@@ -214,10 +243,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             count: Counter = Counter()
             for y, text in zip(batch["y"], batch["t"]):
-                words = set(words_of(text))
+                words = Counter(words_of(text))
                 count.update((w, "word", y) for w in words if len(w) > 2)
                 for n in STEM_LENGTHS:
-                    count.update((s, "stem", y) for s in {w[:n] for w in words if len(w) > n})
+                    uses = Counter({(w[:n], w): k for w, k in words.items() if len(w) > n})
+                    count.update((s, "stem", y) for s in {s for s, _ in uses})
+                    count.update((s, "dense", y) for s in dense_stems(uses, words.total()))
             yield pd.DataFrame([(*k, n) for k, n in count.items()], columns=["term", "kind", "y", "n"])
 
     share = toxic / (toxic + clean)

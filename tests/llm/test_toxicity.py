@@ -66,3 +66,25 @@ def test_odd_tables(spark):
     assert kept.columns == df.columns and kept.filter("text is null").count() == 2
     assert toxicity.score(none(spark), model).count() == 0
     assert toxicity.fit(df, labels.limit(0)).weights == {} and toxicity.fit(none(spark), labels).weights == {}
+
+
+def test_dense_stems():
+    from collections import Counter
+
+    two = Counter({("abc", "abcd"): 1, ("abc", "abce"): 1, ("xyz", "xyzd"): 9})
+    assert toxicity.dense_stems(two, 2 * toxicity.DENSE) == {"abc"}
+    assert toxicity.dense_stems(two, 2 * toxicity.DENSE + 1) == set()
+    assert toxicity.dense_stems(Counter(), 0) == set()
+    matcher = toxicity.Matcher(toxicity.Lexicon([], ["uvw"], ["abc"]))
+    assert matcher.occurrences("so abcd is") == []
+    assert matcher.occurrences("so abcd abcd is") == []
+    assert matcher.occurrences("so abcd abce uvwx") == [("abc", "dense", "plain"), ("abc", "dense", "plain"), ("uvw", "stem", "plain")]
+
+
+def test_near_copies_count_once(spark):
+    words = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, 1, words), (2, 1, words + " more"), (3, 0, "others " * 9), (4, 0, ""), (5, 0, words.replace("word40", "new")), (6, 1, " ".join(f"own{i}" for i in range(80)))]
+    train = spark.createDataFrame([(*r, toxicity._signatures(r[2])) for r in rows], "i int, y int, t string, s array<long>")
+    kept = {(r.y, r.t) for r in toxicity._distinct(train).collect()}
+    assert kept == {(r[1], r[2]) for r in rows if r[0] in (1, 3, 4, 6)}
+    assert toxicity._distinct(train.limit(0)).count() == 0
