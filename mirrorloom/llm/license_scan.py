@@ -30,9 +30,9 @@ TEMPLATES = [
 # Words too common to be looked up.
 COMMON = "the of and to in is a this that for with by any are it or as on use under 0 2 3 4 v free form copy person terms".split()
 
-#: Rare words that are looked up for each document.
+#: Rare words of a document that the SQL of the query looks up; the scan looks up all. Both give the same rows where no document has more.
 LOOKED_UP = 8
-#: A notice is a candidate where so many of its looked-up words agree on its place.
+#: A notice is a candidate where so many of its words agree on its place.
 AGREEING = 2
 
 
@@ -74,11 +74,10 @@ def _verified(words: Column, label: Column, start: Column, templates: list[tuple
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str, list[str]]] = TEMPLATES, phrases: list[tuple[str, str]] = PHRASES) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    Base: the places where a phrase's words stand one after another. The method: a document's
-    licence words are ranked by their inverse document frequency over all documents, the places of the
-    rarest LOOKED_UP are met with the index, and a notice is found where at least AGREEING of its
+    Base: the places where a phrase's words stand one after another. The method: the places of all
+    licence words of a document are met with the index, and a notice is found where at least AGREEING of its
     words agree on the place where it begins and all its key phrases are verified there. score: the
-    share of the looked-up words of the best notice found that agree; 0.5 where only base phrases
+    share of the document's words of the best notice found that agree; 0.5 where only base phrases
     are found; else 0. Null and empty texts have no words. Repeated rows each give a row.
     """
     spark = docs.sparkSession
@@ -92,17 +91,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     whole = F.when(F.size("rare") > 0, F.col("words"))
     scanned = materialize(split.select("rid", "doc_id", "n_words", *[f"p{k}" for k in range(len(phrases))], "rare", whole.alias("words")), "scanned")
 
-    # Inverse document frequency of the licence words, over all documents.
-    total = scanned.count()
+    # Every licence word of a document is looked up; there are at most as many as the notices have words.
     found = scanned.select("rid", F.explode("rare").alias("r")).select("rid", F.col("r.word").alias("word"), F.col("r.at").alias("at"))
-    frequency = found.groupBy("word").agg(F.count_distinct("rid").alias("df"))
-    idf = materialize(frequency.select("word", F.log((F.lit(total) + 1.0) / (F.col("df") + 1.0)).alias("idf")), "idf")
-    ranks = {r.word: k for k, r in enumerate(idf.orderBy(F.desc("idf"), "word").collect())}  # as many as the notices have words
-    rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv]), F.col("word")), F.lit(len(ranks))) if ranks else F.lit(0)
-    ranked = found.groupBy("rid", "word").agg(rank.alias("rank") if not ranks else F.first(rank).alias("rank"))
-    chosen = ranked.groupBy("rid").agg(F.slice(F.sort_array(F.collect_list(F.struct("rank", "word"))), 1, LOOKED_UP).alias("c"))
-    chosen = chosen.select("rid", F.explode("c.word").alias("word"))
-    placed = found.join(chosen, ["rid", "word"]).join(F.broadcast(index), "word")
+    placed = found.join(F.broadcast(index), "word")
     votes = placed.groupBy("rid", "label", (F.col("at") - F.col("place")).alias("start")).agg(F.count_distinct("word").alias("votes"))
     looked = placed.groupBy("rid", "label").agg(F.count_distinct("word").alias("looked"))
     candidates = votes.filter(F.col("votes") >= AGREEING).join(looked, ["rid", "label"]).join(scanned.select("rid", "words"), "rid")

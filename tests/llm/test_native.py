@@ -43,6 +43,16 @@ def test_licences(spark):
     assert out.count() == df.count() and license_scan.scan(none(spark)).count() == 0
 
 
+def test_licences_of_a_file_with_several_notices(spark):
+    whole = {label: text for label, text, _ in license_scan.TEMPLATES}
+    mixed = ["apache-2.0", "gpl-3.0", "mit-notice", "cc-by-nc-4.0"]
+    texts = [whole["mit-notice"] + ". " + whole["mit-text"], ". ".join(whole.values()), ". ".join(whole[k] for k in mixed), whole["mit-notice"]]
+    rows = [(i, x) for i, x in enumerate(texts)] + [(100 + i, whole["mit-notice"]) for i in range(30)]
+    got = {r.doc_id: r.labels.split(",") for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == ["mit", "mit-notice", "mit-text"] and got[3] == ["mit", "mit-notice"]
+    assert got[1] == sorted([*whole, "apache", "gpl", "mit"]) and got[2] == sorted([*mixed, "apache", "gpl", "mit"])
+
+
 def test_mixing_follows_the_weights(spark):
     rows = [(i, "x", "hot" if i % 3 else f"s{i % 7}") for i in range(6000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
