@@ -15,11 +15,11 @@ def _slots(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(1, n + 1).withColumnRenamed("id", "row_id")
 
 
-def marginals(df: DataFrame, n: int, seed: int, numeric_cols: list[str], categorical: list[str]) -> DataFrame:
+def marginals(df: DataFrame, n: int, seed: int, numeric_cols: list[str], categorical: list[str], most: int = 100_000) -> DataFrame:
     """row_id and n independent rows: numbers normal with the column's mean and deviation, categories by their shares.
 
     A category is drawn by a uniform number in the cumulative shares of one array for each column;
-    a column of more than 100 000 values is met by an equi-join on its sorted position instead.
+    a column of more than ``most`` values is met by an equi-join on its sorted position instead. Both draw the same values.
     """
     stats = df.agg(*[F.coalesce(f(number(c)), F.lit(0.0)).alias(f"{c}:{k}") for c in numeric_cols for k, f in (("m", F.avg), ("s", F.stddev_samp))] or [F.count("*").alias(":n")])
     out = _slots(df.sparkSession, n).crossJoin(F.broadcast(stats))
@@ -30,9 +30,10 @@ def marginals(df: DataFrame, n: int, seed: int, numeric_cols: list[str], categor
     out = out.drop(*stats.columns)
     for c in categorical:
         counts = value_counts(df, [c]).select("value", "n", "total")
-        if counts.count() > 100_000:
-            return _draw_by_position(out, counts, c, seed)
-        order = Window.orderBy("value")  # at most 100 000 values
+        if counts.count() > most:
+            out = _draw_by_position(out, counts, c, seed)
+            continue
+        order = Window.orderBy("value")  # at most so many values
         cdf = counts.withColumn("cdf", F.sum("n").over(order) / F.col("total")).agg(F.sort_array(F.collect_list(F.struct("cdf", "value"))).alias("a_"))
         u = uniform(seed, f"marginal-{c}", F.col("row_id"))
         place = F.least(F.size(F.filter("a_", lambda e: e["cdf"] <= F.col("u_"))), F.size("a_") - 1)
@@ -46,11 +47,11 @@ def _draw_by_position(out: DataFrame, counts: DataFrame, c: str, seed: int) -> D
 
     total = counts.agg(F.max("total")).first()[0]
     width = max(1, total // 1_000_000)
-    spans = running(counts.withColumn("h_", F.xxhash64("value")), "h_", ["n"]).select("value", F.col("before_n").alias("before_"), (F.col("before_n") + F.col("n")).alias("end_"))
+    spans = running(counts, "value", ["n"]).select(F.col("value").alias("value_"), F.col("before_n").alias("before_"), (F.col("before_n") + F.col("n")).alias("end_"))
     spans = spans.withColumn("bucket_", F.explode(F.sequence(F.floor(F.col("before_") / width), F.floor((F.col("end_") - 1) / width))))
     at = F.floor(uniform(seed, f"marginal-{c}", F.col("row_id")) * total)
     drawn = out.withColumn("at_", at).withColumn("bucket_", F.floor(F.col("at_") / width))
-    return drawn.join(spans, "bucket_").filter((F.col("at_") >= F.col("before_")) & (F.col("at_") < F.col("end_"))).withColumnRenamed("value", c).select(*out.columns, c)
+    return drawn.join(spans, "bucket_").filter((F.col("at_") >= F.col("before_")) & (F.col("at_") < F.col("end_"))).withColumn(c, F.col("value_")).select(*out.columns, c)
 
 
 def numbered(df: DataFrame, key: list[str], to: str = "pos_") -> DataFrame:

@@ -112,6 +112,14 @@ def test_draw_by_position(spark):
     assert out.count() == 2000 and abs(out.filter("v = 'a'").count() / 2000 - 0.75) < 0.05
 
 
+def test_marginals_of_many_values_keep_all_columns_and_draws(spark):
+    df = frame(spark, [(f"name {i % 500:04}", "abc"[i % 3], None if i % 4 else f"é{i % 7}") for i in range(1500)], "name string, value string, third string")
+    draw = lambda most: generate.marginals(df, 400, 7, [], df.columns, most)
+    whole, parted = draw(100_000), draw(2)
+    assert parted.columns == whole.columns == ["row_id", "name", "value", "third"]
+    assert sorted(map(tuple, parted.collect())) == sorted(map(tuple, whole.collect()))
+
+
 def test_copula_keeps_correlation(spark):
     df = people(spark).withColumn("twice", F.col("income") * 2 + F.col("age") * 0.01)
     out = generate.copula(df, 2000, 1, ["income", "twice"])
