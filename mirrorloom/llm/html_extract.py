@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, ship
@@ -42,6 +42,13 @@ _RAW, _NOT, _CONTENT, _BLOCKS, _VOID, _MARKS = map(frozenset, (RAW, NOT_CONTENT,
 
 DROP, OPEN, KEEP = 0, 1, 2  # what the markup says of a line
 
+#: An OPEN line of so many characters is taken for prose: that one neighbour has it too doesn't delete it.
+PROSE = 60
+#: It is the site's where it stands on so many different pages of its host, and on so large a share of them.
+SITE_PAGES, SITE_SHARE = 3, 0.5
+#: Parts of a host where its pages meet its lines.
+SALTS = 16
+
 
 def lines_of(page: str | None) -> list[tuple[str, int]]:
     """The text lines (blocks) of a page in order, each with what its markup says.
@@ -148,55 +155,97 @@ def page_key(id_col: str, url_col: str, html_col: str) -> Column:
 
 
 def line_hashes(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """rid, host, path and the hashes of the page's lines, one row for each distinct page."""
+    """rid, host, path, the hashes of the page's lines, those of its OPEN prose lines, and a digest of the lines; one row for each distinct page."""
 
-    @F.pandas_udf("array<long>")
-    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("hashes array<long>, prose array<long>")
+    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         for texts in batches:
-            yield pd.Series([[xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x, _ in lines_of(t)] for t in texts])
+            lines = [[(xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63), s == OPEN and len(x) >= PROSE) for x, s in lines_of(t)] for t in texts]
+            yield pd.DataFrame({"hashes": [[h for h, _ in x] for x in lines], "prose": [sorted({h for h, prose in x if prose}) for x in lines]})
 
     url = F.col(url_col).cast("string")
-    slim = pages.select(page_key(id_col, url_col, html_col).alias("rid"), url_host(url).alias("host"), url_path(url).alias("path"), hashes(F.col(html_col).cast("string")).alias("hashes"))
-    return materialize(slim.dropDuplicates(["rid"]), "hashes")
+    slim = pages.select(page_key(id_col, url_col, html_col).alias("rid"), url_host(url).alias("host"), url_path(url).alias("path"), hashes(F.col(html_col).cast("string")).alias("h"))
+    return materialize(slim.dropDuplicates(["rid"]).select("rid", "host", "path", "h.*", F.xxhash64("h.hashes").alias("digest")), "hashes")
+
+
+def site_lines(hashes: DataFrame) -> DataFrame:
+    """host, site: the prose lines that stand on most of a host's pages; pages of equal lines count once. Hosts without such lines have no row."""
+    sizes = hashes.select("host", "digest").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    stands = hashes.select("host", "digest", F.explode("prose").alias("line")).distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
+    often = stands.filter(F.col("n") >= SITE_PAGES).join(sizes, "host").filter(F.col("n") >= SITE_SHARE * F.col("pages"))
+    return often.groupBy("host").agg(F.collect_list("line").alias("site"))  # on most pages, so not many more than a page has
 
 
 def nearest(hashes: DataFrame) -> DataFrame:
     """(rid, other): the neighbour of each page in the order of host and path, the one that shares the longer start of the path.
 
-    The slim rows are sorted over ranges, so a host of any size is spread; a few rows,
-    the ends of the ranges, are joined up afterwards. Pages alone on their host have no row.
+    Neighbours differ: pages of equal lines that follow each other are a run, and its pages have the pages next to the run
+    as neighbours. The slim rows are sorted over ranges, so a host of any size is spread; a few rows,
+    the ends of the ranges, are joined up afterwards. Hosts that have only pages of equal lines have no row.
     """
 
-    kinds = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("rid", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("other", pa.int64()), ("shared", pa.int64())])
+    kinds = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("rid", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("digest", pa.int64()), ("other", pa.int64()), ("shared", pa.int64())])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, before = TaskContext.get().partitionId(), None
+        number, before, run, ends = TaskContext.get().partitionId(), None, [], {}  # before: the row ahead of the run
         table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], schema=kinds)
+
+        def met(after: tuple | None) -> Iterator[tuple]:
+            for rid, host, path, _ in run:
+                for kind, near in (("before", before), ("after", after)):
+                    if near is None:
+                        yield (kind, number, rid, None, path, None, None, None)  # it lies in another range
+                    elif near[1] == host:
+                        yield ("pair", number, rid, None, None, None, near[0], _shared(path, near[2]))
+
         for batch in batches:
             rows = []
-            for rid, host, path in zip(*(batch.column(c).to_pylist() for c in ("rid", "host", "path"))):
-                if before is None:
-                    rows.append(("first", number, rid, host, path, None, None))
-                elif before[1] == host:
-                    rows.append(("pair", number, before[0], None, None, rid, _shared(before[2], path)))
-                before = (rid, host, path)
+            for row in zip(*(batch.column(c).to_pylist() for c in ("rid", "host", "path", "digest"))):
+                if run and (run[-1][1], run[-1][3]) != (row[1], row[3]):
+                    rows += met(row)
+                    ends.setdefault("second", row)
+                    before, run = run[-1], []
+                ends.setdefault("first", row)
+                run.append(row)
             if rows:
                 yield table(rows)
-        if before:
-            yield table([("last", number, *before, None, None)])
-
-    slim = hashes.select("rid", "host", "path").repartitionByRange("host", "path", "rid").sortWithinPartitions("host", "path", "rid")
-    rows = materialize(slim.mapInArrow(pair, "kind string, part int, rid long, host string, path string, other long, shared long"), "pairs")
-    ends = rows.filter("kind <> 'pair'").select("kind", "part", "rid", "host", "path")
-    order = Window.orderBy("part", F.expr("kind = 'last'"))  # two rows a range at most
-    joined = ends.select("kind", "rid", "host", "path", *[F.lead(c).over(order).alias(f"next_{c}") for c in ("kind", "rid", "host", "path")])
-    meet = joined.filter("kind = 'last' and next_kind = 'first' and host = next_host")
-    shared = F.expr("aggregate(sequence(1, greatest(1, least(length(path), length(next_path)))), 0L, (n, i) -> if(n = i - 1 and substr(path, i, 1) = substr(next_path, i, 1) and i <= least(length(path), length(next_path)), i, n))")
-    pairs = rows.filter("kind = 'pair'").select("rid", "other", "shared").unionByName(meet.select("rid", F.col("next_rid").alias("other"), shared.alias("shared")))
-    both = pairs.unionByName(pairs.select(F.col("other").alias("rid"), F.col("rid").alias("other"), "shared"))
-    return both.groupBy("rid").agg(F.max_by("other", F.struct("shared", "other")).alias("other"))
+        if run:
+            rows = list(met(None))
+            ends["last"] = run[-1]
+            if before:
+                ends["last but one"] = before
+            yield table(rows + [(kind, number, *row, None, None) for kind, row in ends.items()])
+
+    slim = hashes.select("rid", "host", "path", "digest").repartitionByRange("host", "path", "digest", "rid").sortWithinPartitions("host", "path", "digest", "rid")
+    rows = materialize(slim.mapInArrow(pair, "kind string, part int, rid long, host string, path string, digest long, other long, shared long"), "pairs")
+    ends: dict[int, dict[str, tuple]] = {}
+    for r in rows.filter(~F.col("kind").isin("pair", "before", "after")).collect():  # four rows a range at most
+        ends.setdefault(r.part, {})[r.kind] = (r.rid, r.host, r.path, r.digest)
+    parts = sorted(ends)
+    beyond = []
+    for k, part in enumerate(parts):
+        for kind, own, ahead, near, next_run in (("before", "first", parts[:k][::-1], "last", "last but one"), ("after", "last", parts[k + 1 :], "first", "second")):
+            found = _different(ends[part][own], ((ends[q][near], ends[q].get(next_run)) for q in ahead))
+            if found:
+                beyond.append((part, kind, found[0], found[2]))
+    prefix = F.pandas_udf(lambda a, b: pd.Series([_shared(x, y) for x, y in zip(a, b)], dtype="int64"), "long")
+    far = hashes.sparkSession.createDataFrame(beyond, "part int, kind string, other long, other_path string")
+    open_rows = rows.filter(F.col("kind").isin("before", "after")).select("part", "kind", "rid", "path").join(F.broadcast(far), ["part", "kind"])
+    pairs = rows.filter("kind = 'pair'").select("rid", "other", "shared").unionByName(open_rows.select("rid", "other", prefix("path", "other_path").alias("shared")))
+    return pairs.groupBy("rid").agg(F.max_by("other", F.struct("shared", "other")).alias("other"))
+
+
+def _different(own: tuple, ranges: Iterator[tuple[tuple, tuple | None]]) -> tuple | None:
+    """The first row of own's host in other ranges that isn't of its run; of each range its nearest row and the one beyond that row's run."""
+    for near, then in ranges:
+        for row in (near, then):
+            if row and row[1] != own[1]:
+                return None
+            if row and row[3] != own[3]:
+                return row
+    return None
 
 
 def _shared(a: str, b: str) -> int:
@@ -213,7 +262,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per page: page_id, url, text, n_chars, n_lines and n_shared.
 
     Lines that the page has in common with its neighbour (by URL path on its host), in the order of
-    a longest common subsequence, are deleted: menus, notices and footers repeat from page to page. The
+    a longest common subsequence, are deleted: menus, notices and footers repeat from page to page. Pages of
+    equal lines are no neighbours, so copies keep their text, and a long line goes only where it
+    stands on most of the host's pages, as pages may share a passage. The
     markup is then checked: a line inside the article stays even where the neighbour has it too, as
     pages may share a passage; a line in a menu, header, footer, form, advert or comment goes even
     where it differs. Blocks are joined by two line ends. A null or empty page gives the empty text; a null URL
@@ -221,14 +272,20 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     ship(pages.sparkSession)
     hashes = line_hashes(pages, id_col, url_col, html_col)
-    own, others = hashes.select("rid", "hashes"), hashes.select(F.col("rid").alias("other"), F.col("hashes").alias("other_hashes"))
-
-    @F.pandas_udf("array<boolean>")
-    def differ(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([common_lines(list(x), list(y)) for x, y in zip(a, b)])
+    # A host may hold most of the pages, so its few lines are met in several parts.
+    sites = site_lines(hashes).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = hashes.withColumn("salt", F.pmod("rid", F.lit(SALTS)).cast("int"))
+    own = salted.join(sites, ["host", "salt"], "left").select("rid", "hashes", F.array_except("prose", F.coalesce("site", F.array().cast("array<long>"))).alias("stays"))
+    others = hashes.select(F.col("rid").alias("other"), F.col("hashes").alias("other_hashes"))
+
+    @F.pandas_udf("shared array<boolean>, n long")
+    def differ(a: pd.Series, b: pd.Series, stays: pd.Series) -> pd.DataFrame:
+        masks = [common_lines(list(x), list(y)) for x, y in zip(a, b)]
+        kept = [[m and h not in s for m, h in zip(mask, x)] if (s := set(z)) else mask for mask, x, z in zip(masks, a, stays)]
+        return pd.DataFrame({"shared": kept, "n": [sum(m) for m in masks]})
 
     masks = nearest(hashes).join(others, "other").join(own, "rid")
-    masks = materialize(masks.select("rid", differ("hashes", "other_hashes").alias("shared")), "masks")
+    masks = materialize(masks.select("rid", differ("hashes", "other_hashes", "stays").alias("d")).select("rid", "d.*"), "masks")
 
     @F.pandas_udf("lines array<string>, places array<int>, kept array<boolean>, n_lines long")
     def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -239,8 +296,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     parsed = pages.select(page_key(id_col, url_col, html_col).alias("rid"), F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), parse(F.col(html_col).cast("string")).alias("p"))
     # The masks have a row for each page, so they are never broadcast, at any size.
-    joined = parsed.join(masks.hint("merge"), "rid", "left").select("page_id", "url", "p.*", "shared")
+    joined = parsed.join(masks.hint("merge"), "rid", "left").select("page_id", "url", "p.*", "shared", "n")
     stays = F.filter("lines", lambda line, i: F.get("kept", i) | ~F.coalesce(F.get("shared", F.get("places", i)), F.lit(False)))
-    n_shared = F.when(F.col("shared").isNull(), 0).otherwise(F.size(F.filter("shared", lambda s: s))).cast("long")
-    out = joined.select("page_id", "url", F.array_join(stays, "\n\n").alias("text"), "n_lines", n_shared.alias("n_shared"))
+    out = joined.select("page_id", "url", F.array_join(stays, "\n\n").alias("text"), "n_lines", F.coalesce("n", F.lit(0)).cast("long").alias("n_shared"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_shared")

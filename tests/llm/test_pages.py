@@ -49,6 +49,27 @@ def test_shared_lines_go(spark):
     assert html_extract.extract(pages(spark)).count() == 47 and html_extract.extract(pages(spark).limit(0)).count() == 0
 
 
+def test_copies_and_shared_passages_keep_their_text(spark):
+    out = {r.page_id: r for r in html_extract.extract(pages(spark).repartition(7)).collect()}
+    assert out[7].text == out[103].text == out[104].text == "Story 7 is told here" and out[7].n_shared == 2
+    passage, notice = "A passage that two pages of the host quote in full, as it was said at the time.", "This notice of the house stands on each and every page of the host, whatever it tells."
+    body = lambda k, more="": f"<body><div>Menu</div><div>{notice}</div><div>Story {k}</div>{more}</body>"
+    rows = [(i, f"https://n.example/a/{'x' if i in (4, 5) else ''}{i}", body(i, f"<div>{passage}</div>" if i in (4, 5) else "")) for i in range(8)]
+    rows += [(20 + i, f"http{'s' * (i % 2)}://c.example/p{'?ref=x' if i > 1 else ''}", body(3)) for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in ("1", "5"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = {r.page_id: r for r in html_extract.extract(df).collect()}
+            assert all(got[i].text == f"Story {i}" + (f"\n\n{passage}" if i in (4, 5) else "") for i in range(8)) and got[4].n_shared == 3
+            assert all("Story 3" in got[20 + i].text and got[20 + i].n_shared == 0 for i in range(4))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_neighbours_do_not_depend_on_the_ranges(spark):
     hashes = html_extract.line_hashes(pages(spark), "page_id", "url", "html")
     before = spark.conf.get("spark.sql.shuffle.partitions")
