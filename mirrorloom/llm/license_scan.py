@@ -2,38 +2,36 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialize
+from .license_texts import COMMON, NOTICES
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # The base phrases and their labels.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 
-# Notices of common licences (label, words of the notice, key phrases that must stand at their places).
-TEMPLATES = [
-    ("apache-2.0", "licensed under the apache license version 2 0", ["apache license version 2"]),
-    ("gpl-3.0", "licensed under the gnu general public license version 3", ["general public license version 3"]),
-    ("gpl-2.0", "under the terms of the gnu general public license version 2", ["general public license version 2"]),
-    ("mit-notice", "released under the mit license", ["released under the mit license"]),
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted", "obtaining a copy of this software"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["copy modify and or distribute this software"]),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license v 2 0"]),
-    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", ["lesser general public license"]),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ["cc by nc 4 0"]),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ["cc by sa 4 0"]),
-    ("cc-by-4.0", "licensed under cc by 4 0", ["cc by 4 0"]),
-]
-# Words too common to be looked up.
-COMMON = "the of and to in is a this that for with by any are it or as on use under 0 2 3 4 v free form copy person terms".split()
-
-#: Rare words of a document that the SQL of the query looks up; the scan looks up all. Both give the same rows where no document has more.
-LOOKED_UP = 8
-#: A notice is a candidate where so many of its words agree on its place.
-AGREEING = 2
+#: So many of the rarest words of a notice's anchor stand in the index; a notice that is there has them all.
+RAREST = 3
+#: A key phrase behind the anchor may stand so many words before or after its place (names and years are filled in).
+SLACK = 16
+
+Notice = tuple[str, str, list[str]]
+
+
+def plain_words(text: str) -> list[str]:
+    """The words of a notice, as ``words_of`` gives those of a document."""
+    return [w for w in re.split(NOT_WORD, text.lower()) if w]
+
+
+def place_of(words: list[str], phrase: str) -> int:
+    """Where the phrase begins in the words."""
+    parts = phrase.split()
+    return next(i for i in range(len(words)) if words[i : i + len(parts)] == parts)
 
 
 def words_of(text: Column) -> Column:
@@ -51,56 +49,90 @@ def phrase_places(words: Column, lowered: Column, phrase: str) -> Column:
     return F.when(lowered.contains(longest), places).otherwise(F.array().cast("array<int>"))
 
 
-def postings(spark: SparkSession, templates: list[tuple[str, str, list[str]]]) -> DataFrame:
-    """word, label, place: the index. As large as the notices, whatever the data."""
-    rows = [(w, label, i) for label, text, _ in templates for i, w in enumerate(text.split()) if w not in COMMON]
-    return spark.createDataFrame(rows, "word string, label string, place int")
+def anchor_words(notices: list[Notice]) -> list[str]:
+    """The words that may be looked up: those of the anchors that aren't common."""
+    return sorted({w for _, _, keys in notices for w in keys[0].split()} - set(COMMON))
+
 
+def postings(spark: SparkSession, notices: list[Notice], files: dict[str, int]) -> DataFrame:
+    """word, label, place, needed: the index of each notice's RAREST rarest anchor words. As large as the notices, whatever the data.
 
-def _verified(words: Column, label: Column, start: Column, templates: list[tuple[str, str, list[str]]]) -> Column:
-    """Whether all key phrases of the label's notice stand in the words at their places, for a notice that begins at start."""
-    out = F.lit(False)
-    for name, text, keys in templates:
-        whole, ok = text.split(), F.lit(True)
-        for key in keys:
-            parts = key.split()
-            place = next(i for i in range(len(whole)) if whole[i : i + len(parts)] == parts)
-            at = start + place
-            ok = ok & (at >= 0) & (F.slice(words, F.greatest(at, F.lit(0)) + 1, len(parts)) == F.array(*map(F.lit, parts)))
-        out = F.when(label == name, ok).otherwise(out)
+    files: in how many files each word stands. needed: how many postings a notice has.
+    """
+    rows = []
+    for label, text, keys in notices:
+        words = plain_words(text)
+        start, size = place_of(words, keys[0]), len(keys[0].split())
+        own = [(w, i) for i, w in enumerate(words[start : start + size], start) if w not in COMMON]
+        rarest = sorted({w for w, _ in own}, key=lambda w: (files.get(w, 0), w))[:RAREST]
+        rows += [(w, label, i, sum(x in rarest for x, _ in own)) for w, i in own if w in rarest]
+    return spark.createDataFrame(rows, "word string, label string, place int, needed int")
+
+
+def _phrase_at(words: Column, at: Column, parts: list[str]) -> Column:
+    return (at >= 0) & (F.slice(words, F.greatest(at, F.lit(0)) + 1, len(parts)) == F.array(*map(F.lit, parts)))
+
+
+def _phrase_near(words: Column, at: int, parts: list[str]) -> Column:
+    return F.exists(F.sequence(F.lit(at - SLACK), F.lit(at + SLACK)), lambda i: _phrase_at(words, i, parts))
+
+
+def _share(label: Column, cut: Column, notices: list[Notice]) -> Column:
+    """Of the notice that begins SLACK words into ``cut``: the share of its words that agree; null where a key phrase is missing."""
+    out = F.lit(None).cast("double")
+    for name, text, keys in notices:
+        words = plain_words(text)
+        ok = _phrase_at(cut, F.lit(SLACK + place_of(words, keys[0])), keys[0].split())
+        for key in keys[1:]:
+            ok = ok & _phrase_near(cut, SLACK + place_of(words, key), key.split())
+        agree = F.zip_with(F.slice(cut, SLACK + 1, len(words)), F.array(*map(F.lit, words)), lambda x, y: F.coalesce((x == y).cast("int"), F.lit(0)))
+        out = F.when(label == name, F.when(ok, F.aggregate(agree, F.lit(0), lambda a, x: a + x) / F.lit(float(len(words))))).otherwise(out)
     return out
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str, list[str]]] = TEMPLATES, phrases: list[tuple[str, str]] = PHRASES) -> DataFrame:
+def _cut(words: Column, start: Column, size: Column) -> Column:
+    """The words from SLACK before start to SLACK after its ``size`` words; nulls stand for those before the text."""
+    first = start - SLACK
+    before = F.array_repeat(F.lit(None).cast("string"), F.greatest(-first, F.lit(0)))
+    return F.concat(before, F.slice(words, F.greatest(first, F.lit(0)) + 1, F.greatest(size + 2 * SLACK + F.least(first, F.lit(0)), F.lit(0))))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: list[Notice] = NOTICES, phrases: list[tuple[str, str]] = PHRASES) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    Base: the places where a phrase's words stand one after another. The method: the places of all
-    licence words of a document are met with the index, and a notice is found where at least AGREEING of its
-    words agree on the place where it begins and all its key phrases are verified there. score: the
-    share of the document's words of the best notice found that agree; 0.5 where only base phrases
-    are found; else 0. Null and empty texts have no words. Repeated rows each give a row.
+    Base: the places where a phrase's words stand one after another. The method: of each notice
+    the rarest words of its anchor phrase (by the files that hold them) are met with the documents'
+    words; where all of them agree on the place where the notice begins, its words there are
+    cut out, and the anchor, at its place, and the other key phrases, within SLACK words of theirs, are
+    verified. A notice whose key phrases are there is always found, as the anchor holds the words
+    looked up: no bound on the notices of a document, and none on its length. score: the largest share of
+    a found notice's words that agree; 0.5 where only base phrases are found; else 0.
+
+    Null and empty texts have no words. Repeated rows each give a row, null identifiers too. An empty
+    table gives an empty result. Only the two named columns are read, so others may have any names. A very long
+    text is one row of words; each place found adds one cut, as long as the notice.
     """
     spark = docs.sparkSession
-    index = postings(spark, templates)
-    vocabulary = sorted({w for _, text, _ in templates for w in text.split()} - set(COMMON))
-    text = F.col(text_col)
-    split = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), ascii_lower(text).alias("lowered"), words_of(text).alias("words"))
+    sizes = F.create_map(*[x for label, text, _ in notices for x in (F.lit(label), F.lit(len(plain_words(text))))])
+    split = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), ascii_lower(F.col(text_col)).alias("lowered"), words_of(F.col(text_col)).alias("words"))
     places = [phrase_places(F.col("words"), F.col("lowered"), p) for p, _ in phrases]
-    rare = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: x["word"].isin(vocabulary))
+    anchor = anchor_words(notices)
+    rare = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: x["word"].isin(anchor))
     split = split.select("rid", "doc_id", "words", F.size("words").cast("long").alias("n_words"), *[p.alias(f"p{k}") for k, p in enumerate(places)], rare.alias("rare"))
     whole = F.when(F.size("rare") > 0, F.col("words"))
     scanned = materialize(split.select("rid", "doc_id", "n_words", *[f"p{k}" for k in range(len(phrases))], "rare", whole.alias("words")), "scanned")
 
-    # Every licence word of a document is looked up; there are at most as many as the notices have words.
+    files = scanned.select(F.explode(F.array_distinct(F.col("rare.word"))).alias("word")).groupBy("word").count()
+    index = postings(spark, notices, {r.word: r["count"] for r in files.collect()})  # a row for each anchor word
     found = scanned.select("rid", F.explode("rare").alias("r")).select("rid", F.col("r.word").alias("word"), F.col("r.at").alias("at"))
-    placed = found.join(F.broadcast(index), "word")
-    votes = placed.groupBy("rid", "label", (F.col("at") - F.col("place")).alias("start")).agg(F.count_distinct("word").alias("votes"))
-    looked = placed.groupBy("rid", "label").agg(F.count_distinct("word").alias("looked"))
-    candidates = votes.filter(F.col("votes") >= AGREEING).join(looked, ["rid", "label"]).join(scanned.select("rid", "words"), "rid")
-    verified = candidates.filter(_verified(F.col("words"), F.col("label"), F.col("start"), templates))
-    notices = verified.groupBy("rid").agg(F.collect_set("label").alias("notice_labels"), F.max(F.col("votes") / F.col("looked")).alias("share"))
-
-    joined = scanned.drop("words", "rare").join(notices, "rid", "left")
+    placed = found.join(F.broadcast(index), "word").groupBy("rid", "label", (F.col("at") - F.col("place")).alias("start")).agg(F.count("*").alias("n"), F.first("needed").alias("needed"))
+    starts = placed.filter("n = needed").groupBy("rid").agg(F.collect_list(F.struct("label", "start")).alias("starts"))
+    met = starts.join(scanned.select("rid", "words"), "rid")
+    cuts = met.select("rid", F.explode(F.transform("starts", lambda s: F.struct(s["label"].alias("label"), _cut(F.col("words"), s["start"], F.element_at(sizes, s["label"])).alias("cut")))).alias("c"))
+    verified = cuts.select("rid", F.col("c.label").alias("label"), _share(F.col("c.label"), F.col("c.cut"), notices).alias("share")).filter("share is not null")
+    more = verified.groupBy("rid").agg(F.collect_set("label").alias("notice_labels"), F.max("share").alias("share"))
+
+    joined = scanned.drop("words", "rare").join(more, "rid", "left")
     starts = F.concat(*[F.col(f"p{k}") for k in range(len(phrases))])
     base = F.array_distinct(F.concat(*[F.when(F.size(f"p{k}") > 0, F.array(F.lit(label))).otherwise(F.array().cast("array<string>")) for k, (_, label) in enumerate(phrases)]))
     out = joined.select("doc_id", "n_words", starts.alias("starts"), base.alias("base"), F.coalesce("notice_labels", F.array().cast("array<string>")).alias("more"), "share")

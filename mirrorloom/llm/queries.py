@@ -84,30 +84,30 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 def _op5() -> str:
-    """The SQL of the licence scan; the notices and phrases as values."""
-    found = lambda text, key: next(i for i in range(len(text.split())) if text.split()[i : i + len(key.split())] == key.split())
+    """The SQL of the licence scan: every place of every anchor is verified, without an index; the notices and phrases as values."""
     rows = lambda xs: ", ".join(f"({', '.join(repr(v) for v in x)})" for x in xs)
-    index = rows((w, label, i) for label, text, _ in license_scan.TEMPLATES for i, w in enumerate(text.split()) if w not in license_scan.COMMON)
-    keys = rows((label, found(text, key), key, len(key.split())) for label, text, keys in license_scan.TEMPLATES for key in keys)
+    plain = [(label, license_scan.plain_words(text), keys) for label, text, keys in license_scan.NOTICES]
+    notices = ", ".join(f"('{label}', {words!r})" for label, words, _ in plain)
+    anchors = rows((label, license_scan.place_of(words, keys[0]), keys[0], len(keys[0].split())) for label, words, keys in plain)
+    others = rows((label, license_scan.place_of(words, k), k, len(k.split())) for label, words, keys in plain for k in keys[1:])
     phrases = rows((p, label, len(p.split())) for p, label in license_scan.PHRASES)
     return rf"""
-WITH postings(word, label, place) AS (VALUES {index}), keys(label, place, phrase, k) AS (VALUES {keys}), phrases(phrase, label, k) AS (VALUES {phrases}),
+WITH notices(label, t) AS (VALUES {notices}), anchors(label, place, phrase, k) AS (VALUES {anchors}), others(label, place, phrase, k) AS (VALUES {others}), phrases(phrase, label, k) AS (VALUES {phrases}),
 docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 base AS (SELECT rid, p.label, i AS start FROM docs, phrases p, unnest(range(len(w))) r(i) WHERE array_to_string(w[i + 1 : i + k], ' ') = phrase),
 places AS (SELECT rid, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS labels FROM base GROUP BY rid),
-rare AS (SELECT rid, i AS pos, w[i + 1] AS word FROM docs, unnest(range(len(w))) r(i) WHERE w[i + 1] IN (SELECT word FROM postings)),
-ranks AS (SELECT word, row_number() OVER (ORDER BY count(DISTINCT rid), word) AS rank FROM rare GROUP BY word),
-chosen AS (SELECT rid, word FROM (SELECT rid, word, row_number() OVER (PARTITION BY rid ORDER BY rank) AS n FROM (SELECT DISTINCT rid, word FROM rare) JOIN ranks USING (word)) WHERE n <= {license_scan.LOOKED_UP}),
-placed AS (SELECT rid, label, word, pos - place AS start FROM rare JOIN chosen USING (rid, word) JOIN postings USING (word)),
-looked AS (SELECT rid, label, count(DISTINCT word) AS looked FROM placed GROUP BY 1, 2),
-candidates AS (SELECT rid, label, start, count(DISTINCT word) AS votes FROM placed GROUP BY 1, 2, 3 HAVING count(DISTINCT word) >= {license_scan.AGREEING}),
-verified AS (SELECT c.rid, c.label, c.start, any_value(votes) AS votes FROM candidates c JOIN docs USING (rid) JOIN keys y ON y.label = c.label
- GROUP BY 1, 2, 3 HAVING bool_and(c.start + place >= 0 AND array_to_string(w[greatest(c.start + place, 0) + 1 : greatest(c.start + place, 0) + k], ' ') = phrase)),
-notices AS (SELECT rid, list(DISTINCT label) AS more, max(votes / looked) AS share FROM verified JOIN looked USING (rid, label) GROUP BY rid)
+words AS (SELECT rid, i, w[i + 1] AS word FROM docs, unnest(range(len(w))) r(i)),
+candidates AS (SELECT DISTINCT x.rid, a.label, x.i - a.place AS start FROM words x JOIN anchors a ON x.word = split_part(a.phrase, ' ', 1) JOIN docs USING (rid) WHERE array_to_string(w[x.i + 1 : x.i + a.k], ' ') = a.phrase),
+missing AS (SELECT c.rid, c.label, c.start FROM candidates c JOIN docs USING (rid) JOIN others o ON o.label = c.label
+ WHERE NOT list_bool_or(list_transform(range(c.start + o.place - {license_scan.SLACK}, c.start + o.place + {license_scan.SLACK} + 1), lambda p: p >= 0 AND array_to_string(w[p + 1 : p + o.k], ' ') = o.phrase))),
+verified AS (SELECT * FROM candidates ANTI JOIN missing USING (rid, label, start)),
+shares AS (SELECT v.rid, v.label, list_sum(list_transform(range(len(t)), lambda i: CASE WHEN v.start + i >= 0 AND w[v.start + i + 1] = t[i + 1] THEN 1 ELSE 0 END))::DOUBLE / len(t) AS share
+ FROM verified v JOIN docs USING (rid) JOIN notices USING (label)),
+found AS (SELECT rid, list(DISTINCT label) AS more, max(share) AS share FROM shares GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
  array_to_string(list_sort(coalesce(labels, [])), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(coalesce(labels, []), coalesce(more, [])))), ',') AS labels,
  coalesce(share, CASE WHEN n_base > 0 THEN 0.5 ELSE 0.0 END)::DOUBLE AS score
-FROM docs LEFT JOIN places USING (rid) LEFT JOIN notices USING (rid)
+FROM docs LEFT JOIN places USING (rid) LEFT JOIN found USING (rid)
 """
 
 

@@ -23,10 +23,11 @@ def places(text, phrase):
 
 
 def test_licences(spark):
+    mit = {label: text for label, text, _ in license_scan.NOTICES}["mit-text"]
     extra = [
         (5000, "Released under the MIT License.\nmit-license and MIT   LICENSE"), (5001, "Licensed under the Apache License, Version 2.0"), (5002, "the license of apache version 2"),
         (5003, "This work is licensed under the GNU General Public License, version 3. MIT license"), (5004, "under the license Licensed under CC BY-NC 4.0 here"),
-        (5005, license_scan.TEMPLATES[4][1].title()), (5006, "MIT"), (5007, "mit" + " license" * 3),
+        (5005, mit.title()), (5006, "MIT"), (5007, "mit" + " license" * 3), (5008, mit.replace("is furnished", "by A. Author 2020 is furnished")), (5009, mit[:200]),
     ]
     df = docs(spark, extra)
     out = license_scan.scan(df)
@@ -39,18 +40,25 @@ def test_licences(spark):
         assert (g.first_word, g.last_word) == ((starts[0], starts[-1]) if starts else (None, None))
         assert g.base_labels == ",".join(sorted(k for k, v in found.items() if v[1])) and set(filter(None, g.base_labels.split(","))) <= set(g.labels.split(",")) and 0 <= g.score <= 1
     assert "mit-notice" in got[5000].labels and got[5001].labels == "apache,apache-2.0" and got[5002].labels == "" and got[5003].labels == "gpl,gpl-3.0,mit"
-    assert got[5004].labels == "cc-by-nc-4.0" and got[5005].labels == "mit-text" and got[5007].n_base == 1
+    assert got[5004].labels == "cc-by-nc-4.0" and got[5005].labels == "mit-grant,mit-text" and got[5005].score == 1.0 and got[5007].n_base == 1
+    assert got[5008].labels == "mit-grant,mit-text" and 0.3 < got[5008].score < 1 and got[5009].labels == "mit-grant" and got[5009].score < 0.3
     assert out.count() == df.count() and license_scan.scan(none(spark)).count() == 0
 
 
-def test_licences_of_a_file_with_several_notices(spark):
-    whole = {label: text for label, text, _ in license_scan.TEMPLATES}
+def test_licences_of_files_with_many_notices(spark, duck):
+    """A file of all notices, and long ones that repeat them, lose none; the same rows as the SQL."""
+    whole = {label: text for label, text, _ in license_scan.NOTICES}
     mixed = ["apache-2.0", "gpl-3.0", "mit-notice", "cc-by-nc-4.0"]
-    texts = [whole["mit-notice"] + ". " + whole["mit-text"], ". ".join(whole.values()), ". ".join(whole[k] for k in mixed), whole["mit-notice"]]
-    rows = [(i, x) for i, x in enumerate(texts)] + [(100 + i, whole["mit-notice"]) for i in range(30)]
-    got = {r.doc_id: r.labels.split(",") for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[0] == ["mit", "mit-notice", "mit-text"] and got[3] == ["mit", "mit-notice"]
+    contents = [whole["mit-notice"] + ". " + whole["mit-text"], ". ".join(whole.values()), ". ".join(whole[k] for k in mixed), whole["mit-notice"], (whole["mit-text"] + " filler words ") * 300, whole["bsd-3-clause"], None, ""]
+    rows = [(i, x) for i, x in enumerate(contents)] + [(100 + i, whole["mit-notice"]) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: list(filter(None, r.labels.split(","))) for r in license_scan.scan(df).collect()}
+    assert got[0] == ["mit", "mit-grant", "mit-notice", "mit-text"] and got[3] == ["mit", "mit-notice"] and got[4] == ["mit-grant", "mit-text"] and got[5] == ["bsd", "bsd-2-clause", "bsd-3-clause"]
     assert got[1] == sorted([*whole, "apache", "gpl", "mit"]) and got[2] == sorted([*mixed, "apache", "gpl", "mit"])
+    con = duck.cursor()
+    con.register("documents_here", df.toPandas())
+    con.sql("CREATE TEMP VIEW documents AS SELECT * FROM documents_here")
+    same(license_scan.scan(df), con.sql(queries.oracle_sql()["op5_license_scan"]))
 
 
 def test_mixing_follows_the_weights(spark):
