@@ -49,12 +49,14 @@ def test_licences_of_files_with_many_notices(spark, duck):
     """A file of all notices, and long ones that repeat them, lose none; the same rows as the SQL."""
     whole = {label: text for label, text, _ in license_scan.NOTICES}
     mixed = ["apache-2.0", "gpl-3.0", "mit-notice", "cc-by-nc-4.0"]
-    contents = [whole["mit-notice"] + ". " + whole["mit-text"], ". ".join(whole.values()), ". ".join(whole[k] for k in mixed), whole["mit-notice"], (whole["mit-text"] + " filler words ") * 300, whole["bsd-3-clause"], None, ""]
+    contents = [whole["mit-notice"] + ". " + whole["mit-text"], ". ".join(whole.values()), ". ".join(whole[k] for k in mixed), whole["mit-notice"], (whole["mit-text"] + " filler words ") * 3, whole["bsd-3-clause"], None, ""]
     rows = [(i, x) for i, x in enumerate(contents)] + [(100 + i, whole["mit-notice"]) for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: list(filter(None, r.labels.split(","))) for r in license_scan.scan(df).collect()}
     assert got[0] == ["mit", "mit-grant", "mit-notice", "mit-text"] and got[3] == ["mit", "mit-notice"] and got[4] == ["mit-grant", "mit-text"] and got[5] == ["bsd", "bsd-2-clause", "bsd-3-clause"]
     assert got[1] == sorted([*whole, "apache", "gpl", "mit"]) and got[2] == sorted([*mixed, "apache", "gpl", "mit"])
+    long = spark.createDataFrame([(1, (whole["mit-text"] + " filler words ") * 300)], "doc_id long, text string")
+    assert license_scan.scan(long).first().labels == "mit-grant,mit-text"
     con = duck.cursor()
     con.register("documents_here", df.toPandas())
     con.sql("CREATE TEMP VIEW documents AS SELECT * FROM documents_here")
