@@ -119,20 +119,25 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notice
     anchor = anchor_words(notices)
     rare = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: x["word"].isin(anchor))
     split = split.select("rid", "doc_id", "words", F.size("words").cast("long").alias("n_words"), *[p.alias(f"p{k}") for k, p in enumerate(places)], rare.alias("rare"))
-    whole = F.when(F.size("rare") > 0, F.col("words"))
-    scanned = materialize(split.select("rid", "doc_id", "n_words", *[f"p{k}" for k in range(len(phrases))], "rare", whole.alias("words")), "scanned")
-
-    files = scanned.select(F.explode(F.array_distinct(F.col("rare.word"))).alias("word")).groupBy("word").count()
+    split = split.withColumn("held", F.array_distinct(F.col("rare.word")))
+    complete = F.lit(False)  # a file that lacks a word of every anchor holds no notice
+    for own in {frozenset(anchor_words([n])) for n in notices}:
+        complete = complete | F.forall(F.array(*map(F.lit, sorted(own))), lambda w: F.array_contains("held", w))
+    split = split.withColumn("complete", F.when(F.size("held") > 0, complete).otherwise(False))
+    found_only = [F.when(F.col("complete"), F.col(c)).alias(c) for c in ("rare", "words")]
+    scanned = materialize(split.select("rid", "doc_id", "n_words", *[f"p{k}" for k in range(len(phrases))], "held", *found_only), "scanned")
+
+    files = scanned.select(F.explode("held").alias("word")).groupBy("word").count()
     index = postings(spark, notices, {r.word: r["count"] for r in files.collect()})  # a row for each anchor word
     found = scanned.select("rid", F.explode("rare").alias("r")).select("rid", F.col("r.word").alias("word"), F.col("r.at").alias("at"))
     placed = found.join(F.broadcast(index), "word").groupBy("rid", "label", (F.col("at") - F.col("place")).alias("start")).agg(F.count("*").alias("n"), F.first("needed").alias("needed"))
     starts = placed.filter("n = needed").groupBy("rid").agg(F.collect_list(F.struct("label", "start")).alias("starts"))
-    met = starts.join(scanned.select("rid", "words"), "rid")
+    met = starts.join(scanned.filter("words is not null").select("rid", "words"), "rid")
     cuts = met.select("rid", F.explode(F.transform("starts", lambda s: F.struct(s["label"].alias("label"), _cut(F.col("words"), s["start"], F.element_at(sizes, s["label"])).alias("cut")))).alias("c"))
     verified = cuts.select("rid", F.col("c.label").alias("label"), _share(F.col("c.label"), F.col("c.cut"), notices).alias("share")).filter("share is not null")
     more = verified.groupBy("rid").agg(F.collect_set("label").alias("notice_labels"), F.max("share").alias("share"))
 
-    joined = scanned.drop("words", "rare").join(more, "rid", "left")
+    joined = scanned.drop("words", "rare", "held").join(more, "rid", "left")
     starts = F.concat(*[F.col(f"p{k}") for k in range(len(phrases))])
     base = F.array_distinct(F.concat(*[F.when(F.size(f"p{k}") > 0, F.array(F.lit(label))).otherwise(F.array().cast("array<string>")) for k, (_, label) in enumerate(phrases)]))
     out = joined.select("doc_id", "n_words", starts.alias("starts"), base.alias("base"), F.coalesce("notice_labels", F.array().cast("array<string>")).alias("more"), "share")
