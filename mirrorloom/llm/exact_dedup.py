@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import fresh, materialize
 
-RUNS = 64
-FAN_IN = 8
+#: Tasks deal their rows to so many runs; a power of two, as each round halves them.
+RUNS = 16
+_KEY = ["_sha", "_check", "_bytes"]
 
 
 def digest_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -16,29 +17,31 @@ def digest_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(
         F.col(id_col).alias("_id"),
-        F.sha2(text, 256).alias("_sha"),
+        F.unhex(F.sha2(text, 256)).alias("_sha"),
         F.xxhash64(text).alias("_check"),
         F.octet_length(text).alias("_bytes"),
     )
 
 
-def merge_runs(digests: DataFrame, runs: int = RUNS, fan_in: int = FAN_IN) -> DataFrame:
-    """Merge the runs in rounds; each round joins fan_in runs into one.
+def merge_runs(digests: DataFrame, runs: int = RUNS) -> DataFrame:
+    """Merge sorted runs in binomial rounds: in round k the runs that differ in bit k only meet and become one.
 
-    A run holds one row per digest: the identifier that stays so far and the number
-    of documents. Run r goes to run r // fan_in, and equal digests of the runs that
-    meet become one row, so a group of copies shrinks to at most ``runs`` rows before
-    the first exchange and to ``runs / fan_in`` before the next. The verification columns
-    are part of the key at every level: digests that agree while they differ stay apart.
+    A run is what a task read, sorted by digest; it holds one row per digest: the identifier that stays so far
+    and the number of documents. In a round each task sorts and reduces its rows, partners exchange them
+    (each run in slices by digest, so no task holds a whole one), and the sorted
+    slices that arrive are merged in their order. The greatest identifier is kept in a struct, whose
+    aggregate Spark only evaluates over sorted rows: there is no hash table at any level. A group of copies
+    of any size is one row of each task before the first exchange, and at most ``runs`` rows after it.
+    The verification columns are part of the key at every level: digests that agree while they differ stay apart.
     """
-    key = ["_sha", "_check", "_bytes"]
-    level = digests.select(*key, F.pmod(F.xxhash64("_id", "_sha"), F.lit(runs)).cast("int").alias("_run"), F.col("_id").alias("_keep"), F.lit(1).cast("long").alias("_size"))
-    level = level.groupBy(*key, "_run").agg(F.max("_keep").alias("_keep"), F.sum("_size").alias("_size"))
+    if runs < 2 or runs & runs - 1:
+        raise ValueError("runs must be a power of two")
+    own = F.pmod(F.spark_partition_id(), F.lit(runs))
+    level = digests.select(*_KEY, own.alias("_run"), F.struct(F.col("_id").alias("id")).alias("_keep"), F.lit(1).cast("long").alias("_size"))
     while runs > 1:
-        runs = -(-runs // fan_in)
-        into = [F.expr(f"_run div {fan_in}").cast("int").alias("_run")] if runs > 1 else []
-        level = level.groupBy(*key, *into).agg(F.max("_keep").alias("_keep"), F.sum("_size").alias("_size"))
-    return level
+        runs //= 2
+        level = level.groupBy(*_KEY, F.shiftright("_run", 1).alias("_run")).agg(F.max("_keep").alias("_keep"), F.sum("_size").alias("_size"))
+    return level.select(*_KEY, F.col("_keep.id").alias("_keep"), "_size")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -52,13 +55,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     digests = materialize(digest_runs(docs, id_col, text_col), "digests")
     merged = materialize(merge_runs(digests), "merged")
-    joined = digests.alias("d").join(merged.alias("m"), ["_sha", "_check", "_bytes"], "left")
+    joined = digests.join(merged, _KEY, "left")
     return joined.select(
         F.col("_id").alias("doc_id"),
         F.col("_keep").alias("keep_id"),
         F.col("_size").alias("group_size"),
         F.col("_id").eqNullSafe(F.col("_keep")).alias("kept"),
-        F.col("_sha").alias("text_sha256"),
+        F.lower(F.hex("_sha")).alias("text_sha256"),
     )
 
 
@@ -72,7 +75,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     own, stay_id, stay_sha = fresh(docs, "own_sha", "stay_id", "stay_sha")
     stays = merge_runs(digests).select(F.col("_keep").alias(stay_id), F.col("_sha").alias(stay_sha))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    tagged = docs.withColumn(own, F.sha2(text, 256))
+    tagged = docs.withColumn(own, F.unhex(F.sha2(text, 256)))
     left = tagged.join(stays, F.col(id_col).eqNullSafe(F.col(stay_id)) & (F.col(own) == F.col(stay_sha)), "left_semi")
     repeated = digests.groupBy("_id", "_sha").count().filter("count > 1")
     if repeated.limit(1).count():

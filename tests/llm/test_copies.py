@@ -1,8 +1,10 @@
 """Exact and near deduplication against brute force."""
 
 import hashlib
+import re
 from collections import defaultdict
 
+import pytest
 import xxhash
 from cases import docs, none
 
@@ -30,8 +32,18 @@ def test_dedup_keeps_one_row_each(spark):
 
 
 def test_run_counts_give_the_same(spark):
-    d = exact_dedup.digest_runs(docs(spark))
-    assert sorted(map(tuple, exact_dedup.merge_runs(d, 64, 8).collect()), key=str) == sorted(map(tuple, exact_dedup.merge_runs(d, 5, 2).collect()), key=str)
+    d = exact_dedup.digest_runs(docs(spark)).repartition(16)
+    got = [sorted(map(tuple, exact_dedup.merge_runs(d, n).collect()), key=str) for n in (2, 16, 64)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len({t or "" for (t,) in docs(spark).select("text").collect()})
+    with pytest.raises(ValueError):
+        exact_dedup.merge_runs(d, 6)
+
+
+def test_rounds_merge_sorted_runs(spark):
+    """Each binomial round sorts its runs, exchanges them and merges them in order; no aggregation hashes."""
+    plan = exact_dedup.merge_runs(exact_dedup.digest_runs(docs(spark)), 16)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("SortAggregate", plan)) == 8 and len(re.findall("Exchange hashpartitioning", plan)) == 4 and "HashAggregate" not in plan.replace("SortAggregate", "")
+    assert len(re.findall(r" Sort \[", plan)) >= 8
 
 
 def test_empty(spark):
