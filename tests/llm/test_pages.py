@@ -1,7 +1,10 @@
 """HTML extraction and URL filters."""
 
+import hashlib
 import itertools
 import random
+import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,12 +18,28 @@ PAGE = (
 )
 
 
+def seen(page):
+    return [(x, s) for x, s, _ in html_extract.lines_of(page)]
+
+
 def test_lines():
-    kept = [x for x, s in html_extract.lines_of(PAGE) if s == html_extract.KEEP]
+    kept = [x for x, s in seen(PAGE) if s == html_extract.KEEP]
     assert kept == ["Ti & tle", "One two three four", "Five <six> é", "Seven"]
-    assert html_extract.lines_of(None) == [] and html_extract.lines_of("") == [] and html_extract.lines_of("a < b & c") == [("a < b & c", html_extract.OPEN)]
-    assert html_extract.lines_of("<p title='a>b'>x</p><p>y") == [("x", 1), ("y", 1)]
-    assert len(html_extract.lines_of("<div>" * 5000 + "deep")) == 1
+    assert seen(None) == [] and seen("") == [] and seen("a < b & c") == [("a < b & c", html_extract.OPEN)]
+    assert seen("<p title='a>b'>x</p><p>y") == [("x", 1), ("y", 1)] and seen('<script data-x="a<b">no</script>yes') == [("yes", 1)]
+
+
+def test_class_words_inside_an_article_drop_nothing():
+    page = '<article class="layout-sidebar-left"><p id="ad-hoc-analysis">One<table class="banner"><tr><td>Two</table><div class="comment-list"><p>no</div><div class="no-ads">Three</div></article>'
+    assert [x for x, s in seen(page) if s == html_extract.KEEP] == ["One", "Two", "Three"]
+    assert seen('<div class="post share-enabled">text</div><div class="share-bar">no</div>') == [("text", 1), ("no", 0)]
+
+
+def test_broken_and_deep_pages_take_linear_time():
+    began = time.process_time()
+    for piece in ("<div>", "<a ", '<a "', "<a '\">", "<!", "<script>", "</script   ", '<a ">"', "<p ", "<div>x", "</div>"):
+        html_extract.lines_of(piece * 100_000)
+    assert time.process_time() - began < 30
 
 
 @settings(max_examples=300, deadline=None)
@@ -36,6 +55,65 @@ def test_common_lines(a, b):
     assert len(common) == best[-1][-1]
 
 
+def test_halving_finds_as_many(monkeypatch):
+    rng = random.Random(5)
+    for size in (3, 40, 400):
+        a, b = [[rng.randrange(size // 2) for _ in range(size)] for _ in range(2)]
+        whole = html_extract.common_lines(a, b)
+        monkeypatch.setattr(html_extract, "ROW_BITS", 8)
+        halved = html_extract.common_lines(a, b)
+        monkeypatch.undo()
+        rest = iter(b)
+        assert sum(whole) == sum(halved) and all(x in rest for x, m in zip(a, halved) if m)
+
+
+def brute(rows, df):
+    """page_id, text and the number of shared lines of (page_id, url, html), with plain lists in place of joins and ranges."""
+    digests = {bytes(r.rid): r.digest for r in html_extract.line_hashes(df, "page_id", "url", "html").collect()}  # the order of pages at one path
+    found, hosts = {}, {}
+    for row in dict.fromkeys(rows):
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", row[1] or "")
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        lines = html_extract.lines_of(row[2])
+        keys, guards = [html_extract.key_of(*x) for x in lines], [html_extract.guard_of(*x[:2]) for x in lines]
+        guarded = tuple(k for k, g in zip(keys, guards) if g)
+        rid = hashlib.md5("\u0001".join("\u0000" if v is None else str(v) for v in row).encode()).digest()
+        found[row] = (host, keys, guards, guarded, lines)
+        hosts.setdefault(host, []).append(((path.encode(), digests[rid], rid), row))
+    out = []
+    for row in rows:
+        host, keys, guards, guarded, lines = found[row]
+        order = [r for _, r in sorted(hosts[host])]
+        texts = {found[r][3] for r in order}
+        here = order.index(row)
+        goes = [False] * len(keys)
+        for side in (order[:here][::-1], order[here + 1 :]):
+            near = next((r for r in side if found[r][3] != guarded), None)
+            for n, m in enumerate(html_extract.common_lines(keys, found[near][1]) if near else []):
+                stands = sum(keys[n] in g for g in texts)
+                least = [(0, 0), (0, 0), (html_extract.SITE_PAGES, html_extract.SITE_SHARE), (html_extract.ARTICLE_PAGES, html_extract.ARTICLE_SHARE)][guards[n]]
+                goes[n] |= m and stands >= least[0] and stands >= least[1] * len(texts)
+        out.append((row[0], "\n\n".join(x for (x, s, _), g in zip(lines, goes) if s != html_extract.DROP and not g), sum(goes)))
+    return sorted(map(str, out))
+
+
+def test_query_against_brute_force(spark, small):
+    df = spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url", "html")
+    assert sorted(str((r.page_id, r.text, r.n_shared)) for r in queries.op1_html_extract(spark, small).collect()) == brute([tuple(r) for r in df.collect()], df)
+
+
+def test_comparison_decides(spark):
+    """Where there is no article the menu goes as neighbours have it; a line of all articles goes too; alone, a page keeps both."""
+    page = lambda k: f"<body><div>Menu</div><div>Story {k}</div></body>" if k < 20 else f"<nav>{k}</nav><article><p>Story {k}</p><p>Tell your friends</p></article>"
+    rows = [(k, f"http://{'open' if k < 20 else 'article'}.example/p/{k}", page(k)) for k in range(10, 30)]
+    rows += [(100 + k, f"http://{k}.example/p", page(k)) for k in (10, 20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in html_extract.extract(df).collect()}
+    assert sorted(str((i, r.text, r.n_shared)) for i, r in got.items()) == brute(rows, df)
+    assert all(got[k].text == f"Story {k}" and got[k].n_shared == (1 if k < 20 else 2) and got[k].n_marked == 0 for k in range(10, 30))
+    assert got[110].text == "Menu\n\nStory 10" and got[120].text == "Story 20\n\nTell your friends" and got[120].n_marked == 1
+
+
 def pages(spark):
     body = lambda k: f"<html><body><div>Menu of the site</div><div>Story {k} is told here</div><div>All rights reserved</div></body></html>"
     rows = [(i, f"https://h.example/a/{i}", body(i)) for i in range(40)] + [(100, None, None), (101, None, PAGE), (102, "https://alone.example/x", body(9)), (103, "https://h.example/a/7", body(7)), (None, "nonsense", "<p>text</p>"), (104, "https://h.example/a/7", body(7)), (104, "https://h.example/a/7", body(7))]
@@ -63,7 +141,7 @@ def test_copies_and_shared_passages_keep_their_text(spark):
         for n in ("1", "5"):
             spark.conf.set("spark.sql.shuffle.partitions", n)
             got = {r.page_id: r for r in html_extract.extract(df).collect()}
-            assert all(got[i].text == f"Story {i}" + (f"\n\n{passage}" if i in (4, 5) else "") for i in range(8)) and got[4].n_shared == 3
+            assert all(got[i].text == f"Story {i}" + (f"\n\n{passage}" if i in (4, 5) else "") for i in range(8)) and got[4].n_shared == 2
             assert all("Story 3" in got[20 + i].text and got[20 + i].n_shared == 0 for i in range(4))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
