@@ -51,9 +51,8 @@ FRAME, SHORT, LONG, ARTICLE = 0, 1, 2, 3  # what a neighbour that has the line t
 
 #: An OPEN line of so many characters is taken for prose: that a neighbour has it too doesn't delete it.
 PROSE = 60
-#: It is the site's where it stands on so many different pages of its host, and on so large a share of them; a line of an article on more.
+#: It is the site's where it stands on so many different pages of its host, and on so large a share of them.
 SITE_PAGES, SITE_SHARE = 3, 0.5
-ARTICLE_PAGES, ARTICLE_SHARE = 5, 0.8
 #: Parts of a host where its pages meet its lines.
 SALTS = 16
 #: The rows of bits of a common subsequence are held up to this many; longer pages are halved first.
@@ -148,7 +147,7 @@ def key_of(line: str, state: int, place: int) -> int:
 
 
 def guard_of(line: str, state: int) -> int:
-    """FRAME, SHORT: a line that goes where a neighbour has it. LONG (prose), ARTICLE: it goes only as a line of the whole site."""
+    """FRAME, SHORT: a line that goes where a neighbour has it. LONG (prose): it goes only as a line of the whole site. ARTICLE: it stays."""
     return ARTICLE if state == KEEP else FRAME if state == DROP else LONG if len(line) >= PROSE else SHORT
 
 
@@ -230,20 +229,24 @@ def line_hashes(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> D
             yield pd.DataFrame({"keys": [[key_of(*x) for x in found] for found in lines], "guards": [[guard_of(x[0], x[1]) for x in found] for found in lines]})
 
     url = F.col(url_col).cast("string")
-    slim = pages.select(page_key(id_col, url_col, html_col).alias("rid"), url_host(url).alias("host"), url_path(url).alias("path"), hashes(F.col(html_col).cast("string")).alias("h"))
-    of = lambda least: F.transform(F.filter(F.arrays_zip("h.keys", "h.guards"), lambda x: x["guards"] >= least), lambda x: x["keys"])
-    digest = F.xxhash64(of(SHORT))  # without the frame, which may change from copy to copy
-    return materialize(slim.dropDuplicates(["rid"]).select("rid", "host", "path", "h.*", F.array_distinct(of(LONG)).alias("guarded"), digest.alias("digest")), "hashes")
+    slim = pages.select(page_key(id_col, url_col, html_col).alias("rid"), url_host(url).alias("host"), url_path(url).alias("path"), hashes(F.col(html_col).cast("string")).alias("lines"))
+    digest = F.xxhash64(keys_of("lines", f">= {SHORT}"))  # without the frame, which may change from copy to copy
+    return materialize(slim.dropDuplicates(["rid"]).select("rid", F.xxhash64("host").alias("h"), "host", "path", F.col("lines.keys").alias("keys"), F.col("lines.guards").alias("guards"), digest.alias("digest")), "hashes")
+
+
+def keys_of(struct: str, guard: str) -> Column:
+    """The keys of the lines whose guard fits."""
+    dot = f"{struct}." if struct else ""
+    return F.expr(f"transform(filter(arrays_zip({dot}keys, {dot}guards), x -> x.guards {guard}), x -> x.keys)")
 
 
 def site_lines(hashes: DataFrame) -> DataFrame:
-    """host, site, article: the guarded lines on most of a host's pages, and those on nearly all of them; pages of equal text count once. Hosts without such lines have no row."""
-    keyed = hashes.select(F.xxhash64("host").alias("h"), "host", "digest", "guarded")
-    sizes = keyed.select("h", "host", "digest").distinct().groupBy("h").agg(F.count("*").alias("pages"), F.first("host").alias("host"))
-    stands = keyed.select("h", "digest", F.explode("guarded").alias("line")).distinct().groupBy("h", "line").agg(F.count("*").alias("n"))
+    """h (a hash of the host), site: the prose lines on most of a host's pages; pages of equal text count once. Hosts without such lines have no row."""
+    prose = hashes.select("h", "digest", F.array_distinct(keys_of("", f"= {LONG}")).alias("prose"))
+    sizes = hashes.select("h", "digest").distinct().groupBy("h").agg(F.count("*").alias("pages"))
+    stands = prose.select("h", "digest", F.explode("prose").alias("line")).distinct().groupBy("h", "line").agg(F.count("*").alias("n"))
     often = stands.filter(F.col("n") >= SITE_PAGES).join(sizes, "h").filter(F.col("n") >= SITE_SHARE * F.col("pages"))
-    nearly_all = F.when((F.col("n") >= ARTICLE_PAGES) & (F.col("n") >= ARTICLE_SHARE * F.col("pages")), F.col("line"))
-    return often.groupBy("host").agg(F.collect_list("line").alias("site"), F.collect_list(nearly_all).alias("article"))  # on most pages, so not many more than a page has
+    return often.groupBy("h").agg(F.collect_list("line").alias("site"))  # on most pages, so not many more than a page has
 
 
 def nearest(hashes: DataFrame) -> DataFrame:
@@ -321,7 +324,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     a longest common subsequence, are deleted (n_shared). What stands in menus, footers, adverts and all else around an
     article is compared by its place in the markup, as its words change from page to page; all other lines by their text.
     Pages of equal text are no neighbours, so copies keep theirs. Prose that a neighbour has too goes only where it
-    stands on most of the host's pages, a line inside an article only where it stands on nearly all, as pages share passages.
+    stands on most of the host's pages, and a line inside an article or main element never, as articles share passages.
     Then the markup has a second opinion on the lines that the comparison left (n_marked): one in a menu, header, footer, form,
     advert or comment goes even where no neighbour has it, as on a host of one page. Blocks are joined by two line ends.
 
@@ -331,37 +334,38 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     ship(pages.sparkSession)
     hashes = line_hashes(pages, id_col, url_col, html_col)
-    # A host may hold most of the pages, so its few lines are met in several parts.
+    # A host may hold most of the pages, so its few lines are met in several parts; pages of other hosts have no row here.
     sites = site_lines(hashes).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = hashes.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int"))
-    none = F.array().cast("array<long>")
-    own = salted.join(sites, ["host", "salt"], "left").select("rid", "keys", "guards", F.coalesce("site", none).alias("site"), F.coalesce("article", none).alias("article"))
+    slim = hashes.select("rid", "h", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int").alias("salt"))
+    own = hashes.select("rid", "keys", "guards").join(slim.join(sites, ["h", "salt"]).select("rid", "site"), "rid", "left")
     others = hashes.select(F.col("rid").alias("other"), F.col("keys").alias("other_keys"))
 
     @F.pandas_udf("array<boolean>")
-    def differ(a: pd.Series, b: pd.Series, guards: pd.Series, site: pd.Series, article: pd.Series) -> pd.Series:
-        def one(x, y, guard, often, nearly_all):
-            site = {LONG: set(often), ARTICLE: set(nearly_all)}
-            return [m and (g < LONG or k in site[g]) for m, k, g in zip(common_lines(x, list(y)), x, guard)]
+    def differ(a: pd.Series, b: pd.Series, guards: pd.Series, site: pd.Series) -> pd.Series:
+        def one(x, y, guard, often):
+            prose = set(often) if often is not None else ()
+            return [m and (g < LONG or g == LONG and k in prose) for m, k, g in zip(common_lines(x, list(y)), x, guard)]
 
-        return pd.Series([one(list(x), y, g, s, t) for x, y, g, s, t in zip(a, b, guards, site, article)])
+        return pd.Series([one(list(x), y, g, s) for x, y, g, s in zip(a, b, guards, site)])
 
-    masks = nearest(hashes).join(others, "other").join(own, "rid").select("rid", differ("keys", "other_keys", "guards", "site", "article").alias("d"))
+    masks = nearest(hashes).join(others, "other").join(own, "rid").select("rid", differ("keys", "other_keys", "guards", "site").alias("d"))
     either = F.aggregate(F.slice("ds", 2, 1), F.element_at("ds", 1), lambda x, y: F.zip_with(x, y, lambda p, q: p | q))
     masks = materialize(masks.groupBy("rid").agg(F.collect_list("d").alias("ds")).select("rid", either.alias("shared")), "masks")  # two neighbours at most
 
-    @F.pandas_udf("lines array<string>, places array<int>, n_lines long")
+    @F.pandas_udf("text string, places array<int>, n_lines long")
     def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             found = [[(i, x[0], x[1]) for i, x in enumerate(lines_of(t))] for t in texts]
             some = [[x for x in f if x[2] != DROP] for f in found]  # what the markup drops goes no further
-            yield pd.DataFrame({"lines": [[x[1] for x in f] for f in some], "places": [[x[0] for x in f] for f in some], "n_lines": [len(f) for f in found]})
+            yield pd.DataFrame({"text": ["\n\n".join(x[1] for x in f) for f in some], "places": [[x[0] for x in f] for f in some], "n_lines": [len(f) for f in found]})
 
     parsed = pages.select(page_key(id_col, url_col, html_col).alias("rid"), F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), parse(F.col(html_col).cast("string")).alias("p"))
     # The masks have a row for each page, so they are never broadcast, at any size.
     joined = parsed.join(masks.hint("merge"), "rid", "left").select("page_id", "url", "p.*", F.coalesce("shared", F.array().cast("array<boolean>")).alias("shared"))
-    stays = F.filter("lines", lambda line, i: ~F.coalesce(F.get("shared", F.get("places", i)), F.lit(False)))
+    goes = lambda i: F.coalesce(F.get("shared", F.get("places", i)), F.lit(False))
+    stays = F.filter(F.split("text", "\n\n"), lambda line, i: ~goes(i))  # a line holds no line end
+    some_go = F.exists("places", lambda p: F.coalesce(F.get("shared", p), F.lit(False)))
     n_shared = F.size(F.filter("shared", lambda x: x)).cast("long")
-    out = joined.select("page_id", "url", stays.alias("stays"), "n_lines", n_shared.alias("n_shared"))
-    text = F.array_join("stays", "\n\n")
-    return out.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), "n_lines", "n_shared", (F.col("n_lines") - F.col("n_shared") - F.size("stays")).alias("n_marked"))
+    n_kept = F.size(F.filter("places", lambda p: ~F.coalesce(F.get("shared", p), F.lit(False))))
+    out = joined.select("page_id", "url", F.when(some_go, F.array_join(stays, "\n\n")).otherwise(F.col("text")).alias("text"), "n_lines", n_shared.alias("n_shared"), n_kept.alias("n_kept"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_shared", (F.col("n_lines") - F.col("n_shared") - F.col("n_kept")).alias("n_marked"))
