@@ -97,3 +97,9 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name)
         out.append(name)
     return out
+
+
+def new_column(df: DataFrame, name: str) -> None:
+    """Raises where df has the column already, whatever its case, as the result would overwrite it."""
+    if name.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"the table has a column {name} already; name another one for the result")

@@ -14,12 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, fresh, materialize, ship
+from .common import fold, fresh, materialize, new_column, ship
 
 #: Labelled rows that the lexicon is learned from, drawn by hash; the only sample here.
 TRAIN_ROWS = 20_000
-#: Most terms of a lexicon.
-MAX_TERMS = 5_000
+#: Longer words are no terms; this bounds the depth of the trie.
+LONGEST = 48
+#: So many clean or toxic uses, dealt as the labels are, stand against what the misspellings show.
+NEAR_PRIOR = 2.0
 #: Min-hashes of a training text.
 SIGNATURES = 8
 STEM_LENGTHS = (3, 4, 5, 6, 7, 8)
@@ -57,7 +59,8 @@ class Lexicon:
     shorter words and stems match as they are. A dense stem counts where its words cluster only.
     """
 
-    def __init__(self, words: list[str], stems: list[str], dense: list[str] = ()):
+    def __init__(self, words: list[str], stems: list[str], dense: list[str] = (), seen: set[str] = frozenset()):
+        self.seen = seen
         self.words, self.stems = set(words), dict.fromkeys(stems, "stem") | dict.fromkeys(dense, "dense")
         self.root: dict = {}
         for w in words:
@@ -94,14 +97,14 @@ class Lexicon:
         return sorted(found)
 
     def find(self, word: str) -> tuple[str, str] | None:
-        """(term, kind) of a word: kind is word, stem, dense or near; of several near terms the first counts."""
+        """(term, kind) of a word: kind is word, stem, dense or near; of several near terms the first counts, a misspelling that was seen stands for itself."""
         if word in self.words:
             return word, "word"
         for n in self.lengths:
             if len(word) > n and word[:n] in self.stems:
                 return word[:n], self.stems[word[:n]]
         if 5 <= len(word) <= self.longest + 1 and (word[:2] in self.heads or word[-2:] in self.tails) and (near := self.near(word)):
-            return near[0], "near"
+            return word if word in self.seen else near[0], "near"
         return None
 
 
@@ -109,12 +112,17 @@ class Lexicon:
 class Model:
     """weights: by (term, kind). prior: log odds without hits. context: factors of a weight."""
 
-    weights: dict[tuple[str, str], float] = field(default_factory=dict)
+    weights: dict[tuple[str, str], float] = field(default_factory=dict)  # kind near: of a term's misspellings, or of one misspelling that was seen
     prior: float = -2.0
     context: dict[str, float] = field(default_factory=lambda: {"quoted": 0.2, "plain": 1.0, "addressed": 1.2})
 
     def lexicon(self) -> Lexicon:
-        return Lexicon(*(sorted({t for t, k in self.weights if k == kind}) for kind in ("word", "stem", "dense")))
+        return Lexicon(*(sorted({t for t, k in self.weights if k == kind}) for kind in ("word", "stem", "dense")), seen={t for t, k in self.weights if k == "near"})
+
+    def without(self, *parts: str) -> Model:
+        """The same model without misspellings ("near") or with every context alike ("context")."""
+        weights = {k: w for k, w in self.weights.items() if "near" not in parts or k[1] != "near"}
+        return Model(weights, self.prior, dict.fromkeys(self.context, 1.0) if "context" in parts else dict(self.context))
 
 
 class Matcher:
@@ -200,14 +208,14 @@ def _distinct(train: DataFrame) -> DataFrame:
     return train.join(gone, "i", "left_anti").dropDuplicates(["i", "t"]).select("y", "t")
 
 
-def _choose(candidates: list, most: int = MAX_TERMS) -> dict[tuple[str, str], object]:
+def _choose(candidates: list) -> dict[tuple[str, str], object]:
     """The terms with the strongest evidence that don't cover each other: a stem stands for all words that begin with it."""
     chosen: dict[tuple[str, str], object] = {}
     stems: set[str] = set()
     begins: set[str] = set()
     for r in sorted(candidates, key=lambda r: (-r.evidence, r.kind != "word", -len(r.term), r.term)):
         covered = any(r.term[:n] in stems for n in STEM_LENGTHS if n <= len(r.term))
-        if covered or r.kind != "word" and r.term in begins or len(chosen) == most:
+        if covered or r.kind != "word" and r.term in begins:
             continue
         chosen[r.term, r.kind] = r
         begins.update(r.term[:n] for n in STEM_LENGTHS if n <= len(r.term))
@@ -216,13 +224,35 @@ def _choose(candidates: list, most: int = MAX_TERMS) -> dict[tuple[str, str], ob
     return chosen
 
 
+def near_weights(weights: dict[tuple[str, str], float], seen: list, toxic: int, clean: int) -> dict[tuple[str, str], float]:
+    """Weights of the misspellings of each term, and of those seen; seen: rows term (a word one edit from a term), y and n documents.
+
+    A word that is near a term by chance occurs in clean texts as often as in toxic ones. What a misspelling never seen
+    is worth is told by those seen in one document only: their log odds, against NEAR_PRIOR uses dealt as the labels
+    are. One seen more often has its own odds against those. None weighs more than its term or less than nothing.
+    """
+    count: dict[str, list[int]] = {}
+    for r in seen:
+        count.setdefault(r.term, [0, 0])[r.y] += r.n
+    once = [sum(c[y] for c in count.values() if sum(c) == 1) for y in (0, 1)]
+    share = toxic / (toxic + clean)
+    bad, good = once[1] + NEAR_PRIOR * share, once[0] + NEAR_PRIOR * (1 - share)
+    unseen = math.log(bad / good) - math.log(toxic / clean)
+    out = {(t, "near"): max(0.0, min(w, unseen)) for (t, kind), w in weights.items() if kind == "word"}
+    for word, (n0, n1) in count.items():
+        if n0 + n1 > 1:
+            own = math.log((n1 + NEAR_PRIOR * bad / (bad + good)) / (n0 + NEAR_PRIOR * good / (bad + good))) - math.log(toxic / clean)
+            out[word, "near"] = max(0.0, min(6.0, own))
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Model:
     """Learn terms, weights and the worth of contexts from labelled rows outside the held-out fold.
 
     Terms and weights come from document counts by label, near copies counted once. A term is a word, a
     stem, or a stem of which several words cluster (a lone one may begin alike by chance). It is
     taken if its likelihood ratio against the share of toxic rows is beyond what the best of all
-    terms would show by chance; its weight is its log odds. Labels that are neither 0 nor 1 are left
+    terms would show by chance; its weight is its log odds. The lexicon has all such terms of the sample. Labels that are neither 0 nor 1 are left
     out; of contrary labels 1 counts. Without labelled rows there are no terms and all scores are low.
     """
     ship(docs.sparkSession)
@@ -244,7 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             count: Counter = Counter()
             for y, text in zip(batch["y"], batch["t"]):
                 words = Counter(words_of(text))
-                count.update((w, "word", y) for w in words if len(w) > 2)
+                count.update((w, "word", y) for w in words if 2 < len(w) <= LONGEST)
                 for n in STEM_LENGTHS:
                     uses = Counter({(w[:n], w): k for w, k in words.items() if len(w) > n})
                     count.update((s, "stem", y) for s in {s for s, _ in uses})
@@ -259,39 +289,40 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     evidence = F.col("bad") * F.log(of_all / share) + F.when(F.col("good") > 0, F.col("good") * F.log((1 - of_all) / (1 - share))).otherwise(0.0)
     odds = F.log((F.col("bad") + 0.5) / (toxic + 1)) - F.log((F.col("good") + 0.5) / (clean + 1))
     strong = counts.filter("bad >= 3").withColumns({"evidence": evidence, "w": odds}).filter((F.col("w") >= 3) & (F.col("evidence") > beyond_chance))
-    chosen = _choose(strong.orderBy(F.desc("evidence"), "term", "kind").limit(4 * MAX_TERMS).collect())
-    words = {t: r for (t, kind), r in chosen.items() if kind == "word"}
+    chosen = _choose(strong.collect())
     model.weights = {k: r.w for k, r in chosen.items()}
 
     sent = train.sparkSession.sparkContext.broadcast(model)
 
     def uses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(sent.value.lexicon())
+        lexicon = sent.value.lexicon()
+        matcher = Matcher(lexicon)
         for batch in batches:
             count: Counter = Counter()
             for y, text in zip(batch["y"], batch["t"]):
-                count.update((t, k, c, y) for t, k, c in set(matcher.occurrences(text)))
+                count.update((t, k, c, y) for t, k, c in set(matcher.occurrences(text)) if k != "near")
+                count.update((w, "near", "", y) for w in set(words_of(text)) if matcher.hits.get(w, ("", ""))[1] == "near")
             yield pd.DataFrame([(*k, n) for k, n in count.items()], columns=["term", "kind", "context", "y", "n"])
 
     seen = train.select("y", "t").mapInPandas(uses, "term string, kind string, context string, y int, n long").groupBy("term", "kind", "context", "y").agg(F.sum("n").alias("n")).collect()
-    for term, _ in [k for k in model.weights if k[1] == "word"]:
-        of = lambda y, term=term: sum(r.n for r in seen if (r.term, r.kind, r.y) == (term, "near", y))
-        exact = model.weights[term, "word"]
-        # Prior evidence: misspellings as rare as one in fifty toxic uses of the term, and no clean one.
-        near = math.log((of(1) + 0.02 * words[term].bad + 0.05) / (toxic + 1)) - math.log((of(0) + 0.05) / (clean + 1))
-        if near >= 1:
-            model.weights[term, "near"] = min(exact, near)
+    model.weights |= near_weights(model.weights, [r for r in seen if r.kind == "near"], toxic, clean)
     for where in ("quoted", "addressed"):
         of = lambda y, where=where: sum(r.n for r in seen if (r.context, r.y) == (where, y) and r.kind != "near")
         if of(0) + of(1) >= 20:  # enough uses to learn what the context is worth
             gain = math.log((of(1) + 0.5) / (toxic + 1)) - math.log((of(0) + 0.5) / (clean + 1))
-            mean = sum(r.w for r in words.values()) / max(1, len(words)) or 1.0
+            exact = [w for (_, kind), w in model.weights.items() if kind == "word"]
+            mean = sum(exact) / max(1, len(exact)) or 1.0
             model.context[where] = min(1.2, max(0.2, gain / mean))
     return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", to: str = "toxicity") -> DataFrame:
-    """docs with the chance of label 1 in ``to``; null and empty texts get that of a text without hits."""
+    """docs with the chance of label 1 in the new column ``to``, which docs must not have (ValueError).
+
+    Null and empty texts get the chance of a text without hits. Repeated rows each give a row, an empty table an empty
+    result. A text is scored whole; what is held besides it is its words and their hits.
+    """
+    new_column(docs, to)
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

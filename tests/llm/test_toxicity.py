@@ -1,7 +1,10 @@
 """Toxicity: the automaton against edit distances, held-out accuracy, contexts, odd tables."""
 
 import itertools
+import random
+from collections import Counter
 
+import pytest
 from cases import docs, none, texts
 from pyspark.sql import functions as F
 
@@ -44,13 +47,73 @@ def test_quotation_scores_lower():
     assert score(None) == score("")
 
 
-def test_held_out_accuracy(spark):
-    folder = "/root/testdata/sf0.1"
-    labels = spark.read.parquet(f"{folder}/labels.parquet")
-    r = queries.op6_toxicity(spark, folder).filter("held_out").join(labels, "doc_id").toPandas()
-    bad, good = r[r.toxic == 1], r[r.toxic == 0]
-    assert (bad.predicted == 1).mean() > 0.85 and (good.predicted == 0).mean() > 0.95
-    assert r.score.between(0, 1).all()
+PARTS = {"whole": (), "no near": ("near",), "no context": ("context",), "neither": ("near", "context")}
+
+
+def cross_validate(spark, folder, folds):
+    """For each variant the toxic and other documents of the folds, and how many of either are marked; fold 0 is never looked at."""
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    out = {name: Counter() for name in PARTS}
+    for k in folds:
+        model = toxicity.fit(docs, labels.filter(fold(F.col("doc_id")) != k))
+        left = docs.join(labels.select("doc_id", "toxic"), "doc_id").filter((fold(F.col("doc_id")) == k) & F.col("toxic").isin(0, 1)).select("doc_id", "text", "toxic").cache()
+        for name, parts in PARTS.items():
+            for r in toxicity.score(left, model.without(*parts), to="s").groupBy("toxic").agg(F.count("*").alias("n"), F.sum((F.col("s") >= 0.5).cast("int")).alias("marked")).collect():
+                out[name].update({("toxic" if r.toxic else "others", "all"): r.n, ("toxic" if r.toxic else "others", "marked"): r.marked})
+        left.unpersist()
+    return out
+
+
+def test_each_part_earns_its_place(spark):
+    got = cross_validate(spark, "/root/testdata/sf0.1", (1, 2))
+    errors = {name: c["toxic", "all"] - c["toxic", "marked"] + c["others", "marked"] for name, c in got.items()}
+    c = got["whole"]
+    assert c["toxic", "marked"] > 0.85 * c["toxic", "all"] and c["others", "marked"] < 0.05 * c["others", "all"]
+    assert errors["whole"] <= min(errors.values())
+
+
+def planted(spark):
+    """Prose in which toxic documents hold one of three terms, some misspelled, and clean ones quote them."""
+    rng, prose = random.Random(4), texts(900, seed=8)
+    terms = ["grumbolt", "snarvik", "plodwick"]
+
+    def wrong(w):
+        i, c = rng.randrange(3), rng.choice("abcdefhijkmnoqtuvwxyz")  # none of the first letters
+        return rng.choice([w[:i] + c + w[i + 1 :], w[:i] + c + w[i:]])
+
+    rows = []
+    for i, t in enumerate(prose):
+        term = terms[i % 3]
+        kind = "clean" if i < 585 else "quoted" if i < 600 else "wrong" if i < 700 else "toxic"
+        said = {"clean": "you", "quoted": f'you and they said the word "{term}" is old', "wrong": f"you {wrong(term)}", "toxic": f"you {term}"}[kind]
+        rows.append((i, f"{t} {said} {t[::-1]}", int(kind in ("wrong", "toxic")), kind))
+    return spark.createDataFrame(rows, "doc_id long, text string, toxic int, kind string")
+
+
+def test_misspellings_need_the_automaton_and_quotations_the_context(spark):
+    df = planted(spark)
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    held = df.filter(fold(F.col("doc_id")) == 0)
+    share = {}
+    for name, parts in PARTS.items():
+        for r in toxicity.score(held, model.without(*parts), to="s").groupBy("kind").agg(F.avg((F.col("s") >= 0.5).cast("int")).alias("m")).collect():
+            share[name, r.kind] = r.m
+    assert share["whole", "wrong"] > 0.9 and share["no near", "wrong"] == 0
+    assert share["whole", "toxic"] == 1 and share["whole", "clean"] == share["whole", "quoted"] == 0 and share["no context", "quoted"] > 0.9
+
+
+def test_new_column_is_not_overwritten(spark):
+    with pytest.raises(ValueError):
+        toxicity.score(docs(spark), toxicity.Model(), to="Found")
+
+
+def test_long_words_are_no_terms(spark):
+    word = "x" * 2000
+    rows = [(i, f"{word} {t}" if i < 60 else t) for i, t in enumerate(texts(200, seed=6))]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i < 60)) for i in range(200)], "doc_id long, toxic int"))
+    assert all(len(t) <= toxicity.LONGEST for t, _ in model.weights)
+    matcher = toxicity.Matcher(toxicity.Lexicon(["y" * toxicity.LONGEST], []))
+    assert matcher.occurrences(f"{word} {'y' * (toxicity.LONGEST + 1)}")[0][1] == "near"
 
 
 def test_odd_tables(spark):
@@ -69,8 +132,6 @@ def test_odd_tables(spark):
 
 
 def test_dense_stems():
-    from collections import Counter
-
     two = Counter({("abc", "abcd"): 1, ("abc", "abce"): 1, ("xyz", "xyzd"): 9})
     assert toxicity.dense_stems(two, 2 * toxicity.DENSE) == {"abc"}
     assert toxicity.dense_stems(two, 2 * toxicity.DENSE + 1) == set()
