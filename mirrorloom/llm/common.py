@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ROOTS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_TABLES: dict[int, tuple] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -54,8 +56,11 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def _clear(spark: SparkSession, root: str) -> None:
-    """Remove the written tables when the driver ends; a session that has ended already is left alone."""
+    """Remove the written tables when the driver ends; of a session that was stopped before, those in a mounted folder."""
     if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+        scheme, _, rest = root.rpartition(":")
+        if scheme in ("", "file"):
+            shutil.rmtree(rest, ignore_errors=True)
         return
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -70,7 +75,17 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _TABLES[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` wrote, once all that reads them is written."""
+    for df in tables:
+        known, path = _TABLES.pop(id(df), (lambda: None, ""))
+        if known() is df:
+            _clear(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,11 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, ship
+from .common import fresh, materialize, new_column, ship
 
 WINDOW = 10
-#: An automaton takes about this many bytes of windows; more items are dealt over several automata.
-MAX_AUTOMATON_BYTES = 32 << 20
+#: An automaton takes about this many bytes of windows, some 350 MB of a Python worker; more items are dealt over several automata.
+MAX_AUTOMATON_BYTES = 8 << 20
 
 # Every byte that is no word character becomes a space, A-Z become a-z; bytes over 0x7F stay.
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -100,7 +100,7 @@ def _unite(parts: list[dict], text: str | None) -> tuple[int, int, list[str], li
     """What several automata found in one text."""
     spans: list[list[int]] = []
     for a, b in sorted((s["begin"], s["end"]) for p in parts for s in p["spans"]):
-        if spans and a <= spans[-1][1]:
+        if spans and (a <= spans[-1][1] or not words_of(text[spans[-1][1] : a])):  # no word lies between them
             spans[-1][1] = max(spans[-1][1], b)
         else:
             spans.append([a, b])
@@ -115,13 +115,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, to: str = "found",
     window is ``width`` consecutive words of an item; an item of fewer words is one window,
     one without words, text or identifier none. A document word is hit inside any occurrence
     of a window. Null and empty texts have no words. Repeated rows each give a row, repeated
-    items count once. An empty benchmark hits nothing.
+    items count once. An empty benchmark hits nothing, an empty table gives an empty result. ``to`` must be
+    a new column (ValueError). One text's words are held at a time; its spans are the same for any number of automata.
 
     What is broadcast is bounded: one automaton takes windows of ``max_bytes`` at most. The
     items of a larger benchmark are dealt over several automata by hash; the texts are then
     scanned once for each, the findings written, and united by identifier of text and row.
     """
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).dropna().distinct()
+    new_column(docs, to)
     total = items.agg(F.sum(F.octet_length("t") * width)).first()[0] or 0
     n = max(1, -(-int(total) // max_bytes))
     take = lambda part: [(r.i, r.t) for r in part.toLocalIterator()]

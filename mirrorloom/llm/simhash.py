@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, ship
+from .common import forget, fresh, materialize, ship
 
 SHINGLE, RADIUS = 3, 2
 
@@ -67,7 +67,8 @@ def ball_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     if radius < 0 or radius % 2:
         raise ValueError("the radius must be even: variants then meet within the radius")
     flips = "flatten(transform(v, x -> transform(sequence(0, 63), i -> x ^ shiftleft(1L, i))))"
-    balls = fps.select("fp", F.array("fp").alias("v"))
+    # Dealt out before they grow 65-fold, so that no task emits more than its part.
+    balls = fps.repartition("fp").select("fp", F.array("fp").alias("v"))
     for _ in range(radius // 2):
         balls = balls.select("fp", F.array_distinct(F.concat("v", F.expr(flips))).alias("v"))
     emitted = balls.select("fp", F.explode("v").alias("variant"))
@@ -88,9 +89,11 @@ def components(links: DataFrame) -> DataFrame:
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = materialize(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        forget(star, least)
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         star = materialize(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "small")
+        forget(large, least)
         now = tuple(star.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u, 1))")).first())
         if now == seen:
             roots = star.select(F.col("v").alias("node")).distinct()

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import new_column, ship
 
 #: A text of more characters is encoded in chunks of so many, which overlap.
 CHUNK, OVERLAP = 65_536, 512
@@ -91,13 +91,15 @@ def count_huge(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP,
 
 
 def count_tokens(docs: DataFrame, tokenizer_file: str, text_col: str = "text", to: str = "n_tokens", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """docs with the number of tokens in ``to``, as the tokenizers library gives it for the file.
+    """docs with the number of tokens in the new column ``to`` (ValueError if docs has it), as the tokenizers library gives it for the file.
 
     No begin, end or added special tokens; the strings of special tokens inside texts count
     as the library takes them by default. Null and empty texts have none. The file's content
     (a few MB, whatever the data) is broadcast. Texts of up to ``chunk`` characters are
     encoded in batches, longer ones in overlapping chunks, so memory is bounded by the batch.
+    Repeated rows each give a row, an empty table an empty result.
     """
+    new_column(docs, to)
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_file).read_text(encoding="utf-8"))
 

@@ -60,7 +60,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], listed: DataFram
     renamed source_<name>.
 
     The list may be of any size: its filter has BITS_PER_KEY bits for each key and is broadcast
-    only if it is smaller than max_broadcast, else joined by block. Pages that miss
+    only if it is smaller than max_broadcast, else joined by block (pages without key stay spread as they were read). Pages that miss
     go no further; possible hits meet the list in an exact join, which removes false positives.
     """
     new = ("host", "path", "rule", "verdict", "listed")
@@ -84,7 +84,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], listed: DataFram
     if n_blocks * BLOCK_BITS // 4 <= max_broadcast:  # eight longs and the number of the block in memory
         blocks = F.broadcast(blocks)
     h = F.xxhash64(key)
-    probed = judged.withColumn(block, F.when(F.col(key).isNotNull(), _block(h, n_blocks))).join(blocks, block, "left")
+    probed = judged.withColumn(block, F.when(F.col(key).isNotNull(), _block(h, n_blocks)).otherwise(-1 - F.spark_partition_id())).join(blocks, block, "left")
     maybe = F.lit(True)
     for i in range(8):
         maybe = maybe & (F.col(word[i]).bitwiseAND(_bit(h, i)) != 0)

@@ -182,6 +182,8 @@ def test_verdicts(spark):
         got = {r.page_id: r for r in out.collect()}
         assert {k: r.verdict for k, r in got.items()} == want and got[3].rule == "example.com/en/7" and got[5].rule == "example.net/de/8"
         assert (got[8].host, got[8].path) == ("", "") and got[13].host == "h" and got[0].source_host == "h"
+        many = pages.unionByName(spark.range(2000).selectExpr("id + 100 as page_id", "cast(null as string) as url", "'h' as host", "1 as key"))
+        assert url_filter.filter_urls(many, queries.URL_RULES, listed, max_broadcast=most).filter("page_id >= 100 and verdict = 'allow' and host = ''").count() == 2000
     assert url_filter.filter_urls(pages.limit(0), queries.URL_RULES, listed).count() == 0
     assert url_filter.filter_urls(pages, [], listed.limit(0)).filter("verdict = 'block'").count() == 0
 
