@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..rng import integer
 
 # The formats that are tried, in this order.
-FORMATS = ["yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "yyyy/MM/dd", "dd-MM-yyyy", "MM-dd-yyyy", "yyyyMMdd", "dd.MM.yyyy"]
+FORMATS = ["MM/dd/yyyy", "dd/MM/yyyy", "yyyy-MM-dd", "MM-dd-yyyy", "dd-MM-yyyy", "yyyy/MM/dd", "MM/dd/yy", "dd/MM/yy"]
 
 
 def parse(c: Column, formats: list[str] = FORMATS) -> Column:
@@ -25,6 +25,11 @@ def detect_format(df: DataFrame, col: str) -> DataFrame:
     return one.select(name.alias("format"), (best["hits"] / F.col("n")).alias("share"))
 
 
+def in_format(c: Column, format: str) -> Column:
+    """Dates written in a format, as the one that ``detect_format`` finds; null stays."""
+    return F.date_format(c, format)
+
+
 def valid_range(c: Column, low: str = "1900-01-01", high: str = "2100-01-01") -> Column:
     """Dates outside the range become null."""
     return F.when(c.between(F.lit(low).cast("timestamp_ntz"), F.lit(high).cast("timestamp_ntz")), c)

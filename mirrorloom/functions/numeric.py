@@ -37,14 +37,22 @@ def life_stage(c: Column, stages: list[tuple[int, str]] = LIFE_STAGES, end: int
 
 
 def generalize(df: DataFrame, col: str, to: str, levels: int = 3) -> DataFrame:
-    """df with the interval (lo, hi] of equal widths that a value lies in; the lowest is closed on both sides."""
+    """df with the interval (lo, hi] of equal widths that a value lies in.
+
+    The lowest edge is a thousandth of the range below the minimum. Edges are rounded to whole numbers,
+    or to as many digits (6 at most) as keep them apart, and written with one digit at least.
+    """
     x = number(col)
-    edges = df.agg(F.min(x).alias("lo_"), F.max(x).alias("hi_"))
-    width = (F.col("hi_") - F.col("lo_")) / levels
-    place = F.greatest(F.lit(0), F.least(F.lit(levels - 1), F.when(width > 0, F.ceil((x - F.col("lo_")) / width) - 1).otherwise(0)))
-    edge = lambda i: F.format_string("%.2f", F.col("lo_") + i * width)
-    label = F.concat(F.lit("("), edge(place), F.lit(", "), edge(place + 1), F.lit("]"))
-    return df.crossJoin(F.broadcast(edges)).withColumn(to, F.when(x.isNotNull(), label)).drop("lo_", "hi_")
+    ends = df.agg(F.min(x).alias("lo_"), F.max(x).alias("hi_"))
+    span = F.col("hi_") - F.col("lo_")
+    edges = [F.col("lo_") - 0.001 * span, *[F.col("lo_") + i * (span / levels) for i in range(1, levels + 1)]]
+    apart = lambda d: F.array_max(F.array(*[(F.bround(a, d) == F.bround(b, d)).cast("int") for a, b in zip(edges, edges[1:])])) == 0
+    texts = [F.array(*[F.format_string(f"%.{max(1, d)}f", F.bround(e, d)) for e in edges]) for d in range(7)]
+    written = F.coalesce(*[F.when(apart(d), texts[d]) for d in range(6)], texts[6])
+    table = ends.select("lo_", "hi_", written.alias("e_"))
+    place = F.greatest(F.lit(0), F.least(F.lit(levels - 1), F.when(span > 0, F.ceil((x - F.col("lo_")) / (span / levels)) - 1).otherwise(0))).cast("int")
+    label = F.concat(F.lit("("), F.get("e_", place), F.lit(", "), F.get("e_", place + 1), F.lit("]"))
+    return df.crossJoin(F.broadcast(table)).withColumn(to, F.when(x.isNotNull(), label)).drop("lo_", "hi_", "e_")
 
 
 def standardize(df: DataFrame, cols: list[str]) -> DataFrame:

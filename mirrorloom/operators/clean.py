@@ -12,10 +12,10 @@ from .profile import fences_row, number, numeric_columns, value_counts
 NULL_TOKENS = ["", "NULL", "null", "None", "none", "N/A", "n/a", "#N/A", "NaN", "nan"]
 
 
-def clean_frame(df: DataFrame, max_columns: int = 1000) -> DataFrame:
-    """Headers trimmed and on one line, null words as nulls, rows and columns without values dropped."""
+def clean_frame(df: DataFrame) -> DataFrame:
+    """Headers trimmed and on one line, null words as nulls, rows and columns without values dropped; any number of columns."""
     names = [c.strip().replace("\n", " ").replace("\r", " ") for c in df.columns]
-    df = df.toDF(*names).select(*[F.col(f"`{c}`") for c in names[:max_columns]])
+    df = df.toDF(*names).select(*[F.col(f"`{c}`") for c in names])
     texts = {f.name: F.when(~F.trim(F.col(f"`{f.name}`")).isin(NULL_TOKENS), F.trim(F.col(f"`{f.name}`"))) for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
     df = df.withColumns(texts).na.drop(how="all")
     counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns]).first()

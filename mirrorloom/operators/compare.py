@@ -95,14 +95,26 @@ def ks_wasserstein(original: DataFrame, synthetic: DataFrame, col: str, ranges:
 
 
 def numeric_similarity(original: DataFrame, synthetic: DataFrame, cols: list[str]) -> DataFrame:
-    """column, relative differences of mean, std and median (at most 1), and score: 1 - their mean."""
+    """column, the relative differences of mean, std, median and skewness (at most 1), the Wasserstein distance over the original's range, and score.
+
+    The score is the mean of 1 - the mean difference and 1 - that distance (at most 1).
+    """
     from .profile import numeric_profile
 
     a, b = numeric_profile(original, cols), numeric_profile(synthetic, cols)
-    j = a.select("column", *[F.col(c).alias(f"a_{c}") for c in ("mean", "std", "q50")]).join(F.broadcast(b.select("column", *[F.col(c).alias(f"b_{c}") for c in ("mean", "std", "q50")])), "column")
-    diff = lambda c: F.least(F.lit(1.0), F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) / F.greatest(F.abs(F.col(f"a_{c}")), F.lit(1e-10)))
-    d = [diff("mean"), diff("std"), diff("q50")]
-    return j.select("column", d[0].alias("mean_diff"), d[1].alias("std_diff"), d[2].alias("median_diff"), (1 - (d[0] + d[1] + d[2]) / 3).alias("score"))
+    named = ("mean", "std", "q50", "skewness")
+    j = a.select("column", (F.col("max") - F.col("min")).alias("range"), *[F.col(c).alias(f"a_{c}") for c in named]).join(F.broadcast(b.select("column", *[F.col(c).alias(f"b_{c}") for c in named])), "column")
+    apart = None
+    for c in cols:
+        own = ks_wasserstein(original, synthetic, c)
+        apart = own if apart is None else apart.unionByName(own)
+    j = j.join(F.broadcast(apart.select("column", "wasserstein")), "column", "left")
+    x = lambda side, c: F.coalesce(F.col(f"{side}_{c}"), F.lit(0.0)) if c == "skewness" else F.col(f"{side}_{c}")
+    diff = lambda c: F.least(F.lit(1.0), F.abs(x("a", c) - x("b", c)) / F.greatest(F.abs(x("a", c)), F.lit(1.0 if c == "skewness" else 1e-10)))
+    d = [diff(c) for c in named]
+    moved = F.least(F.lit(1.0), F.col("wasserstein") / F.greatest("range", F.lit(1e-10)))
+    score = 0.5 * (1 - sum(d[1:], d[0]) / len(d)) + 0.5 * (1 - moved)
+    return j.select("column", *[e.alias(f"{k}_diff") for k, e in zip(("mean", "std", "median", "skew"), d)], moved.alias("distance"), score.alias("score"))
 
 
 def correlation_similarity(original: DataFrame, synthetic: DataFrame, cols: list[str]) -> DataFrame:
@@ -187,8 +199,11 @@ def date_similarity(original: DataFrame, synthetic: DataFrame, col: str) -> Data
 
 
 def statistical_similarity(original: DataFrame, synthetic: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
-    """One row: mean column score, correlation similarity, and their mean."""
+    """One row: mean column score, correlation similarity, similarity of the principal components' variances, and the mean of the three."""
+    from .learn import pca_similarity
+
     scores = numeric_similarity(original, synthetic, numeric).select("score").unionByName(categorical_similarity(original, synthetic, categorical).select("score"))
     one = scores.agg(F.avg("score").alias("columns"))
     joined = one.crossJoin(F.broadcast(correlation_similarity(original, synthetic, numeric).select(F.col("similarity").alias("correlation"))))
-    return joined.withColumn("similarity", (F.col("columns") + F.col("correlation")) / 2)
+    joined = joined.crossJoin(F.broadcast(pca_similarity(original, synthetic, numeric).select(F.col("similarity").alias("components"))))
+    return joined.withColumn("similarity", (F.col("columns") + F.col("correlation") + F.col("components")) / 3)

@@ -95,7 +95,10 @@ def perturb(df: DataFrame, key: list[str], seed: int, factor: float = 0.2, numbe
     """Noise on numbers (factor of the deviation), ages (five years, 0 to 110), dates (span days); a share of categories swapped for others."""
     k = [F.col(c) for c in key]
     numbers, ages, days, categories = map(list, (numbers, ages, days, categories))
-    stats = df.agg(*[F.stddev_samp(number(c)).alias(f"{c}:s") for c in numbers], *[F.sort_array(F.collect_set(c)).alias(f"{c}:v") for c in categories] or [F.count("*").alias(":n")])  # few values, as they are categories
+    held = {c: value_list(df, c) for c in categories}
+    stats = df.agg(*[F.stddev_samp(number(c)).alias(f"{c}:s") for c in numbers] or [F.count("*").alias(":n")])
+    for c, values in held.items():
+        stats = stats.crossJoin(F.broadcast(values.withColumnRenamed("v_", f"{c}:v"))) if values is not None else stats
     j = df.crossJoin(F.broadcast(stats))
     out: dict[str, Column] = {c: number(c) + factor * F.col(f"`{c}:s`") * normal(seed, f"perturb-{c}", *k) for c in numbers}
     out |= {c: F.greatest(F.lit(0), F.least(F.lit(110), F.col(c) + integer(-5, 5, seed, f"perturb-{c}", *k))) for c in ages}
@@ -104,11 +107,49 @@ def perturb(df: DataFrame, key: list[str], seed: int, factor: float = 0.2, numbe
     def others_of(c: str) -> Column:
         return F.filter(F.col(f"`{c}:v`"), lambda v: v != F.col(c))
 
-    for c in categories:
+    for c in [c for c in categories if held[c] is not None]:
         others = others_of(c)
         pick = F.get(others, F.floor(uniform(seed, f"pick-{c}", *k) * F.size(others)).cast("int"))
         out[c] = F.when((uniform(seed, f"swap-{c}", *k) < factor) & (F.size(others) > 0), pick).otherwise(F.col(c))
-    return j.withColumns(out).drop(*stats.columns)
+    j = j.withColumns(out).drop(*stats.columns)
+    for c in [c for c in categories if held[c] is None]:
+        swaps = uniform(seed, f"swap-{c}", *k) < factor
+        j = drawn_value(j, df, c, swaps, uniform(seed, f"pick-{c}", *k), other=True)
+    return j.select(*df.columns)
+
+
+#: Distinct values of a column up to so many, and so many characters, are held in one row that is broadcast.
+HELD_VALUES, HELD_CHARACTERS = 10_000, 4_000_000
+
+
+def value_list(df: DataFrame, c: str, most: int | None = None) -> DataFrame | None:
+    """One row with the sorted distinct values in v_; None where they are too many or too long for one row, which is counted first."""
+    values = df.select(F.col(f"`{c}`").alias("v_")).dropna().distinct()
+    n, size = values.agg(F.count("*"), F.coalesce(F.sum(F.length(F.col("v_").cast("string"))), F.lit(0))).first()
+    if n > (HELD_VALUES if most is None else most) or size > HELD_CHARACTERS:
+        return None
+    return values.agg(F.sort_array(F.collect_list("v_")).alias("v_"))
+
+
+def drawn_value(df: DataFrame, source: DataFrame, c: str, where: Column, u: Column, other: bool) -> DataFrame:
+    """df with c, where the condition holds, as one of source's distinct values by a uniform number u; ``other``: but its own.
+
+    The values are numbered in their order by running sums and meet the rows by equi-joins, so their number doesn't matter.
+    The value drawn is the one that the sorted list of ``value_list`` would give.
+    """
+    from .relate import running
+
+    values = running(source.select(F.col(f"`{c}`").alias("v_")).dropna().distinct().withColumn("one_", F.lit(1).cast("long")), "v_", ["one_"]).select("v_", F.col("before_one_").alias("at_"))
+    n = source.select(F.count_distinct(F.col(f"`{c}`")).alias("n_"))
+    rows = df.crossJoin(F.broadcast(n)).withColumns({"w_": F.coalesce(where, F.lit(False)), "u_": u})
+    if other:
+        rows = rows.join(values.select(F.col("v_").alias("own_"), F.col("at_").alias("own_at_")), F.col(f"`{c}`") == F.col("own_"), "left").drop("own_")
+        j = F.floor(F.col("u_") * (F.col("n_") - 1))
+        place = F.when(F.col("n_") > 1, F.when(F.col("own_at_").isNull() | (j < F.col("own_at_")), j).otherwise(j + 1))
+    else:
+        place = F.floor(F.col("u_") * F.col("n_"))
+    rows = rows.withColumn("place_", F.when(F.col("w_"), place)).join(values.select(F.col("v_").alias("new_"), F.col("at_").alias("place_")), "place_", "left")
+    return rows.withColumn(c, F.coalesce("new_", F.col(f"`{c}`"))).select(*[F.col(f"`{x}`") for x in df.columns])
 
 
 def shuffle_values(df: DataFrame, key: list[str], col: str, share: float, seed: int) -> DataFrame:
@@ -148,7 +189,10 @@ def mask(df: DataFrame, methods: dict[str, str], key: list[str], seed: int) -> D
             edge = df.agg(F.min(number(c)).alias("a_"), F.max(number(c)).alias("b_"))
             out = out.crossJoin(F.broadcast(edge)).withColumn(c, F.col("a_") + (F.col("b_") - F.col("a_")) * uniform(seed, f"range-{c}", *k)).drop("a_", "b_")
         elif method == "random_categorical":
-            values = df.agg(F.sort_array(F.collect_set(c)).alias("v_"))  # a categorical column has few values
+            values = value_list(df, c)
+            if values is None:
+                out = drawn_value(out, df, c, F.lit(True), uniform(seed, f"category-{c}", *k), other=False)
+                continue
             out = out.crossJoin(F.broadcast(values)).withColumn(c, F.get("v_", F.floor(uniform(seed, f"category-{c}", *k) * F.size("v_")).cast("int"))).drop("v_")
         elif method in MASKS:
             out = out.withColumn(c, MASKS[method](F.col(c), seed, *k))

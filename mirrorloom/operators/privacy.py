@@ -70,18 +70,24 @@ def private_mean(df: DataFrame, col: str, low: float, high: float, epsilon: floa
     return one.select("n", (F.col("m") + laplace((high - low) / F.col("n") / epsilon, seed, "mean", F.lit(col))).alias("private_mean"))
 
 
-def anonymize(df: DataFrame, level: str, keys: list[str], ids: list[str], sensitive: list[str], salt: str, seed: int) -> DataFrame:
-    """minimal: identifiers hashed. balanced: k-anonymity too. high: l-diversity and noise of 1 % of the range on other numbers too."""
+def anonymize(df: DataFrame, level: str, keys: list[str], ids: list[str], sensitive: list[str], salt: str, seed: int, row_key: list[str] | None = None) -> DataFrame:
+    """minimal: identifiers hashed. balanced: k-anonymity too. high: l-diversity and noise of 1 % of the range on other numbers too.
+
+    row_key: columns that tell rows apart (default: ids); the noise of a row is drawn from them, so level high needs some.
+    """
     from ..functions.strings import salted_hash
 
+    row_key = list(row_key or ids)
+    if level == "high" and not row_key:
+        raise ValueError("level high needs row_key: columns that tell rows apart")
     preset = PRESETS[level]
     out = df.withColumns({c: salted_hash(F.col(c), salt) for c in ids})
     if level != "minimal":
         out = k_anonymize(out, keys, preset["k"])
     if level == "high":
         out = l_diverse(out, keys, sensitive, preset["l"]) if sensitive else out
-        for c in [c for c in numeric_columns(df) if c not in keys + ids]:
+        for c in [c for c in numeric_columns(df) if c not in keys + ids + row_key]:
             span = out.agg((F.max(number(c)) - F.min(number(c))).alias("span_"))
-            noise = laplace(F.lit(0.01) * F.col("span_") / preset["epsilon"], seed, f"noise-{c}", *[F.col(k) for k in ids])
+            noise = laplace(F.lit(0.01) * F.col("span_") / preset["epsilon"], seed, f"noise-{c}", *[F.col(k) for k in row_key])
             out = out.crossJoin(F.broadcast(span)).withColumn(c, number(c) + noise).drop("span_")
     return out

@@ -159,15 +159,26 @@ def shapes(df: DataFrame, cols: list[str], n: int = 5) -> DataFrame:
     return top_values(df.select(*[shape(F.col(f"`{c}`").cast("string")).alias(c) for c in cols]), cols, n)
 
 
-# The patterns of text columns.
+# The patterns of text columns, of phone numbers, and the parts of words that mark addresses.
 TAGS = {
     "numeric_string": r"^\d+$",
-    "code_pattern": r"^[A-Z]{2,}\d+$",
-    "date_string": r"^\d{4}-\d{2}-\d{2}",
+    "code_pattern": r"^[A-Z]{2,3}\d+$",
+    "date_string": r"^\d{4}-\d{2}-\d{2}$",
     "decimal_string": r"^\d+\.\d+$",
-    "alpha_only": r"^[A-Za-z]+$",
-    "title_case": r"^[A-Z][a-z]+( [A-Z][a-z]+)*$",
+    "alpha_only": r"^[A-Za-z\s]+$",
+    "title_case": r"^[A-Z][a-z\s]+$",
 }
+PHONES = [r"^\+?1?[-.\s]?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}$", r"^\+?[0-9\s\-\(\)]{10,15}$"]
+STREET_PARTS = ["street", "st", "avenue", "ave", "road", "rd", "drive", "dr", "lane", "ln"]
+ADDRESS_NAMES = ["address", "addr", "location"]
+
+
+def contact_measures(c: str) -> dict[str, Column]:
+    """The shares of a text column's values that are like an e-mail, like one of the two kinds of phone numbers, or hold a part of an address."""
+    x = F.col(f"`{c}`").cast("string")
+    share = lambda hit: F.coalesce(F.avg(hit.cast("double")), F.lit(0.0))
+    phones = F.greatest(*[share(x.rlike(p)) for p in PHONES])
+    return {"email_ratio": share(x.rlike(EMAIL)), "phone_ratio": phones, "address_ratio": share(F.lower(x).rlike("|".join(STREET_PARTS)))}
 
 
 def text_tags(df: DataFrame, cols: list[str], share: float = 0.7) -> DataFrame:
@@ -179,10 +190,8 @@ def text_tags(df: DataFrame, cols: list[str], share: float = 0.7) -> DataFrame:
 
 def contact_ratios(df: DataFrame, cols: list[str]) -> DataFrame:
     """column, email_ratio, phone_ratio, address_ratio over all values, and the kind they suggest."""
-    street = r"(?i)street|avenue|road|drive|lane|boulevard|\bst\b|\bave\b|\brd\b"
-    phone = r"^\+?[\d\-\(\)\s]{10,}$"
-    wide = _wide(df, cols, lambda c: {k: F.avg(F.col(f"`{c}`").cast("string").rlike(v).cast("double")) for k, v in {"email_ratio": EMAIL, "phone_ratio": phone, "address_ratio": street}.items()})
-    kind = F.when(F.col("email_ratio") > 0.8, "email").when(F.col("phone_ratio") > 0.7, "phone").when((F.col("address_ratio") > 0.3) | F.col("column").rlike("(?i)address|addr|location"), "address").otherwise("other")
+    wide = _wide(df, cols, contact_measures)
+    kind = F.when(F.col("email_ratio") > 0.8, "email").when(F.col("phone_ratio") > 0.7, "phone").when((F.col("address_ratio") > 0.3) | F.col("column").rlike("(?i)" + "|".join(ADDRESS_NAMES)), "address").otherwise("other")
     return wide.withColumn("kind", kind)
 
 

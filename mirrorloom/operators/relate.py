@@ -78,12 +78,18 @@ def _association(df: DataFrame, a: str, b: str) -> DataFrame:
     cells = contingency(df, a, b)
     rows, cols = cells.groupBy("a").agg(F.sum("n").alias("na")), cells.groupBy("b").agg(F.sum("n").alias("nb"))
     size = rows.agg(F.sum("na").alias("t"), F.count("*").alias("k")).crossJoin(F.broadcast(cols.agg(F.count("*").alias("r"))))
-    full = rows.crossJoin(F.broadcast(cols)).join(cells, ["a", "b"], "left").crossJoin(F.broadcast(size))  # all cells, as the statistic is defined over them
+    # Only cells that occur are met: the statistic over all cells is sum(n * n / e) - t. Of a table of 2 x 2 it is
+    # corrected, where every cell lies as far from its expected number, and sum(1 / e) over all four is t ** 3 / (na * na' * nb * nb').
+    full = cells.join(rows, "a").join(cols, "b").crossJoin(F.broadcast(size))
     expected = F.col("na") * F.col("nb") / F.col("t")
-    gap = F.abs(F.coalesce("n", F.lit(0)) - expected)
-    yates = F.when((F.col("k") == 2) & (F.col("r") == 2), F.greatest(gap - 0.5, F.lit(0.0))).otherwise(gap)
     p = F.col("n") / F.col("t")
-    return full.agg(F.max("t").alias("t"), F.max("k").alias("k"), F.max("r").alias("r"), F.sum(yates * yates / expected).alias("chi2"), F.sum(F.when(F.col("n") > 0, p * F.log(p * F.col("t") * F.col("t") / (F.col("na") * F.col("nb"))))).alias("mi"))
+    one = full.agg(
+        F.max("t").alias("t"), F.max("k").alias("k"), F.max("r").alias("r"), (F.sum(F.col("n") * F.col("n") / expected) - F.max("t")).alias("plain"),
+        F.max(F.abs(F.col("n") - expected)).alias("gap"), F.max("na").alias("na"), F.max("nb").alias("nb"),
+        F.sum(p * F.log(p * F.col("t") * F.col("t") / (F.col("na") * F.col("nb")))).alias("mi"))
+    gap = F.greatest(F.col("gap") - 0.5, F.lit(0.0))
+    inverse = F.col("t") * F.col("t") * F.col("t") / (F.col("na") * (F.col("t") - F.col("na")) * F.col("nb") * (F.col("t") - F.col("nb")))
+    return one.select("t", "k", "r", F.when((F.col("k") == 2) & (F.col("r") == 2), gap * gap * inverse).otherwise(F.greatest("plain", F.lit(0.0))).alias("chi2"), "mi")
 
 
 def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:

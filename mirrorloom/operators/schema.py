@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .profile import EMAIL, column_basics, number, numeric_columns
+from .profile import ADDRESS_NAMES, column_basics, contact_measures, number, numeric_columns
 
 
 @dataclass(frozen=True)
@@ -44,8 +44,7 @@ def infer(df: DataFrame, share: float = 0.1) -> TableSchema:
     basics = {r.column: r for r in column_basics(df).collect()}
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     numbers = numeric_columns(df)
-    phone = r"^\+?[\d\-\(\)\s]{10,}$"
-    aggs = [F.avg(F.col(f"`{c}`").rlike(p).cast("double")).alias(f"{k}:{c}") for c in texts for k, p in (("email", EMAIL), ("phone", phone), ("address", "(?i)street|avenue|road|drive|lane|boulevard"))]
+    aggs = [m.alias(f"{k.removesuffix('_ratio')}:{c}") for c in texts for k, m in contact_measures(c).items()]
     aggs += [F.avg(F.try_to_timestamp(F.col(f"`{c}`")).isNotNull().cast("double")).alias(f"date:{c}") for c in texts]
     aggs += [f(number(c)).alias(f"{k}:{c}") for c in numbers for k, f in (("low", F.min), ("high", F.max))]
     row = df.agg(*aggs, F.count("*").alias(":rows")).first()
@@ -67,10 +66,12 @@ def infer(df: DataFrame, share: float = 0.1) -> TableSchema:
             kind = "email"
         elif ratio("phone") > 0.7:
             kind = "phone"
-        elif ratio("address") > 0.3:
+        elif b and distinct <= 20:
+            kind = "categorical"
+        elif ratio("address") > 0.3 or any(k in name for k in ADDRESS_NAMES):
             kind = "address"
         else:
-            kind = "categorical" if b and (distinct <= 20 or distinct < share * b.rows) else "text"
+            kind = "categorical" if b and distinct < share * b.rows else "text"
         low, high = (row[f"low:{f.name}"], row[f"high:{f.name}"]) if kind == "numeric" else (None, None)
         subtype = "id" if (name.endswith(("id", "key")) and unique) else "name" if "name" in name and "filename" not in name else "age" if kind == "numeric" and name.split("_")[-1] == "age" else None
         out[f.name] = ColumnInfo(f.name, kind, subtype, bool(b and b.nulls), unique, distinct, low, high)

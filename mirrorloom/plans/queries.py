@@ -103,15 +103,16 @@ def shape_masks(spark, d):
 
 
 @query(r"""WITH t AS (SELECT unnest(['numeric_string','code_pattern','date_string','decimal_string','alpha_only','title_case']) AS tag,
- unnest(['^\d+$','^[A-Z]{2,}\d+$','^\d{4}-\d{2}-\d{2}','^\d+\.\d+$','^[A-Za-z]+$','^[A-Z][a-z]+( [A-Z][a-z]+)*$']) AS p)
+ unnest(['^\d+$','^[A-Z]{2,3}\d+$','^\d{4}-\d{2}-\d{2}$','^\d+\.\d+$','^[A-Za-z\s]+$','^[A-Z][a-z\s]+$']) AS p)
 SELECT 'p_type' AS "column", tag, round(avg(regexp_matches(p_type, p)::INT), 6) AS ratio FROM part, t GROUP BY tag HAVING avg(regexp_matches(p_type, p)::INT) > 0.7""")
 def text_tags(spark, d):
     return rounded(profile.text_tags(table(spark, d, "part"), ["p_type"]))
 
 
 @query(r"""SELECT 'url' AS "column", round(avg(regexp_matches(url, '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$')::INT), 6) AS email_ratio,
- round(avg(regexp_matches(url, '^\+?[\d\-\(\)\s]{10,}$')::INT), 6) AS phone_ratio, round(avg(regexp_matches(url, '(?i)street|avenue|road|drive|lane|boulevard|\bst\b|\bave\b|\brd\b')::INT), 6) AS address_ratio,
- CASE WHEN avg(regexp_matches(url, '(?i)street|avenue|road|drive|lane|boulevard|\bst\b|\bave\b|\brd\b')::INT) > 0.3 THEN 'address' ELSE 'other' END AS kind FROM pages""")
+ round(greatest(avg(regexp_matches(url, '^\+?1?[-.\s]?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}$')::INT), avg(regexp_matches(url, '^\+?[0-9\s\-\(\)]{10,15}$')::INT)), 6) AS phone_ratio,
+ round(avg((contains(lower(url), 'street') OR contains(lower(url), 'st') OR contains(lower(url), 'avenue') OR contains(lower(url), 'ave') OR contains(lower(url), 'road') OR contains(lower(url), 'rd') OR contains(lower(url), 'drive') OR contains(lower(url), 'dr') OR contains(lower(url), 'lane') OR contains(lower(url), 'ln'))::INT), 6) AS address_ratio,
+ CASE WHEN avg((contains(lower(url), 'st') OR contains(lower(url), 'ave') OR contains(lower(url), 'road') OR contains(lower(url), 'rd') OR contains(lower(url), 'dr') OR contains(lower(url), 'lane') OR contains(lower(url), 'ln'))::INT) > 0.3 THEN 'address' ELSE 'other' END AS kind FROM pages""")
 def contact_ratios(spark, d):
     return rounded(profile.contact_ratios(table(spark, d, "pages"), ["url"]))
 
@@ -144,15 +145,21 @@ def dataset_stats(spark, d):
     return rounded(profile.dataset_stats(table(spark, d, "events")))
 
 
-@query("""SELECT count(*) AS rows, 6::BIGINT AS "columns", 0::BIGINT AS missing, (count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_returnflag, l_linestatus, l_quantity, l_discount, l_tax, l_linenumber FROM lineitem)))::BIGINT AS duplicates,
- true AS valid, CASE WHEN (count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_returnflag, l_linestatus, l_quantity, l_discount, l_tax, l_linenumber FROM lineitem))) * 100.0 / count(*) > 20 THEN 'many duplicates' ELSE '' END AS warnings FROM lineitem""")
+@query("""SELECT count(*) AS rows, 6::BIGINT AS "columns", (6 * count(*) - count(l_returnflag) - count(l_linestatus) - count(l_quantity) - count(l_discount) - count(l_tax) - count(l_linenumber))::BIGINT AS missing, (count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_returnflag, l_linestatus, l_quantity, l_discount, l_tax, l_linenumber FROM lineitem)))::BIGINT AS duplicates,
+ count(*) > 0 AS valid, CASE WHEN (count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_returnflag, l_linestatus, l_quantity, l_discount, l_tax, l_linenumber FROM lineitem))) * 100.0 / count(*) > 20 THEN 'many duplicates' ELSE '' END AS warnings FROM lineitem""")
 def validation_summary(spark, d):
     return profile.validation_summary(table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax", "l_linenumber"))
 
 
-@query("""SELECT 'n' AS "column", true AS "constant", false AS mostly_null, false AS bad_characters UNION ALL SELECT 'z', false, true, false""")
+_ODD = """SELECT c_custkey::VARCHAR AS c_custkey, '1' AS n, CASE WHEN c_custkey % 40 = 1 THEN c_name END AS z, c_mktsegment || CASE WHEN c_custkey % 7 = 0 THEN chr(65533) ELSE '' END AS s, c_nationkey::VARCHAR AS k FROM customer"""
+
+
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", count(DISTINCT {c}) = 1 AS "constant", avg(({c} IS NULL)::INT) > 0.95 AS mostly_null, coalesce(bool_or(contains({c}, chr(65533))), false) AS bad_characters FROM ({_ODD})
+ HAVING count(DISTINCT {c}) = 1 OR avg(({c} IS NULL)::INT) > 0.95 OR coalesce(bool_or(contains({c}, chr(65533))), false)""" for c in ("c_custkey", "n", "z", "s", "k")))
 def suspicious_columns(spark, d):
-    return profile.suspicious_columns(table(spark, d, "customer").select("c_custkey", F.lit(1).alias("n"), F.lit(None).cast("string").alias("z"), "c_mktsegment"))
+    marked = F.concat("c_mktsegment", F.when(F.col("c_custkey") % 7 == 0, "\ufffd").otherwise(""))
+    odd = table(spark, d, "customer").select("c_custkey", F.lit(1).alias("n"), F.when(F.col("c_custkey") % 40 == 1, F.col("c_name")).alias("z"), marked.alias("s"), F.col("c_nationkey").alias("k"))
+    return profile.suspicious_columns(odd)
 
 
 @query(f"""WITH f AS ({_FENCE.replace("F *", "1.5 *").replace("{c}", "l_extendedprice")}) SELECT 'l_extendedprice' AS "column", round(100.0 * count(l_extendedprice) / count(*), 6) AS completeness, round(100.0 * count(DISTINCT l_extendedprice) / count(*), 6) AS uniqueness, count(*) - count(l_extendedprice) AS nulls, count(*) FILTER (l_extendedprice < low OR l_extendedprice > high) AS outliers FROM lineitem, f
@@ -287,9 +294,9 @@ def conditional_effect(spark, d):
 
 @query(f"""WITH h AS ({union(["l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus"], '''SELECT '{c}' AS c, -sum(n / t * ln(n / t)) AS h FROM (SELECT count(*) AS n, sum(count(*)) OVER () AS t FROM lineitem GROUP BY {c})''')}),
 e AS (SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, abs(corr(l_quantity, l_extendedprice)) AS w, 'pearson' AS kind FROM lineitem UNION ALL SELECT 'l_returnflag', 'l_linestatus', {_V}, 'cramers_v' FROM {_chi_sql('lineitem', 'l_returnflag', 'l_linestatus')})
-SELECT CASE WHEN ha.h > hb.h THEN a ELSE b END AS src, CASE WHEN ha.h > hb.h THEN b ELSE a END AS dst, round(w, 6) AS weight, kind FROM e JOIN h ha ON ha.c = a JOIN h hb ON hb.c = b WHERE w > 0.2""")
+SELECT CASE WHEN ha.h > hb.h THEN a ELSE b END AS src, CASE WHEN ha.h > hb.h THEN b ELSE a END AS dst, round(w, 6) AS weight, kind FROM e JOIN h ha ON ha.c = a JOIN h hb ON hb.c = b WHERE w > 0""")
 def dependency_graph(spark, d):
-    return rounded(relate.dependency_graph(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], ["l_returnflag", "l_linestatus"]))
+    return rounded(relate.dependency_graph(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], ["l_returnflag", "l_linestatus"], threshold=0.0))
 
 
 _OL = "(SELECT o_orderdate AS a, l_shipdate AS b, o_orderpriority AS p, (epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400000000.0 AS days FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
@@ -381,9 +388,13 @@ def date_parse(spark, d):
     return o.select("o_orderkey", dates.parse(F.col("raw"), ["yyyy-MM-dd", "MM/dd/yyyy"]).cast("date").alias("day"))
 
 
-@query("""SELECT 'yyyy/MM/dd' AS format, 1.0::DOUBLE AS share""")
+_FORMATS = [("MM/dd/yyyy", "%m/%d/%Y"), ("dd/MM/yyyy", "%d/%m/%Y"), ("yyyy-MM-dd", "%Y-%m-%d"), ("MM-dd-yyyy", "%m-%d-%Y"), ("dd-MM-yyyy", "%d-%m-%Y"), ("yyyy/MM/dd", "%Y/%m/%d"), ("MM/dd/yy", "%m/%d/%y"), ("dd/MM/yy", "%d/%m/%y")]
+
+
+@query(f"""WITH raw AS (SELECT strftime(o_orderdate, '%d/%m/%y') AS raw FROM orders), f AS ({" UNION ALL ".join(f"SELECT {i} AS place, '{java}' AS format, avg((try_strptime(raw, '{c}') IS NOT NULL AND length(raw) = length(strftime(DATE '2000-01-01', '{c}')))::INT) AS share FROM raw" for i, (java, c) in enumerate(_FORMATS))})
+SELECT format, round(share, 6) AS share FROM f ORDER BY share DESC, place LIMIT 1""")
 def date_format_detect(spark, d):
-    return dates.detect_format(table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy/MM/dd").alias("raw")), "raw")
+    return rounded(dates.detect_format(table(spark, d, "orders").select(F.date_format("o_orderdate", "dd/MM/yy").alias("raw")), "raw"))
 
 
 @query("""SELECT o_orderkey, year(o_orderdate)::INT AS d_year, month(o_orderdate)::INT AS d_month, day(o_orderdate)::INT AS d_day, (isodow(o_orderdate) - 1)::INT AS d_weekday, hour(o_orderdate)::INT AS d_hour FROM orders""")
@@ -404,15 +415,15 @@ def constraint_validation(spark, d):
     return validate.check_constraints(table(spark, d, "lineitem"), rules)
 
 
-@query("""SELECT p_partkey, p_brand FROM part WHERE p_partkey % 2 = 0 AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_partkey % 400 = 1)""")
+@query("""SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)""")
 def oov_categories(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_brand")
-    return compare.unseen_categories(p.filter("p_partkey % 2 = 0"), p.filter("p_partkey % 400 = 1"), "p_brand")
+    reference = table(spark, d, "supplier").select(F.col("s_nationkey").alias("c_nationkey"))
+    return compare.unseen_categories(table(spark, d, "customer").select("c_custkey", "c_nationkey"), reference, "c_nationkey")
 
 
-@query(f"""SELECT l_orderkey, l_linenumber, 'l_extendedprice' AS "column", l_extendedprice AS value FROM lineitem, ({_FENCE.replace("F *", "0.6 *").replace("{c}", "l_extendedprice")}) WHERE l_extendedprice < low OR l_extendedprice > high""")
+@query(f"""SELECT l_orderkey, l_linenumber, 'l_extendedprice' AS "column", l_extendedprice AS value FROM lineitem, ({_FENCE.replace("F *", "0.25 *").replace("{c}", "l_extendedprice")}) WHERE l_extendedprice < low OR l_extendedprice > high""")
 def univariate_anomalies(spark, d):
-    return validate.anomalies(table(spark, d, "lineitem"), ["l_extendedprice"], ["l_orderkey", "l_linenumber"], factor=0.6)
+    return validate.anomalies(table(spark, d, "lineitem"), ["l_extendedprice"], ["l_orderkey", "l_linenumber"], factor=0.25)
 
 
 @query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS a, l_extendedprice * 2 - CASE WHEN l_orderkey % 500 = 0 THEN 300000 ELSE 0 END AS b FROM lineitem), s AS (SELECT corr(a, b) AS r, avg(a) AS ma, stddev_samp(a) AS sa, avg(b) AS mb, stddev_samp(b) AS sb FROM x)
@@ -518,7 +529,7 @@ def age_bands(spark, d):
 
 
 @query("""WITH e AS (SELECT min(c_acctbal) AS lo, (max(c_acctbal) - min(c_acctbal)) / 3 AS w FROM customer), p AS (SELECT c_custkey, lo, w, greatest(0, least(2, ceil((c_acctbal - lo) / w) - 1)) AS i FROM customer, e)
-SELECT c_custkey, '(' || printf('%.2f', lo + i * w) || ', ' || printf('%.2f', lo + (i + 1) * w) || ']' AS band FROM p""")
+SELECT c_custkey, '(' || printf('%.1f', round_even(CASE WHEN i = 0 THEN lo - 0.003 * w ELSE lo + i * w END, 0)) || ', ' || printf('%.1f', round_even(lo + (i + 1) * w, 0)) || ']' AS band FROM p""")
 def numeric_generalize(spark, d):
     return numeric.generalize(table(spark, d, "customer"), "c_acctbal", "band").select("c_custkey", "band")
 
@@ -642,7 +653,7 @@ def rare_to_other(spark, d):
     return privacy.rare_to_other(table(spark, d, "part").select("p_partkey", "p_brand"), "p_brand", 80)
 
 
-@query("""WITH e AS (SELECT min(p_retailprice) AS lo, (max(p_retailprice) - min(p_retailprice)) / 3 AS w FROM part), p AS (SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_brand) < 5 THEN 'Other' ELSE p_brand END AS p_brand, '(' || printf('%.2f', lo + greatest(0, least(2, ceil((p_retailprice - lo) / w) - 1)) * w) || ', ' || printf('%.2f', lo + (greatest(0, least(2, ceil((p_retailprice - lo) / w) - 1)) + 1) * w) || ']' AS p_retailprice FROM part, e)
+@query("""WITH e AS (SELECT min(p_retailprice) AS lo, (max(p_retailprice) - min(p_retailprice)) / 3 AS w FROM part), p AS (SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_brand) < 5 THEN 'Other' ELSE p_brand END AS p_brand, CASE WHEN p_retailprice <= lo + w THEN '(' || printf('%.1f', round_even(lo - 0.003 * w, 0)) ELSE '(' || printf('%.1f', round_even(lo + greatest(0, least(2, ceil((p_retailprice - lo) / w) - 1)) * w, 0)) END || ', ' || printf('%.1f', round_even(lo + (greatest(0, least(2, ceil((p_retailprice - lo) / w) - 1)) + 1) * w, 0)) || ']' AS p_retailprice FROM part, e)
 SELECT p_partkey, p_brand, p_retailprice FROM (SELECT *, count(*) OVER (PARTITION BY p_brand, p_retailprice) AS n FROM p) WHERE n >= 5""")
 def k_anonymize(spark, d):
     return privacy.k_anonymize(table(spark, d, "part").select("p_partkey", "p_brand", "p_retailprice"), ["p_brand", "p_retailprice"], 5)
@@ -679,18 +690,16 @@ def exact_overlap(spark, d):
     return rounded(compare.exact_overlap(*_sides(spark, d), _REC))
 
 
-@query("""WITH a AS (SELECT p_brand, p_size FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2 HAVING count(*) <= 3), b AS (SELECT DISTINCT p_brand, p_size FROM part WHERE p_partkey % 2 = 1), c AS (SELECT count(*) AS rare, count(b.p_brand) AS preserved FROM a LEFT JOIN b USING (p_brand, p_size))
+@query("""WITH a AS (SELECT l_suppkey, l_quantity FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1, 2 HAVING count(*) <= 3), b AS (SELECT DISTINCT l_suppkey, l_quantity FROM lineitem WHERE l_linestatus = 'O'), c AS (SELECT count(*) AS rare, count(b.l_suppkey) AS preserved FROM a LEFT JOIN b USING (l_suppkey, l_quantity))
 SELECT rare, preserved, round(preserved / rare, 6) AS rate, CASE WHEN preserved / rare > 0.5 THEN 'high' WHEN preserved / rare > 0.2 THEN 'medium' ELSE 'low' END AS risk FROM c""")
 def rare_combination(spark, d):
-    p = table(spark, d, "part")
-    return rounded(compare.rare_combinations(p.filter("p_partkey % 2 = 0"), p.filter("p_partkey % 2 = 1"), "p_brand", "p_size"))
+    return rounded(compare.rare_combinations(*_sides(spark, d), "l_suppkey", "l_quantity"))
 
 
-@query("""WITH a AS (SELECT count(*) AS groups FROM (SELECT DISTINCT p_brand, p_size FROM part WHERE p_partkey % 2 = 0)), b AS (SELECT count(*) AS single FROM (SELECT 1 FROM part WHERE p_partkey % 2 = 1 GROUP BY p_brand, p_size HAVING count(*) = 1))
+@query("""WITH a AS (SELECT count(*) AS groups FROM (SELECT DISTINCT l_suppkey, l_quantity FROM lineitem WHERE l_linestatus = 'F')), b AS (SELECT count(*) AS single FROM (SELECT 1 FROM lineitem WHERE l_linestatus = 'O' GROUP BY l_suppkey, l_quantity HAVING count(*) = 1))
 SELECT groups, single, round(single / groups, 6) AS rate, CASE WHEN single / groups > 0.3 THEN 'high' WHEN single / groups > 0.1 THEN 'medium' ELSE 'low' END AS risk FROM a, b""")
 def linkage_uniqueness(spark, d):
-    p = table(spark, d, "part")
-    return rounded(compare.linkage(p.filter("p_partkey % 2 = 0"), p.filter("p_partkey % 2 = 1"), ["p_brand", "p_size"]))
+    return rounded(compare.linkage(*_sides(spark, d), ["l_suppkey", "l_quantity"]))
 
 
 @query(union(_REC, """SELECT '{c}' AS "column", count(DISTINCT {c}) FILTER (l_linestatus = 'F') AS original, count(DISTINCT {c}) FILTER (l_linestatus = 'O') AS synthetic, round(count(DISTINCT {c}) FILTER (l_linestatus = 'O') / count(DISTINCT {c}) FILTER (l_linestatus = 'F'), 6) AS ratio FROM lineitem"""))
@@ -711,7 +720,15 @@ def ks_wasserstein(spark, d):
     return rounded(compare.ks_wasserstein(*_sides(spark, d), "l_extendedprice")).withColumn("wasserstein", F.round("wasserstein", 4))
 
 
-@query(union(NUM[:2], """SELECT '{c}' AS "column", round(a, 6) AS mean_diff, round(b, 6) AS std_diff, round(c, 6) AS median_diff, round(1 - (a + b + c) / 3, 6) AS score FROM (SELECT least(1, abs(avg({c}) FILTER (l_linestatus = 'F') - avg({c}) FILTER (l_linestatus = 'O')) / abs(avg({c}) FILTER (l_linestatus = 'F'))) AS a, least(1, abs(stddev_samp({c}) FILTER (l_linestatus = 'F') - stddev_samp({c}) FILTER (l_linestatus = 'O')) / stddev_samp({c}) FILTER (l_linestatus = 'F')) AS b, least(1, abs(median({c}) FILTER (l_linestatus = 'F') - median({c}) FILTER (l_linestatus = 'O')) / abs(median({c}) FILTER (l_linestatus = 'F'))) AS c FROM lineitem)"""))
+_NUM_SIM = """SELECT '{c}' AS "column", round(a, 6) AS mean_diff, round(b, 6) AS std_diff, round(m, 6) AS median_diff, round(k, 6) AS skew_diff, round(w, 6) AS distance, round(0.5 * (1 - (a + b + m + k) / 4) + 0.5 * (1 - w), 6) AS score FROM (
+ SELECT least(1, abs(avg(x) FILTER (orig) - avg(x) FILTER (NOT orig)) / abs(avg(x) FILTER (orig))) AS a, least(1, abs(stddev_samp(x) FILTER (orig) - stddev_samp(x) FILTER (NOT orig)) / stddev_samp(x) FILTER (orig)) AS b,
+ least(1, abs(median(x) FILTER (orig) - median(x) FILTER (NOT orig)) / abs(median(x) FILTER (orig))) AS m, least(1, abs(skewness(x) FILTER (orig) - skewness(x) FILTER (NOT orig)) / greatest(1, abs(skewness(x) FILTER (orig)))) AS k,
+ max(x) FILTER (orig) - min(x) FILTER (orig) AS span FROM (SELECT {c} AS x, l_linestatus = 'F' AS orig FROM lineitem WHERE l_linestatus IN ('F', 'O'))),
+ (SELECT sum(g * coalesce(gap, 0)) / (SELECT max({c}) - min({c}) FROM lineitem WHERE l_linestatus = 'F') AS w FROM (SELECT abs(sum(p) OVER (ORDER BY x) / sum(p) OVER () - sum(q) OVER (ORDER BY x) / sum(q) OVER ()) AS g, lead(x) OVER (ORDER BY x) - x AS gap
+ FROM (SELECT {c} AS x, count(*) FILTER (l_linestatus = 'F') AS p, count(*) FILTER (l_linestatus = 'O') AS q FROM lineitem GROUP BY 1)))"""
+
+
+@query(union(NUM[:2], _NUM_SIM))
 def numeric_similarity(spark, d):
     return rounded(compare.numeric_similarity(*_sides(spark, d), NUM[:2]))
 
@@ -743,11 +760,11 @@ def comparison_report(spark, d):
     return rounded(compare.comparison_report(*_sides(spark, d), ["l_quantity"]), 4)
 
 
-@query("""SELECT 'high' AS risk""")
+@query(f"""WITH r AS (SELECT risk FROM ({SQL["exact_overlap"]}) UNION ALL SELECT risk FROM ({SQL["rare_combination"]}) UNION ALL SELECT risk FROM ({SQL["linkage_uniqueness"]}))
+SELECT CASE max(CASE risk WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END) WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS risk FROM r""")
 def privacy_audit(spark, d):
-    p = table(spark, d, "part")
-    a, b = p.filter("p_partkey % 2 = 0"), p.filter("p_partkey % 2 = 1")
-    return compare.audit(compare.exact_overlap(*_sides(spark, d), _REC), compare.rare_combinations(a, b, "p_brand", "p_size"), compare.linkage(a, b, ["p_brand", "p_size"]))
+    a, b = _sides(spark, d)
+    return compare.audit(compare.exact_overlap(a, b, _REC), compare.rare_combinations(a, b, "l_suppkey", "l_quantity"), compare.linkage(a, b, ["l_suppkey", "l_quantity"]))
 
 
 # -- further functions ------------------------------------------------------------------------
@@ -793,8 +810,12 @@ def date_similarity(spark, d):
 
 
 @query(f"""WITH a AS ({SQL["numeric_similarity"]}), b AS ({SQL["js_tv_chi2"]}), c AS ({" UNION ALL ".join(f"SELECT corr({x}, {y}) FILTER (l_linestatus = 'F') - corr({x}, {y}) FILTER (l_linestatus = 'O') AS g FROM lineitem" for x, y in _PAIRS[:1])}),
-m AS (SELECT avg(score) AS s FROM (SELECT score FROM a UNION ALL SELECT score FROM b)), r AS (SELECT 1 - least(1, sqrt(2 * sum(g * g)) / 2) AS r FROM c)
-SELECT round(s, 4) AS "columns", round(r, 4) AS correlation, round((s + r) / 2, 4) AS similarity FROM m, r""")
+m AS (SELECT avg(score) AS s FROM (SELECT score FROM a UNION ALL SELECT score FROM b)), r AS (SELECT 1 - least(1, sqrt(2 * sum(g * g)) / 2) AS r FROM c),
+v AS (SELECT var_samp(l_quantity) FILTER (l_linestatus = 'O') / var_samp(l_quantity) FILTER (l_linestatus = 'F') AS x, var_samp(l_extendedprice) FILTER (l_linestatus = 'O') / var_samp(l_extendedprice) FILTER (l_linestatus = 'F') AS y,
+ covar_samp(l_quantity, l_extendedprice) FILTER (l_linestatus = 'O') / (stddev_samp(l_quantity) FILTER (l_linestatus = 'F') * stddev_samp(l_extendedprice) FILTER (l_linestatus = 'F')) AS z, corr(l_quantity, l_extendedprice) FILTER (l_linestatus = 'F') AS c FROM lineitem),
+e AS (SELECT (1 + abs(c)) / 2 AS p, ((x + y) / 2 + sqrt(((x - y) / 2) ** 2 + z * z)) / (x + y) AS q FROM v),
+k AS (SELECT greatest(0, 1 - sqrt(((p - q) ** 2 + ((1 - p) - (1 - q)) ** 2) / 2)) AS k FROM e)
+SELECT round(s, 4) AS "columns", round(r, 4) AS correlation, round(k, 4) AS components, round((s + r + k) / 3, 4) AS similarity FROM m, r, k""")
 def statistical_similarity(spark, d):
     return rounded(compare.statistical_similarity(*_sides(spark, d), NUM[:2], ["l_returnflag"]), 4)
 
@@ -824,12 +845,12 @@ def membership_disclosure(spark, d):
 
 @query()
 def attribute_disclosure(spark, d):
-    return learn.attribute_disclosure(*_sides(spark, d), "l_returnflag", ["l_quantity", "l_discount"], [], trees=20)
+    return learn.attribute_disclosure(*_sides(spark, d), "l_returnflag", ["l_quantity", "l_discount"], [], trees=50)
 
 
 @query()
 def ml_utility(spark, d):
-    return learn.utility(*_sides(spark, d), "l_extendedprice", ["l_quantity", "l_discount"], ["l_returnflag"], False, trees=20)
+    return learn.utility(*_sides(spark, d), "l_extendedprice", ["l_quantity", "l_discount"], ["l_returnflag"], False)
 
 
 @query()
@@ -860,9 +881,9 @@ def set_intersect(spark, d):
     return table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
 
 
-@query("SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 25")
+@query("SELECT p_partkey AS k FROM part EXCEPT SELECT o_custkey FROM orders")
 def set_except(spark, d):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("k")).subtract(table(spark, d, "lineitem").filter("l_quantity > 25").select(F.col("l_partkey").alias("k")))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("k")).subtract(table(spark, d, "orders").select(F.col("o_custkey").alias("k")))
 
 
 @query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
