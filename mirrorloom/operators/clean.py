@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .profile import fences_row, number, numeric_columns, value_counts
+from .profile import exact_percentiles, fences_row, number, numeric_columns, value_counts
 
 # Texts that mean a missing value.
 NULL_TOKENS = ["", "NULL", "null", "None", "none", "N/A", "n/a", "#N/A", "NaN", "nan"]
@@ -29,8 +29,13 @@ def modes(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def impute(df: DataFrame, numeric: list[str], categorical: list[str], how: str = "mean") -> DataFrame:
     """Nulls of numeric columns as mean or median, of categorical ones as mode ('Unknown' if all are null)."""
-    middle = {"mean": F.avg, "median": lambda c: F.percentile(c, 0.5)}[how]
-    fills = df.agg(*[middle(number(c)).alias(f"{c}:fill") for c in numeric] or [F.count("*").alias(":n")])
+    if how not in ("mean", "median"):
+        raise ValueError(f"how is mean or median, not {how}")
+    if how == "median" and numeric:
+        middle = exact_percentiles(df, {c: number(c) for c in numeric}, [0.5])
+        fills = middle.agg(*[F.max(F.when(F.col("column") == c, F.get("q", F.lit(0)))).alias(f"{c}:fill") for c in numeric])
+    else:
+        fills = df.agg(*[F.avg(number(c)).alias(f"{c}:fill") for c in numeric] or [F.count("*").alias(":n")])
     if categorical:
         best = modes(df, categorical).agg(*[F.max(F.when(F.col("column") == c, F.col("mode"))).alias(f"{c}:fill") for c in categorical])
         fills = fills.crossJoin(F.broadcast(best))

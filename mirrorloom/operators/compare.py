@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..written import written
 from .profile import number, unpivot
 from .relate import pearson, running
 
@@ -82,13 +83,13 @@ def categorical_similarity(original: DataFrame, synthetic: DataFrame, cols: list
     return j.groupBy("column").agg(js.alias("js"), (0.5 * F.sum(F.abs(F.col("p") - F.col("q")))).alias("tv"), chi2.alias("chi2"), (1 - js).alias("score"))
 
 
-def ks_wasserstein(original: DataFrame, synthetic: DataFrame, col: str, ranges: int = 64) -> DataFrame:
-    """column, ks (greatest distance of the distribution functions), wasserstein. Only distinct values are sorted, in so many ranges."""
+def ks_wasserstein(original: DataFrame, synthetic: DataFrame, col: str) -> DataFrame:
+    """column, ks (greatest distance of the distribution functions), wasserstein. Only distinct values are sorted, in ranges."""
     x = number(col)
     side = lambda df, a, b: df.select(x.alias("x")).dropna().groupBy("x").agg(F.count("*").alias("n")).select("x", (F.col("n") * a).alias("na"), (F.col("n") * b).alias("nb"))
     counts = side(original, 1, 0).unionByName(side(synthetic, 0, 1)).groupBy("x").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
     total = counts.agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
-    both = running(counts, "x", ["na", "nb"], ranges).crossJoin(F.broadcast(total))
+    both = running(counts, "x", ["na", "nb"]).crossJoin(F.broadcast(total))
     gap = F.abs((F.col("before_na") + F.col("na")) / F.col("ta") - (F.col("before_nb") + F.col("nb")) / F.col("tb"))
     width = F.coalesce(F.col("next_") - F.col("x"), F.lit(0.0))
     return both.agg(F.max(gap).alias("ks"), F.sum(gap * width).alias("wasserstein")).select(F.lit(col).alias("column"), "ks", "wasserstein")
@@ -128,11 +129,16 @@ def correlation_similarity(original: DataFrame, synthetic: DataFrame, cols: list
 def nearest_record(original: DataFrame, synthetic: DataFrame, cols: list[str], key: str, most_rows: int = 200_000) -> DataFrame:
     """key, distance: from each synthetic row to the nearest original one, standardised by the original, nulls as the mean.
 
-    The original is met block by block: only a table of at most ``most_rows`` rows is broadcast
+    Of one column the distinct values of both sides are sorted in ranges, where each synthetic one lies between two original
+    ones. Of several columns the original is met block by block: only a table of at most ``most_rows`` rows is broadcast
     (its size is counted first); a larger one is met by blocks of that size, one join each.
     """
     stats = original.agg(*[f(number(c)).alias(f"{c}:{k}") for c in cols for k, f in (("m", F.avg), ("s", F.stddev_pop))])
     z = lambda df: df.crossJoin(F.broadcast(stats)).select(*([F.col(key)] if df is synthetic else []), F.array(*[F.coalesce((number(c) - F.col(f"`{c}:m`")) / F.when(F.col(f"`{c}:s`") > 0, F.col(f"`{c}:s`")).otherwise(1.0), F.lit(0.0)) for c in cols]).alias("z"))
+    if len(cols) == 1:
+        own = z(synthetic).select(key, F.get("z", F.lit(0)).alias("x"))
+        between = _between(z(original).select(F.get("z", F.lit(0)).alias("x")).distinct(), own.select("x").distinct())
+        return own.join(between, "x").select(key, "distance")
     a = z(original).distinct().withColumnRenamed("z", "o")
     blocks = max(1, -(-a.count() // most_rows))
     best = None
@@ -144,6 +150,20 @@ def nearest_record(original: DataFrame, synthetic: DataFrame, cols: list[str], k
     return best.select(key, F.sqrt("d").alias("distance"))
 
 
+def _between(known: DataFrame, asked: DataFrame) -> DataFrame:
+    """x of asked, distance to the nearest x of known: the last one before and the first one after, within ranges of x and over their edges."""
+    both = known.withColumn("o", F.col("x")).unionByName(asked.withColumn("o", F.lit(None).cast("double")))
+    values = both.groupBy("x").agg(F.max("o").alias("o"), F.count_if(F.col("o").isNull()).alias("asked"))
+    ranged = written(values.repartitionByRange("x").withColumn("range_", F.spark_partition_id()), "ranges")
+    by = Window.orderBy("range_")  # one row a range
+    ends = ranged.groupBy("range_").agg(F.min("o").alias("least"), F.max("o").alias("most"))
+    ends = ends.select("range_", F.max("most").over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("ahead"), F.min("least").over(by.rowsBetween(1, Window.unboundedFollowing)).alias("behind"))
+    order = Window.partitionBy("range_").orderBy("x")
+    near = ranged.withColumns({"low": F.last("o", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "high": F.first("o", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))})
+    near = near.filter("asked > 0").join(F.broadcast(ends), "range_")
+    return near.select("x", F.least(F.col("x") - F.coalesce("low", "ahead"), F.coalesce("high", "behind") - F.col("x")).alias("distance"))
+
+
 def closest_risk(distances: DataFrame, columns: int) -> DataFrame:
     """One row: mean distance, and risk = exp(-mean / sqrt(columns))."""
     return distances.agg(F.avg("distance").alias("mean_distance")).withColumn("risk", F.exp(-F.col("mean_distance") / (columns**0.5)))

@@ -56,9 +56,10 @@ def _draw_by_position(out: DataFrame, counts: DataFrame, c: str, seed: int) -> D
 
 def numbered(df: DataFrame, key: list[str], to: str = "pos_") -> DataFrame:
     """df with a dense position from 0 in the order of key: counts of ranges first, then positions inside each."""
-    bucket = F.pmod(F.xxhash64(*key), F.lit(256))
+    buckets = max(256, df.count() // 250_000)
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets))
     sized = df.withColumn("b_", bucket)
-    starts = sized.groupBy("b_").agg(F.count("*").alias("c_")).withColumn("start_", F.coalesce(F.sum("c_").over(Window.orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # 256 rows
+    starts = sized.groupBy("b_").agg(F.count("*").alias("c_")).withColumn("start_", F.coalesce(F.sum("c_").over(Window.orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a bucket
     inside = F.row_number().over(Window.partitionBy("b_").orderBy(*key)) - 1
     return sized.withColumn("i_", inside).join(F.broadcast(starts.drop("c_")), "b_").withColumn(to, (F.col("start_") + F.col("i_")).cast("long")).drop("b_", "i_", "start_")
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..written import written
+
 QUANTILES = (0.25, 0.5, 0.75, 0.95, 0.99)
 
 
@@ -22,9 +24,42 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
-def percentiles(c: Column, shares: tuple[float, ...], exact: bool) -> Column:
-    """Exact (linear between values) or from a sketch of fixed size, which is the one for billions of distinct values."""
-    return F.percentile(c, list(shares)) if exact else F.percentile_approx(c, list(shares), 10_000)
+def sketched(c: Column, shares: tuple[float, ...]) -> Column:
+    """Percentiles from a sketch of fixed size: values of the column, at ranks that are off by a ten-thousandth at most."""
+    return F.percentile_approx(c, list(shares), 10_000)
+
+
+def exact_percentiles(df: DataFrame, values: dict[str, Column], shares: list[float]) -> DataFrame:
+    """column, q: the percentiles (linear between values) of each named expression; null where it has no values.
+
+    The values of all columns are counted, dealt to ranges and written once. Sums of the ranges come first,
+    then only the ranges' rows that hold a rank asked for go on, so no task or buffer holds a whole column.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("column"), v.cast("double").alias("x")) for k, v in values.items()]))
+    counts = df.select(pairs.alias("p")).select("p.*").filter("x is not null").groupBy("column", "x").agg(F.count("*").alias("n"))
+    ranged = written(counts.repartitionByRange("column", "x").withColumn("range_", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy("column", "range_").agg(F.sum("n").alias("s_"))
+    by = Window.partitionBy("column").orderBy("range_")  # one row a range
+    starts = sums.select("column", "range_", F.coalesce(F.sum("s_").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start_"), F.sum("s_").over(Window.partitionBy("column")).alias("t_"), "s_")
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("t_") - 1)).alias("pos")) for i, p in enumerate(shares)])
+    wanted = starts.select("column", "range_", "start_", "s_", F.explode(ranks).alias("r")).select("*", "r.i", "r.pos", F.explode(F.array_distinct(F.array(F.floor("r.pos"), F.ceil("r.pos")))).alias("rank"))
+    wanted = wanted.filter((F.col("rank") >= F.col("start_")) & (F.col("rank") < F.col("start_") + F.col("s_"))).select("column", "range_", "start_", "i", "pos", "rank")
+    held = ranged.join(F.broadcast(wanted.select("column", "range_", "start_").distinct()), ["column", "range_"])
+    inside = Window.partitionBy("column", "range_").orderBy("x")
+    placed = held.withColumn("before_", F.col("start_") + F.sum("n").over(inside) - F.col("n")).select("column", "range_", "x", "n", "before_")
+    met = placed.join(F.broadcast(wanted.select("column", "range_", "i", "pos", "rank")), ["column", "range_"]).filter((F.col("rank") >= F.col("before_")) & (F.col("rank") < F.col("before_") + F.col("n")))
+    low, high = F.min("x"), F.max("x")
+    each = met.groupBy("column", "i").agg((low + (high - low) * (F.max("pos") - F.floor(F.max("pos")))).alias("v"))
+    lists = each.groupBy("column").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("q"))
+    names = df.sparkSession.createDataFrame([(k,) for k in values], "column string")
+    return names.join(F.broadcast(lists), "column", "left")
+
+
+def quantile_rows(df: DataFrame, cols: list[str], shares: tuple[float, ...], exact: bool) -> DataFrame:
+    """column, q: percentiles of the columns, exact or from sketches in one pass."""
+    if exact:
+        return exact_percentiles(df, {c: number(c) for c in cols}, list(shares))
+    return _wide(df, cols, lambda c: {"q": sketched(number(c), shares)})
 
 
 def unpivot(df: DataFrame, cols: list[str], name: str = "column", value: str = "value") -> DataFrame:
@@ -67,14 +102,13 @@ def numeric_profile(df: DataFrame, cols: list[str] | None = None, exact: bool =
             "variance": F.var_samp(x),
             "g1": F.skewness(x),
             "g2": F.kurtosis(x),
-            "q": percentiles(x, QUANTILES, exact),
             "zeros": F.count_if(x == 0),
             "negatives": F.count_if(x < 0),
             "infinities": F.count_if(F.abs(x) == float("inf")),
         }
 
     n = F.col("count").cast("double")
-    wide = _wide(df, cols, measures)
+    wide = _wide(df, cols, measures).join(F.broadcast(quantile_rows(df, cols, QUANTILES, exact)), "column")
     return wide.select(
         "column", "count", "nulls", "min", "max", "mean", "std", "variance",
         adjusted_skew(F.col("g1"), n).alias("skewness"),
@@ -206,14 +240,14 @@ def column_basics(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def outlier_fences(df: DataFrame, cols: list[str], factor: float = 1.5, exact: bool = True) -> DataFrame:
     """column, q1, q3, low, high."""
-    wide = _wide(df, cols, lambda c: {"q": percentiles(number(c), (0.25, 0.75), exact)})
+    wide = quantile_rows(df, cols, (0.25, 0.75), exact)
     q1, q3 = F.get("q", F.lit(0)), F.get("q", F.lit(1))
     return wide.select("column", q1.alias("q1"), q3.alias("q3"), (q1 - factor * (q3 - q1)).alias("low"), (q3 + factor * (q3 - q1)).alias("high"))
 
 
 def fences_row(df: DataFrame, cols: list[str], factor: float = 1.5, exact: bool = True) -> DataFrame:
     """One row with <column>_low and <column>_high, to be joined by broadcast."""
-    one = df.agg(*[percentiles(number(c), (0.25, 0.75), exact).alias(c) for c in cols])
+    one = quantile_rows(df, cols, (0.25, 0.75), exact).agg(*[F.max(F.when(F.col("column") == c, F.col("q"))).alias(c) for c in cols])
     out = []
     for c in cols:
         q1, q3 = F.get(c, F.lit(0)), F.get(c, F.lit(1))

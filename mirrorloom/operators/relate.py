@@ -7,7 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .profile import number
+from ..written import written
+from .profile import exact_percentiles, number
 
 
 def _pairs_row(df: DataFrame, pairs: list[tuple[str, str]], measure) -> DataFrame:
@@ -30,41 +31,35 @@ def correlation_report(df: DataFrame, cols: list[str], least: float = 0.7) -> Da
         F.max(r).alias("max_abs"), F.avg(r).alias("mean_abs"))
 
 
-def average_ranks(df: DataFrame, col: str, to: str, ranges: int = 64) -> DataFrame:
-    """df with the average rank of col's values. Ranks come from the counts of distinct values, so only those are sorted, in so many ranges."""
+def average_ranks(df: DataFrame, col: str, to: str) -> DataFrame:
+    """df with the average rank of col's values. Ranks come from the counts of distinct values, so only those are sorted, in ranges."""
     x = number(col)
     counts = df.filter(x.isNotNull()).groupBy(x.alias("v_")).agg(F.count("*").alias("n_"))
-    ranked = running(counts, "v_", ["n_"], ranges).select("v_", (F.col("before_n_") + (F.col("n_") + 1) / 2).alias(to))
+    ranked = running(counts, "v_", ["n_"]).select("v_", (F.col("before_n_") + (F.col("n_") + 1) / 2).alias(to))
     return df.join(ranked, x == F.col("v_"), "left").drop("v_")
 
 
-def running(counts: DataFrame, value: str, sums: list[str], ranges: int = 64) -> DataFrame:
+def running(counts: DataFrame, value: str, sums: list[str]) -> DataFrame:
     """counts (a row for each value) with before_<c>, the sum of each column c over smaller values, and next_, the next value.
 
-    Sums of ranges come first, so no task sees all values: one pass inside the ranges, and a table of one row a range.
-    Texts have no percentiles: their ranges are parted by 64 values a range, those of the smallest hashes.
+    The counts are dealt to ranges of values, as many as their size asks for, and written once with the number of
+    the range; the sums of the ranges come first, so no task sees all values, and one pass inside the ranges follows.
     """
-    if dict(counts.dtypes)[value] == "string":
-        some = counts.select(value).orderBy(F.xxhash64(value), value).limit(64 * ranges).agg(F.sort_array(F.collect_list(value)).alias("s_"))
-        places = F.array(*[F.floor(F.lit(i) * F.size("s_") / ranges).cast("int") for i in range(1, ranges)])
-        edges = some.select(F.filter(F.transform(places, lambda i: F.get("s_", i)), lambda e: e.isNotNull()).alias("e_"))
-    else:
-        edges = counts.select(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10_000).alias("e_"))
-    bucketed = counts.crossJoin(F.broadcast(edges)).withColumn("range_", F.size(F.filter("e_", lambda e: e < F.col(value)))).drop("e_")
-    of_range = bucketed.groupBy("range_").agg(F.min(value).alias("first_"), *[F.sum(c).alias(f"sum_{c}") for c in sums])
+    ranged = written(counts.repartitionByRange(value).withColumn("range_", F.spark_partition_id()), "ranges")
+    of_range = ranged.groupBy("range_").agg(F.min(value).alias("first_"), *[F.sum(c).alias(f"sum_{c}") for c in sums])
     by_range = Window.orderBy("range_")  # one row a range
     before = by_range.rowsBetween(Window.unboundedPreceding, -1)
     starts = of_range.select("range_", F.lead("first_").over(by_range).alias("after_"), *[F.coalesce(F.sum(f"sum_{c}").over(before), F.lit(0)).alias(f"start_{c}") for c in sums])
     inside = Window.partitionBy("range_").orderBy(value)
-    own = bucketed.withColumns({f"inside_{c}": F.coalesce(F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for c in sums} | {"lead_": F.lead(value).over(inside)})
+    own = ranged.withColumns({f"inside_{c}": F.coalesce(F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for c in sums} | {"lead_": F.lead(value).over(inside)})
     joined = own.join(F.broadcast(starts), "range_")
     return joined.select(*counts.columns, *[(F.col(f"start_{c}") + F.col(f"inside_{c}")).alias(f"before_{c}") for c in sums], F.coalesce("lead_", "after_").alias("next_"))
 
 
-def spearman(df: DataFrame, a: str, b: str, ranges: int = 64) -> DataFrame:
+def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """a, b, r: Pearson's correlation of average ranks, over rows that have both values."""
     both = df.select(number(a).alias("x_"), number(b).alias("y_")).dropna()
-    ranked = average_ranks(average_ranks(both, "x_", "rx_", ranges), "y_", "ry_", ranges)
+    ranked = average_ranks(average_ranks(both, "x_", "rx_"), "y_", "ry_")
     return ranked.agg(F.corr("rx_", "ry_").alias("r")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "r")
 
 
@@ -108,7 +103,7 @@ def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
 def quintiles(df: DataFrame, col: str, to: str, parts: int = 5) -> DataFrame:
     """df with the quantile bin of col (from 0): bins are closed on the right, the first on both sides, equal edges are one."""
     x = number(col)
-    edges = df.agg(F.array_distinct(F.percentile(x, [i / parts for i in range(parts + 1)])).alias("e_"))
+    edges = exact_percentiles(df, {col: x}, [i / parts for i in range(parts + 1)]).select(F.array_distinct("q").alias("e_"))
     inner = F.slice("e_", 2, F.greatest(F.size("e_") - 2, F.lit(0)))
     return df.crossJoin(F.broadcast(edges)).withColumn(to, F.when(x.isNotNull(), F.size(F.filter(inner, lambda e: e < x)))).drop("e_")
 
@@ -147,7 +142,9 @@ def temporal_order(df: DataFrame, a: str, b: str, least: int = 10) -> DataFrame:
     """One row: pairs, consistency (share of a <= b), from, to, and the durations in days clipped to 0 to 365: min, quartiles, max, mean."""
     d = F.greatest(F.lit(0.0), F.least(F.lit(365.0), days_between(F.col(a), F.col(b))))
     ordered = (F.col(a) <= F.col(b)).cast("double")
-    one = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).agg(F.count("*").alias("pairs"), F.avg(ordered).alias("consistency"), F.min(d).alias("min"), F.percentile(d, [0.25, 0.5, 0.75]).alias("q"), F.max(d).alias("max"), F.avg(d).alias("mean"))
+    both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    one = both.agg(F.count("*").alias("pairs"), F.avg(ordered).alias("consistency"), F.min(d).alias("min"), F.max(d).alias("max"), F.avg(d).alias("mean"))
+    one = one.crossJoin(F.broadcast(exact_percentiles(both, {"d": d}, [0.25, 0.5, 0.75]).select("q")))
     direction = lambda x, y: F.when(F.col("pairs") < least, None).when(F.col("consistency") > 0.75, x).when(F.col("consistency") < 0.25, y)
     return one.select(direction(F.lit(a), F.lit(b)).alias("from"), direction(F.lit(b), F.lit(a)).alias("to"), "pairs", "consistency", "min", *[F.get("q", F.lit(i)).alias(k) for i, k in enumerate(("q25", "median", "q75"))], "max", "mean")
 
@@ -170,11 +167,11 @@ def foreign_keys(tables: dict[str, tuple[DataFrame, list[str]]], share: float =
     """
     stacked = None
     for name, (df, cols) in tables.items():
-        for c in cols:
-            kind = dict(df.dtypes)[c]
-            kind = "integer" if kind in ("int", "bigint", "smallint", "tinyint") else kind
-            own = df.select(F.lit(name).alias("t"), F.lit(c).alias("c"), F.lit(kind).alias("k"), F.col(c).cast("string").alias("v")).dropna().distinct()
-            stacked = own if stacked is None else stacked.unionByName(own)
+        kinds = {c: "integer" if k in ("int", "bigint", "smallint", "tinyint") else k for c, k in df.dtypes}
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(kinds[c]).alias("k"), F.col(f"`{c}`").cast("string").alias("v")) for c in cols]))
+        own = df.select(each.alias("e")).select(F.lit(name).alias("t"), "e.*").dropna().distinct()  # one scan a table
+        stacked = own if stacked is None else stacked.unionByName(own)
+    stacked = written(stacked, "values")
     sizes = stacked.groupBy("t", "c").agg(F.count("*").alias("n"))
     a, b = stacked.alias("a"), stacked.alias("b")
     met = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.t") < F.col("b.t")))
