@@ -155,11 +155,13 @@ def _between(known: DataFrame, asked: DataFrame) -> DataFrame:
     both = known.withColumn("o", F.col("x")).unionByName(asked.withColumn("o", F.lit(None).cast("double")))
     values = both.groupBy("x").agg(F.max("o").alias("o"), F.count_if(F.col("o").isNull()).alias("asked"))
     ranged = written(values.repartitionByRange("x").withColumn("range_", F.spark_partition_id()), "ranges")
-    by = Window.orderBy("range_")  # one row a range
+    so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     ends = ranged.groupBy("range_").agg(F.min("o").alias("least"), F.max("o").alias("most"))
-    ends = ends.select("range_", F.max("most").over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("ahead"), F.min("least").over(by.rowsBetween(1, Window.unboundedFollowing)).alias("behind"))
-    order = Window.partitionBy("range_").orderBy("x")
-    near = ranged.withColumns({"low": F.last("o", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "high": F.first("o", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))})
+    ends = ends.select("range_", F.max("most").over(earlier(Window.orderBy("range_"))).alias("ahead"), F.min("least").over(earlier(Window.orderBy(F.desc("range_")))).alias("behind"))  # one row a range
+    # Both ways look back, as a frame that looks ahead is read anew for each row.
+    own = Window.partitionBy("range_")
+    near = ranged.withColumns({"low": F.last("o", ignorenulls=True).over(so_far(own.orderBy("x"))), "high": F.last("o", ignorenulls=True).over(so_far(own.orderBy(F.desc("x"))))})
     near = near.filter("asked > 0").join(F.broadcast(ends), "range_")
     return near.select("x", F.least(F.col("x") - F.coalesce("low", "ahead"), F.coalesce("high", "behind") - F.col("x")).alias("distance"))
 
