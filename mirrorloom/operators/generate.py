@@ -250,6 +250,39 @@ def repair_order(df: DataFrame, start: str, end: str, low: float, high: float, s
     return df.withColumn(end, F.when(F.col(end) < F.col(start), moved).otherwise(F.col(end)))
 
 
+def repair_durations(df: DataFrame, start: str, end: str, marks: tuple[float, float, float, float, float], seed: int, *key: str, every: bool = False) -> DataFrame:
+    """Rows whose end lies before the start (``every``: all rows) get an end after it, by a duration in days drawn like those seen.
+
+    marks: minimum, quartiles and maximum of the durations; each of the four parts between them is drawn as often, evenly inside.
+    """
+    k = [F.col(c) for c in key]
+    part = F.floor(4 * uniform(seed, "segment", *k)).cast("int")
+    edges = F.array(*[F.lit(float(m)) for m in marks])
+    days = F.get(edges, part) + (F.get(edges, part + 1) - F.get(edges, part)) * uniform(seed, "within", *k)
+    moved = F.timestamp_seconds(F.unix_timestamp(F.col(start).cast("timestamp")) + (days * 86_400).cast("long")).cast("timestamp_ntz")
+    wrong = F.lit(True) if every else F.col(end) < F.col(start)
+    return df.withColumn(end, F.when(wrong, moved).otherwise(F.col(end)))
+
+
+def copy_columns(made: DataFrame, own: DataFrame, key: list[str], cols: list[str], seed: int) -> DataFrame:
+    """made with cols copied from own: by key where made has it; else each row takes all of them from one row, drawn by its row_id."""
+    if not cols:
+        return made
+    kept = made.drop(*cols)
+    if all(c in made.columns for c in key):
+        return kept.join(own.select(*key, *[c for c in cols if c not in key]), key, "left")
+    rows = numbered(own.select(*dict.fromkeys([*key, *cols])), key)
+    total = own.count()
+    drawn = kept.withColumn("pos_", F.floor(uniform(seed, "copy", F.col("row_id")) * total).cast("long"))
+    return drawn.join(rows.select("pos_", *cols), "pos_", "left").drop("pos_")
+
+
+def copy_private(df: DataFrame, methods: dict[str, str], key: list[str], seed: int, hashed: list[str] = (), salt: str = "") -> DataFrame:
+    """A copy of df with columns masked by method, and others hashed with a salt."""
+    out = mask(df, methods, key, seed)
+    return out.withColumns({c: strings.salted_hash(F.col(f"`{c}`").cast("string"), salt) for c in hashed}) if hashed else out
+
+
 def quality_fixes(df: DataFrame, ages: list[str] = (), decimals: dict[str, int] | None = None) -> DataFrame:
     """Ages whole and from 0 to 120, infinities as nulls, numbers rounded half to even."""
     out = {c: F.greatest(F.lit(0), F.least(F.lit(120), F.bround(number(c), 0))).cast("long") for c in ages}

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..rng import uniform
-from .compare import correlation_similarity, quality_score
+from .compare import closest_risk, correlation_similarity, nearest_record, quality_score, statistical_similarity
 from .generate import GENERATORS, _slots, generate
+from .privacy import anonymity_level
 from .profile import number
 
 
@@ -62,6 +63,33 @@ def attribute_disclosure(original: DataFrame, synthetic: DataFrame, target: str,
     return original.sparkSession.createDataFrame([(target, accuracy, top, risk)], "target string, accuracy double, baseline double, risk double")
 
 
+def attribute_disclosures(original: DataFrame, synthetic: DataFrame, targets: list[str], numeric: list[str], categorical: list[str], trees: int = 50, seed: int = 42) -> DataFrame:
+    """target, accuracy, baseline, risk for each sensitive column, each guessed from all other columns."""
+    out = None
+    for t in targets:
+        own = attribute_disclosure(original, synthetic, t, [c for c in numeric if c != t], [c for c in categorical if c != t], trees, seed)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def privacy_risk(original: DataFrame, synthetic: DataFrame, key: str, numeric: list[str], categorical: list[str], sensitive: list[str], identifying: list[str], trees: int = 50) -> DataFrame:
+    """One row: the risks of near records, membership, attributes (mean over the sensitive columns) and small groups, and their mean."""
+    near = closest_risk(nearest_record(original, synthetic, numeric, key), len(numeric)).first()["risk"]
+    member = membership_disclosure(original, synthetic, numeric, categorical).first()["risk"]
+    guessed = attribute_disclosures(original, synthetic, sensitive, numeric, categorical, trees).agg(F.avg("risk")).first()[0] if sensitive else 0.0
+    groups = anonymity_level(synthetic, identifying).first()["risk"] if identifying else 0.0
+    parts = [float(x or 0.0) for x in (near, member, guessed, groups)]
+    return original.sparkSession.createDataFrame([(*parts, sum(parts) / 4)], "nearest double, membership double, attributes double, groups double, risk double")
+
+
+def evaluate(original: DataFrame, synthetic: DataFrame, key: str, numeric: list[str], categorical: list[str], target: str, identifying: list[str], sensitive: list[str], trees: int = 50) -> DataFrame:
+    """One row: statistical similarity, utility for the target, privacy risk, and the whole: 0.4, 0.4 and 0.2 of (1 - risk)."""
+    similar = statistical_similarity(original, synthetic, numeric, categorical).first()["similarity"]
+    useful = utility(original, synthetic, target, [c for c in numeric if c != target], [c for c in categorical if c != target], target in categorical, trees).first()["utility"]
+    risk = privacy_risk(original, synthetic, key, numeric, categorical, sensitive, identifying, trees).first()["risk"]
+    return original.sparkSession.createDataFrame([(similar, useful, risk, 0.4 * similar + 0.4 * useful + 0.2 * (1 - risk))], "similarity double, utility double, risk double, overall double")
+
+
 def utility(original: DataFrame, synthetic: DataFrame, target: str, numeric: list[str], categorical: list[str], classes: bool, trees: int = 100, seed: int = 42) -> DataFrame:
     """One row: scores on the original's test rows of forests trained on original and on synthetic rows, and their ratio in [0, 1]."""
     cols = (numeric, [*categorical, target]) if classes else ([*numeric, target], categorical)

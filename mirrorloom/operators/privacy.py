@@ -43,6 +43,14 @@ def rare_to_other(df: DataFrame, col: str, k: int) -> DataFrame:
     return _sized(df, [col]).withColumn(col, F.when(F.col("group_size_") < k, "Other").otherwise(F.col(col))).select(*df.columns)
 
 
+def generalize_by(df: DataFrame, col: str, mapping: dict[str, str] | DataFrame, other: str | None = None) -> DataFrame:
+    """col by a dictionary (a dict, or a table of value and general); values without an entry become ``other``, or stay where it is None."""
+    table = df.sparkSession.createDataFrame(list(mapping.items()), "value string, general string") if isinstance(mapping, dict) else mapping.select("value", "general")
+    looked = df.join(table.select(F.col("value").alias("value_"), F.col("general").alias("general_")), F.col(f"`{col}`").cast("string") == F.col("value_"), "left")
+    rest = F.col(f"`{col}`").cast("string") if other is None else F.when(F.col(f"`{col}`").isNotNull(), other)
+    return looked.withColumn(col, F.coalesce("general_", rest)).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def k_anonymize(df: DataFrame, keys: list[str], k: int) -> DataFrame:
     """Numeric keys as intervals, rare values as 'Other', then small groups suppressed."""
     out = df

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import dataclass, field, fields
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,13 +15,14 @@ from ..sources import readers, writers
 
 @dataclass(frozen=True)
 class Config:
-    """What to do with each table. actions: column -> synthesize, copy or mask (masks: column -> method)."""
+    """What to do with each table. actions: table -> column -> synthesize (default) or copy; masks: table -> column -> method."""
 
     method: str = "perturb"
     rows: int | None = None
     seed: int = 42
     factor: float = 0.2
     keys: dict[str, list[str]] = field(default_factory=dict)
+    actions: dict[str, dict[str, str]] = field(default_factory=dict)
     masks: dict[str, dict[str, str]] = field(default_factory=dict)
     age_columns: dict[str, str] = field(default_factory=dict)
     constraints: dict[str, list[validate.Constraint]] = field(default_factory=dict)
@@ -29,6 +32,18 @@ class Config:
             raise ValueError(f"unknown method {self.method}")
         if not 0 <= self.factor <= 1:
             raise ValueError("factor must lie in [0, 1]")
+        for table, actions in self.actions.items():
+            if unknown := set(actions.values()) - {"synthesize", "copy"}:
+                raise ValueError(f"unknown actions for {table}: {', '.join(sorted(unknown))}")
+
+
+def load_config(path: str, **changes) -> Config:
+    """A Config from a JSON file; what the file leaves out keeps its default, and changes go before the file."""
+    given = json.loads(Path(path).read_text(encoding="utf-8")) | changes
+    if unknown := set(given) - {f.name for f in fields(Config)}:
+        raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
+    rules = {t: [r if isinstance(r, validate.Constraint) else validate.Constraint(**r) for r in rs] for t, rs in given.get("constraints", {}).items()}
+    return Config(**(given | {"constraints": rules}))
 
 
 @dataclass
@@ -51,6 +66,8 @@ def run_tables(tables: dict[str, DataFrame], config: Config) -> Result:
         if not key:
             raise ValueError(f"table {name} has no key; name one in Config.keys")
         made = generate.generate(own, config.method, key, config.rows, config.seed, config.factor)
+        copied = [c for c, action in config.actions.get(name, {}).items() if action == "copy" and c not in key]
+        made = generate.copy_columns(made, own, key, copied, config.seed)
         row_key = ["row_id"] if "row_id" in made.columns else key
         if name in config.masks:
             made = generate.mask(made, config.masks[name], row_key, config.seed)

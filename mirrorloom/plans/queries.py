@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, numeric, strings
-from ..operators import clean, compare, distributions, generate, learn, privacy, profile, relate, schema, validate
+from ..operators import clean, compare, discover, distributions, features, generate, learn, privacy, profile, relate, schema, validate
 from ..rng import laplace, normal, uniform
 from ..session import table
 from ..sources import readers
@@ -868,6 +868,121 @@ def generator_selection(spark, d):
     return learn.select_generator(table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment"), ["c_custkey"], ["c_acctbal", "c_nationkey"], ["c_mktsegment"], ("marginals", "bootstrap", "perturb"))
 
 
+# -- searches, full profiles, fitted transforms -------------------------------------------------
+
+_DATES = {"o_orderdate": "a", "l_shipdate": "b", "due_date": "c"}
+_OLC = "(SELECT o_orderdate AS a, l_shipdate AS b, o_orderdate + INTERVAL 30 DAY AS c FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
+
+
+def _three_dates(spark, d):
+    return _orders_lines(spark, d).withColumn("due_date", F.col("o_orderdate") + F.expr("INTERVAL 30 DAY"))
+
+
+def _order_sql(x: str, y: str) -> str:
+    a, b = _DATES[x], _DATES[y]
+    return f"""SELECT CASE WHEN k > 0.75 THEN '{x}' ELSE '{y}' END AS "from", CASE WHEN k > 0.75 THEN '{y}' ELSE '{x}' END AS "to", n AS pairs, round(k, 6) AS consistency, round(min(d), 6) AS min, round(quantile_cont(d, .25), 6) AS q25, round(median(d), 6) AS median, round(quantile_cont(d, .75), 6) AS q75, round(max(d), 6) AS max, round(avg(d), 6) AS mean
+ FROM (SELECT k, n, greatest(0, least(365, (CASE WHEN k > 0.75 THEN 1 ELSE -1 END) * (epoch_us({b}) - epoch_us({a})) / 86400000000.0)) AS d FROM {_OLC}, (SELECT avg(({a} <= {b})::INT) AS k, count(*) AS n FROM {_OLC}) WHERE k > 0.75 OR k < 0.25) GROUP BY k, n"""
+
+
+@query(" UNION ALL ".join(_order_sql(x, y) for x, y in (("o_orderdate", "l_shipdate"), ("o_orderdate", "due_date"), ("l_shipdate", "due_date"))))
+def discover_temporal(spark, d):
+    return rounded(discover.temporal_orders(_three_dates(spark, d), list(_DATES)))
+
+
+@query(f"""WITH l AS (SELECT days, unnest(['o_orderpriority', 'o_orderstatus', 'l_returnflag']) AS c, unnest([o_orderpriority, o_orderstatus, l_returnflag]) AS v FROM (SELECT *, (epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400000000.0 AS days FROM orders JOIN lineitem ON o_orderkey = l_orderkey) WHERE days > 0),
+s AS (SELECT c, v, count(*) AS n, avg(days) AS mean, median(days) AS median FROM l GROUP BY 1, 2), g AS (SELECT c FROM s GROUP BY c HAVING count(*) BETWEEN 2 AND 20 AND max(median) FILTER (n >= 5) > 1.001 * min(median) FILTER (n >= 5))
+SELECT c AS "column", v AS value, n, round(mean, 6) AS mean, round(median, 6) AS median FROM s JOIN g USING (c) WHERE n >= 5""")
+def discover_durations(spark, d):
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    joined = o.join(li, o.o_orderkey == li.l_orderkey)
+    return rounded(discover.duration_dependencies(joined, "o_orderdate", "l_shipdate", ["o_orderpriority", "o_orderstatus", "l_returnflag"], ratio=1.001))
+
+
+@query(f"""SELECT 'dependency' AS kind, src AS a, dst AS b, NULL::VARCHAR AS given, weight AS strength FROM ({SQL["dependency_graph"]})
+UNION ALL SELECT 'information', 'l_returnflag', 'l_linestatus', NULL, round(sum(n / t * ln(n * t / (na * nb))), 6) FROM (SELECT count(*)::DOUBLE AS n, sum(count(*)) OVER () AS t, sum(count(*)) OVER (PARTITION BY l_returnflag) AS na, sum(count(*)) OVER (PARTITION BY l_linestatus) AS nb FROM lineitem GROUP BY l_returnflag, l_linestatus)""")
+def discover_relationships(spark, d):
+    return rounded(discover.relationships(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], ["l_returnflag", "l_linestatus"], [], threshold=0.0))
+
+
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", round(count(DISTINCT {c}) / count(*), 6) AS distinct_ratio FROM orders HAVING count(DISTINCT {c}) >= 0.95 * count(*)""" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")))
+def key_candidates(spark, d):
+    return rounded(discover.key_candidates(table(spark, d, "orders")))
+
+
+@query("""SELECT 'p' AS a, 'q' AS b, round(corr(l_extendedprice, l_extendedprice + 300 * l_quantity), 6) AS r, CASE WHEN abs(corr(l_extendedprice, l_extendedprice + 300 * l_quantity)) > 0.8 THEN 'strong' ELSE 'moderate' END AS strength FROM lineitem HAVING abs(corr(l_extendedprice, l_extendedprice + 300 * l_quantity)) > 0.7""")
+def correlated_pairs(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_extendedprice").alias("p"), (F.col("l_extendedprice") + 300 * F.col("l_quantity")).alias("q"), F.col("l_tax").alias("t"))
+    return rounded(discover.correlated_pairs(li, ["p", "q", "t"]))
+
+
+_PROFILE = [("c_custkey", "number"), ("c_name", "text"), ("c_nationkey", "number"), ("c_acctbal", "number"), ("c_mktsegment", "text")]
+_MODE = "(SELECT n FROM (SELECT {c}::VARCHAR AS v, count(*) AS n FROM customer WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 1))"
+
+
+def _profile_sql(c: str, kind: str) -> str:
+    numbers = f"round(min({c}), 4)::DOUBLE AS min, round(max({c}), 4)::DOUBLE AS max, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std" if kind == "number" else "NULL::DOUBLE AS min, NULL::DOUBLE AS max, NULL::DOUBLE AS mean, NULL::DOUBLE AS std"
+    texts = f"min(length({c}))::INT AS shortest, max(length({c}))::INT AS longest" if kind == "text" else "NULL::INT AS shortest, NULL::INT AS longest"
+    return f"""SELECT '{c}' AS "column", '{kind}' AS kind, count(*) AS rows, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS "distinct", round({_MODE.replace("{c}", c)} / count(*), 6) AS mode_share, {numbers}, {texts} FROM customer"""
+
+
+@query(" UNION ALL ".join(_profile_sql(c, k) for c, k in _PROFILE))
+def full_profile(spark, d):
+    out = discover.full_profile(table(spark, d, "customer")).drop("mode", "first", "last")
+    return rounded(out).withColumns({c: F.round(c, 4) for c in ("min", "max", "mean", "std")})
+
+
+@query("""SELECT 'p_size' AS "column", bool_and(p_size = floor(p_size)) AS is_integer, count(DISTINCT p_size) <= 2 AS is_binary, false AS has_time FROM part UNION ALL SELECT 'p_retailprice', bool_and(p_retailprice = floor(p_retailprice)), count(DISTINCT p_retailprice) <= 2, false FROM part UNION ALL SELECT 'large', true, count(DISTINCT p_size > 25) <= 2, false FROM part""")
+def column_flags(spark, d):
+    return discover.column_flags(table(spark, d, "part").select("p_size", "p_retailprice", (F.col("p_size") > 25).cast("int").alias("large")), ["p_size", "p_retailprice", "large"])
+
+
+@query("""SELECT 'ts' AS "column", false AS is_integer, count(DISTINCT ts) <= 2 AS is_binary, bool_or(ts <> date_trunc('day', ts)) AS has_time FROM events""")
+def time_flags(spark, d):
+    return discover.column_flags(table(spark, d, "events"), ["ts"])
+
+
+@query("""WITH e AS (SELECT min(o_totalprice) AS lo, (max(o_totalprice) - min(o_totalprice)) / 10 AS w FROM orders), h AS (SELECT least(floor((o_totalprice - lo) / w), 9) AS b, count(*) AS n FROM orders, e GROUP BY 1)
+SELECT 'o_totalprice' AS "column", round(-sum(p * ln(p)), 6) AS entropy FROM (SELECT n / sum(n) OVER () AS p FROM h)""")
+def binned_entropy(spark, d):
+    return rounded(discover.binned_entropy(table(spark, d, "orders"), "o_totalprice"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'fast' WHEN '2-HIGH' THEN 'fast' ELSE 'slow' END AS o_orderpriority FROM orders""")
+def dictionary_generalize(spark, d):
+    return privacy.generalize_by(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", {"1-URGENT": "fast", "2-HIGH": "fast"}, "slow")
+
+
+@query("""WITH q AS (SELECT quantile_cont(s_acctbal, .25) AS a, quantile_cont(s_acctbal, .75) AS b FROM supplier) SELECT c_custkey, round(greatest(a - 1.5 * (b - a), least(b + 1.5 * (b - a), c_acctbal)), 4) AS c_acctbal, c_mktsegment FROM customer, q""")
+def feature_round_trip(spark, d):
+    """Learned from the suppliers (balance) and customers (segment), applied to the customers and undone."""
+    s, c = table(spark, d, "supplier"), table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    fitted = features.fit(s.select(F.col("s_acctbal").alias("c_acctbal")), ["c_acctbal"], [])
+    fitted = features.Features(fitted.numbers, (own := features.fit(c, [], ["c_mktsegment"])).values, own.fills)
+    return rounded(fitted.inverse(fitted.transform(c)), 4)
+
+
+@query("""WITH o AS (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS b FROM customer) SELECT count(*) AS rows_before, count(b) AS rows_after, count(*) - count(b) AS rows_dropped, count(*) - count(b) AS missing_before, 0::BIGINT AS missing_after, 0::BIGINT AS columns_dropped FROM o""")
+def change_summary(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal")).alias("b"))
+    return features.change_summary(c, c.dropna())
+
+
+@query(f"""WITH x AS (SELECT o_orderkey, o_orderdate, o_orderdate - INTERVAL 1 DAY AS e, {u_sql("segment", "o_orderkey")} AS s, {u_sql("within", "o_orderkey")} AS u FROM orders),
+y AS (SELECT *, list_value(0.0, 2.0, 5.0, 9.0, 30.0) AS m, floor(4 * s)::INT AS p FROM x)
+SELECT o_orderkey, (o_orderdate + to_seconds(floor((m[p + 1] + (m[p + 2] - m[p + 1]) * u) * 86400)::BIGINT))::TIMESTAMP AS e FROM y""")
+def post_process_quartiles(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderdate", (F.col("o_orderdate") - F.expr("INTERVAL 1 DAY")).alias("e"))
+    return generate.repair_durations(o, "o_orderdate", "e", (0.0, 2.0, 5.0, 9.0, 30.0), 42, "o_orderkey").select("o_orderkey", "e")
+
+
+@query()
+def table_evaluation(spark, d):
+    def side(name: str, p: str):
+        return table(spark, d, name).select(F.col(f"{p}_{'supp' if p == 's' else 'cust'}key").alias("id"), F.col(f"{p}_acctbal").alias("bal"), F.col(f"{p}_nationkey").alias("nation"), F.concat(F.lit("g"), F.col(f"{p}_nationkey") % 3).alias("grp"))
+
+    return learn.evaluate(side("supplier", "s"), side("customer", "c"), "id", ["bal", "nation"], ["grp"], "nation", ["nation"], ["grp"])
+
+
 # -- set operations ---------------------------------------------------------------------------
 
 

@@ -311,3 +311,98 @@ def test_schema_repair(spark):
     changed = people(spark).withColumn("age", F.lit("old")).withColumn("zip", F.lit("x"))
     new = schema.repair(changed, old)
     assert new.columns["age"].kind == "categorical" and "zip" in new.columns and new.columns["income"] == old.columns["income"]
+
+
+def test_marginals_and_swaps_of_many_values(spark):
+    from mirrorloom.operators import generate
+
+    df = spark.range(150_000).select("id", F.concat(F.lit("v"), F.col("id")).alias("hi"), F.concat(F.lit("c"), F.col("id") % 3).alias("lo"))
+    made = generate.marginals(df, 500, 42, [], ["hi", "lo"])
+    assert made.columns == ["row_id", "hi", "lo"] and made.count() == 500 and made.select("lo").distinct().count() == 3
+    out = generate.perturb(df, ["id"], 42, 0.3, categories=["hi", "lo"])
+    assert out.columns == df.columns and out.count() == 150_000
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and generate.value_list(df, "hi") is None and generate.value_list(df, "lo") is not None
+    changed = out.join(df.select("id", F.col("hi").alias("old")), "id").filter("hi <> old").count()
+    assert 0.27 < changed / 150_000 < 0.33
+
+
+def test_swaps_are_the_same_with_and_without_a_list(spark, monkeypatch):
+    from mirrorloom.operators import generate
+
+    df = spark.range(300).select("id", F.concat(F.lit("c"), F.col("id") % 7).alias("c"))
+    rows = lambda: sorted(map(tuple, generate.perturb(df, ["id"], 1, 0.5, categories=["c"]).collect()))
+    masks = lambda: sorted(map(tuple, generate.mask(df, {"c": "random_categorical"}, ["id"], 1).collect()))
+    one, two = rows(), masks()
+    monkeypatch.setattr(generate, "HELD_VALUES", 3)
+    assert rows() == one and masks() == two
+
+
+def test_noise_needs_a_row_key(spark):
+    from mirrorloom.operators import privacy
+
+    df = spark.range(40).selectExpr("id", "id % 2 as g", "cast(id as double) as x")
+    with pytest.raises(ValueError):
+        privacy.anonymize(df, "high", ["g"], [], [], "s", 1)
+    out = privacy.anonymize(df, "high", ["g"], [], [], "s", 1, row_key=["id"])
+    assert out.agg(F.count_distinct(F.round(F.col("x") - F.col("id"), 9))).first()[0] == 40
+
+
+def test_exact_percentiles(spark):
+    import numpy as np
+
+    from mirrorloom.operators.profile import exact_percentiles
+
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=5000), 2)
+    df = spark.createDataFrame([(float(v), None if i % 2 else float(i % 5)) for i, v in enumerate(x)], "x double, y double").withColumn("z", F.lit(None).cast("double")).repartition(7)
+    shares = [0.0, 0.1, 0.333, 0.5, 0.99, 1.0]
+    got = {r.column: r.q for r in exact_percentiles(df, {c: F.col(c) for c in "xyz"}, shares).collect()}
+    assert np.allclose(got["x"], np.quantile(x, shares)) and np.allclose(got["y"], np.quantile([i % 5 for i in range(0, 5000, 2)], shares)) and got["z"] is None
+
+
+def test_features_are_undone(spark):
+    from mirrorloom.operators import features
+
+    df = spark.range(200).selectExpr("id", "exp(id / 20.0) as skewed", "cast(id % 9 as double) as flat", "case when id % 4 = 0 then null else concat('k', id % 3) end as k")
+    fitted = features.fit(df, ["skewed", "flat"], ["k"])
+    assert fitted.numbers["skewed"].power is not None and fitted.numbers["flat"].power is None
+    made = fitted.transform(df)
+    assert abs(made.agg(F.avg("skewed")).first()[0]) < 1e-9 and "k_k0" in made.columns and "k" not in made.columns
+    back = fitted.inverse(made).alias("b").join(df.alias("a"), "id")
+    high = fitted.numbers["skewed"].high
+    assert back.filter(F.abs(F.col("b.skewed") - F.least(F.col("a.skewed"), F.lit(high))) > 1e-6).count() == 0
+    assert back.filter("a.k is not null and a.k <> b.k").count() == 0 and back.filter(f"a.k is null and b.k <> '{fitted.fills['k']}'").count() == 0
+
+
+def test_copied_columns_come_from_one_row(spark):
+    from mirrorloom.plans.pipeline import Config, load_config, run_tables
+
+    df = spark.range(120).selectExpr("id", "cast(id * 2 as double) as x", "concat('n', id) as name", "concat('m', id) as mail")
+    for method in ("perturb", "marginals"):
+        made = run_tables({"t": df}, Config(method=method, keys={"t": ["id"]}, actions={"t": {"name": "copy", "mail": "copy"}})).synthetic["t"]
+        assert made.count() == 120 and made.filter("substr(name, 2) <> substr(mail, 2) or name is null").count() == 0
+    with pytest.raises(ValueError):
+        Config(actions={"t": {"x": "drop"}})
+    import json
+    import tempfile
+
+    with tempfile.NamedTemporaryFile("w", suffix=".json", delete=False) as f:
+        json.dump({"method": "marginals", "constraints": {"t": [{"column": "x", "kind": "not_null"}]}}, f)
+    assert load_config(f.name, seed=7).seed == 7 and load_config(f.name).constraints["t"][0].kind == "not_null"
+
+
+def test_evaluation_weights(spark, small):
+    from mirrorloom.plans.queries import QUERIES
+
+    r = QUERIES["table_evaluation"](spark, small).first()
+    assert abs(r.overall - (0.4 * r.similarity + 0.4 * r.utility + 0.2 * (1 - r.risk))) < 1e-12 and 0 <= r.risk <= 1
+
+
+def test_named_dates_and_no_pairs(spark):
+    from mirrorloom.operators import discover
+
+    df = spark.range(30).selectExpr("timestamp_seconds(id) as a_time", "timestamp_seconds(id + 86400) as b_time", "timestamp_seconds(id * 2) as start_time")
+    assert discover.temporal_orders(df.select("a_time")).count() == 0
+    assert {(r["from"], r["to"]) for r in discover.temporal_orders(df).collect()} >= {("a_time", "b_time")}
+    assert all("start_time" in (r["from"], r["to"]) for r in discover.temporal_orders(df, named=True).collect())
