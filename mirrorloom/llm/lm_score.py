@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, materialize, ship
 
-TOP, CLASSES, DIM = 79, 48, 24
+TOP, CLASSES, DIM = 127, 128, 32
 OUTCOMES = 1 + TOP + CLASSES
 #: Words of at least this share of the training tokens (so a million at most) are known to each Python worker; the
 #: counts of all others are joined.
@@ -30,7 +30,9 @@ FREQUENT = 1e-6
 FLUSH = 400_000
 #: Documents of one step of scoring.
 SLICE = 400
-SHARDS, ROUNDS, STEPS, BATCH, NOISE = 4, 2, 500, 4096, 64
+SHARDS, ROUNDS, STEPS, BATCH, NOISE = 8, 2, 250, 4096, 64
+#: Each of ROUNDS draws so large a share of the training tokens at least, so training follows the input; STEPS a shard are the least.
+DRAWN = 0.125
 END = b""
 
 
@@ -229,7 +231,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
     and one end. Null and empty texts are an end alone. base_score: smoothed unigram; score: the
     model's log10 probability. Repeated rows each give a row; null identifiers are in the fold of the empty
     text. Without training documents all words are unknown. Words below the share ``frequent``
-    of the training tokens meet their counts in a join, so no worker holds the vocabulary.
+    of the training tokens meet their counts in a join, so no worker holds the vocabulary; the share only moves work, not results.
+    An empty table gives an empty result. Only the two named columns are read, so others may have any names. SLICE
+    texts' words are held at a time, so the longest text bounds the memory.
     """
     ship(docs.sparkSession)
     held = fold(F.col(id_col)) == 1
@@ -237,7 +241,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
     training = base.filter(~F.col("held_out"))
     counts = materialize(word_counts(training), "counts")
     n_train, v_train = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    best = sorted(((bytes(r.word), r.c) for r in counts.filter(F.col("c") >= frequent * n_train).collect()), key=lambda x: (-x[1], x[0]))
+    most = counts.filter(F.length("word") > 0).orderBy(F.desc("c"), "word").limit(TOP)  # the outcomes of their own, whatever the share
+    best = {bytes(r.word): r.c for r in counts.filter(F.col("c") >= frequent * n_train).unionByName(most).collect()}
+    best = sorted(best.items(), key=lambda x: (-x[1], x[0]))
     top = [w for w, _ in best if w != END][:TOP]
     fixed = {END: 0} | {w: k for k, w in enumerate(top, 1)}
     # The training tokens of each outcome, and the distinct words of each class.
@@ -251,6 +257,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequ
             sums[fixed[w]] = [c, 1]
     unigram = np.array([sums[k][0] + 0.5 for k in range(OUTCOMES)])
     unigram /= unigram.sum()
+    steps = max(steps, math.ceil(DRAWN * n_train / (SHARDS * BATCH)))
     model = train(materialize(outcome_counts(training, top), "outcomes"), unigram, steps=steps)
     log_rare = np.array([math.log10(sums[k][0] + 0.5 * (sums[k][1] + 1)) if k > TOP else 0.0 for k in range(OUTCOMES)])
     sent = docs.sparkSession.sparkContext.broadcast((model, best, top, log_rare))

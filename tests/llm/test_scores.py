@@ -31,9 +31,44 @@ def test_base_against_brute_force_with_joined_counts(spark):
     assert got == brute([(r.doc_id, r.text) for r in df.collect()])
 
 
-def test_held_out_gain_and_same_scores_for_any_share(spark, small):
+def brute_scores(rows, model):
+    """The score of each text, token by token, from the model's table and the words' shares of their classes."""
+    counts = Counter()
+    for i, t in rows:
+        if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1:
+            counts.update((t or "").encode().lower().split())
+    top = sorted(counts, key=lambda w: (-counts[w], w))[: lm_score.TOP]
+    number = {w: k for k, w in enumerate(top, 1)} | {b"": 0}
+    size, kinds = Counter(), Counter()
+    for w, c in counts.items():
+        if w not in number:
+            size[lm_score.class_of(w)] += c
+            kinds[lm_score.class_of(w)] += 1
+    table, out = model.log_probabilities(), []
+    for i, t in rows:
+        one = two = 0
+        total = 0.0
+        for w in (t or "").encode().lower().split() + [b""]:
+            k = number.get(w, lm_score.class_of(w))
+            total += float(table[two, one, k]) + (math.log10((counts[w] + 0.5) / (size[k] + 0.5 * (kinds[k] + 1))) if w not in number else 0.0)
+            two, one = one, k
+        out.append((str(i), round(total, 3)))
+    return sorted(out)
+
+
+def test_scores_against_brute_force_for_any_share(spark, small, monkeypatch):
+    df = docs(spark)
+    models, train = [], lm_score.train
+    monkeypatch.setattr(lm_score, "train", lambda *a, **k: models.append(train(*a, **k)) or models[-1])
+    for share in (1e-6, 0.02):  # all words are known to the workers, or most meet their counts in the join
+        got = sorted((str(r.doc_id), round(r.score, 3)) for r in lm_score.score(df, frequent=share, steps=20).collect())
+        assert all(a[0] == b[0] and abs(a[1] - b[1]) <= 0.002 + 1e-5 * abs(b[1]) for a, b in zip(got, brute_scores([(r.doc_id, r.text) for r in df.collect()], models[-1]), strict=True))
+    assert models[0].pack() == models[1].pack()
+
+
+def test_held_out_gain(spark, small):
     df = spark.read.parquet(f"{small}/documents.parquet")
-    a = lm_score.score(df, steps=200).toPandas().set_index("doc_id").sort_index()
+    a = lm_score.score(df, steps=100).toPandas().set_index("doc_id").sort_index()
     held = a[a.held_out]
     assert held.score.sum() > held.base_score.sum()
     assert (a.held_out == [zlib.crc32(str(i).encode()) % 5 == 1 for i in a.index]).all()
