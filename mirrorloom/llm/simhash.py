@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from .common import forget, fresh, materialize, ship
 
 SHINGLE, RADIUS = 3, 2
+#: Looser copies: shingles of CLOSE words that agree by SIMILARITY (Jaccard) or more. Two texts at 0.8
+#: share one of 32 bands of 8 smallest hashes with a probability of 0.997.
+CLOSE, SIMILARITY = 5, 0.8
+BANDS, ROWS = 32, 8
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -120,13 +124,86 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def shingle_set(text: str | None, width: int = CLOSE) -> np.ndarray:
+    """The sorted distinct 32-bit hashes of a text's shingles; a text of fewer words is one shingle, one without words none."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.uint32)
+    width = min(width, len(words))
+    digests = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    mixed = np.zeros(len(words) - width + 1, np.uint64)
+    for i in range(width):
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + digests[i : i + len(mixed)]
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique((mixed >> np.uint64(32)).astype(np.uint32))
+
+
+def band_keys(shingles: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """One 64-bit key a band, from the smallest of the shingles under each of bands x rows linear maps."""
+    maps = np.random.default_rng(7).integers(0, 2**32, (2, bands * rows, 1), np.uint32)
+    factor, shift = maps[0] | np.uint32(1), maps[1]
+    least = np.full(bands * rows, 2**32 - 1, np.uint32)
+    for at in range(0, len(shingles), 2048):  # bounds the memory of a very long text
+        np.minimum(least, (shingles[at : at + 2048] * factor + shift).min(axis=1), out=least)
+    keys = np.arange(bands, dtype=np.uint64)
+    for column in least.reshape(bands, rows).T:
+        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(31)
+    return keys.view(np.int64)
+
+
+def close_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = CLOSE, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b), a > b, of documents whose shingle sets agree by ``similarity`` or more.
+
+    A ball of the radius that such texts need can't be emitted, so candidates come from bands of
+    smallest hashes: each document meets the smallest identifier of each of its bands, never
+    all the others, so links grow with the documents, whatever a band holds. Every candidate's
+    whole shingle sets are compared. Null identifiers and texts without words give no link;
+    rows that repeat an identifier are each compared.
+    """
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("n int, bands array<long>")
+    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            sets = [shingle_set(t, width) for t in texts]
+            yield pd.DataFrame({"n": pd.Series(map(len, sets), dtype="int32"), "bands": pd.Series(map(band_keys, sets), dtype="object")})
+
+    @F.pandas_udf("array<int>")
+    def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shingle_set(t, width).view(np.int32) for t in texts], dtype="object")
+
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).filter("id IS NOT NULL")
+    sketches = materialize(texts.select("id", sketch("t").alias("s")), "sketches")
+    bands = sketches.filter("s.n > 0").select("id", F.col("s.n").alias("n"), F.explode("s.bands").alias("band"))
+    least = materialize(bands.groupBy("band").agg(F.min("id").alias("b"), F.count("*").alias("members")).filter("members > 1").drop("members"), "bands")
+    met = materialize(bands.join(least, "band").filter("id > b").select(F.col("id").alias("a"), F.col("n").alias("n_a"), "b").distinct(), "met")
+    sizes = sketches.select(F.col("id").alias("b"), F.col("s.n").alias("n_b"))
+    alike = F.least("n_a", "n_b") >= (similarity - 1e-9) * F.greatest("n_a", "n_b")
+    pairs = materialize(met.join(sizes, "b").filter(alike).select("a", "b").distinct(), "pairs")
+    forget(least, met)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = materialize(texts.join(wanted, "id", "left_semi").select("id", shingles("t").alias("set")), "sets")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("sum"))
+    links = materialize(both.filter(F.col("common") >= (similarity - 1e-9) * (F.col("sum") - F.col("common"))).select("a", "b").distinct(), "close")
+    forget(sketches, pairs, sets)
+    return links
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """The documents whose identifier is the smallest of their class, with all their columns.
 
-    Documents without an identifier stay; of rows that repeat an identifier, all stay or go
-    (an exact deduplication before removes them).
+    Classes follow the links of near_classes and those of close_links. Documents without
+    an identifier stay; of rows that repeat an identifier, all stay or go (an exact
+    deduplication before removes them).
     """
     (gone,) = fresh(docs, "gone_id")
     classes = near_classes(docs, id_col, text_col, width, radius)
-    dropped = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    links = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).distinct()
+    links = links.unionByName(close_links(docs, id_col, text_col, similarity=similarity))
+    dropped = components(links).filter("node <> root").select(F.col("node").alias(gone))
     return docs.join(dropped, docs[id_col] == F.col(gone), "left_anti")

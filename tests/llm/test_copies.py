@@ -93,6 +93,59 @@ def test_op3_query_against_brute_force(spark, small):
     assert sorted(map(tuple, queries.op3_simhash(spark, small).collect()), key=str) == brute_classes(rows)
 
 
+def brute_close(rows):
+    """The links that whole shingle sets of five words give at 0.8 or more, as pairs (larger, smaller)."""
+    sets = {}
+    for i, t in rows:
+        words = (t or "").encode().lower().split()
+        if words and i is not None:
+            sets[i] = {b" ".join(words[k : k + 5]) for k in range(max(len(words) - 4, 1))}
+    order = sorted(sets, key=lambda i: len(sets[i]))
+    found = set()
+    for at, i in enumerate(order):
+        for j in order[at + 1 :]:
+            if len(sets[i]) < 0.8 * len(sets[j]):
+                break
+            common = len(sets[i] & sets[j])
+            if common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
+                found.add((max(i, j), min(i, j)))
+    return found
+
+
+def roots_of(pairs):
+    parent = {}
+
+    def find(i):
+        while parent.setdefault(i, i) != i:
+            i = parent[i]
+        return i
+
+    for a, b in pairs:
+        low, high = sorted((find(a), find(b)))
+        parent[high] = low
+    return {i: find(i) for i in parent}
+
+
+def test_close_links_against_brute_force(spark, small):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    base = [f"v{i * i % 1009}" for i in range(300)]
+    loose = [" ".join("x" if k in {i * 37 % 300, i * 91 % 300, i * 13 % 300} else w for k, w in enumerate(base)) for i in range(30)]
+    rows += [(90_000 + i, t) for i, t in enumerate(loose)] + [(91_000, "one two"), (91_001, "One  TWO"), (91_002, "one"), (91_003, None), (None, loose[0])]
+    want = brute_close(rows)
+    got = {(r.a, r.b) for r in simhash.close_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= want and roots_of(got) == roots_of(want) and (91_001, 91_000) in got
+    assert len({i for i in roots_of(got) if 90_000 <= i < 90_030}) == 30
+
+
+def test_close_links_of_a_passage_shared_by_many(spark):
+    """Texts that only share a passage stay apart, and a band of many meets one of them, not all."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"{passage} " + " ".join(f"q{i}x{k}" for k in range(40))) for i in range(400)]
+    rows += [(1000 + i, t + " end") for i, t in rows[100:200]]
+    got = {(r.a, r.b) for r in simhash.close_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1000 + i, i) for i in range(100, 200)}
+
+
 def test_chains_join_up(spark):
     chain = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(200, 150), (150, 200), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in simhash.components(chain).collect()}
