@@ -105,6 +105,13 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
 
 
+def _prints(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables: (doc_id, fp) of every document, and the smallest identifier of every fingerprint (fp, least_id)."""
+    prints = materialize(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")), "t", "fp", width).select("doc_id", "fp"), "fingerprints")
+    first = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "first")
+    return prints, first
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hexadecimal digits), component_id.
 
@@ -114,8 +121,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     reachable; null identifiers are ignored in it, so a class of nulls only has null. Repeated
     rows each give a row. Copies share a fingerprint and are never expanded into pairs.
     """
-    prints = materialize(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")), "t", "fp", width).select("doc_id", "fp"), "fingerprints")
-    first = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "first")
+    prints, first = _prints(docs, id_col, text_col, width)
     roots = materialize(components(ball_links(first.select("fp"), radius)), "roots")
     met = roots.join(first, roots.node == first.fp).groupBy("root").agg(F.min("least_id").alias("component_id"))
     met = materialize(met, "classes")
@@ -197,13 +203,16 @@ def close_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """The documents whose identifier is the smallest of their class, with all their columns.
 
-    Classes follow the links of near_classes and those of close_links. Documents without
-    an identifier stay; of rows that repeat an identifier, all stay or go (an exact
+    Classes follow the links of equal and of near fingerprints, and those of close_links. Documents without
+    an identifier stay and link no others; of rows that repeat an identifier, all stay or go (an exact
     deduplication before removes them).
     """
     (gone,) = fresh(docs, "gone_id")
-    classes = near_classes(docs, id_col, text_col, width, radius)
-    links = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).distinct()
+    prints, first = _prints(docs, id_col, text_col, width)
+    same = prints.join(first, "fp").filter("doc_id <> least_id").select(F.col("doc_id").alias("a"), F.col("least_id").alias("b")).distinct()
+    of = [first.select(F.col("fp").alias(c), F.col("least_id").alias(f"least_{c}")) for c in "ab"]
+    ball = ball_links(first.filter("least_id IS NOT NULL").select("fp"), radius).join(of[0], "a").join(of[1], "b")
+    links = same.unionByName(ball.select(F.col("least_a").alias("a"), F.col("least_b").alias("b")))
     links = links.unionByName(close_links(docs, id_col, text_col, similarity=similarity))
     dropped = components(links).filter("node <> root").select(F.col("node").alias(gone))
     return docs.join(dropped, docs[id_col] == F.col(gone), "left_anti")
