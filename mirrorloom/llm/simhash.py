@@ -81,15 +81,21 @@ def ball_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return met.filter(near).select(F.col("fp").alias("a"), "b").distinct()
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether each node has one link to a smaller one at most, and only nodes without one are linked to."""
+    up = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = up.unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1 AND up > 0").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (a, b); the root is the component's smallest node.
 
-    Large-star and small-star rounds; every round is written to the shared folder. A hub's
-    links lie on one side of a join with one row per node, which adaptive execution splits.
+    Large-star and small-star rounds until all links are stars; every round is written to the shared
+    folder. A hub's links lie on one side of a join with one row per node, which adaptive execution splits.
     """
     star = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    seen = None
-    while True:
+    while not _are_stars(star):
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = materialize(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
@@ -98,11 +104,8 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         star = materialize(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "small")
         forget(large, least)
-        now = tuple(star.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u, 1))")).first())
-        if now == seen:
-            roots = star.select(F.col("v").alias("node")).distinct()
-            return star.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.withColumn("root", F.col("node")))
-        seen = now
+    roots = star.select(F.col("v").alias("node")).distinct()
+    return star.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.withColumn("root", F.col("node")))
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame]:
