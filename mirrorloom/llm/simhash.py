@@ -192,15 +192,16 @@ def close_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = materialize(bands.join(least, "band").filter("id > b").select(F.col("id").alias("a"), F.col("n").alias("n_a"), "b").distinct(), "met")
     sizes = sketches.select(F.col("id").alias("b"), F.col("s.n").alias("n_b"))
     alike = F.least("n_a", "n_b") >= (similarity - 1e-9) * F.greatest("n_a", "n_b")
-    pairs = materialize(met.join(sizes, "b").filter(alike).select("a", "b").distinct(), "pairs")
+    # Not distinct here: an aggregate by (a, b) would keep adaptive execution from splitting a common b.
+    pairs = materialize(met.join(sizes, "b").filter(alike).select("a", "b"), "pairs")
     forget(least, met)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = materialize(texts.join(wanted, "id", "left_semi").select("id", shingles("t").alias("set")), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("sum"))
-    links = materialize(both.filter(F.col("common") >= (similarity - 1e-9) * (F.col("sum") - F.col("common"))).select("a", "b").distinct(), "close")
+    links = materialize(both.filter(F.col("common") >= (similarity - 1e-9) * (F.col("sum") - F.col("common"))).select("a", "b"), "close")
     forget(sketches, pairs, sets)
-    return links
+    return links.distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:

@@ -165,3 +165,22 @@ def test_near_dedup_keeps_one(spark):
     assert out.columns == docs(spark).columns
     ids = [r.doc_id for r in out.collect()]
     assert 0 in ids and 1004 not in ids and 1000 in ids and 1001 not in ids and None in ids
+
+
+def test_components_of_stars_chains_cycles_and_hubs(spark):
+    """The rounds stop once all links are stars: none are needed for stars, several for chains; the classes match a plain search."""
+    import random
+
+    rng = random.Random(5)
+    chain = [(i, i + 1) for i in range(100, 140)]
+    hub = [(999, i) for i in range(200, 260)]  # the hub is the largest of its component
+    cases = [[(2, 1), (3, 1), (9, 8)], chain, hub, [(1, 2), (2, 3), (3, 1), (4, 4)], chain + hub + [(120, 230)], [(rng.randrange(300), rng.randrange(300)) for _ in range(150)]]
+    for links in cases:
+        root = {x: x for link in links for x in link if link[0] != link[1]}
+        while any(root[a] != root[b] for a, b in links if a != b):
+            for a, b in links:
+                if a != b:
+                    root[a] = root[b] = min(root[a], root[b])
+        got = simhash.components(spark.createDataFrame(links, "a long, b long")).collect()
+        assert len(got) == len({r.node for r in got})
+        assert {r.node: r.root for r in got} == root
