@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_extract, license_scan, lm_score, mixing, simhash, token_count, toxicity, url_filter
+from . import centroids, decontaminate, exact_dedup, html_extract, license_scan, lm_score, mixing, secret_scan, simhash, token_count, toxicity, url_filter, vector_codes
 from .common import fold, table
 
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -73,6 +73,26 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.transform("centroid", lambda x: x.cast("string")), ","), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), to="secrets")
+    of = lambda kind: F.size(F.filter("secrets", lambda s: s.kind == kind)).cast("long")
+    spans = lambda kept: F.array_join(F.transform(kept, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    base = F.filter("secrets", lambda s: s.kind.isin(*secret_scan.BASE))
+    return found.select("doc_id", *[of(k).alias(f"n_{k}") for k in secret_scan.BASE], F.sha2(spans(base), 256).alias("base_sha256"), spans(F.col("secrets")).alias("spans"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), keep=("label",))
+    whole = vector_codes.summed_over(coded, "label", "error", "label_error")
+    return whole.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -173,5 +193,47 @@ FROM judged
 """
 
 
+_WHOLE = "list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v"
+_SOUND = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)"
+_APART = "list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+#: floor of a mean; exact while counts stay under 2**26
+_MEAN = "floor(sum(x)::DOUBLE / count(*))::BIGINT"
+
+
+def _op11() -> str:
+    """The SQL of the clustering: plain Lloyd rounds in which all vectors meet all centroids."""
+    steps = [
+        f"kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, {_WHOLE} FROM embeddings WHERE len(embedding) = 64 AND {_SOUND})",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c, v FROM kept QUALIFY c < 40)",
+    ]
+    for r in range(6):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT rid, min({_APART} * 40 + c.c) AS m FROM kept k, c{r} c GROUP BY rid)")
+        if r < 5:
+            means = f"SELECT m % 40 AS c, i, {_MEAN} AS x FROM (SELECT m, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r} JOIN kept USING (rid)) GROUP BY ALL"
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c, coalesce(n.v, o.v) AS v FROM c{r} o LEFT JOIN (SELECT c, list(x ORDER BY i) AS v FROM ({means}) GROUP BY c) n USING (c))")
+    steps.append("final AS MATERIALIZED (SELECT rid, m % 40 AS c, m // 40 AS d FROM a5)")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, c::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c5.v, ',')) AS centroid_sha256
+FROM final JOIN c5 USING (c) JOIN kept USING (rid)"""
+
+
+def _op13() -> str:
+    """The SQL of the vector codes: every part meets every entry of its codebook."""
+    steps = [
+        f"kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, {_WHOLE} FROM embeddings WHERE {_SOUND})",
+        "k AS MATERIALIZED (SELECT rid, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] AS v FROM kept, range(16) t(p))",
+        "c0 AS MATERIALIZED (SELECT p, e, k.v FROM k JOIN (SELECT rid, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS e FROM kept QUALIFY e < 64) USING (rid))",
+    ]
+    for r in range(3):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT rid, p, min({_APART} * 64 + c.e) AS m FROM k JOIN c{r} c USING (p) GROUP BY ALL)")
+        if r < 2:
+            means = f"SELECT p, m % 64 AS e, i, {_MEAN} AS x FROM (SELECT p, m, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r} JOIN k USING (rid, p)) GROUP BY ALL"
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(n.v, o.v) AS v FROM c{r} o LEFT JOIN (SELECT p, e, list(x ORDER BY i) AS v FROM ({means}) GROUP BY p, e) n USING (p, e))")
+    return f"""WITH {", ".join(steps)},
+books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS h FROM c2),
+coded AS (SELECT rid, string_agg(lower(printf('%02x', (m % 64)::INT)), '' ORDER BY p) AS code, sum(m // 64)::BIGINT AS error FROM a2 GROUP BY rid)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM coded JOIN kept USING (rid), books"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": _OP4, "op5_license_scan": _op5(), "op7_mixing": _OP7, "op9_decontamination": _OP9, "op10_url_filter": _OP10}
+    return {"op11_centroids": _op11(), "op13_vector_codes": _op13(), "op4_exact_dedup": _OP4, "op5_license_scan": _op5(), "op7_mixing": _OP7, "op9_decontamination": _OP9, "op10_url_filter": _OP10}
