@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..written import written
+from ..written import discard, written
 from .profile import number, unpivot
 from .relate import pearson, running
 
@@ -126,28 +130,103 @@ def correlation_similarity(original: DataFrame, synthetic: DataFrame, cols: list
     return one.select("norm", (1 - F.least(F.lit(1.0), F.col("norm") / len(cols))).alias("similarity"))
 
 
-def nearest_record(original: DataFrame, synthetic: DataFrame, cols: list[str], key: str, most_rows: int = 200_000) -> DataFrame:
-    """key, distance: from each synthetic row to the nearest original one, standardised by the original, nulls as the mean.
+def nearest_record(original: DataFrame, synthetic: DataFrame, cols: list[str], key: str, cell_rows: int = 256, most_cells: int = 65_536) -> DataFrame:
+    """key, distance: from each synthetic row to the nearest original one, standardised by the original.
+
+    Nulls and what is no number count as 0 before they are standardised; a column without spread is only centred. Repeated synthetic rows
+    are returned each; without original rows the distances are null, without synthetic ones there are no rows.
 
     Of one column the distinct values of both sides are sorted in ranges, where each synthetic one lies between two original
-    ones. Of several columns the original is met block by block: only a table of at most ``most_rows`` rows is broadcast
-    (its size is counted first); a larger one is met by blocks of that size, one join each.
+    ones. Of several, the distinct original rows are dealt into cells (see ``_cells``) of some ``cell_rows`` rows; beyond
+    ``cell_rows * most_cells`` rows the cells grow. Each distinct synthetic row meets the cells in the order of the distance to their
+    boxes, one at first, then four times as many a round, as long as a box is nearer than the nearest row so far. So the distances are exact,
+    and a row joins with few cells; cells and boxes are all that is broadcast.
     """
-    stats = original.agg(*[f(number(c)).alias(f"{c}:{k}") for c in cols for k, f in (("m", F.avg), ("s", F.stddev_pop))])
-    z = lambda df: df.crossJoin(F.broadcast(stats)).select(*([F.col(key)] if df is synthetic else []), F.array(*[F.coalesce((number(c) - F.col(f"`{c}:m`")) / F.when(F.col(f"`{c}:s`") > 0, F.col(f"`{c}:s`")).otherwise(1.0), F.lit(0.0)) for c in cols]).alias("z"))
+    value = lambda c: F.coalesce(number(c), F.lit(0.0))
+    stats = original.agg(*[f(value(c)).alias(f"{i}:{k}") for i, c in enumerate(cols) for k, f in (("m", F.avg), ("s", F.stddev_pop))])
+    scaled = [((value(c) - F.col(f"`{i}:m`")) / F.when(F.col(f"`{i}:s`") > 0, F.col(f"`{i}:s`")).otherwise(1.0)) for i, c in enumerate(cols)]
+    z = lambda df: df.crossJoin(F.broadcast(stats)).select(*([F.col(key)] if df is synthetic else []), F.array(*[x + F.lit(0.0) for x in scaled]).alias("z"))
     if len(cols) == 1:
         own = z(synthetic).select(key, F.get("z", F.lit(0)).alias("x"))
         between = _between(z(original).select(F.get("z", F.lit(0)).alias("x")).distinct(), own.select("x").distinct())
         return own.join(between, "x").select(key, "distance")
-    a = z(original).distinct().withColumnRenamed("z", "o")
-    blocks = max(1, -(-a.count() // most_rows))
-    best = None
-    for i in range(blocks):
-        part = a.filter(F.pmod(F.hash("o"), F.lit(blocks)) == i) if blocks > 1 else a
-        square = F.aggregate(F.zip_with("z", "o", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-        met = z(synthetic).crossJoin(F.broadcast(part)).groupBy(key).agg(F.min(square).alias("d"))
-        best = met if best is None else best.unionByName(met).groupBy(key).agg(F.min("d").alias("d"))
-    return best.select(key, F.sqrt("d").alias("distance"))
+    own = written(z(synthetic), "asked")
+    distinct = written(z(original).distinct(), "distinct")
+    known, boxes = _cells(distinct, len(cols), cell_rows, most_cells)
+    discard(distinct)
+    best = written(own.select("z").distinct().withColumn("d", F.lit(None).cast("double")), "nearest")
+    square = F.aggregate(F.zip_with("z", "o", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+    begin, count = 0, 1
+    while begin < len(boxes):
+        asked = written(_cells_to_meet(best, boxes, begin, begin + count), "cells")
+        if asked.isEmpty():
+            discard(asked)
+            break
+        old = best
+        met = asked.join(known, "cell").groupBy("z").agg(F.min(square).alias("d"))
+        best = written(best.unionByName(met).groupBy("z").agg(F.min("d").alias("d")), "nearest")
+        discard(asked, old)
+        begin, count = begin + count, 4 * count
+    return own.join(best, "z").select(key, F.sqrt("d").alias("distance"))
+
+
+def _cells(known: DataFrame, width: int, cell_rows: int, most_cells: int) -> tuple[DataFrame, np.ndarray]:
+    """known (rows z, all distinct) as a written table of o and cell, and the bounds of the cells that have rows: cell, least, most of each column.
+
+    The cells are those of a tree that halves its rows at the median of the widest column. It is built from a sample of some 16 rows
+    a cell, chosen by hash; which rows are in it bears on the cells' sizes only.
+    """
+    rows = known.count()
+    depth = max(0, min(most_cells, -(-rows // cell_rows)) - 1).bit_length()
+    share = 16 * 2**depth / max(rows, 1)
+    drawn = known if share >= 1 else known.filter(F.pmod(F.xxhash64("z"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    sample = np.array([r.z for r in drawn.collect()], np.float64).reshape(-1, width)  # 16 rows a cell
+    axis, cut = np.zeros(2**depth, np.int64), np.full(2**depth, np.inf)
+    parts = {1: sample}
+    for node in range(1, 2**depth):
+        held = parts.pop(node)
+        if len(held):
+            axis[node] = int(np.ptp(held, axis=0).argmax())
+            cut[node] = np.median(held[:, axis[node]])
+        right = held[:, axis[node]] >= cut[node]
+        parts[2 * node], parts[2 * node + 1] = held[~right], held[right]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("z").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            node = np.ones(len(x), np.int64)
+            for _ in range(depth):
+                node = 2 * node + (x[np.arange(len(x)), axis[node]] >= cut[node])
+            yield pa.RecordBatch.from_arrays([batch.column("z"), pa.array(node.astype(np.int32))], ["o", "cell"])
+
+    dealt = written(known.mapInArrow(deal, "o array<double>, cell int"), "known")
+    ends = [f(F.get("o", F.lit(i))) for f in (F.min, F.max) for i in range(width)]
+    boxes = dealt.groupBy("cell").agg(*[e.alias(f"e{i}") for i, e in enumerate(ends)]).orderBy("cell").collect()  # most_cells rows at most
+    return dealt, np.array([list(b) for b in boxes], np.float64).reshape(-1, 1 + 2 * width)
+
+
+def _cells_to_meet(best: DataFrame, boxes: np.ndarray, begin: int, end: int) -> DataFrame:
+    """z, cell: of each row's cells in the order of the distance to their boxes those from place ``begin`` to before ``end``, if nearer than d."""
+    shared = best.sparkSession.sparkContext.broadcast(boxes)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, (low, high) = shared.value[:, 0].astype(np.int32), np.split(shared.value[:, 1:], 2, axis=1)
+        step = max(1, 2_000_000 // len(cell))  # rows whose bounds are held at once
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                x = part.column("z").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                d = part.column("d").fill_null(np.inf).to_numpy(zero_copy_only=False)
+                bound = np.zeros((len(x), len(cell)))
+                for i in range(x.shape[1]):
+                    out = np.maximum(np.maximum(low[:, i] - x[:, i, None], x[:, i, None] - high[:, i]), 0)
+                    bound += out * out
+                bound *= 1 - 1e-12  # whatever rounding adds, no nearer row is passed over
+                order = np.argsort(bound, axis=1, kind="stable")[:, begin:end]
+                row, place = np.nonzero(np.take_along_axis(bound, order, 1) < d[:, None])
+                yield pa.RecordBatch.from_arrays([part.column("z").take(pa.array(row)), pa.array(cell[order[row, place]])], ["z", "cell"])
+
+    return best.mapInArrow(meet, "z array<double>, cell int")
 
 
 def _between(known: DataFrame, asked: DataFrame) -> DataFrame:

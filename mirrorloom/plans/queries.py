@@ -745,6 +745,21 @@ def dcr(spark, d):
     return rounded(compare.nearest_record(a, b, ["bal"], "c_custkey"))
 
 
+_NEAR = ["quantity", "price", "discount"]
+
+
+@query("""WITH a AS (SELECT DISTINCT p_size::DOUBLE AS x, p_retailprice::DOUBLE AS y, length(p_name)::DOUBLE AS z FROM part),
+t AS (SELECT avg(p_size) AS mx, stddev_pop(p_size) AS sx, avg(p_retailprice) AS my, stddev_pop(p_retailprice) AS sy, avg(length(p_name)) AS mz, stddev_pop(length(p_name)) AS sz FROM part),
+b AS (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS x, l_extendedprice / l_quantity AS y, 100 * l_discount::DOUBLE AS z FROM lineitem),
+n AS (SELECT b.x, b.y, b.z, min(((a.x - b.x) / if(sx > 0, sx, 1)) ** 2 + ((a.y - b.y) / if(sy > 0, sy, 1)) ** 2 + ((a.z - b.z) / if(sz > 0, sz, 1)) ** 2) AS d FROM (SELECT DISTINCT x, y, z FROM b) b, a, t GROUP BY ALL)
+SELECT l_orderkey * 8 + l_linenumber AS line, round(sqrt(d), 6) AS distance FROM b JOIN n USING (x, y, z)""")
+def dcr_columns(spark, d):
+    a = table(spark, d, "part").select(*[x.cast("double").alias(c) for c, x in zip(_NEAR, (F.col("p_size"), F.col("p_retailprice"), F.length("p_name")))])
+    line = table(spark, d, "lineitem")
+    b = line.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"), *[x.alias(c) for c, x in zip(_NEAR, (F.col("l_quantity").cast("double"), F.col("l_extendedprice") / F.col("l_quantity"), 100 * F.col("l_discount").cast("double")))])
+    return rounded(compare.nearest_record(a, b, _NEAR, "line"))
+
+
 @query("""WITH s AS (SELECT avg(l_quantity) FILTER (l_linestatus = 'F') AS am, avg(l_quantity) FILTER (l_linestatus = 'O') AS bm, stddev_samp(l_quantity) FILTER (l_linestatus = 'F') AS a, stddev_samp(l_quantity) FILTER (l_linestatus = 'O') AS b FROM lineitem)
 SELECT 'l_quantity' AS "column", round((greatest(0, 1 - abs(am - bm) / (a + 1e-6)) + greatest(0, 1 - abs(a - b) / (a + 1e-6))) / 2, 6) AS score FROM s UNION ALL
 SELECT 'l_returnflag', round((SELECT count(*) FROM (SELECT l_returnflag FROM lineitem WHERE l_linestatus = 'F' INTERSECT SELECT l_returnflag FROM lineitem WHERE l_linestatus = 'O')) / (SELECT count(DISTINCT l_returnflag) FROM lineitem WHERE l_linestatus = 'F'), 6)""")

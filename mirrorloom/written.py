@@ -6,10 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDERS: dict[str, str] = {}
+_PATHS: dict[int, tuple] = {}
 
 
 def folder(spark: SparkSession) -> str:
@@ -43,4 +45,14 @@ def written(df: DataFrame, what: str = "table") -> DataFrame:
     """df as a table that was written once."""
     path = f"{folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` gave, once all that reads them is written itself."""
+    for df in tables:
+        known, path = _PATHS.pop(id(df), (lambda: None, ""))
+        if known() is df:
+            remove(df.sparkSession, path)

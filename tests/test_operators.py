@@ -1,6 +1,7 @@
 """Properties of operators on small tables, against pandas where it has the operation."""
 
 import datetime as dt
+import random
 import sqlite3
 import zipfile
 
@@ -203,7 +204,7 @@ def test_evaluation(spark):
     assert {round(r.score, 6) for r in compare.quality_score(df, df, ["income"], ["result"]).collect()} == {1.0}
     assert compare.categorical_similarity(df, df, ["result"]).first().js == pytest.approx(0, abs=1e-12)
     assert compare.correlation_similarity(df, df, ["age", "income"]).first().similarity == 1.0
-    d = compare.nearest_record(df, df.limit(20), ["age", "income"], "id", most_rows=100)
+    d = compare.nearest_record(df, df.limit(20), ["age", "income"], "id", cell_rows=10)
     assert d.count() == 20 and d.agg(F.max("distance")).first()[0] == pytest.approx(0, abs=1e-9)
     assert 0 < compare.closest_risk(d, 2).first().risk <= 1
     assert compare.audit(compare.exact_overlap(df, df, ["age"])).first().risk == "high"
@@ -406,3 +407,32 @@ def test_named_dates_and_no_pairs(spark):
     assert discover.temporal_orders(df.select("a_time")).count() == 0
     assert {(r["from"], r["to"]) for r in discover.temporal_orders(df).collect()} >= {("a_time", "b_time")}
     assert all("start_time" in (r["from"], r["to"]) for r in discover.temporal_orders(df, named=True).collect())
+
+
+def _nearest_brute(original, synthetic, columns):
+    import numpy as np
+
+    a = np.array([[x or 0.0 for x in r[:columns]] for r in original], float).reshape(-1, columns)
+    mean, std = a.mean(axis=0), a.std(axis=0)
+    std[std == 0] = 1.0
+    z = (a - mean) / std
+    return {k: float(np.sqrt((((np.array([x or 0.0 for x in v], float) - mean) / std - z) ** 2).sum(axis=1).min())) for *v, k in synthetic}
+
+
+@pytest.mark.parametrize("columns, cell_rows, most_cells", [(2, 4, 64), (3, 8, 65_536), (5, 3, 7), (3, 10_000, 65_536)])
+def test_nearest_record_against_all_pairs(spark, columns, cell_rows, most_cells):
+    """Clumps, a hot original and a hot synthetic row, far outliers, nulls, a column without spread."""
+    rng = random.Random(columns)
+    names = [f"x{i}" for i in range(columns)]
+    row = lambda: [round(rng.choice((0, 5, 40)) + rng.gauss(0, 1), 2) if rng.random() > 0.05 else None for _ in range(columns - 1)] + [3.0]
+    original = [row() for _ in range(300)] + [[1.0] * columns] * 150
+    synthetic = [[*row(), i] for i in range(150)] + [[*([2.0] * columns), 1000 + i] for i in range(80)] + [[*([9e5] * columns), 2000], [*([None] * columns), 2001]]
+    kind = ", ".join(f"{c} double" for c in names)
+    a, b = spark.createDataFrame(original, kind), spark.createDataFrame(synthetic, f"{kind}, id long")
+    got = compare.nearest_record(a, b, names, "id", cell_rows, most_cells)
+    want = _nearest_brute(original, synthetic, columns)
+    rows = {r.id: r.distance for r in got.collect()}
+    assert len(rows) == len(synthetic) and all(rows[k] == pytest.approx(v, rel=1e-9, abs=1e-9) for k, v in want.items())
+    assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+    assert compare.nearest_record(a, b.limit(0), names, "id").count() == 0
+    assert {r.distance for r in compare.nearest_record(a.limit(0), b.limit(3), names, "id").collect()} == {None}
