@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .profile import column_basics, exact_percentiles, number, numeric_columns, text_columns, value_counts
+from ..written import written
+from .profile import column_basics, exact_percentiles, grouped_percentiles, number, numeric_columns, text_columns, value_counts
 from .relate import conditional_effect, days_between, dependency_graph, mutual_information, pearson
 
 # Parts of column names of which a pair of dates must hold one to be searched by name.
@@ -55,7 +56,8 @@ def duration_dependencies(df: DataFrame, start: str, end: str, cols: list[str],
     days = days_between(F.col(f"`{start}`"), F.col(f"`{end}`"))
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in cols]))
     long = df.select(days.alias("d_"), each.alias("e")).filter("d_ > 0").select("d_", "e.*").dropna()
-    stats = long.groupBy("column", "value").agg(F.count("*").alias("n"), F.avg("d_").alias("mean"), F.percentile("d_", 0.5).alias("median"))
+    found = grouped_percentiles(long, ["column", "value"], F.col("d_"), [0.5])
+    stats = written(found.select("column", "value", "n", "mean", F.get("q", F.lit(0)).alias("median")), "stats")
     by = stats.groupBy("column").agg(F.count("*").alias("values_"), F.max(F.when(F.col("n") >= least, F.col("median"))).alias("hi_"), F.min(F.when(F.col("n") >= least, F.col("median"))).alias("lo_"))
     good = by.filter(F.col("values_").between(2, most) & (F.col("hi_") > ratio * F.col("lo_"))).select("column")
     return stats.filter(F.col("n") >= least).join(F.broadcast(good), "column")

@@ -55,6 +55,34 @@ def exact_percentiles(df: DataFrame, values: dict[str, Column], shares: list[flo
     return names.join(F.broadcast(lists), "column", "left")
 
 
+def grouped_percentiles(df: DataFrame, by: list[str], value: Column, shares: list[float]) -> DataFrame:
+    """by, n, mean, min, max, q of each group: the rows with a value, and their percentiles (linear between values).
+
+    Nulls are a group of their own, repeated rows count each, groups without a value and an empty table have no row.
+    The values are counted first, then dealt to ranges of (group, value) and written once, so a group of any size is spread over many tasks.
+    Only the values whose ranks are asked for go on. Nothing is broadcast by hint, as there may be as many groups as rows.
+    """
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in by]).alias("key_"), value.cast("double").alias("x_")).filter("x_ is not null")
+    counts = keyed.groupBy("key_", "x_").agg(F.count("*").alias("n_"))
+    ranged = written(counts.repartitionByRange("key_", "x_").withColumn("range_", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy("key_", "range_").agg(F.sum("n_").alias("s_"), F.sum(F.col("n_") * F.col("x_")).alias("w_"), F.min("x_").alias("low_"), F.max("x_").alias("high_"))
+    sums = written(sums, "sums")  # a row for each group, and one more for each range that a group goes on into
+    whole = sums.groupBy("key_").agg(F.sum("s_").alias("n"), (F.sum("w_") / F.sum("s_")).alias("mean"), F.min("low_").alias("min"), F.max("high_").alias("max"))
+    of_key = Window.partitionBy("key_")
+    starts = sums.select("key_", "range_", "s_", F.coalesce(F.sum("s_").over(of_key.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start_"), F.sum("s_").over(of_key).alias("t_"))
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("t_") - 1)).alias("pos")) for i, p in enumerate(shares)])
+    held = F.filter(ranks, lambda r: (F.ceil(r.pos) >= F.col("start_")) & (F.floor(r.pos) < F.col("start_") + F.col("s_")))
+    wanted = starts.select("key_", "range_", "start_", held.alias("ranks_")).filter(F.size("ranks_") > 0)
+    # The values of a range are one task's, however many groups they are of.
+    placed = ranged.withColumn("inside_", F.sum("n_").over(Window.partitionBy("range_", "key_").orderBy("x_")) - F.col("n_"))
+    met = placed.join(wanted, ["key_", "range_"]).withColumn("from_", F.col("start_") + F.col("inside_"))
+    hit = F.filter("ranks_", lambda r: (F.ceil(r.pos) >= F.col("from_")) & (F.floor(r.pos) < F.col("from_") + F.col("n_")))
+    each = met.select("key_", "x_", F.explode(hit).alias("r")).groupBy("key_", "r.i", "r.pos").agg(F.min("x_").alias("a"), F.max("x_").alias("b"))
+    at = each.select("key_", F.struct("i", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.floor("pos"))).alias("v")).alias("e"))
+    lists = at.groupBy("key_").agg(F.transform(F.sort_array(F.collect_list("e")), lambda e: e["v"]).alias("q"))  # one entry a share
+    return whole.join(lists, "key_").select(*[F.col("key_")[c].alias(c) for c in by], "n", "mean", "min", "max", "q")
+
+
 def quantile_rows(df: DataFrame, cols: list[str], shares: tuple[float, ...], exact: bool) -> DataFrame:
     """column, q: percentiles of the columns, exact or from sketches in one pass."""
     if exact:
@@ -341,8 +369,8 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
 
 def group_stats(df: DataFrame, by: str, value: Column, least: int = 5) -> DataFrame:
     """Per category: n, mean, median, min, max of a value, for categories of at least ``least`` rows."""
-    v = df.select(F.col(by), value.alias("v_")).filter("v_ is not null")
-    return v.groupBy(by).agg(F.count("*").alias("n"), F.avg("v_").alias("mean"), F.percentile("v_", 0.5).alias("median"), F.min("v_").alias("min"), F.max("v_").alias("max")).filter(F.col("n") >= least)
+    stats = grouped_percentiles(df, [by], value, [0.5]).filter(F.col("n") >= least)
+    return stats.select(by, "n", "mean", F.get("q", F.lit(0)).alias("median"), "min", "max")
 
 
 def text_profile(df: DataFrame, cols: list[str]) -> DataFrame:

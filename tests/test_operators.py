@@ -436,3 +436,26 @@ def test_nearest_record_against_all_pairs(spark, columns, cell_rows, most_cells)
     assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
     assert compare.nearest_record(a, b.limit(0), names, "id").count() == 0
     assert {r.distance for r in compare.nearest_record(a.limit(0), b.limit(3), names, "id").collect()} == {None}
+
+
+def test_grouped_percentiles_against_sorted_lists(spark):
+    """A hot group with a third of the rows, one value that repeats, nulls as group and as value, a group of one, clashing names."""
+    rng = random.Random(4)
+    rows = [(f"g{rng.randint(0, 9)}" if rng.random() > 0.1 else None, rng.choice((None, 1.5, rng.gauss(0, 9)))) for _ in range(600)]
+    rows += [("hot", rng.choice((7.0, rng.gauss(0, 1)))) for _ in range(300)] + [("one", 2.0), ("none", None)]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "g string, v double, n int, key_ string")
+    shares = [0.0, 0.1, 0.5, 0.77, 1.0]
+    want = {}
+    for g, v in rows:
+        if v is not None:
+            want.setdefault(g, []).append(v)
+    got = {r.g: r for r in profile.grouped_percentiles(df, ["g"], F.col("v"), shares).collect()}
+    assert set(got) == set(want)
+    for g, values in want.items():
+        values.sort()
+        cut = [values[int(p * (len(values) - 1))] + (values[-int(-p * (len(values) - 1) // 1)] - values[int(p * (len(values) - 1))]) * (p * (len(values) - 1) % 1) for p in shares]
+        assert (got[g].n, got[g].min, got[g].max) == (len(values), values[0], values[-1])
+        assert got[g]["mean"] == pytest.approx(sum(values) / len(values)) and list(got[g].q) == pytest.approx(cut)
+    out = profile.grouped_percentiles(df, ["g"], F.col("v"), [0.5])
+    assert "percentile" not in out._jdf.queryExecution().toString() and profile.grouped_percentiles(df.limit(0), ["g"], F.col("v"), [0.5]).count() == 0
+    assert {r.g for r in profile.group_stats(df, "g", F.col("v"), least=2).collect()} == set(want) - {"one"}
