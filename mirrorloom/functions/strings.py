@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..rng import choice, integer, uniform
 
-# Small vocabularies of generated names and places.
-FIRST_NAMES = "James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth".split()
-LAST_NAMES = "Smith Johnson Williams Brown Jones Garcia Miller Davis Martinez Lopez".split()
-STREETS = "Main Oak Pine Maple Cedar Elm Washington Lake Hill Park".split()
-CITIES = "Springfield Riverton Fairview Georgetown Salem Madison Clinton Franklin Bristol Ashland".split()
-STATES = "AL CA CO FL GA IL NY OH TX WA".split()
+# Own vocabularies of generated names and places.
+FIRST_NAMES = "Ada Bruno Chloe Dario Esme Felix Greta Hugo Ines Jonas Keiko Lazlo Mina Nuno Orla Pavel".split()
+LAST_NAMES = "Abbot Barlow Calder Dunmore Everly Farrow Gantry Holt Ingram Joyner Kessler Lund Marlow Nilsen Orton Pell".split()
+STREETS = "Alder Beacon Cooper Dale Ember Foundry Garden Harbor Ivy Juniper".split()
+CITIES = "Amberford Brackwell Coldharbor Dunvale Eastmere Foxbridge Glenholt Hazelton Ironmouth Kestrelby".split()
+STATES = "AK CT HI ID KY ME NH OR UT VT".split()
 
 
 def title_case(c: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import generalize
@@ -66,13 +66,89 @@ def l_diverse(df: DataFrame, keys: list[str], sensitive: list[str], least: int)
     return df.join(good, keys, "left_semi").select(*df.columns)
 
 
-def private_histogram(df: DataFrame, col: str, epsilon: float, seed: int, bins: int = 10) -> DataFrame:
-    """bin, low, high, n: counts with Laplace noise, at least 0; a count changes by one row, so all bins share epsilon."""
+class BudgetExceeded(ValueError):
+    """A mechanism asked for more epsilon than is left."""
+
+
+class Budget:
+    """The epsilon that mechanisms over the same rows may spend together.
+
+    Sequential composition: draws add up. Parallel composition: draws of the same ``disjoint`` name, made over different ``part``s
+    of the rows that share none, cost the largest total of a part. A draw beyond the limit raises before anything is spent.
+    """
+
+    def __init__(self, epsilon: float) -> None:
+        if not epsilon > 0:
+            raise ValueError("epsilon must be positive")
+        self.epsilon = epsilon
+        self.draws: list[tuple[str, str | None, str | None, float]] = []
+
+    @staticmethod
+    def _cost(draws: list[tuple[str, str | None, str | None, float]]) -> float:
+        parts: dict[tuple, float] = {}
+        for i, (_, disjoint, part, epsilon) in enumerate(draws):
+            key = (i, None) if disjoint is None else (disjoint, part)
+            parts[key] = parts.get(key, 0.0) + epsilon
+        largest: dict = {}
+        for (family, _), epsilon in parts.items():
+            largest[family] = max(largest.get(family, 0.0), epsilon)
+        return sum(largest.values())
+
+    @property
+    def spent(self) -> float:
+        return self._cost(self.draws)
+
+    @property
+    def left(self) -> float:
+        return max(0.0, self.epsilon - self.spent)
+
+    def draw(self, epsilon: float, what: str, disjoint: str | None = None, part: str | None = None) -> float:
+        """Spends epsilon on the mechanism ``what`` and returns it."""
+        if not epsilon > 0:
+            raise ValueError("epsilon must be positive")
+        draws = [*self.draws, (what, disjoint, part, float(epsilon))]
+        if self._cost(draws) > self.epsilon * (1 + 1e-9):  # a sum of shares may round up
+            raise BudgetExceeded(f"{what} asks for {epsilon}, {self.left} of {self.epsilon} is left")
+        self.draws = draws
+        return epsilon
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        """what, disjoint, part, epsilon of each draw in its order, and spent, the budget gone after it."""
+        rows = [(*d, self._cost(self.draws[: i + 1])) for i, d in enumerate(self.draws)]
+        return spark.createDataFrame(rows, "what string, disjoint string, part string, epsilon double, spent double")
+
+
+def private_means(df: DataFrame, bounds: dict[str, tuple[float, float]], epsilon: float, seed: int, by: str | None = None, budget: Budget | None = None) -> DataFrame:
+    """column, (by,) n, private_mean, epsilon: means of values clipped to each column's declared bounds, with Laplace noise.
+
+    The columns share epsilon evenly, as they are of the same rows. Groups share no rows, so each has a column's whole share. Nulls don't
+    count; a column (of a group) without values has n 0 and no mean; null is a group of its own. One aggregation serves all columns.
+    """
+    share = epsilon / len(bounds)
+    if budget is not None:
+        budget.draw(epsilon, f"means of {', '.join(bounds)}")
+    clipped = {c: F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), number(c))) for c, (low, high) in bounds.items()}
+    keys = [F.col(f"`{by}`").alias("by_")] if by else []
+    one = df.select(*keys, *[F.when(number(c).isNotNull(), x).alias(f"x{i}") for i, (c, x) in enumerate(clipped.items())])
+    one = (one.groupBy("by_") if by else one.groupBy()).agg(*[f(f"x{i}").alias(f"{k}{i}") for i in range(len(bounds)) for k, f in (("n", F.count), ("m", F.avg))])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("m_"), F.lit(float(high - low)).alias("span_")) for i, (c, (low, high)) in enumerate(bounds.items())]))
+    rows = one.select(*(["by_"] if by else []), each.alias("r")).select(*(["by_"] if by else []), "r.*")
+    noise = laplace(F.col("span_") / F.col("n") / share, seed, "mean", F.col("column"), *([F.coalesce(F.col("by_").cast("string"), F.lit("null"))] if by else []))
+    mean = F.when(F.col("n") > 0, F.col("m_") + noise)
+    return rows.select("column", *([F.col("by_").alias(by)] if by else []), "n", mean.alias("private_mean"), F.lit(share).alias("epsilon"))
+
+
+def private_histogram(df: DataFrame, col: str, epsilon: float, seed: int, bins: int = 10, budget: Budget | None = None) -> DataFrame:
+    """bin, low, high, n: counts with Laplace noise, at least 0; a row is in one bin, so all bins share epsilon."""
+    if budget is not None:
+        budget.draw(epsilon, f"histogram of {col}")
     return histogram(df, col, bins).withColumn("n", F.greatest(F.lit(0.0), F.col("n") + laplace(1.0 / epsilon, seed, "histogram", F.col("bin"))))
 
 
-def private_mean(df: DataFrame, col: str, low: float, high: float, epsilon: float, seed: int) -> DataFrame:
+def private_mean(df: DataFrame, col: str, low: float, high: float, epsilon: float, seed: int, budget: Budget | None = None) -> DataFrame:
     """One row: n and the mean of the clipped values with Laplace noise."""
+    if budget is not None:
+        budget.draw(epsilon, f"mean of {col}")
     x = F.greatest(F.lit(low), F.least(F.lit(high), number(col)))
     one = df.agg(F.count(x).alias("n"), F.avg(x).alias("m"))
     return one.select("n", (F.col("m") + laplace((high - low) / F.col("n") / epsilon, seed, "mean", F.lit(col))).alias("private_mean"))

@@ -415,10 +415,11 @@ def constraint_validation(spark, d):
     return validate.check_constraints(table(spark, d, "lineitem"), rules)
 
 
-@query("""SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)""")
+@query("""SELECT p_partkey, p_size FROM part WHERE p_size NOT IN (SELECT s_nationkey FROM supplier)""")
 def oov_categories(spark, d):
-    reference = table(spark, d, "supplier").select(F.col("s_nationkey").alias("c_nationkey"))
-    return compare.unseen_categories(table(spark, d, "customer").select("c_custkey", "c_nationkey"), reference, "c_nationkey")
+    """The vocabulary is the supplier's nation numbers, which part sizes go beyond."""
+    reference = table(spark, d, "supplier").select(F.col("s_nationkey").alias("p_size"))
+    return compare.unseen_categories(table(spark, d, "part").select("p_partkey", "p_size"), reference, "p_size")
 
 
 @query(f"""SELECT l_orderkey, l_linenumber, 'l_extendedprice' AS "column", l_extendedprice AS value FROM lineitem, ({_FENCE.replace("F *", "0.25 *").replace("{c}", "l_extendedprice")}) WHERE l_extendedprice < low OR l_extendedprice > high""")
@@ -545,9 +546,12 @@ def yeo_johnson(spark, d):
     return rounded(table(spark, d, "supplier").select("s_suppkey", numeric.yeo_johnson(F.col("s_acctbal"), 0.5).alias("y")))
 
 
-@query("SELECT p_partkey, " + ", ".join(f"""(p_type = '{v}')::INT AS "p_type_{v}" """ for v in ("ECONOMY", "PROMO", "STANDARD")) + " FROM part WHERE p_type IN ('ECONOMY', 'PROMO', 'STANDARD')")
+_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+
+
+@query("SELECT p_partkey, " + ", ".join(f"""coalesce((p_type = '{v}')::INT, 0) AS "p_type_{v}" """ for v in _TYPES) + " FROM part")
 def one_hot(spark, d):
-    return clean.one_hot(table(spark, d, "part").select("p_partkey", "p_type").filter(F.col("p_type").isin("ECONOMY", "PROMO", "STANDARD")), "p_type").drop("p_type")
+    return clean.one_hot(table(spark, d, "part").select("p_partkey", "p_type"), "p_type").drop("p_type")
 
 
 @query(f"SELECT s_suppkey, round(s_acctbal + {n_sql('gaussian', 's_suppkey')} * sqrt(2 * ln(1.25 / 1e-5)) * 100 / 1.0, 4) AS noisy, round(s_acctbal - 100 * sign({u_sql('laplace', 's_suppkey')} - 0.5) * ln(greatest(1.0 - 2.0 * abs({u_sql('laplace', 's_suppkey')} - 0.5), 1e-12)), 4) AS private FROM supplier")
@@ -674,6 +678,14 @@ def dp_mean(spark, d):
     return rounded(privacy.private_mean(table(spark, d, "lineitem"), "l_quantity", 0.0, 50.0, 1.0, 42))
 
 
+@query(f"""SELECT 'l_quantity' AS "column", l_returnflag, count(*) AS n, round(avg(greatest(0, least(50, l_quantity))) - (50.0 / count(*) / 0.5) * sign({u_sql("mean", "'l_quantity|' || l_returnflag")} - 0.5) * ln(greatest(1.0 - 2.0 * abs({u_sql("mean", "'l_quantity|' || l_returnflag")} - 0.5), 1e-12)), 6) AS private_mean, 0.5::DOUBLE AS epsilon, 1.0::DOUBLE AS spent FROM lineitem GROUP BY l_returnflag UNION ALL SELECT 'l_discount' AS "column", l_returnflag, count(*) AS n, round(avg(greatest(0, least(1, l_discount))) - (1.0 / count(*) / 0.5) * sign({u_sql("mean", "'l_discount|' || l_returnflag")} - 0.5) * ln(greatest(1.0 - 2.0 * abs({u_sql("mean", "'l_discount|' || l_returnflag")} - 0.5), 1e-12)), 6) AS private_mean, 0.5::DOUBLE AS epsilon, 1.0::DOUBLE AS spent FROM lineitem GROUP BY l_returnflag""")
+def privacy_budget(spark, d):
+    """Means of two columns by group: the columns share epsilon, the groups don't, so the whole budget is spent."""
+    budget = privacy.Budget(1.0)
+    means = privacy.private_means(table(spark, d, "lineitem"), {"l_quantity": (0, 50), "l_discount": (0, 1)}, 1.0, 42, "l_returnflag", budget)
+    return rounded(means.withColumn("spent", F.lit(budget.spent)))
+
+
 # -- evaluation -------------------------------------------------------------------------------
 
 _REC = ["l_quantity", "l_discount", "l_tax", "l_returnflag"]

@@ -459,3 +459,30 @@ def test_grouped_percentiles_against_sorted_lists(spark):
     out = profile.grouped_percentiles(df, ["g"], F.col("v"), [0.5])
     assert "percentile" not in out._jdf.queryExecution().toString() and profile.grouped_percentiles(df.limit(0), ["g"], F.col("v"), [0.5]).count() == 0
     assert {r.g for r in profile.group_stats(df, "g", F.col("v"), least=2).collect()} == set(want) - {"one"}
+
+
+def test_privacy_budget(spark):
+    budget = privacy.Budget(1.0)
+    df = people(spark)
+    privacy.private_mean(df, "income", 0, 100_000, 0.3, 1, budget)
+    privacy.private_histogram(df, "age", 0.2, 1, budget=budget)
+    assert budget.spent == pytest.approx(0.5) and budget.left == pytest.approx(0.5)
+    for part, epsilon in (("a", 0.4), ("b", 0.3), ("b", 0.1)):
+        budget.draw(epsilon, "count", "city", part)
+    assert budget.spent == pytest.approx(0.9)  # parts that share no rows cost the largest
+    with pytest.raises(privacy.BudgetExceeded):
+        budget.draw(0.2, "count")
+    assert budget.spent == pytest.approx(0.9) and len(budget.draws) == 5
+    with pytest.raises(privacy.BudgetExceeded):
+        privacy.private_means(df, {"age": (0, 100), "income": (0, 100_000)}, 1.0, 1, budget=budget)
+    assert [round(r.spent, 6) for r in privacy.Budget.report(budget, spark).collect()][:5] == [0.3, 0.5, 0.9, 0.9, 0.9]
+    with pytest.raises(ValueError):
+        privacy.Budget(0)
+
+
+def test_private_means(spark):
+    rows = [(g, v) for g in ("x", None) for v in [5.0] * 4000 + [-1e9, None]] + [("empty", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r for r in privacy.private_means(df, {"v": (0, 10)}, 5.0, 3, "g").collect()}
+    assert set(got) == {"x", None, "empty"} and got["empty"].private_mean is None and got["empty"].n == 0
+    assert all(got[g].n == 4001 and got[g].private_mean == pytest.approx(5.0, abs=0.05) for g in ("x", None))
