@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.normal import quantile as normal_quantile
 from ..rng import normal, uniform
-from .generate import _slots
+from .generate import _slots, draw_category
 from .profile import number
 
 BINS = 20
@@ -87,24 +87,6 @@ def sample(spark, fitted: DataFrame, n: int, seed: int) -> DataFrame:
     return _slots(spark, n).select("row_id", (F.lit(r.low) + scaled * (r.high - r.low)).alias("value"))
 
 
-def normal_quantile(p: Column) -> Column:
-    """The inverse of the normal distribution function; null outside (0, 1). In Arrow batches: as one expression it would be too large to compile."""
-
-    @F.pandas_udf("double")
-    def quantile(values: pd.Series) -> pd.Series:
-        v = values.to_numpy(dtype="float64", na_value=np.nan)
-        v = np.where((v > 0) & (v < 1), v, np.nan)
-        t = np.sqrt(-2 * np.log(np.minimum(v, 1 - v)))
-        z = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)
-        z = np.where(v < 0.5, -z, z)
-        cdf = np.vectorize(lambda x: 0.5 * math.erfc(-x / math.sqrt(2)))
-        for _ in range(2):  # Newton's steps
-            z = z - (cdf(z) - v) * math.sqrt(2 * math.pi) * np.exp(z * z / 2)
-        return pd.Series(z)
-
-    return quantile(p)
-
-
 def normal_scores(df: DataFrame, col: str, to: str) -> DataFrame:
     """df with the normal score of a value: the normal quantile of its average rank among n, (rank - 1/2) / n."""
     from .relate import average_ranks
@@ -112,3 +94,61 @@ def normal_scores(df: DataFrame, col: str, to: str) -> DataFrame:
     ranked = average_ranks(df, col, "rank_")
     n = df.agg(F.count(number(col)).alias("n_"))
     return ranked.crossJoin(F.broadcast(n)).withColumn(to, normal_quantile((F.col("rank_") - 0.5) / F.col("n_"))).drop("rank_", "n_")
+
+
+def kernel_density(df: DataFrame, col: str, points: int = 101, bandwidth: float = 0.2, fine: int = 32, reach: float = 8.0) -> DataFrame:
+    """x, density: a Gaussian kernel density at ``points`` places from three kernel widths below the smallest value to three above the largest.
+
+    A kernel is ``bandwidth`` standard deviations wide. Values are counted in bins of a ``fine``-th of that, each shared
+    between its two edges by its place (off by about 1 / (8 * fine ** 2) of the curvature); a bin reaches the places
+    within ``reach`` kernel widths, beyond which a kernel is below 1e-14. Nulls and values that aren't finite don't count;
+    no row if fewer than two values differ.
+    """
+    x = number(col)
+    values = df.select(F.when(F.abs(x) != float("inf"), x).alias("x_")).dropna()
+    one = values.agg(F.count("x_").alias("n_"), F.min("x_").alias("lo_"), F.max("x_").alias("hi_"), (F.stddev_samp("x_") * bandwidth).alias("h_")).filter("h_ > 0")
+    one = one.withColumns({"start_": F.col("lo_") - 3 * F.col("h_"), "gap_": (F.col("hi_") - F.col("lo_") + 6 * F.col("h_")) / (points - 1)})
+    at = (F.col("x_") - F.col("lo_")) / F.col("h_") * fine
+    bins = values.crossJoin(F.broadcast(one)).groupBy(F.floor(at).alias("b_")).agg(F.count("*").alias("m_"), F.sum(at - F.floor(at)).alias("right_"))  # one row is broadcast
+    edges = F.explode(F.array(F.struct(F.col("b_").alias("b"), (F.col("m_") - F.col("right_")).alias("w")), F.struct((F.col("b_") + 1).alias("b"), F.col("right_").alias("w"))))
+    placed = bins.select(edges.alias("e")).select("e.b", "e.w").crossJoin(F.broadcast(one)).withColumn("at_", F.col("lo_") + F.col("b") * F.col("h_") / fine)
+    first = F.greatest(F.lit(0), F.ceil((F.col("at_") - reach * F.col("h_") - F.col("start_")) / F.col("gap_")))
+    last = F.least(F.lit(points - 1), F.floor((F.col("at_") + reach * F.col("h_") - F.col("start_")) / F.col("gap_")))
+    met = placed.filter(first <= last).withColumn("i_", F.explode(F.sequence(first, last)))
+    far = (F.col("start_") + F.col("i_") * F.col("gap_") - F.col("at_")) / F.col("h_")
+    sums = met.groupBy("i_").agg(F.sum(F.col("w") * F.exp(-far * far / 2)).alias("s_"))
+    places = df.sparkSession.range(points).withColumnRenamed("id", "i_").crossJoin(F.broadcast(one)).join(F.broadcast(sums), "i_", "left")  # points rows
+    return places.select((F.col("start_") + F.col("i_") * F.col("gap_")).alias("x"), (F.coalesce("s_", F.lit(0.0)) / (F.col("n_") * F.col("h_") * math.sqrt(2 * math.pi))).alias("density"))
+
+
+def sample_density(df: DataFrame, col: str, n: int, seed: int, bandwidth: float = 0.2) -> DataFrame:
+    """row_id and value: n draws from the kernel density. Each takes a value by a position in the sorted column and moves it by a normal number.
+
+    Positions come from 64 bits of a hash and are met in the running counts of distinct values, so nothing is sorted whole.
+    Values that are null or not finite aren't drawn; with none there is no row.
+    """
+    x = number(col)
+    counts = df.select(F.when(F.abs(x) != float("inf"), x).alias("value")).dropna().groupBy("value").agg(F.count("*").alias("n"))
+    one = df.agg(F.count(F.when(F.abs(x) != float("inf"), x)).alias("total"), (F.coalesce(F.stddev_samp(F.when(F.abs(x) != float("inf"), x)), F.lit(0.0)) * bandwidth).alias("h")).first()
+    slots, k = _slots(df.sparkSession, n if one.total else 0), F.col("row_id")
+    u = uniform(seed, "kernel-row", k) + uniform(seed, "kernel-rest", k) / float(1 << 32)
+    drawn = draw_category(slots, counts.withColumn("total", F.lit(one.total)), "value", u, most=0) if one.total else slots.withColumn("value", F.lit(None).cast("double"))
+    return drawn.select("row_id", (F.col("value") + one.h * normal(seed, "kernel", k)).alias("value"))
+
+
+def sample_categories(df: DataFrame, col: str, n: int, seed: int, most: int = 100_000) -> DataFrame:
+    """row_id and value: n draws of col's values by their shares (nulls don't count); all null if there are none."""
+    counts = df.filter(F.col(f"`{col}`").isNotNull()).groupBy(F.col(f"`{col}`").alias("value")).agg(F.count("*").alias("n"))
+    counts = counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total"))))
+    slots = _slots(df.sparkSession, n)
+    return draw_category(slots, counts, "value", uniform(seed, "category", F.col("row_id")), most).select("row_id", "value")
+
+
+def resample(df: DataFrame, col: str, n: int, seed: int) -> DataFrame:
+    """row_id and value: n values like those of col: texts and booleans by their shares, numbers by the best family, else by the kernel density."""
+    from .profile import numeric_columns
+
+    if col not in numeric_columns(df) or df.schema[col].dataType.typeName() == "boolean":
+        return sample_categories(df, col, n, seed)
+    fitted = fit(df, col)
+    return sample(df.sparkSession, fitted, n, seed) if fitted.filter("best").take(1) else sample_density(df, col, n, seed)

@@ -30,18 +30,21 @@ def marginals(df: DataFrame, n: int, seed: int, numeric_cols: list[str], categor
     out = out.drop(*stats.columns)
     for c in categorical:
         counts = value_counts(df, [c]).select("value", "n", "total")
-        if counts.count() > most:
-            out = _draw_by_position(out, counts, c, seed)
-            continue
-        order = Window.orderBy("value")  # at most so many values
-        cdf = counts.withColumn("cdf", F.sum("n").over(order) / F.col("total")).agg(F.sort_array(F.collect_list(F.struct("cdf", "value"))).alias("a_"))
-        u = uniform(seed, f"marginal-{c}", F.col("row_id"))
-        place = F.least(F.size(F.filter("a_", lambda e: e["cdf"] <= F.col("u_"))), F.size("a_") - 1)
-        out = out.withColumn("u_", u).crossJoin(F.broadcast(cdf)).withColumn(c, F.get("a_", place)["value"]).drop("a_", "u_")
+        out = draw_category(out, counts, c, uniform(seed, f"marginal-{c}", F.col("row_id")), most)
     return out
 
 
-def _draw_by_position(out: DataFrame, counts: DataFrame, c: str, seed: int) -> DataFrame:
+def draw_category(out: DataFrame, counts: DataFrame, c: str, u: Column, most: int = 100_000) -> DataFrame:
+    """out with c, the value (null may be one) at u, a number in [0, 1), of the cumulative shares of counts: value, n, total."""
+    if counts.count() > most:
+        return _draw_by_position(out, counts, c, u)
+    order = Window.orderBy("value")  # at most so many values
+    cdf = counts.withColumn("cdf", F.sum("n").over(order) / F.col("total")).agg(F.sort_array(F.collect_list(F.struct("cdf", "value"))).alias("a_"))
+    place = F.least(F.size(F.filter("a_", lambda e: e["cdf"] <= F.col("u_"))), F.size("a_") - 1)
+    return out.withColumn("u_", u).crossJoin(F.broadcast(cdf)).withColumn(c, F.get("a_", place)["value"]).drop("a_", "u_")
+
+
+def _draw_by_position(out: DataFrame, counts: DataFrame, c: str, u: Column) -> DataFrame:
     """A category by the position of a uniform number among all rows: positions are dealt to buckets that both sides join on."""
     from .relate import running
 
@@ -49,7 +52,7 @@ def _draw_by_position(out: DataFrame, counts: DataFrame, c: str, seed: int) -> D
     width = max(1, total // 1_000_000)
     spans = running(counts, "value", ["n"]).select(F.col("value").alias("value_"), F.col("before_n").alias("before_"), (F.col("before_n") + F.col("n")).alias("end_"))
     spans = spans.withColumn("bucket_", F.explode(F.sequence(F.floor(F.col("before_") / width), F.floor((F.col("end_") - 1) / width))))
-    at = F.floor(uniform(seed, f"marginal-{c}", F.col("row_id")) * total)
+    at = F.least(F.floor(u * total), F.lit(total - 1))
     drawn = out.withColumn("at_", at).withColumn("bucket_", F.floor(F.col("at_") / width))
     return drawn.join(spans, "bucket_").filter((F.col("at_") >= F.col("before_")) & (F.col("at_") < F.col("end_"))).withColumn(c, F.col("value_")).select(*out.columns, c)
 
@@ -202,45 +205,11 @@ def mask(df: DataFrame, methods: dict[str, str], key: list[str], seed: int) -> D
     return out
 
 
-def copula(df: DataFrame, n: int, seed: int, cols: list[str], points: int = 101) -> DataFrame:
-    """row_id and n rows from a Gaussian copula: rank correlations, then each column's quantiles.
+def copula(df: DataFrame, n: int, seed: int, cols: list[str], points: int = 1001) -> DataFrame:
+    """row_id and n rows from a Gaussian copula of numbers, times and categories (see the module ``copula``)."""
+    from . import copula as mixed
 
-    The fit is a matrix of the columns' normal-score correlations (by Spearman's rho) and a table of
-    quantiles of fixed size; sampling is Column arithmetic on hashed normal numbers.
-    """
-    import numpy as np
-
-    from .relate import spearman
-
-    size = len(cols)
-    corr = np.eye(size)
-    for i in range(size):
-        for j in range(i + 1, size):
-            rho = spearman(df, cols[i], cols[j]).first()["r"] or 0.0
-            corr[i, j] = corr[j, i] = 2 * np.sin(np.pi / 6 * rho)
-    values, vectors = np.linalg.eigh(corr)
-    near = vectors @ np.diag(np.clip(values, 1e-6, None)) @ vectors.T
-    low = np.linalg.cholesky(near / np.sqrt(np.outer(np.diag(near), np.diag(near))))
-    shares = [i / (points - 1) for i in range(points)]
-    q = df.agg(*[F.percentile_approx(number(c), shares, 10_000).alias(f"q{i}") for i, c in enumerate(cols)])
-    z = [normal(seed, f"copula-{i}", F.col("row_id")).alias(f"z{i}") for i in range(size)]
-    out = _slots(df.sparkSession, n).select("row_id", *z).crossJoin(F.broadcast(q))
-    for i, c in enumerate(cols):
-        x = sum((float(low[i, j]) * F.col(f"z{j}") for j in range(i + 1)), F.lit(0.0))
-        at = _normal_cdf(x) * (points - 1)
-        k = F.least(F.floor(at), F.lit(points - 2)).cast("int")
-        a, b = F.get(f"q{i}", k), F.get(f"q{i}", k + 1)
-        out = out.withColumn(c, a + (b - a) * (at - k))
-    return out.select("row_id", *cols)
-
-
-def _normal_cdf(x: Column) -> Column:
-    """The normal distribution function, with an error below 1e-7 (a polynomial in 1 / (1 + p x))."""
-    a = F.abs(x)
-    t = 1 / (1 + 0.2316419 * a)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    upper = F.exp(-a * a / 2) * 0.3989422804014327 * poly
-    return F.when(x >= 0, 1 - upper).otherwise(upper)
+    return mixed.sample(mixed.fit(df, cols, points), n, seed)
 
 
 def repair_order(df: DataFrame, start: str, end: str, low: float, high: float, seed: int, *key: str) -> DataFrame:
@@ -306,7 +275,8 @@ def generate(df: DataFrame, method: str, key: list[str], n: int | None = None, s
     if method == "perturb":
         return perturb(df, key, seed, factor, numbers=numbers, categories=texts)
     if method == "copula":
-        return copula(df, n, seed, numbers)
+        times = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)) and f.name not in key]
+        return copula(df, n, seed, [c for c in df.columns if c in numbers + texts + times])
     raise ValueError(f"unknown method {method}; known: {', '.join(GENERATORS)}")
 
 

@@ -6,6 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..written import written
 from .profile import exact_percentiles, number
@@ -70,7 +71,7 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def _association(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row from the contingency table: n, rows and columns, chi2 (with Yates' correction for 2 x 2), mutual information."""
-    cells = contingency(df, a, b)
+    cells = written(contingency(df, a, b), "cells")
     rows, cols = cells.groupBy("a").agg(F.sum("n").alias("na")), cells.groupBy("b").agg(F.sum("n").alias("nb"))
     size = rows.agg(F.sum("na").alias("t"), F.count("*").alias("k")).crossJoin(F.broadcast(cols.agg(F.count("*").alias("r"))))
     # Only cells that occur are met: the statistic over all cells is sum(n * n / e) - t. Of a table of 2 x 2 it is
@@ -100,6 +101,35 @@ def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     return _association(df, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col("mi"))
 
 
+def information_matrix(df: DataFrame, cols: list[str], bins: int = 10) -> DataFrame:
+    """a, b, n, mi: mutual information (nats) of every pair of columns, numbers by their quantile bins; n rows have both values.
+
+    The bins' edges are exact, closed on the right, equal edges are one; values that aren't finite count as nulls. One scan deals each row's codes to the pairs, in each task
+    first, and all margins come from grouping sets over the cells: with S the sum of n ln n over the cells or a margin, it is (S_ab - S_a - S_b) / t + ln t.
+    A pair that no row has both values of, and an empty table, give n = 0 and null.
+    """
+    numbers = [f.name for f in df.schema.fields if f.name in cols and isinstance(f.dataType, T.NumericType)]
+    finite = {c: F.when(F.abs(number(c)) != float("inf"), number(c)) for c in numbers}
+    edges = {r.column: sorted(set(r.q or [])) for r in exact_percentiles(df, finite, [i / bins for i in range(bins + 1)]).collect()} if numbers else {}  # bins + 1 values a column
+
+    def code(c: str) -> Column:
+        if c not in edges:
+            return F.col(f"`{c}`").cast("string")
+        inner = F.array(*[F.lit(float(e)) for e in edges[c][1:-1]]).cast("array<double>")
+        return F.when(finite[c].isNotNull(), F.size(F.filter(inner, lambda e: e < finite[c]))).cast("string")
+
+    pairs = list(combinations(range(len(cols)), 2))
+    coded = df.select(*[code(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"c{i}").alias("u"), F.col(f"c{j}").alias("v")) for p, (i, j) in enumerate(pairs)]))
+    cells = coded.select(each.alias("e")).select("e.*").filter("u IS NOT NULL AND v IS NOT NULL").groupBy("p", "u", "v").agg(F.count("*").alias("n"))
+    sets = cells.groupingSets([["p", "u", "v"], ["p", "u"], ["p", "v"], ["p"]], "p", "u", "v").agg(F.sum("n").alias("m"), F.grouping_id().alias("g"))
+    spread = F.col("m") * F.log("m")
+    sums = sets.groupBy("p").agg(F.max(F.when(F.col("g") == 3, F.col("m"))).alias("n"), F.sum(F.when(F.col("g") == 0, spread).when(F.col("g") < 3, -spread)).alias("s"))
+    names = df.sparkSession.createDataFrame([(p, cols[i], cols[j]) for p, (i, j) in enumerate(pairs)], "p int, a string, b string")
+    mi = F.greatest(F.lit(0.0), F.col("s") / F.col("n") + F.log("n"))
+    return names.join(sums, "p", "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") > 0, mi).alias("mi"))
+
+
 def quintiles(df: DataFrame, col: str, to: str, parts: int = 5) -> DataFrame:
     """df with the quantile bin of col (from 0): bins are closed on the right, the first on both sides, equal edges are one."""
     x = number(col)

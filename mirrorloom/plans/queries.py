@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, numeric, strings
+from ..functions.normal import quantile_sql
 from ..operators import clean, compare, discover, distributions, features, generate, learn, privacy, profile, relate, schema, validate
 from ..rng import laplace, normal, uniform
 from ..session import table
@@ -284,6 +285,23 @@ def mutual_information(spark, d):
     return rounded(relate.mutual_information(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus"))
 
 
+_MIXED = ("l_quantity", "l_discount", "l_returnflag", "l_linestatus")
+
+
+def _code_sql(c: str) -> str:
+    """A column's code: the decile of a number, else the value."""
+    if c in _MIXED[2:]:
+        return f"{c} AS {c}"
+    return f"len(list_filter(list_distinct(q_{c}), lambda v: v > list_min(q_{c}) AND v < list_max(q_{c}) AND v < {c}))::VARCHAR AS {c}"
+
+
+@query("WITH e AS (SELECT " + ", ".join(f"quantile_cont({c}, [{', '.join(str(i / 10) for i in range(11))}]) AS q_{c}" for c in _MIXED[:2]) + " FROM lineitem), z AS (SELECT " + ", ".join(map(_code_sql, _MIXED)) + " FROM lineitem, e) "
+       + " UNION ALL ".join(f"""SELECT '{a}' AS a, '{b}' AS b, max(t)::BIGINT AS n, round(sum(n / t * ln(n * t / (na * nb))), 6) AS mi FROM (SELECT n::DOUBLE AS n, sum(n) OVER (PARTITION BY {a})::DOUBLE AS na, sum(n) OVER (PARTITION BY {b})::DOUBLE AS nb, sum(n) OVER ()::DOUBLE AS t
+ FROM (SELECT {a}, {b}, count(*) AS n FROM z GROUP BY ALL))""" for i, a in enumerate(_MIXED) for b in _MIXED[i + 1 :]))
+def information_matrix(spark, d):
+    return rounded(relate.information_matrix(table(spark, d, "lineitem"), list(_MIXED)))
+
+
 @query("""WITH e AS (SELECT [quantile_cont(l_discount, .2), quantile_cont(l_discount, .4), quantile_cont(l_discount, .6), quantile_cont(l_discount, .8)] AS q, min(l_discount) AS lo, max(l_discount) AS hi FROM lineitem),
 b AS (SELECT l_quantity AS x, l_extendedprice AS y, len(list_filter(list_distinct(q), lambda v: v > lo AND v < hi AND v < l_discount)) AS bin FROM lineitem, e),
 g AS (SELECT bin, count(*) AS n, corr(x, y) AS r FROM b GROUP BY bin HAVING count(*) >= 10), w AS (SELECT corr(l_quantity, l_extendedprice) AS r FROM lineitem)
@@ -595,6 +613,11 @@ def copula_sampler(spark, d):
     return generate.copula(table(spark, d, "lineitem"), 1000, 42, ["l_quantity", "l_extendedprice", "l_discount"])
 
 
+@query()
+def copula_mixed(spark, d):
+    return generate.copula(table(spark, d, "orders"), 1000, 42, ["o_totalprice", "o_orderstatus", "o_orderpriority", "o_orderdate"])
+
+
 @query(f"""SELECT * FROM (SELECT o_orderkey, l_linenumber, o_orderdate, CASE WHEN l_shipdate < o_orderdate THEN o_orderdate + to_seconds(floor((1.0 + 29.0 * {u_sql("repair", "o_orderkey || '|' || l_linenumber")}) * 86400)::BIGINT) ELSE l_shipdate END AS l_shipdate FROM orders JOIN lineitem ON o_orderkey = l_orderkey)""")
 def post_process_temporal(spark, d):
     j = _orders_lines(spark, d).drop("o_orderpriority")
@@ -857,9 +880,30 @@ def distribution_sampler(spark, d):
     return distributions.sample(spark, distributions.fit(table(spark, d, "orders"), "o_totalprice"), 1000, 42)
 
 
-@query()
+@query(f"""WITH r AS (SELECT s_suppkey, s_acctbal, (rank() OVER (ORDER BY s_acctbal) + (count(*) OVER (PARTITION BY s_acctbal) - 1) / 2 - 0.5) / count(*) OVER () AS p FROM supplier)
+SELECT s_suppkey, s_acctbal, round({quantile_sql("p")}, 6) AS score FROM r""")
 def normal_scores(spark, d):
-    return distributions.normal_scores(table(spark, d, "supplier").select("s_suppkey", "s_acctbal"), "s_acctbal", "score")
+    return rounded(distributions.normal_scores(table(spark, d, "supplier").select("s_suppkey", "s_acctbal"), "s_acctbal", "score"))
+
+
+@query("""WITH one AS (SELECT count(*) AS n, min(o_totalprice) AS lo, max(o_totalprice) AS hi, stddev_samp(o_totalprice) * 0.2 AS h FROM orders), v AS (SELECT (o_totalprice - lo) / h * 32 AS z FROM orders, one),
+b AS (SELECT floor(z) AS b, sum(1 - (z - floor(z))) AS w FROM v GROUP BY 1 UNION ALL SELECT floor(z) + 1, sum(z - floor(z)) FROM v GROUP BY 1), g AS (SELECT lo - 3 * h + i * (hi - lo + 6 * h) / 100 AS x, n, lo, h FROM range(101) t(i), one)
+SELECT round(x, 4) AS x, round(sum(w * exp(-pow((x - (lo + b * h / 32)) / h, 2) / 2)) / (max(n) * max(h) * sqrt(2 * pi())) * 1e6, 6) AS per_million FROM g, b GROUP BY x""")
+def kernel_density(spark, d):
+    out = distributions.kernel_density(table(spark, d, "orders"), "o_totalprice")
+    return out.select(F.round("x", 4).alias("x"), F.round(F.col("density") * 1e6, 6).alias("per_million"))
+
+
+@query(f"""WITH one AS (SELECT count(*) AS n, stddev_samp(o_totalprice) * 0.2 AS h FROM orders), p AS (SELECT o_totalprice AS x, row_number() OVER (ORDER BY o_totalprice) - 1 AS pos FROM orders), r AS (SELECT range AS row_id FROM range(1, 2001)),
+d AS (SELECT row_id, h, least(floor(({u_sql("kernel-row", "row_id")} + {u_sql("kernel-rest", "row_id")} / 4294967296.0) * n), n - 1) AS pos FROM r, one) SELECT row_id, round(x + h * {n_sql("kernel", "row_id")}, 4) AS value FROM d JOIN p USING (pos)""")
+def kernel_sampler(spark, d):
+    return rounded(distributions.sample_density(table(spark, d, "orders"), "o_totalprice", 2000, 42), 4)
+
+
+@query(f"""WITH c AS (SELECT list(v ORDER BY v) AS vs, list(cdf ORDER BY v) AS cs FROM (SELECT o_orderpriority AS v, sum(count(*)) OVER (ORDER BY o_orderpriority) / sum(count(*)) OVER () AS cdf FROM orders GROUP BY 1))
+SELECT row_id, vs[least(len(list_filter(cs, lambda x: x <= {u_sql("category", "row_id")})), len(cs) - 1) + 1] AS value FROM (SELECT range AS row_id FROM range(1, 2001)), c""")
+def category_sampler(spark, d):
+    return distributions.sample_categories(table(spark, d, "orders"), "o_orderpriority", 2000, 42)
 
 
 # -- models: no SQL; tests/test_operators.py checks their properties ---------------------------

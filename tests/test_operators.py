@@ -486,3 +486,115 @@ def test_private_means(spark):
     got = {r.g: r for r in privacy.private_means(df, {"v": (0, 10)}, 5.0, 3, "g").collect()}
     assert set(got) == {"x", None, "empty"} and got["empty"].private_mean is None and got["empty"].n == 0
     assert all(got[g].n == 4001 and got[g].private_mean == pytest.approx(5.0, abs=0.05) for g in ("x", None))
+
+
+def test_normal_quantile_matches_the_standard_library(spark):
+    from statistics import NormalDist
+
+    import numpy as np
+
+    from mirrorloom.functions import normal as gauss
+
+    ps = [1e-300, 1e-12, 0.001, 0.0749, 0.3, 0.5, 0.8, 0.9999, 1 - 1e-12]
+    want = [NormalDist().inv_cdf(p) for p in ps]
+    got = spark.createDataFrame([(i, p) for i, p in enumerate([*ps, 0.0, 1.0, None])], "i int, p double").orderBy("i").select(gauss.quantile(F.col("p"))).collect()
+    assert [r[0] for r in got[:-3]] == pytest.approx(want, rel=1e-12) and [r[0] for r in got[-3:]] == [None] * 3
+    assert list(gauss.quantiles(np.array(ps))) == pytest.approx(want, rel=1e-12)
+
+
+def hidden(spark, rows=20_000):
+    """Columns cut from normal numbers of known correlations, with nulls as their lowest part."""
+    import numpy as np
+
+    want = np.array([[1, 0.6, -0.5, 0.3], [0.6, 1, -0.4, 0.2], [-0.5, -0.4, 1, 0.0], [0.3, 0.2, 0.0, 1]])
+    z = np.random.default_rng(5).multivariate_normal(np.zeros(4), want, rows)
+    table = pd.DataFrame({"income": np.exp(z[:, 0]), "grade": np.where(z[:, 1] < 0.3, "a", np.where(z[:, 1] < 1.0, "b", "c")), "flag": z[:, 2] > 0.5, "day": pd.Timestamp("2020-01-01") + pd.to_timedelta(np.round(z[:, 3] * 100), unit="D")})
+    table.loc[z[:, 0] < -0.8, "income"] = None
+    table["day"] = table["day"].dt.date
+    return spark.createDataFrame(table, "income double, grade string, flag boolean, day date").withColumn("income", F.expr("nullif(income, double('NaN'))")), want
+
+
+def test_copula_of_mixed_columns_finds_and_keeps_hidden_correlations(spark):
+    import numpy as np
+
+    from mirrorloom.operators import copula
+
+    df, want = hidden(spark)
+    model = copula.fit(df, df.columns)
+    assert np.abs(model.correlations - want).max() < 0.04
+    made = copula.sample(model, 20_000, 3)
+    assert [f.dataType for f in made.drop("row_id").schema] == [f.dataType for f in df.schema]
+    shares = lambda t: t.agg(F.avg(F.col("income").isNull().cast("int")), *[F.avg((F.col("grade") == g).cast("int")) for g in "abc"], F.avg(F.col("flag").cast("int")), F.median("income") / 10, F.median(F.unix_date("day")) / 10_000).first()
+    assert list(shares(made)) == pytest.approx(list(shares(df)), abs=0.015)
+    assert np.abs(copula.fit(made, df.columns).correlations - want).max() < 0.05
+    copula.release(model)
+
+
+def test_copula_jobs_do_not_grow_with_pairs(spark):
+    from mirrorloom.operators import copula
+
+    df = spark.range(200).select(*[(F.col("id") * (i + 3) % 17).alias(f"c{i}") for i in range(8)])
+    used = []
+    for size in (2, 8):
+        spark.sparkContext.setJobGroup(f"copula-{size}", "")
+        copula.fit(df, df.columns[:size])
+        used.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"copula-{size}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert used[0] == used[1]
+
+
+def test_copula_edge_cases(spark):
+    schema = "x double, s string, t timestamp_ntz, k int"
+    empty = generate.copula(frame(spark, [], schema), 3, 1, ["x", "s", "t", "k"])
+    assert [tuple(r)[1:] for r in empty.collect()] == [(None,) * 4] * 3
+    same = generate.copula(frame(spark, [(float("nan"), None, dt.datetime(2020, 1, 1), 7)] * 4, schema), 3, 1, ["x", "s", "t", "k"])
+    assert [tuple(r)[1:] for r in same.collect()] == [(None, None, dt.datetime(2020, 1, 1), 7)] * 3
+    with pytest.raises(ValueError):
+        generate.copula(spark.sql("SELECT array(1) AS a"), 3, 1, ["a"])
+
+
+def test_kernel_density_matches_a_plain_sum_and_its_sampler(spark):
+    import numpy as np
+
+    from mirrorloom.operators import distributions
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(0, 1, 600), rng.normal(9, 0.5, 300), [40.0, 40.0]])
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)] + [(-1, None), (-2, float("inf")), (-3, float("nan"))], "id long, x double")
+    got = distributions.kernel_density(df, "x").orderBy("x").toPandas()
+    h = 0.2 * x.std(ddof=1)
+    at = np.linspace(x.min() - 3 * h, x.max() + 3 * h, 101)
+    plain = np.exp(-(((at[:, None] - x) / h) ** 2) / 2).sum(1) / (len(x) * h * np.sqrt(2 * np.pi))
+    assert got.x.to_numpy() == pytest.approx(at) and np.abs(got.density - plain).max() < 2e-4 * plain.max()
+    made = np.sort([r.value for r in distributions.sample_density(df, "x", 20_000, 7).collect()])
+    assert len(made) == 20_000
+    step = at[1] - at[0]
+    below = np.cumsum(plain) * step - plain * step / 2
+    assert np.abs(np.searchsorted(made, at) / len(made) - below).max() < 0.02
+    assert distributions.kernel_density(df.filter("x = 40"), "x").count() == 0 and distributions.kernel_density(df.limit(0), "x").count() == 0
+    assert {r.value for r in distributions.sample_density(df.filter("x = 40"), "x", 5, 7).collect()} == {40.0}
+    assert distributions.sample_density(df.limit(0), "x", 5, 7).count() == 0
+
+
+def test_categories_drawn_by_either_way(spark):
+    from mirrorloom.operators import distributions
+
+    df = frame(spark, [(c,) for c in "aaaaaabbbc"] + [(None,)] * 5, "s string")
+    few, many = [sorted(map(tuple, distributions.sample_categories(df, "s", 3000, 1, most).collect())) for most in (100, 1)]
+    assert few == many
+    shares = pd.Series([v for _, v in few]).value_counts(normalize=True)
+    assert [shares[c] for c in "abc"] == pytest.approx([0.6, 0.3, 0.1], abs=0.03)
+    assert {r.value for r in distributions.sample_categories(df.filter("s IS NULL"), "s", 3, 1).collect()} == {None}
+    assert distributions.resample(df, "s", 10, 1).count() == 10
+    numbers = spark.range(5).select("id", (F.col("id") * 1.5).alias("x"))
+    assert distributions.resample(numbers, "x", 10, 1).count() == 10
+
+
+def test_information_matrix(spark):
+    import math
+
+    rows = [(i % 4, float(i % 4), "xy"[i % 2], None) for i in range(400)] + [(None, float("nan"), "x", None)]
+    got = {(r.a, r.b): (r.n, r.mi) for r in relate.information_matrix(frame(spark, rows, "k int, d double, s string, e string"), ["k", "d", "s", "e"], 4).collect()}
+    assert got["k", "d"] == (400, pytest.approx(math.log(4))) and got["k", "s"] == (400, pytest.approx(math.log(2)))
+    assert got["k", "e"] == (0, None) and len(got) == 6
+    assert relate.information_matrix(frame(spark, [], "k int, s string"), ["k", "s"]).collect()[0].mi is None
