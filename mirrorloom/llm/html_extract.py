@@ -53,6 +53,8 @@ FRAME, SHORT, LONG, ARTICLE = 0, 1, 2, 3  # what a neighbour that has the line t
 PROSE = 60
 #: It is the site's where it stands on so many different pages of its host, and on so large a share of them.
 SITE_PAGES, SITE_SHARE = 3, 0.5
+#: A line inside an article is judged so only on a host of so many different pages; smaller ones say too little against the markup.
+ARTICLE_HOST = 20
 #: Parts of a host where its pages meet its lines.
 SALTS = 16
 #: The rows of bits of a common subsequence are held up to this many; longer pages are halved first.
@@ -147,7 +149,7 @@ def key_of(line: str, state: int, place: int) -> int:
 
 
 def guard_of(line: str, state: int) -> int:
-    """FRAME, SHORT: a line that goes where a neighbour has it. LONG (prose): it goes only as a line of the whole site. ARTICLE: it stays."""
+    """FRAME, SHORT: a line that goes where a neighbour has it. LONG (prose): it goes only as a line of the whole site. ARTICLE: so too, and only on a large host."""
     return ARTICLE if state == KEEP else FRAME if state == DROP else LONG if len(line) >= PROSE else SHORT
 
 
@@ -241,12 +243,12 @@ def keys_of(struct: str, guard: str) -> Column:
 
 
 def site_lines(hashes: DataFrame) -> DataFrame:
-    """h (a hash of the host), site: the prose lines on most of a host's pages; pages of equal text count once. Hosts without such lines have no row."""
-    prose = hashes.select("h", "digest", F.array_distinct(keys_of("", f"= {LONG}")).alias("prose"))
+    """h (a hash of the host), site, large: the lines outside the frame on most of a host's pages, and whether it has ARTICLE_HOST pages; pages of equal text count once. Hosts without such lines have no row."""
+    lines = hashes.select("h", "digest", F.array_distinct(keys_of("", f">= {SHORT}")).alias("lines"))
     sizes = hashes.select("h", "digest").distinct().groupBy("h").agg(F.count("*").alias("pages"))
-    stands = prose.select("h", "digest", F.explode("prose").alias("line")).distinct().groupBy("h", "line").agg(F.count("*").alias("n"))
+    stands = lines.select("h", "digest", F.explode("lines").alias("line")).distinct().groupBy("h", "line").agg(F.count("*").alias("n"))
     often = stands.filter(F.col("n") >= SITE_PAGES).join(sizes, "h").filter(F.col("n") >= SITE_SHARE * F.col("pages"))
-    return often.groupBy("h").agg(F.collect_list("line").alias("site"))  # on most pages, so not many more than a page has
+    return often.groupBy("h").agg(F.collect_list("line").alias("site"), (F.max("pages") >= ARTICLE_HOST).alias("large"))  # on most pages, so not many more than a page has
 
 
 def nearest(hashes: DataFrame) -> DataFrame:
@@ -324,7 +326,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     a longest common subsequence, are deleted (n_shared). What stands in menus, footers, adverts and all else around an
     article is compared by its place in the markup, as its words change from page to page; all other lines by their text.
     Pages of equal text are no neighbours, so copies keep theirs. Prose that a neighbour has too goes only where it
-    stands on most of the host's pages, and a line inside an article or main element never, as articles share passages.
+    stands on most of the host's pages. So does a line of any length inside an article or main element, such as an invitation to a
+    letter or "Share", but only on a host of ARTICLE_HOST different pages, as articles share passages.
     Then the markup has a second opinion on the lines that the comparison left (n_marked): one in a menu, header, footer, form,
     advert or comment goes even where no neighbour has it, as on a host of one page. Blocks are joined by two line ends.
 
@@ -337,18 +340,18 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     # A host may hold most of the pages, so its few lines are met in several parts; pages of other hosts have no row here.
     sites = site_lines(hashes).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     slim = hashes.select("rid", "h", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int").alias("salt"))
-    own = hashes.select("rid", "keys", "guards").join(slim.join(sites, ["h", "salt"]).select("rid", "site"), "rid", "left")
+    own = hashes.select("rid", "keys", "guards").join(slim.join(sites, ["h", "salt"]).select("rid", "site", "large"), "rid", "left")
     others = hashes.select(F.col("rid").alias("other"), F.col("keys").alias("other_keys"))
 
     @F.pandas_udf("array<boolean>")
-    def differ(a: pd.Series, b: pd.Series, guards: pd.Series, site: pd.Series) -> pd.Series:
-        def one(x, y, guard, often):
-            prose = set(often) if often is not None else ()
-            return [m and (g < LONG or g == LONG and k in prose) for m, k, g in zip(common_lines(x, list(y)), x, guard)]
+    def differ(a: pd.Series, b: pd.Series, guards: pd.Series, site: pd.Series, large: pd.Series) -> pd.Series:
+        def one(x, y, guard, often, most):
+            site_wide = set(often) if often is not None else ()
+            return [m and (g < LONG or g <= most and k in site_wide) for m, k, g in zip(common_lines(x, list(y)), x, guard)]
 
-        return pd.Series([one(list(x), y, g, s) for x, y, g, s in zip(a, b, guards, site)])
+        return pd.Series([one(list(x), y, g, s, ARTICLE if h else LONG) for x, y, g, s, h in zip(a, b, guards, site, large)])
 
-    masks = nearest(hashes).join(others, "other").join(own, "rid").select("rid", differ("keys", "other_keys", "guards", "site").alias("d"))
+    masks = nearest(hashes).join(others, "other").join(own, "rid").select("rid", differ("keys", "other_keys", "guards", "site", F.coalesce("large", F.lit(False))).alias("d"))
     either = F.aggregate(F.slice("ds", 2, 1), F.element_at("ds", 1), lambda x, y: F.zip_with(x, y, lambda p, q: p | q))
     masks = materialize(masks.groupBy("rid").agg(F.collect_list("d").alias("ds")).select("rid", either.alias("shared")), "masks")  # two neighbours at most
 

@@ -92,7 +92,7 @@ def brute(rows, df):
             for n, m in enumerate(html_extract.common_lines(keys, found[near][1]) if near else []):
                 stands = sum(keys[n] in g for g in texts)
                 prose = stands >= html_extract.SITE_PAGES and stands >= html_extract.SITE_SHARE * len(texts)
-                goes[n] |= m and [True, True, prose, False][guards[n]]
+                goes[n] |= m and [True, True, prose, prose and len(texts) >= html_extract.ARTICLE_HOST][guards[n]]
         out.append((row[0], "\n\n".join(x for (x, s, _), g in zip(lines, goes) if s != html_extract.DROP and not g), sum(goes)))
     return sorted(map(str, out))
 
@@ -114,6 +114,19 @@ def test_comparison_decides(spark):
     assert got[110].text == "Menu\n\nStory 10" and got[120].text == "Story 20" and got[120].n_marked == 2
 
 
+def test_lines_of_the_site_inside_articles_go_and_passages_stay(spark):
+    """A letter box and "Share" inside each article go on a host of 30 pages, not on one of 15; what two articles share stays."""
+    letter, passage = "Subscribe to our letter and read all that is new on these pages each week.", "A passage that two articles of the host quote in full, as it was said at the time."
+    body = lambda k: f"<nav>{k}</nav><article><h1>Story {k}</h1><p>Told on page {k}.</p><p>{letter}</p>{f'<p>{passage}</p>' if k in (4, 5) else ''}<p>Share</p></article>"
+    rows = [(k, f"https://large.example/a/{k:02}", body(k)) for k in range(30)] + [(100 + k, f"https://small.example/a/{k:02}", body(k)) for k in range(15)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in html_extract.extract(df).collect()}
+    assert sorted(str((i, r.text, r.n_shared)) for i, r in got.items()) == brute(rows, df)
+    own = lambda k: [f"Story {k}", f"Told on page {k}."]
+    assert all(got[k].text == "\n\n".join([*own(k), *([passage] if k in (4, 5) else [])]) for k in range(30))
+    assert all(got[100 + k].text == "\n\n".join([*own(k), letter, *([passage] if k in (4, 5) else []), "Share"]) for k in range(15))
+
+
 def pages(spark):
     body = lambda k: f"<html><body><div>Menu of the site</div><div>Story {k} is told here</div><div>All rights reserved</div></body></html>"
     rows = [(i, f"https://h.example/a/{i}", body(i)) for i in range(40)] + [(100, None, None), (101, None, PAGE), (102, "https://alone.example/x", body(9)), (103, "https://h.example/a/7", body(7)), (None, "nonsense", "<p>text</p>"), (104, "https://h.example/a/7", body(7)), (104, "https://h.example/a/7", body(7))]
