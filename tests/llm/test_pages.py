@@ -201,6 +201,19 @@ def test_verdicts(spark):
     assert url_filter.filter_urls(pages, [], listed.limit(0)).filter("verdict = 'block'").count() == 0
 
 
+def test_a_line_break_at_the_end_belongs_to_the_address(spark, tmp_path):
+    import duckdb
+
+    ends = ["", "\n", "\r", "\r\n", "\u2028", "\x85"]
+    urls = [f"http://www.a.org{host}{path}{end}" for host in ("", ":80") for path in ("", "/x/", "/x.html") for end in ends] + [f"http://a.org{path}{end}?ref=1" for path in ("", "/x") for end in ends] + ["http://b.com/en/1\n", "http://example.com/en/7\n"]
+    spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(r) for r in queries.op10_url_filter(spark, str(tmp_path)).select("page_id", "host", "path", "verdict").collect())
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(con.sql(f"SELECT page_id, host, path, verdict FROM ({queries.oracle_sql()['op10_url_filter']})").fetchall())
+    assert {v for i, _, _, v in got[:36]} == {"allow", "block"}
+
+
 def test_bloom_has_no_false_negatives(spark):
     rng = random.Random(1)
     keys = [f"host{rng.random()}/p{i}" for i in range(3000)]
