@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -54,16 +55,102 @@ def sensitivity(name: str) -> float:
     return max([SENSITIVE.get(w, 0.0) for w in words] + [PAIRS.get(p, 0.0) for p in zip(words, words[1:])])
 
 
-def literal_quality(value: str) -> float:
-    """0 to 1: how much a literal looks like a secret: not short, no placeholder, no sentence, many different characters of several kinds."""
-    if len(value) < 6 or PLACEHOLDER.fullmatch(value) or any(c.isspace() for c in value.strip()):
+#: So many characters of both ends of a value are kept as they are; no placeholder of a fixed length is as long as both.
+_END = 64
+
+
+class Told(NamedTuple):
+    """What the quality of a value needs to know of it, however often its parts are repeated: that of a joined value follows from its parts'."""
+
+    size: int  #: its characters, in units of 2 ** unit
+    unit: int
+    counts: dict[str, int]  #: of each character, in the order of the first places, in the same units
+    head: str
+    tail: str
+    blank: bool  #: white space alone, or empty
+    inside: bool  #: white space between other characters
+
+
+def told(value: str) -> Told:
+    inside = any(c.isspace() for c in value.strip())
+    return Told(len(value), 0, dict(Counter(value)), value[:_END], value[-_END:], not value.strip(), inside)
+
+
+def joined(parts: list[Told]) -> Told:
+    """What is told of the parts in a row. Sizes beyond 256 bits are rounded to 128, so that values may double without end."""
+    if len(parts) == 1:
+        return parts[0]
+    unit = max((p.unit for p in parts), default=0)
+    size, counts, head, tail, blank, inside = 0, {}, "", "", True, False
+    for p in parts:
+        for c, n in p.counts.items():
+            counts[c] = counts.get(c, 0) + (n >> unit - p.unit)
+        inside = inside or p.inside or not blank and not p.blank and (tail[-1].isspace() or p.head[0].isspace())
+        size, blank = size + (p.size >> unit - p.unit), blank and p.blank
+        head, tail = (head + p.head)[:_END] if len(head) < _END else head, (tail + p.tail)[-_END:]
+    if size.bit_length() > 256:
+        more = size.bit_length() - 128
+        size, unit, counts = size >> more, unit + more, {c: n >> more for c, n in counts.items()}
+    return Told(size, unit, counts, head, tail, blank, inside)
+
+
+def quality(of: Told) -> float:
+    """0 to 1: how much a value looks like a secret: not short, no placeholder, no sentence, many different characters of several kinds."""
+    n = of.size
+    if n <= 2 * _END:
+        shown = of.head + of.tail[max(0, 2 * _END - n) :] if n > _END else of.head
+    else:  # a placeholder of any length is known by its ends and by which characters it has
+        shown = of.head + "".join(of.counts) + of.tail
+    if n < 6 or of.inside or PLACEHOLDER.fullmatch(shown):
         return 0.0
-    n = len(value)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum(any(map(test, value)) for test in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    shares = [c / n for c in of.counts.values()]
+    bits = -sum(s * math.log2(s) for s in shares if s)
+    kinds = sum(any(map(test, of.counts)) for test in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
     return min(1.0, 0.3 + 0.1 * bits + 0.1 * kinds)
 
 
+def literal_quality(value: str) -> float:
+    """The quality of one literal."""
+    return quality(told(value))
+
+
+class _Joined:
+    """A value that is joined from literals and other values; what is told of it is found once it is asked for, then its parts are let go."""
+
+    __slots__ = ("known", "parts")
+
+    def __init__(self, parts: list[str | _Joined]):
+        self.parts, self.known = parts, None
+
+    def told(self) -> Told:
+        stack = [self]
+        while stack:
+            top = stack[-1]
+            open_ = [] if top.known else [p for p in top.parts if isinstance(p, _Joined) and not p.known]
+            if open_:
+                stack += open_
+                continue
+            if not top.known:
+                top.known, top.parts = joined([told(p) if isinstance(p, str) else p.known for p in top.parts]), []
+            stack.pop()
+        return self.known
+
+
+def _let_go(held: list) -> Iterator[tuple[str, int, int]]:
+    """The literals below a list of literals and such lists, in order. Each list is emptied behind: its literals are found now."""
+    stack = [(held, iter(held))]
+    while stack:
+        below, rest = stack[-1]
+        for x in rest:
+            if isinstance(x, list):
+                stack.append((x, iter(x)))
+                break
+            yield x
+        else:
+            below.clear()
+            stack.pop()
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The spans of the fixed patterns, leftmost and not overlapping within a kind, those too short dropped."""
     out = [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[2]) >= _LEAST["assign"]]
@@ -108,31 +195,38 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, str, int, int]]]]:
 def lexed_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int, str, float]]:
     """(kind, start, end, target, score) of the literals that sensitive names hold, directly or through constants.
 
-    Constants are followed in the order of the text: a name stands for the literals it was last given. A bare word of letters alone
+    Constants are followed in the order of the text: a name stands for all literals it was last given, however many; values that hold
+    other values refer to them, so nothing is copied. A bare word of letters alone
     is an unknown name or prose, not a literal. The score is the
     target's sensitivity times the quality of the whole value, its literals joined.
     """
-    known: dict[str, list[tuple[str, int, int]]] = {}
+    known: dict[str, tuple[list, _Joined]] = {}
     best: dict[tuple[int, int], tuple[str, int, int, str, float]] = {}
     for name, terms in pairs(text):
-        held: list[tuple[str, int, int, bool]] = []
+        held: list = []  # a literal of this value's own, or the list of those that a name holds
+        parts: list[str | _Joined] = []
         for kind, value, start, end in terms:
             plain = value.lstrip("$@")
             if kind == "literal":
-                held.append((value, start, end, True))
+                held.append((value, start, end))
+                parts.append(value)
             elif plain in known and _IS_NAME.fullmatch(value):
-                held += [(*x, False) for x in known[plain]]
+                held.append(known[plain][0])
+                parts.append(known[plain][1])
             elif kind == "bare" and not (value.rstrip(".:!?").isalpha() or len(terms) > 1 and _IS_NAME.fullmatch(value)):
-                held.append((value.rstrip(".:!?"), start, start + len(value.rstrip(".:!?")), True))
-        known[name.lstrip("$@")] = [x[:3] for x in held][:64]  # of a name that grows by itself, its first literals
+                held.append((value.rstrip(".:!?"), start, start + len(value.rstrip(".:!?"))))
+                parts.append(held[-1][0])
+        whole = _Joined(parts)
+        known[name.lstrip("$@")] = held, whole
         how = sensitivity(name)
         if not how:
             continue
-        score = how * literal_quality("".join(x[0] for x in held))
+        score = how * quality(whole.told())
         if score < threshold:
             continue
-        for value, start, end, own in held:
-            found = ("literal" if own else "const", start, end, name, round(score, 6))
+        own = {x[1:] for x in held if isinstance(x, tuple)}
+        for value, start, end in _let_go(held):
+            found = ("literal" if (start, end) in own else "const", start, end, name, round(score, 6))
             if value and (start, end) not in best:
                 best[start, end] = found
     return list(best.values())

@@ -1,6 +1,7 @@
 """Secret scans: the fixed patterns by brute force, and planted assignments that only the lexer finds."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -126,6 +127,69 @@ def test_spans_of_the_patterns_are_not_listed_again():
     assert named(secret_scan.scan(text)) == [f"assign:3:{len(text) - 1}"]
 
 
+def plain_lexed(text):
+    """The lexer's spans with plain lists of literals for each name."""
+    known, best = {}, {}
+    for name, terms in secret_scan.pairs(text):
+        held = []
+        for kind, value, start, end in terms:
+            bare = value.rstrip(".:!?")
+            if kind == "literal":
+                held.append((value, start, end, True))
+            elif value.lstrip("$@") in known and secret_scan._IS_NAME.fullmatch(value):
+                held += [(*x[:3], False) for x in known[value.lstrip("$@")]]
+            elif kind == "bare" and not (bare.isalpha() or len(terms) > 1 and secret_scan._IS_NAME.fullmatch(value)):
+                held.append((bare, start, start + len(bare), True))
+        known[name.lstrip("$@")] = held
+        score = secret_scan.sensitivity(name) * plain_quality("".join(x[0] for x in held))
+        if score >= secret_scan.THRESHOLD:
+            for value, start, end, own in held:
+                if value:
+                    best.setdefault((start, end), ("literal" if own else "const", start, end, name, round(score, 6)))
+    return list(best.values())
+
+
+def plain_quality(value):
+    if len(value) < 6 or secret_scan.PLACEHOLDER.fullmatch(value) or any(c.isspace() for c in value.strip()):
+        return 0.0
+    shares = [value.count(c) / len(value) for c in dict.fromkeys(value)]
+    kinds = sum(any(map(test, value)) for test in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    return min(1.0, 0.3 - 0.1 * sum(s * math.log2(s) for s in shares) + 0.1 * kinds)
+
+
+def test_values_of_any_number_of_literals_against_plain_lists():
+    rng, most, spans = random.Random(5), 0, 0
+    names, bits = ["a", "b", "c", "pwd", "db_token"], ["Zk9", "x", "xxx", " ", "", "\t", "*", "example", "your", "<", ">", "q" * 70, "Qm\n", "7", "é"]
+    for _ in range(1500):
+        lines = []
+        for _ in range(rng.randint(1, 14)):
+            terms = [rng.choice([rng.choice(names), f'"""{rng.choice(bits)}"""']) for _ in range(rng.randint(1, 4))]
+            lines.append(f"{rng.choice(names)} = {' + '.join(terms)}\n")
+        text = "".join(lines)
+        got = secret_scan.lexed_spans(text)
+        assert got == plain_lexed(text), text
+        spans += len(got)
+    assert spans > 1000
+
+
+def test_a_name_holds_more_than_64_literals():
+    text = "a = " + " + ".join(f'"{i}k"' for i in range(300)) + "\npwd = a\n"
+    assert len(found(text)) == 300 and {k for k, *_ in found(text)} == {"const"}
+    grown = 'a = "Zk9"\n' + "".join(f'a = a + "{i}k"\n' for i in range(300)) + "pwd = a\n"
+    assert len(found(grown)) == 301
+
+
+@pytest.mark.parametrize("first, bit", [('pwd = "Zk9w2-Qmd81"\n', "pwd = pwd + pwd\n"), ('a = "Zk9w2-Qmd81"\n', "a = a + a\npwd = a\n"), ("", 'pwd = pwd + "Zk9w2-"\n'), ("", 'a = a + "Zk9w2-"\n'), ("", 'a = a + " "\npwd = a\n')])
+def test_time_is_linear_in_values_that_grow(first, bit):
+    def took(n):
+        start = time.perf_counter()
+        secret_scan.scan(first + bit * (n // len(bit)) + "pwd = a\n")
+        return time.perf_counter() - start
+
+    took(10_000)
+    assert took(400_000) < 12 * max(took(100_000), 0.02)
+
+
 @pytest.mark.parametrize("bit", ["a", "a.", "=", "a=", "'", '"', "a='", "\\", "a:b:", "pwd='x'+", "pwd=a+", "$", "${", "token=", "\n", "x = y\n", "A=A+A\n", "a-", "-", "--a", "a>", "<a>b", "pwd=pwd=", "pwd=pwd\n", "'''", "a='''", "a=`"])
 def test_time_is_linear(bit):
     def took(n):
