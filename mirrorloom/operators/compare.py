@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -138,9 +139,9 @@ def nearest_record(original: DataFrame, synthetic: DataFrame, cols: list[str], k
 
     Of one column the distinct values of both sides are sorted in ranges, where each synthetic one lies between two original
     ones. Of several, the distinct original rows are dealt into cells (see ``_cells``) of some ``cell_rows`` rows; beyond
-    ``cell_rows * most_cells`` rows the cells grow. Each distinct synthetic row meets the cells in the order of the distance to their
-    boxes, one at first, then four times as many a round, as long as a box is nearer than the nearest row so far. So the distances are exact,
-    and a row joins with few cells; cells and boxes are all that is broadcast.
+    ``cell_rows * most_cells`` rows the cells grow. Each distinct synthetic row meets a cell near it, then the cells in the order of the distance to their
+    boxes, four times as many a round, as long as a box is nearer than the nearest row so far. So the distances are exact,
+    and a row meets few cells. The boxes are a tree: only those that are nearer are opened. Boxes and counts of cells are all that is broadcast.
     """
     value = lambda c: F.coalesce(number(c), F.lit(0.0))
     stats = original.agg(*[f(value(c)).alias(f"{i}:{k}") for i, c in enumerate(cols) for k, f in (("m", F.avg), ("s", F.stddev_pop))])
@@ -152,26 +153,61 @@ def nearest_record(original: DataFrame, synthetic: DataFrame, cols: list[str], k
         return own.join(between, "x").select(key, "distance")
     own = written(z(synthetic), "asked")
     distinct = written(z(original).distinct(), "distinct")
-    known, boxes = _cells(distinct, len(cols), cell_rows, most_cells)
+    known, tree = _cells(distinct, len(cols), cell_rows, most_cells)
     discard(distinct)
     best = written(own.select("z").distinct().withColumn("d", F.lit(None).cast("double")), "nearest")
-    square = F.aggregate(F.zip_with("z", "o", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+    if tree is None:
+        return own.select(key, F.lit(None).cast("double").alias("distance"))
     begin, count = 0, 1
-    while begin < len(boxes):
-        asked = written(_cells_to_meet(best, boxes, begin, begin + count), "cells")
+    while True:
+        asked = written(_cells_to_meet(best, tree, begin, begin + count), "cells")
         if asked.isEmpty():
             discard(asked)
             break
-        old = best
-        met = asked.join(known, "cell").groupBy("z").agg(F.min(square).alias("d"))
+        old, met = best, written(_met(asked, known, len(cols)), "met")
         best = written(best.unionByName(met).groupBy("z").agg(F.min("d").alias("d")), "nearest")
-        discard(asked, old)
+        discard(asked, met, old)
         begin, count = begin + count, 4 * count
     return own.join(best, "z").select(key, F.sqrt("d").alias("distance"))
 
 
-def _cells(known: DataFrame, width: int, cell_rows: int, most_cells: int) -> tuple[DataFrame, np.ndarray]:
-    """known (rows z, all distinct) as a written table of o and cell, and the bounds of the cells that have rows: cell, least, most of each column.
+class _Tree(NamedTuple):
+    """A binary tree of boxes: node i has the children 2 i and 2 i + 1; the leaves are the cells, from ``first`` on. Nodes without rows have an endless distance."""
+
+    first: int
+    low: np.ndarray  # a row for each node
+    high: np.ndarray
+
+    def bound(self, x: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """The squared distance from each x to the box of its node, rounded down."""
+        out = np.zeros(len(x))
+        for i in range(x.shape[1]):
+            gap = np.maximum(np.maximum(self.low[node, i] - x[:, i], x[:, i] - self.high[node, i]), 0)
+            out += gap * gap
+        return out * (1 - 1e-12)  # whatever rounding adds, no nearer row is passed over
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        """A cell near each x: from the root down to the child whose box is nearer."""
+        node = np.ones(len(x), np.int64)
+        while node[0] < self.first if len(node) else False:
+            node = 2 * node
+            node += (self.bound(x, node + 1) < self.bound(x, node)) | (self.low[node, 0] > self.high[node, 0])
+        return node
+
+    def within(self, x: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """row, cell, bound: of each x all cells whose box is nearer than its d; only boxes that are nearer are opened."""
+        row, node = np.arange(len(x)), np.ones(len(x), np.int64)
+        while True:
+            bound = self.bound(x[row], node)
+            near = bound < d[row]
+            row, node, bound = row[near], node[near], bound[near]
+            if not len(node) or node[0] >= self.first:
+                return row, node, bound
+            row, node = np.repeat(row, 2), np.stack([2 * node, 2 * node + 1], 1).ravel()
+
+
+def _cells(known: DataFrame, width: int, cell_rows: int, most_cells: int) -> tuple[DataFrame, _Tree | None]:
+    """known (rows z, all distinct) as a written table of o and cell, and the tree of the cells' bounds; None without rows.
 
     The cells are those of a tree that halves its rows at the median of the widest column. It is built from a sample of some 16 rows
     a cell, chosen by hash; which rows are in it bears on the cells' sizes only.
@@ -201,34 +237,91 @@ def _cells(known: DataFrame, width: int, cell_rows: int, most_cells: int) -> tup
 
     dealt = written(known.mapInArrow(deal, "o array<double>, cell int"), "known")
     ends = [f(F.get("o", F.lit(i))) for f in (F.min, F.max) for i in range(width)]
-    boxes = dealt.groupBy("cell").agg(*[e.alias(f"e{i}") for i, e in enumerate(ends)]).orderBy("cell").collect()  # most_cells rows at most
-    return dealt, np.array([list(b) for b in boxes], np.float64).reshape(-1, 1 + 2 * width)
-
-
-def _cells_to_meet(best: DataFrame, boxes: np.ndarray, begin: int, end: int) -> DataFrame:
-    """z, cell: of each row's cells in the order of the distance to their boxes those from place ``begin`` to before ``end``, if nearer than d."""
-    shared = best.sparkSession.sparkContext.broadcast(boxes)
+    boxes = dealt.groupBy("cell").agg(*[e.alias(f"e{i}") for i, e in enumerate(ends)]).collect()  # most_cells rows at most
+    if not boxes:
+        return dealt, None
+    low, high = np.full((2 ** (depth + 1), width), np.inf), np.full((2 ** (depth + 1), width), -np.inf)
+    for cell, *e in boxes:
+        low[cell], high[cell] = e[:width], e[width:]
+    for node in range(2**depth - 1, 0, -1):
+        low[node], high[node] = np.minimum(low[2 * node], low[2 * node + 1]), np.maximum(high[2 * node], high[2 * node + 1])
+    return dealt, _Tree(2**depth, low, high)
+
+
+def _cells_to_meet(best: DataFrame, tree: _Tree, begin: int, end: int) -> DataFrame:
+    """z, cell: at first one cell near each row; then of its cells that are nearer than d those from place ``begin - 1`` to before ``end - 1`` in the order of their distance."""
+    shared = best.sparkSession.sparkContext.broadcast(tree)
+
+    def near(x: np.ndarray, d: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held = shared.value
+        if begin == 0:
+            yield np.arange(len(x)), held.nearest(x)
+            return
+        size, at = 64, 0
+        while at < len(x):  # so many rows at once that some million boxes are held
+            part = slice(at, at + size)
+            row, cell, bound = held.within(x[part], d[part])
+            order = np.lexsort((cell, bound, row))
+            row, cell = row[order], cell[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            taken = (place >= begin - 1) & (place < end - 1)
+            yield row[taken] + at, cell[taken]
+            at, size = at + size, max(1, min(4 * size, 500_000 * size // max(len(row), 1), 65_536))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, (low, high) = shared.value[:, 0].astype(np.int32), np.split(shared.value[:, 1:], 2, axis=1)
-        step = max(1, 2_000_000 // len(cell))  # rows whose bounds are held at once
         for batch in batches:
-            for start in range(0, batch.num_rows, step):
-                part = batch.slice(start, step)
-                x = part.column("z").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                d = part.column("d").fill_null(np.inf).to_numpy(zero_copy_only=False)
-                bound = np.zeros((len(x), len(cell)))
-                for i in range(x.shape[1]):
-                    out = np.maximum(np.maximum(low[:, i] - x[:, i, None], x[:, i, None] - high[:, i]), 0)
-                    bound += out * out
-                bound *= 1 - 1e-12  # whatever rounding adds, no nearer row is passed over
-                order = np.argsort(bound, axis=1, kind="stable")[:, begin:end]
-                row, place = np.nonzero(np.take_along_axis(bound, order, 1) < d[:, None])
-                yield pa.RecordBatch.from_arrays([part.column("z").take(pa.array(row)), pa.array(cell[order[row, place]])], ["z", "cell"])
+            x = batch.column("z").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            d = batch.column("d").fill_null(np.inf).to_numpy(zero_copy_only=False)
+            for row, cell in near(x, d):
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([batch.column("z").take(pa.array(row)), pa.array(cell.astype(np.int32))], ["z", "cell"])
 
     return best.mapInArrow(meet, "z array<double>, cell int")
 
 
+#: A cell that more rows ask for is dealt to several groups, each with all of the cell's own rows.
+_ASKED_ROWS = 16_384
+
+
+def _met(asked: DataFrame, known: DataFrame, width: int) -> DataFrame:
+    """z, d: the squared distance from each asked z to the nearest row of its cell.
+
+    Each task reads its cells one after the other: a cell's own rows, which it holds, then the rows that ask for it.
+    """
+    groups = asked.groupBy("cell").agg(F.ceil(F.count("*") / _ASKED_ROWS).cast("int").alias("groups_"))  # most_cells rows at most
+    dealt = asked.join(F.broadcast(groups), "cell").select("cell", F.pmod(F.xxhash64("z"), F.col("groups_")).cast("int").alias("group"), F.lit(True).alias("asks"), "z")
+    held = known.join(F.broadcast(groups), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("groups_") - 1)).alias("group"), F.lit(False).alias("asks"), F.col("o").alias("z"))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, own = None, []
+        for batch in batches:
+            x = batch.column("z").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+            asks = batch.column("asks").to_numpy(zero_copy_only=False)
+            names = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "group")], 1)
+            starts = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]).any(1) | (asks[1:] != asks[:-1])]) if len(x) else []
+            d = np.empty(len(x))
+            for a, b in zip(starts, [*starts[1:], len(x)]):
+                if tuple(names[a]) != group:
+                    group, own = tuple(names[a]), []
+                if not asks[a]:
+                    own.append(x[a:b])
+                    continue
+                own = [np.concatenate(own)]
+                step = max(1, 500_000 // len(own[0]))
+                for s in range(a, b, step):
+                    part = x[s : min(b, s + step)]
+                    square = np.zeros((len(part), len(own[0])))
+                    for i in range(width):
+                        gap = part[:, i, None] - own[0][None, :, i]
+                        square += gap * gap
+                    d[s : s + len(part)] = square.min(1)
+            rows = np.flatnonzero(asks)
+            yield pa.RecordBatch.from_arrays([batch.column("z").take(pa.array(rows)), pa.array(d[rows])], ["z", "d"])
+
+    together = dealt.unionByName(held).repartition("cell", "group").sortWithinPartitions("cell", "group", "asks")
+    return together.mapInArrow(measure, "z array<double>, d double")
+
+
 def _between(known: DataFrame, asked: DataFrame) -> DataFrame:
     """x of asked, distance to the nearest x of known: the last one before and the first one after, within ranges of x and over their edges."""
     both = known.withColumn("o", F.col("x")).unionByName(asked.withColumn("o", F.lit(None).cast("double")))

@@ -419,6 +419,26 @@ def _nearest_brute(original, synthetic, columns):
     return {k: float(np.sqrt((((np.array([x or 0.0 for x in v], float) - mean) / std - z) ** 2).sum(axis=1).min())) for *v, k in synthetic}
 
 
+def test_nearest_record_opens_few_of_many_boxes(monkeypatch):
+    import numpy as np
+
+    cells = 4096
+    low, high = np.zeros((2 * cells, 2)), np.ones((2 * cells, 2))
+    low[cells:, 0], high[cells:, 0] = np.arange(cells), np.arange(cells) + 0.5
+    for i in range(cells - 1, 0, -1):
+        low[i], high[i] = np.minimum(low[2 * i], low[2 * i + 1]), np.maximum(high[2 * i], high[2 * i + 1])
+    tree, opened, bound = compare._Tree(cells, low, high), [], compare._Tree.bound
+    monkeypatch.setattr(compare._Tree, "bound", lambda self, x, node: opened.append(len(node)) or bound(self, x, node))
+    x = np.random.default_rng(1).uniform([0, -1], [cells, 2], (500, 2))
+    d = np.full(500, 4.0)
+    assert (abs(low[tree.nearest(x), 0] - x[:, 0]) < 2).all()
+    row, cell, _ = tree.within(x, d)
+    gap = np.maximum(np.maximum(low[None, cells:] - x[:, None], x[:, None] - high[None, cells:]), 0)
+    want = np.nonzero((gap * gap).sum(2) < 4.0)
+    assert sorted(zip(row, cell - cells)) == sorted(zip(*want))
+    assert sum(opened) < 500 * 100  # all boxes are 500 * 4096
+
+
 @pytest.mark.parametrize("columns, cell_rows, most_cells", [(2, 4, 64), (3, 8, 65_536), (5, 3, 7), (3, 10_000, 65_536)])
 def test_nearest_record_against_all_pairs(spark, columns, cell_rows, most_cells):
     """Clumps, a hot original and a hot synthetic row, far outliers, nulls, a column without spread."""
