@@ -2,28 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import PCA, Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, Imputer, OneHotEncoder, OneHotEncoderModel, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..rng import uniform
+from ..written import discard, written
 from .compare import closest_risk, correlation_similarity, nearest_record, quality_score, statistical_similarity
 from .generate import GENERATORS, _slots, generate
 from .privacy import anonymity_level
-from .profile import number
+from .profile import number, unpivot
 
 
-def _features(numeric: list[str], categorical: list[str]) -> list:
-    """Stages that make the vector column features: numbers imputed by their mean, categories one-hot, unseen ones apart."""
+def _indexers(rows: DataFrame, categorical: list[str]) -> list[StringIndexerModel]:
+    """The models of a StringIndexer a column in the order of the alphabet, their labels from one grouping instead of a map that each task fills row by row."""
+    labels: dict[str, list[str]] = {c: [] for c in categorical}
+    for column, value in unpivot(rows, categorical).dropna().distinct().collect():  # the labels, which a StringIndexer collects as well
+        labels[column].append(value)
+    return [StringIndexerModel.from_labels(sorted(v), c, f"{c}_ix", "keep") for c, v in labels.items()]
+
+
+def _features(numeric: list[str], categorical: list[str], rows: DataFrame | None = None) -> list:
+    """Stages that make the vector column features: numbers imputed by their mean, categories one-hot, unseen ones apart; those of ``rows`` are all the categories, if it is given."""
     stages: list = []
     if numeric:
         stages.append(Imputer(inputCols=numeric, outputCols=[f"{c}_in" for c in numeric]))
     if categorical:
-        stages += [StringIndexer(inputCols=categorical, outputCols=[f"{c}_ix" for c in categorical], handleInvalid="keep", stringOrderType="alphabetAsc"), OneHotEncoder(inputCols=[f"{c}_ix" for c in categorical], outputCols=[f"{c}_hot" for c in categorical], handleInvalid="keep")]
+        index = StringIndexer(inputCols=categorical, outputCols=[f"{c}_ix" for c in categorical], handleInvalid="keep", stringOrderType="alphabetAsc")
+        stages += [*([index] if rows is None else _indexers(rows, categorical)), OneHotEncoder(inputCols=[f"{c}_ix" for c in categorical], outputCols=[f"{c}_hot" for c in categorical], handleInvalid="keep")]
     return [*stages, VectorAssembler(inputCols=[f"{c}_in" for c in numeric] + [f"{c}_hot" for c in categorical], outputCol="features", handleInvalid="keep")]
 
 
@@ -31,32 +41,48 @@ def _typed(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFra
     return df.select(*[number(c).alias(c) for c in numeric], *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("nan")).alias(c) for c in categorical])
 
 
-def _row_split(df: DataFrame, seed: int, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    u = uniform(seed, "split", F.xxhash64(*df.columns))
-    return df.filter(u < share), df.filter(u >= share)
+def _row_split(df: DataFrame, seed: int, share: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Training and test rows, and the written table that both are of: fits read their rows several times, the draws are made once."""
+    drawn = written(df.withColumn("trains_", uniform(seed, "split", F.xxhash64(*df.columns)) < share), "split")
+    return drawn.filter("trains_").drop("trains_"), drawn.filter("not trains_").drop("trains_"), drawn
 
 
 def membership_disclosure(original: DataFrame, synthetic: DataFrame, numeric: list[str], categorical: list[str], seed: int = 42) -> DataFrame:
     """One row: auc of a model that tells original from synthetic rows, and risk = 2 |auc - 1/2|."""
     both = _typed(original, numeric, categorical).withColumn("label", F.lit(1.0)).unionByName(_typed(synthetic, numeric, categorical).withColumn("label", F.lit(0.0)))
-    train, test = _row_split(both, seed)
-    scaled = StandardScaler(inputCol="features", outputCol="scaled", withMean=False)
-    model = Pipeline(stages=[*_features(numeric, categorical), scaled, LogisticRegression(featuresCol="scaled", maxIter=25, regParam=0.01)]).fit(train)
+    train, test, table = _row_split(both, seed)
+    # The regression standardises its features by itself (standardization), so they aren't scaled before.
+    model = Pipeline(stages=[*_features(numeric, categorical, train), LogisticRegression(maxIter=25, regParam=0.01)]).fit(train)
     auc = BinaryClassificationEvaluator().evaluate(model.transform(test))
+    discard(table)
     return original.sparkSession.createDataFrame([(auc, 2 * abs(auc - 0.5))], "auc double, risk double")
 
 
-def _forest(target: str, numeric: list[str], categorical: list[str], classes: bool, trees: int, seed: int) -> Pipeline:
+#: A forest keeps its training rows in memory or on disk, each with the bin of every feature and a count for every tree; so many bytes of these are one task's.
+_FOREST_BYTES = 32 << 20
+
+
+def _dealt(rows: DataFrame, features: int, trees: int) -> DataFrame:
+    """rows in as many partitions as keep what a forest's task holds of them within _FOREST_BYTES; rows that fit into one stay as they are."""
+    parts = -(-rows.count() * (4 * (features + trees) + 100) // _FOREST_BYTES)
+    return rows if parts <= 1 else rows.repartition(max(parts, rows.sparkSession.sparkContext.defaultParallelism))
+
+
+def _forest(rows: DataFrame, target: str, numeric: list[str], categorical: list[str], classes: bool, trees: int, seed: int) -> PipelineModel:
+    """A forest fitted to the rows, with its features. The trees' draws follow the partitions of the rows."""
     index = [StringIndexer(inputCol=target, outputCol="label", handleInvalid="keep", stringOrderType="alphabetAsc")] if classes else []
+    features = Pipeline(stages=[*index, *_features(numeric, categorical)]).fit(rows)
+    width = len(numeric) + sum(1 + size for s in features.stages if isinstance(s, OneHotEncoderModel) for size in s.categorySizes)
     kind = RandomForestClassifier if classes else RandomForestRegressor
-    return Pipeline(stages=[*index, *_features(numeric, categorical), kind(numTrees=trees, seed=seed, labelCol="label" if classes else target)])
+    forest = kind(numTrees=trees, seed=seed, labelCol="label" if classes else target)
+    return PipelineModel(stages=[*features.stages, forest.fit(features.transform(_dealt(rows, width, trees)))])
 
 
 def attribute_disclosure(original: DataFrame, synthetic: DataFrame, target: str, numeric: list[str], categorical: list[str], trees: int = 50, seed: int = 42) -> DataFrame:
     """One row: accuracy on the original of a forest trained on the synthetic, baseline (the most frequent value), and risk between them."""
     cols = (numeric, [*categorical, target])
     known, made = _typed(original, *cols), _typed(synthetic, *cols)
-    model = _forest(target, numeric, categorical, True, trees, seed).fit(made)
+    model = _forest(made, target, numeric, categorical, True, trees, seed)
     accuracy = MulticlassClassificationEvaluator(metricName="accuracy").evaluate(model.transform(known))
     top = known.groupBy(target).count().agg((F.max("count") / F.sum("count")).alias("b")).first()["b"]
     risk = max(0.0, (accuracy - top) / (1 - top)) if top < 1 else 0.0
@@ -93,11 +119,12 @@ def evaluate(original: DataFrame, synthetic: DataFrame, key: str, numeric: list[
 def utility(original: DataFrame, synthetic: DataFrame, target: str, numeric: list[str], categorical: list[str], classes: bool, trees: int = 100, seed: int = 42) -> DataFrame:
     """One row: scores on the original's test rows of forests trained on original and on synthetic rows, and their ratio in [0, 1]."""
     cols = (numeric, [*categorical, target]) if classes else ([*numeric, target], categorical)
-    train, test = _row_split(_typed(original, *cols), seed)
+    train, test, table = _row_split(_typed(original, *cols), seed)
     made = _typed(synthetic, *cols)
     inputs = [c for c in numeric if c != target]
     judge = MulticlassClassificationEvaluator(metricName="accuracy") if classes else RegressionEvaluator(metricName="r2", labelCol=target)
-    real, fake = (judge.evaluate(_forest(target, inputs, categorical, classes, trees, seed).fit(rows).transform(test)) for rows in (train, made))
+    real, fake = (judge.evaluate(_forest(rows, target, inputs, categorical, classes, trees, seed).transform(test)) for rows in (train, made))
+    discard(table)
     ratio = min(1.0, max(0.0, fake / real)) if real > 0 else float(fake >= real)
     return original.sparkSession.createDataFrame([(target, real, fake, ratio)], "target string, real double, synthetic double, utility double")
 

@@ -419,6 +419,43 @@ def _nearest_brute(original, synthetic, columns):
     return {k: float(np.sqrt((((np.array([x or 0.0 for x in v], float) - mean) / std - z) ** 2).sum(axis=1).min())) for *v, k in synthetic}
 
 
+def test_rows_of_a_forest_are_dealt_to_bounded_tasks(spark, monkeypatch):
+    from mirrorloom.operators import learn
+
+    df = frame(spark, [(float(i % 50), "ab"[i % 2], float(i % 50 + i % 3)) for i in range(4000)], "a double, b string, y double").coalesce(1)
+    seen = []
+    fit = learn.RandomForestRegressor.fit
+    monkeypatch.setattr(learn.RandomForestRegressor, "fit", lambda self, rows: seen.append(rows.rdd.glom().map(len).collect()) or fit(self, rows))
+    whole = learn.utility(df, df, "y", ["a"], ["b"], False, trees=5).first()
+    monkeypatch.setattr(learn, "_FOREST_BYTES", 20_000)
+    parted = learn.utility(df, df, "y", ["a"], ["b"], False, trees=5).first()
+    assert [len(s) for s in seen[:2]] == [1, 1]
+    assert all(sum(s) == sum(w) and max(s) * (4 * 9 + 100) <= 2 * 20_000 for s, w in zip(seen[2:], seen[:2]))
+    assert whole.real > 0.5 and abs(whole.real - parted.real) < 0.2
+
+
+def test_labels_of_one_grouping_are_those_of_the_indexer(spark):
+    from mirrorloom.operators import learn
+
+    df = frame(spark, [(v, w) for v, w in zip(["b", "a", "é", "b", "\U0001f600", "\uffee", ""], ["x", None, "y", "x", "z", "x", "w"])], "v string, w string")
+    known = df.dropna()
+    fitted = learn._features([], ["v", "w"])[0].fit(known)
+    assert [list(m.labels) for m in learn._indexers(known, ["v", "w"])] == [list(a) for a in fitted.labelsArray]
+
+
+def test_split_rows_are_drawn_once(spark, monkeypatch):
+    from mirrorloom.operators import learn
+
+    df = people(spark)
+    calls, draw = [], learn.uniform
+    monkeypatch.setattr(learn, "uniform", lambda *a: calls.append(1) or draw(*a))
+    train, test, table = learn._row_split(df, 3)
+    u = draw(3, "split", F.xxhash64(*df.columns))
+    assert sorted(map(str, train.collect())) == sorted(map(str, df.filter(u < 0.8).collect()))
+    assert sorted(map(str, test.collect())) == sorted(map(str, df.filter(u >= 0.8).collect()))
+    assert len(calls) == 1 and "sha2" not in train._jdf.queryExecution().toString()
+
+
 def test_nearest_record_opens_few_of_many_boxes(monkeypatch):
     import numpy as np
 
