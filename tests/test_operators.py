@@ -655,3 +655,102 @@ def test_information_matrix(spark):
     assert got["k", "d"] == (400, pytest.approx(math.log(4))) and got["k", "s"] == (400, pytest.approx(math.log(2)))
     assert got["k", "e"] == (0, None) and len(got) == 6
     assert relate.information_matrix(frame(spark, [], "k int, s string"), ["k", "s"]).collect()[0].mi is None
+
+
+def _scattered(spark, n=4000, seed=5):
+    import numpy as np
+
+    r = np.random.default_rng(seed)
+    a, c = r.integers(0, 50, n), r.normal(0, 3, n)
+    b = np.array(["x", "y", "z", None], dtype=object)[r.integers(0, 4, n)]
+    y = a + 5 * (b == "x") + c + r.normal(0, 2, n)
+    kind = np.where(y > 30, "high", np.where(y > 12, "mid", "low"))
+    rows = [(None if i % 40 == 3 else float(v), w, float(x), float(t), str(k)) for i, (v, w, x, t, k) in enumerate(zip(a, b, c, y, kind))]
+    return frame(spark, rows, "a double, b string, c double, y double, kind string")
+
+
+def test_forest_by_cell_scores_as_the_one_by_row(spark, monkeypatch):
+    from mirrorloom.operators import cells, learn
+
+    df = _scattered(spark)
+    other = _scattered(spark, seed=6).withColumn("b", F.expr("if(b = 'y', 'new', b)"))
+    fits, score = [], []
+    fit = cells.RandomForestRegressor.fit
+    monkeypatch.setattr(cells.RandomForestRegressor, "fit", lambda self, rows: fits.append(rows.agg(F.count("*"), F.sum("w") if "w" in rows.columns else F.lit(None)).first()) or fit(self, rows))
+    for draws in (learn._FOREST_DRAWS, 0):
+        monkeypatch.setattr(learn, "_FOREST_DRAWS", draws)
+        score.append([*learn.utility(df, other, "y", ["a"], [], False, trees=10).first()[1:3], learn.attribute_disclosure(df, other, "kind", ["a", "c"], ["b"], 10).first().accuracy])
+    assert min(score[0]) > 0.5 and all(abs(x - y) < most for x, y, most in zip(*score, (0.02, 0.02, 0.1)))
+    # A tree of the forest by cell reads cells (50 values and the mean in place of nulls), and the draws of all rows.
+    assert len(fits) == 2 + 2 * 10 and all(n <= 51 and abs(drawn / (4000 if i >= 10 else 3200) - 1) < 0.1 for i, (n, drawn) in enumerate(fits[2:]))
+
+
+def _drawn(spark, rows, trees):
+    import numpy as np
+
+    from mirrorloom.operators import cells
+
+    keys = rows.select("i", F.xxhash64("i").alias("key")).orderBy("i").toPandas()
+    k = cells.draws(keys["key"].to_numpy(), np.ones(len(keys), dtype=int), trees)
+    return rows.join(frame(spark, [(int(i), *map(float, w)) for i, w in zip(keys["i"], k)], "i long, " + ", ".join(f"w{t} double" for t in range(trees))), "i").cache()
+
+
+def test_a_tree_of_the_sums_of_cells_is_that_of_the_rows(spark, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    from mirrorloom.operators import cells
+
+    rows = frame(spark, [(i, float(i % 7), float(i % 4), (i % 28) * 3 + i * 13 % 97 / 7, "pqr"[(i % 28 + i * 11 % 17) // 15]) for i in range(2000)], "i long, a double, b double, y double, c string")
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows)
+    named = StringIndexer(inputCol="c", outputCol="label").fit(rows).transform(rows)
+    # A node of one cell is a leaf at once, a node of its rows asks first; so that all later draws of features agree, no features are drawn for numbers.
+    monkeypatch.setattr(cells, "RandomForestRegressor", lambda **k: RandomForestRegressor(**(k | {"featureSubsetStrategy": "all"})))
+    for classes, kind, some, out, labelled in ((False, RandomForestRegressor, "all", "predictionCol", rows.withColumn("label", F.col("y"))), (True, RandomForestClassifier, "sqrt", "probabilityCol", named)):
+        drawn = _drawn(spark, labelled, 3)
+        bags = drawn.groupBy("a", "b", *["label"] * classes).agg(F.first("features").alias("features"), *[F.sum(f"w{t}").alias(f"w{t}") for t in range(3)], *[F.sum(F.col(f"w{t}") * F.col("label")).alias(f"s{t}") for t in range(3)])
+        for t, tree in enumerate(cells._fitted(bags, labelled.schema["label"].metadata, classes, 3, 9)):
+            whole = kind(numTrees=1, bootstrap=False, featureSubsetStrategy=some, weightCol=f"w{t}", seed=tree.getSeed(), **{out: "whole"}).fit(drawn.filter(F.col(f"w{t}") > 0))
+            both = tree.transform(whole.transform(drawn).drop("prediction", "rawPrediction")).select("whole", f"tree{t}").distinct().collect()
+            assert len(both) > 5 and all((abs(x - y) if not classes else max(map(abs, x.toArray() - y.toArray()))) < 1e-6 for x, y in both)
+        drawn.unpersist()
+
+
+def test_draws_by_cell_are_poisson_whatever_the_partitions(spark, monkeypatch):
+    import numpy as np
+
+    from mirrorloom.operators import cells, learn
+
+    key = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, size=5000)
+    for mean in (1, 60, 10**8):
+        k = cells.draws(key, np.full(5000, mean), 20)
+        assert abs(k.mean() / mean - 1) < 5 / (mean * k.size) ** 0.5 and abs(k.var() / mean - 1) < 0.03 and k.min() >= 0
+        assert abs(np.corrcoef(k[:, 0], k[:, 1])[0, 1]) < 0.07
+    mixed = cells.draws(key[:3], np.array([60, 1, 60]), 20)
+    assert (mixed == np.vstack([cells.draws(key[i : i + 1], np.array([n]), 20) for i, n in enumerate((60, 1, 60))])).all()
+    monkeypatch.setattr(learn, "_FOREST_DRAWS", 0)
+    df = _scattered(spark, 1000)
+    found = [learn.utility(rows, rows, "y", ["a"], ["b"], False, trees=3).first() for rows in (df, df.repartition(5, "y"))]
+    assert all(abs(x - y) < 1e-9 for x, y in zip(found[0][1:], found[1][1:]))
+
+
+def test_bins_of_a_forest_keep_few_values_and_heavy_ones(spark):
+    from mirrorloom.operators import cells
+
+    df = frame(spark, [(float(i % 3), 7.0, 0.0 if i % 2 else float(i), float("inf") if i % 5 == 0 else 1.0) for i in range(2000)], "few double, one double, heavy double, ends double")
+    few, one, heavy, ends = cells.edges(df, ["few", "one", "heavy", "ends"])
+    assert [round(x, 9) for x in few] == [0.5, 1.5] and one == [] and len(ends) == 1 and 1 < ends[0] < 1.1
+    assert 0 < heavy[0] < 1e-300 or heavy[:1] == [0.0] and 0 < heavy[1] < 1e-300
+    assert 14 <= len(heavy) <= 31
+
+
+def test_forest_of_too_many_cells_is_fitted_to_the_rows(spark, monkeypatch):
+    from mirrorloom.operators import learn
+
+    df = _scattered(spark, 500)
+    want = learn.utility(df, df, "y", ["a", "c"], ["b"], False, trees=3).first()
+    monkeypatch.setattr(learn, "_FOREST_DRAWS", 0)
+    fewest = learn.predicted
+    monkeypatch.setattr(learn, "predicted", lambda *a: fewest(*a[:-1], 20))
+    assert learn.utility(df, df, "y", ["a", "c"], ["b"], False, trees=3).first() == want
